@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language_id import language_id, train_languages
 from .license_scan import license_scan
+from .quality_rules import learn_rules, quality_rules
 from .secret_scan import secret_scan
 from .toxicity import toxicity, train_toxicity
 
@@ -25,9 +26,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, train_languages(docs))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, learn_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_language_id, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_language_id, op7_quality_rules, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
