@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language_id import language_id, train_languages
 from .license_scan import license_scan
+from .ngram_join import ngram_join
 from .quality_rules import learn_rules, quality_rules
 from .secret_scan import secret_scan
 from .toxicity import toxicity, train_toxicity
@@ -35,5 +36,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_language_id, op7_quality_rules, op8_secret_scan)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_language_id, op7_quality_rules, op8_secret_scan, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
