@@ -24,6 +24,11 @@ def fold(col: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, as a lambda's variable, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -16,7 +16,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bind, fold
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
@@ -36,11 +36,6 @@ FEATURES: dict[str, str] = {
 }
 
 
-def _bind(value: Column, f) -> Column:
-    """f(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """How many words stand in windows of 8 words that occur twice or more in the array, the first occurrence included."""
     # Every array is bound to a lambda's variable: however the optimiser inlines this, nothing is computed once per element.
@@ -50,16 +45,16 @@ def repeated_words(words: Column) -> Column:
     def places(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-        again = _bind(ordered, lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))))
+        again = bind(ordered, lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))))
         return F.sort_array(F.transform(again, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
 
     def found(h: Column) -> Column:
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), _bind(places(h), covered)).otherwise(0)
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), bind(places(h), covered)).otherwise(0)
 
-    return _bind(words, lambda w: F.when(F.size(w) > WINDOW, _bind(hashes(w), found)).otherwise(0))
+    return bind(words, lambda w: F.when(F.size(w) > WINDOW, bind(hashes(w), found)).otherwise(0))
 
 
 def statistics(df: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import decontaminate
 from .language_id import language_id, train_languages
 from .license_scan import license_scan
+from .line_dedup import line_verdicts
+from .mixing import fit, mixing
 from .ngram_join import ngram_join
 from .quality_rules import learn_rules, quality_rules
 from .secret_scan import secret_scan
@@ -18,15 +21,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id(docs, train_languages(docs))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing(docs, fit(docs))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, learn_rules(docs, table(spark, sf_dir, "labels")))
@@ -40,5 +56,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_language_id, op7_quality_rules, op8_secret_scan, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_language_id, op6_mixing, op7_quality_rules, op8_secret_scan, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
