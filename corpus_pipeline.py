@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, mixing.
+
+Each stage takes what the one before kept, written as Parquet and read again; all but the last return the columns of
+documents. Rows without a doc_id share one verdict where a stage joins its verdicts by id.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, table
+from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.language_id import language_id, train_languages
+from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.mixing import fit, sample
+from lodestone.llm.ngram_join import ngram_join
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ids."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go."""
-    found = language_id(docs, train_languages(docs)).where(F.col("lang_pred") != "und").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return _only(docs, language_id(docs, train_languages(docs)).where(F.col("lang_pred") != "und"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that stand, exactly or nearly, earlier in the corpus; documents that have nothing else go."""
+    return dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of linked ones."""
+    found = ngram_join(docs)
+    return _only(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item's passage."""
+    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the raked mixture samples."""
+    return sample(docs, fit(docs))
+
 
+STAGES = [
+    ("language_id", languages),
+    ("line_dedup", lines),
+    ("ngram_join", near_copies),
+    ("decontaminate", benchmarks),
+    ("mixing", mixture),
+]
 
-STAGES = [("language_id", languages)]
+#: SQL can't express these stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 

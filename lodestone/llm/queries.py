@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .language_id import language_id, train_languages
 from .license_scan import license_scan
 from .line_dedup import line_verdicts
+from .lm_score import lm_score
 from .mixing import fit, mixing
 from .ngram_join import ngram_join
 from .quality_rules import learn_rules, quality_rules
@@ -52,9 +53,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_language_id, op6_mixing, op7_quality_rules, op8_secret_scan, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_language_id, op6_mixing, op7_quality_rules, op8_secret_scan, op9_lm_score, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
