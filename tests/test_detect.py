@@ -20,7 +20,7 @@ KEY = "AKIA" + "ABCDEFGH23456723"
 CASES = [
     # name, path, text, {rule suffix: values}
     ("provider", "a.py", 'OPENAI_API_KEY = "abcd1234efgh"', {"provider.openai": ["abcd1234efgh"]}),
-    ("references", "a.py", "password = os.environ['X']\nsecret = replace-me\ntoken: <your-token>\npwd = "${PWD}"\napi_key = config.key", {}),
+    ("references", "a.py", "password = os.environ['X']\nsecret = replace-me\ntoken: <your-token>\npwd = '${PWD}'\napi_key = config.key", {}),
     ("multiline", "b.txt", 'password: "line one\nline two"', {"credential.binding": ["line one\nline two"]}),
     ("reserved", "b.txt", "authorization: Bearer", {"credential.binding": []}),
     ("access key", "c.txt", KEY, {"format.aws-key-id": [KEY]}),
