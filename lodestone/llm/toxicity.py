@@ -106,7 +106,7 @@ def grammar() -> Table:
 @dataclass
 class ToxicityModel:
     stems: dict[str, float]
-    coef: tuple[float, float, float] = (-4.0, 4.0, 1.0)
+    coef: tuple[float, ...] = (-4.0, 4.0, 1.0, 2.0)
     negated: float = 0.35
     reported: float = 0.5
     aimed: float = 1.5
@@ -141,20 +141,20 @@ class ToxicityModel:
                 total += last * (self.aimed - 1)
         return total
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        """The largest clause score and the logarithm of 1 + their sum."""
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """The largest clause score, the logarithm of 1 + their sum, and the largest weight in a clause that scores."""
         low = text.lower()
         words = set(WORD.findall(low))
         insults = {w: x for w in words if (x := self.weight(w))}
         if not insults and not words & THREATS:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         scores = [self.clause(WORD.findall(c), insults) for c in CLAUSE.split(low)]
-        return max(scores), log(1 + sum(scores))
+        return max(scores), log(1 + sum(scores)), max(insults.values(), default=0.0)
 
-    def score(self, text: str) -> float:
-        top, total = self.evidence(text)
-        b, w1, w2 = self.coef
-        return 1 / (1 + exp(-max(-30.0, min(30.0, b + w1 * top + w2 * total))))
+    def score(self, evidence: tuple[float, float, float]) -> float:
+        """The probability of the label by the logistic function."""
+        x = self.coef[0] + sum(w * e for w, e in zip(self.coef[1:], evidence, strict=True))
+        return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
 
 
 def _features(text: str) -> set[str]:
@@ -191,21 +191,21 @@ def train_toxicity(df: DataFrame, labels: DataFrame, sample: int = 12000, least_
         return {"f": both, "t": [n[1][f] for f in both], "c": [n[0][f] for f in both]}
 
     counts = map_texts(train, count, "f string, t long, c long", ("toxic",)).groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counts.where((F.col("f") == "") | ((F.col("t") >= least_support) & (F.col("t") > 2 * F.col("c")))).orderBy((F.col("f") == "").desc(), F.col("t").desc(), "f").limit(20000).collect()
+    kept = counts.where((F.col("f") == "") | ((F.col("t") >= least_support) & (F.col("t") > 12 * F.col("c")))).orderBy((F.col("f") == "").desc(), F.col("t").desc(), "f").limit(20000).collect()
     total = next(((r["t"], r["c"]) for r in kept if r["f"] == ""), (0, 0))
     model = ToxicityModel(choose([(r["f"], r["t"], r["c"]) for r in kept if r["f"]], *total, least_odds))
 
     def evidence(_, texts, toxic):
         found = [model.evidence(t.decode("utf-8", "replace")) for t in texts]
-        return {"y": [int(y > 0) for y in toxic], "a": [a for a, _ in found], "b": [b for _, b in found]}
+        return {"y": [int(y > 0) for y in toxic], **{k: [e[i] for e in found] for i, k in enumerate("abc")}}
 
-    rows = map_texts(train, evidence, "y int, a double, b double", ("toxic",)).collect()
+    rows = map_texts(train, evidence, "y int, a double, b double, c double", ("toxic",)).collect()
     if rows and 0 < sum(r["y"] for r in rows) < len(rows):
-        model.coef = _logistic(np.array([[1, r["a"], r["b"]] for r in rows]), np.array([r["y"] for r in rows]))
+        model.coef = _logistic(np.array([[1, r["a"], r["b"], r["c"]] for r in rows]), np.array([r["y"] for r in rows]))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> tuple[float, ...]:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -219,9 +219,8 @@ def toxicity(df: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(ids, texts):
         found = [model.evidence(t.decode("utf-8", "replace")) for t in texts]
-        b, w1, w2 = model.coef
-        score = [1 / (1 + exp(-max(-30.0, min(30.0, b + w1 * x + w2 * y)))) for x, y in found]
-        return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score], "clause": [x for x, _ in found]}
+        score = [model.score(e) for e in found]
+        return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score], "clause": [e[0] for e in found]}
 
     out = map_texts(df, run, "doc_id long, score double, predicted int, clause double")
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.col("clause").alias("top_clause_score"))
