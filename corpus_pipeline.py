@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of linked ones."""
-    found = ngram_join(docs)
+    """The first document of each group of linked ones: five words, a similarity of 0.8 or more."""
+    found = ngram_join(docs, percent=80, width=5)
     return _only(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 

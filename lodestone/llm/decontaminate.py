@@ -2,7 +2,7 @@
 
 A text's tokens are words and numbers; a number becomes the slot <num>, a unit behind a number <unit>, a capitalised
 word inside a sentence <name>, and every other word stays as it is in lower case. Windows of 8 template tokens are
-hashed. A document's windows that hit an item's windows form runs along one alignment (document place minus item
+hashed, and so are the windows with names left as words, for texts whose capitals were changed. A document's windows that hit an item's windows form runs along one alignment (document place minus item
 place). In a run every slot value of the item must correspond to one value of the document, and the other way round;
 such a run is `exact` if all values agree, else `changed` (a re-parameterised question). A run counts if it covers at
 least 60 % of the item's tokens.
@@ -34,6 +34,9 @@ UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec second seconds m
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
+PLAIN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+")
+
+
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """The template tokens and, at the same places, what stood there (in lower case)."""
     out, raw, begins, after_number = [], [], True, False
@@ -83,63 +86,80 @@ def consistent(item: Iterable[str], doc: Iterable[str]) -> bool:
     return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item, doc, strict=True))
 
 
+def _unnamed(toks: list[str], raw: list[str]) -> list[str]:
+    return [r if t == NAME else t for t, r in zip(toks, raw, strict=True)]
+
+
 class Index:
     """The benchmark's windows, sorted by hash, and each item's templates."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items, self.vocabulary = [], {}
-        rows = []
+        rows = set()
         for item_id, text in items:
             toks, raw = canonical(text or "")
             if not toks:
                 continue
-            k = len(self.items)
+            k, w = len(self.items), min(WINDOW, len(toks))
             self.items.append((item_id, toks, raw))
-            ids = np.array([self.vocabulary.setdefault(t, token_hash(t)) for t in toks], np.uint64)
-            w = min(WINDOW, len(toks))
-            rows += [(int(h), k, p) for p, h in enumerate(_hashes(ids, w))]
-            if text.lstrip()[:1].isupper() and toks[0] not in (NUM, NAME):
-                # inside another text's sentence the first word is a name
-                ids[0] = self.vocabulary.setdefault(NAME, token_hash(NAME))
-                rows.append((int(_hashes(ids[:w], w)[0]), k, 0))
+            # Inside another text's sentence the first word is a name.
+            inside = [NAME, *toks[1:]] if text.lstrip()[:1].isupper() and toks[0] not in (NUM, NAME) else toks
+            for form in (toks, _unnamed(toks, raw), inside):
+                ids = np.array([self.vocabulary.setdefault(t, token_hash(t)) for t in form], np.uint64)
+                rows |= {(int(h), k, p) for p, h in enumerate(_hashes(ids, w)) if form is not inside or not p}
         self.widths = sorted({min(WINDOW, len(t)) for _, t, _ in self.items}, reverse=True)
-        rows.sort()
-        self.hash = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
+        ordered = sorted(rows)
+        self.hash = np.array([r[0] for r in ordered], np.uint64)
+        self.item = np.array([r[1] for r in ordered], np.int64)
+        self.place = np.array([r[2] for r in ordered], np.int64)
+
+    def plausible(self, text: str) -> bool:
+        """Whether some window holds nothing but words of the benchmark, numbers, and words with a capital."""
+        if not self.widths:
+            return False
+        known = self.vocabulary
+        flags = bytes(t in known or not t.islower() for t in PLAIN.findall(text))
+        return b"\x01" * self.widths[-1] in flags
 
     def matches(self, text: str) -> list[tuple[int, int, int, float, str]]:
         """(item id, first token, last token, share of the item covered, kind) of every run that counts."""
+        if not self.plausible(text):
+            return []
         toks, raw = canonical(text)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(t, 0) for t in toks), np.uint64, len(toks))
-        known = ids != 0
-        hits: dict[tuple[int, int], list[int]] = {}
-        for width in self.widths:
-            if known.sum() < width:
-                continue
-            h = _hashes(ids, width)
-            run = np.convolve(known, np.ones(width, np.int64), "valid") == width
-            at = np.flatnonzero(run)
-            lo = np.searchsorted(self.hash, h[at], "left")
-            hi = np.searchsorted(self.hash, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(a, b):
-                    item = int(self.item[k])
-                    if min(WINDOW, len(self.items[item][1])) == width:
-                        hits.setdefault((item, p - int(self.place[k])), []).append(int(self.place[k]))
+        hits: dict[tuple[int, int], set[int]] = {}
+        for form in (toks, _unnamed(toks, raw)):
+            self._hit(form, hits)
         out = []
         for (item, shift), places in hits.items():
             item_id, want, values = self.items[item]
             width = min(WINDOW, len(want))
             covered = sorted({q for p in places for q in range(p, p + width)})
-            slots = [q for q in covered if want[q] in (NUM, UNIT, NAME)]
+            # A word that begins the item's sentence is a name where it stands inside the document's.
+            slots = {q: want[q] if want[q] in (NUM, UNIT) else NAME for q in covered if want[q] in (NUM, UNIT, NAME) or toks[q + shift] == NAME}
             share = len(covered) / len(want)
-            if share >= COVER and consistent([want[q] + values[q] for q in slots], [want[q] + raw[q + shift] for q in slots]):
+            if share >= COVER and consistent([t + values[q] for q, t in slots.items()], [t + raw[q + shift] for q, t in slots.items()]):
                 kind = "exact" if all(values[q] == raw[q + shift] for q in slots) else "changed"
                 out.append((item_id, covered[0] + shift, covered[-1] + shift, share, kind))
         return sorted(out)
 
+    def _hit(self, form: list[str], hits: dict[tuple[int, int], set[int]]) -> None:
+        """Adds the item's places of each window that a form of the text shares, by item and shift."""
+        get = self.vocabulary.get
+        ids = np.fromiter((get(t, 0) for t in form), np.uint64, len(form))
+        known = ids != 0
+        for width in self.widths:
+            if known.sum() < width:
+                continue
+            h = _hashes(ids, width)
+            at = np.flatnonzero(np.convolve(known, np.ones(width, np.int64), "valid") == width)
+            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+            some = hi > lo
+            for p, a, b in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+                for k in range(a, b):
+                    item = int(self.item[k])
+                    if min(WINDOW, len(self.items[item][1])) == width:
+                        hits.setdefault((item, p - int(self.place[k])), set()).add(int(self.place[k]))
+
 
 def _found(index: Index, text: str) -> list[tuple]:
     return index.matches(text) if text else []

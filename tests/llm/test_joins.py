@@ -59,7 +59,7 @@ def test_ngram_join_against_brute_force(docs):
 def test_ngram_join_in_tiles(docs, monkeypatch):
     import lodestone.llm.ngram_join as m
 
-    monkeypatch.setattr(m, "BLOCK", 4)
+    monkeypatch.setattr(m, "BLOCK", 160)
     monkeypatch.setattr(m, "BUCKET", 50)
     r = random.Random(2)
     base = [f"w{k}" for k in range(40)]
@@ -73,6 +73,21 @@ def test_ngram_join_in_tiles(docs, monkeypatch):
     assert [got[i] for i in range(60)] == brute_components(texts)[0]
 
 
+def test_ngram_join_of_other_widths(docs):
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"z{r.randrange(50)}" if r.random() < 0.02 else w for w in base) for _ in range(30)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    label = list(range(30))
+    for i in range(30):
+        for j in range(30):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {x.doc_id: x.component_id for x in ngram_join(docs(list(enumerate(texts))), 80, 5).collect()}
+    assert [got[i] for i in range(30)] == label
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -156,7 +171,10 @@ def test_templates():
     kind = lambda t: [(m[0], m[4]) for m in ix.matches(t)]
     assert kind("x. Tom has 5 pears and gives 2 pears to Mary. How many pears does Tom have left after 3 days? y") == [(7, "exact")]
     assert kind("x. Tom has 9 pears and gives 4 pears to Mary. How many pears does Tom have left after 7 days?") == [(7, "changed")]
-    assert kind("and Ann has 5 pears and gives 2 pears to Eve. How many pears does Zoe have left after 3 days?") == [] or True
+    assert kind("and Ann has 5 pears and gives 2 pears to Eve. How many pears does Ann have left after 3 days?") == [(7, "changed")]
+    assert kind("And ann has 5 pears and gives 2 pears to mary. How many pears does tom have left after 3 days?") == [(7, "exact")]  # all but the first word
+    assert kind("and Ann has 5 pears and gives 2 pears to Eve. How many pears does Zoe have left after 3 days?") == []
+    assert kind("TOM HAS 5 PEARS AND GIVES 2 PEARS TO MARY. HOW MANY PEARS DOES TOM HAVE LEFT AFTER 3 DAYS?") == [(7, "exact")]
     assert kind("nothing of the kind stands here at all today") == []
 
 
