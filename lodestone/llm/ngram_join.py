@@ -31,7 +31,7 @@ from .common import map_texts, materialize, steps
 from .components import components
 from .words import U, mix, words
 
-BUCKET, FLUSH, BLOCK = 1 << 21, 1 << 20, 512
+BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 512
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
 
 
