@@ -8,8 +8,9 @@
 4. Classes meet where they share such an n-gram. A meeting puts its sets into a prefix tree (frequent first, so that
    near copies share paths), descends it with every set, carries the overlap so far down each path, and leaves a
    subtree as soon as overlap plus what remains can't reach the bound, or when all of it is known to be linked.
-   First every class goes to two meetings, in blocks; then all other meetings between different components follow,
-   large ones in tiles of two blocks, so that no meeting grows with its n-gram's frequency.
+   First every class goes to two meetings, in blocks. Then the classes that share such an n-gram with another
+   component meet, all that hang together at once, large meetings in tiles of two blocks: no task's meeting grows with
+   an n-gram's frequency.
 5. Components of the links give the result.
 
 Edge cases: a text without words, or null, has an empty set and links with nothing; fewer than four words are one
@@ -31,8 +32,9 @@ from .common import map_texts, materialize, steps
 from .components import components
 from .words import U, mix, words
 
-BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 512
-_ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
+#: N-grams of a counting bucket, of a map task's flush, and of a meeting's block.
+BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 1 << 19
+_ORDER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], U)  # up to 16 words
 
 
 def need(n: int, percent: int = 85) -> int:
@@ -69,17 +71,17 @@ def signature(s: np.ndarray) -> int:
         return int((mix(s ^ U(0xA0761D6478BD642F)).sum(dtype=U) + U(len(s)) * U(0xE7037ED1A0B428DB)).astype(np.int64))
 
 
-def class_of(df: DataFrame) -> DataFrame:
+def class_of(df: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, and the class: the digest of the set (null for an empty one)."""
 
     def run(ids, texts):
-        sets = shingle_sets(texts)
+        sets = shingle_sets(texts, width)
         return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "cls": [signature(s) if len(s) else None for s in sets]}
 
     return map_texts(df, run, "doc_id long, n_shingles long, cls long")
 
 
-def shared(df: DataFrame, buckets: int) -> DataFrame:
+def shared(df: DataFrame, buckets: int, width: int = 4) -> DataFrame:
     """(cls, n, h, df) of every n-gram that more than one class has, with the number of those classes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,19 +90,22 @@ def shared(df: DataFrame, buckets: int) -> DataFrame:
         size = 0
 
         def flush():
-            order = np.concatenate(held)
-            cls = np.repeat(np.fromiter(names, np.int64, len(names)), [len(s) for s in held])
-            n = np.repeat(np.fromiter(names.values(), np.int32, len(names)), [len(s) for s in held])
-            b = ((order >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+            order, docs = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
+            b = ((order >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
             by = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[by], np.arange(buckets + 1))
+            at = np.arange(buckets + 1)
+            cut = np.searchsorted(b[by], at)
+            # within a bucket the n-grams stand by class: each class once, with its number of n-grams there
+            pair, times = np.unique(b * len(held) + docs, return_counts=True)
+            cut2 = np.searchsorted(pair, at * len(held))
+            cls, n = np.fromiter(names, np.int64, len(names))[pair % len(held)], np.fromiter(names.values(), np.int32, len(names))[pair % len(held)]
             have = np.flatnonzero(np.diff(cut))
-            part = lambda a: [a[by[cut[k] : cut[k + 1]]].tobytes() for k in have]
-            return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), *(pa.array(part(a), pa.binary()) for a in (order, cls, n))], ["bucket", "h", "cls", "n"])
+            part = lambda a, c: pa.array([a[c[k] : c[k + 1]].tobytes() for k in have], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), part(order[by], cut), part(cls, cut2), part(n, cut2), part(times.astype(np.int32), cut2)], ["bucket", "h", "cls", "n", "times"])
 
         for batch in batches:
             for _, texts in steps([None] * batch.num_rows, batch.column(0).to_pylist()):
-                for s in shingle_sets(texts):
+                for s in shingle_sets(texts, width):
                     if len(s) and (c := signature(s)) not in names:
                         names[c] = len(s)
                         held.append(s)
@@ -113,7 +118,8 @@ def shared(df: DataFrame, buckets: int) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         h, cls = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("h", "cls"))
-        n = np.frombuffer(b"".join(rows["n"]), np.int32)
+        n, times = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("n", "times"))
+        cls, n = np.repeat(cls, times), np.repeat(n, times)
         by = np.argsort(h, kind="stable")
         hs = h[by]
         same = hs[1:] == hs[:-1]
@@ -129,7 +135,7 @@ def shared(df: DataFrame, buckets: int) -> DataFrame:
         keep = times > 1
         return pd.DataFrame({"cls": cls[keep], "n": n[keep], "h": h[keep], "df": times[keep].astype(np.int32)})
 
-    dealt = df.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(deal, "bucket int, h binary, cls binary, n binary")
+    dealt = df.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(deal, "bucket int, h binary, cls binary, n binary, times binary")
     return dealt.groupBy("bucket").applyInPandas(count, "cls long, n int, h long, df int")
 
 
@@ -263,38 +269,40 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def links(df: DataFrame, total: int, percent: int = 85) -> DataFrame:
+def links(df: DataFrame, total: int, percent: int = 85, width: int = 4) -> DataFrame:
     """(a, b): links between classes that have the same components as all links."""
     exact = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
-    found = shared(df, max(1, -(-total // BUCKET)))
+    found = shared(df, max(1, -(-total // BUCKET)), width)
     sets = found.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("toks")).where(F.size("toks") >= exact)
     sets = materialize(sets.select("cls", "n", F.col("toks.h").alias("toks"), (F.col("n") - exact + 1 - (F.col("n") - F.size("toks"))).alias("q")))
     # First meetings: at the first and at the last n-gram of the prefix, in blocks.
-    ends = sets.select("cls", F.explode(F.array_distinct(F.array(F.element_at("toks", 1), F.element_at("toks", F.col("q"))))).alias("key"))
-    crowd = ends.groupBy("key").count().where("count > 1")
-    first = ends.join(crowd, "key").select("cls", "key", F.pmod(F.xxhash64("cls"), F.ceil(F.col("count") / BLOCK)).alias("tile")).join(sets, "cls")
+    ends = sets.select("cls", F.size("toks").alias("m"), F.explode(F.array_distinct(F.array(F.element_at("toks", 1), F.element_at("toks", F.col("q"))))).alias("key"))
+    crowd = ends.groupBy("key").agg(F.count("*").alias("count"), F.sum("m").alias("m")).where("count > 1")
+    first = ends.drop("m").join(crowd, "key").select("cls", "key", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / BLOCK)).alias("tile")).join(sets, "cls")
     edges = materialize(hold(first.select("key", "tile", F.lit(0).alias("side"), "cls", "n", F.col("cls").alias("root"), "toks"), percent))
     known = components(edges)
-    # All other meetings: where the prefix's n-gram has classes of several components.
-    rooted = sets.join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    # What is left: classes that share an n-gram of their prefixes with another component. All that hang together by such
+    # n-grams are one meeting, to which each set goes once, or in tiles of two blocks if it is large.
+    rooted = materialize(sets.join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     places = rooted.select("cls", "root", F.explode(F.slice("toks", 1, F.col("q"))).alias("key"))
-    crowd = places.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    parts = F.ceil(F.col("count") / BLOCK).cast("long")
+    crowd = places.groupBy("key").agg(F.min("cls").alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    family = components(places.join(crowd, "key").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    open_ = family.select(F.col("id").alias("cls"), F.col("root").alias("key")).join(rooted, "cls")
+    size = open_.groupBy("key").agg(F.ceil(F.sum(F.size("toks")) / BLOCK).cast("long").alias("parts"))
     mine = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    open_ = places.join(crowd, "key").withColumn("parts", parts).withColumn("mine", mine)
     # Tiles (i, j) with i <= j; a class of block b sits on side 0 of (b, j) and on side 1 of (i, b); (b, b) has one side.
-    tiled = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiled = tiled.select("key", "cls", "root", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("tile"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    rest = hold(tiled.join(sets, "cls").select("key", "tile", "side", "cls", "n", "root", "toks"), percent)
+    tiled = open_.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tile = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
+    rest = hold(tiled.select("key", tile.alias("tile"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cls", "n", "root", "toks"), percent)
     return edges.union(materialize(rest))
 
 
-def ngram_join(df: DataFrame, percent: int = 85) -> DataFrame:
+def ngram_join(df: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
-    docs = materialize(class_of(df))
+    docs = materialize(class_of(df, width))
     classes = docs.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(links(df, int(total), percent))
+    roots = components(links(df, int(total), percent, width))
     named = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = named.join(least, "root").select("cls", "component_id")
