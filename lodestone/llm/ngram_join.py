@@ -169,6 +169,7 @@ class Meeting:
     def insert(self, k: int) -> None:
         s, i, node = self.sets[k], 0, self.root
         while True:
+            del node[6:]  # what was known of its members' component
             node[3] = max(node[3], len(s) - i)
             node[4] = min(node[4], self.sizes[k])
             if i == len(s):

@@ -13,7 +13,7 @@ from lodestone.llm.decontaminate import Index, canonical, decontaminate
 from lodestone.llm.line_dedup import dedup_lines, edit_distance, line_verdicts
 from lodestone.llm.lm_score import lm_score
 from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample
-from lodestone.llm.ngram_join import ngram_join
+from lodestone.llm.ngram_join import meet, ngram_join
 from lodestone.llm.pitman_yor import flat_tables, hierarchy
 
 
@@ -73,6 +73,32 @@ def test_ngram_join_in_tiles(docs, monkeypatch):
     assert [got[i] for i in range(60)] == brute_components(texts)[0]
 
 
+def test_meetings_find_all_components():
+    r = random.Random(11)
+    for case in range(150):
+        base = list(range(60))
+        sets = []
+        for _ in range(r.randint(2, 40)):
+            s = set(base)
+            for _ in range(r.randint(0, 7)):
+                s.discard(r.choice(base))
+                s.add(100 + r.randrange(12))
+            sets.append(np.array(sorted(s), np.int64))
+        n = len(sets)
+        want = list(range(n))
+        for i in range(n):
+            for j in range(n):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    old, new = max(want[i], want[j]), min(want[i], want[j])
+                    want = [new if x == old else x for x in want]
+        got = list(range(n))
+        for a, b in meet(list(range(n)), sets, [len(s) for s in sets], list(range(n)), [0] * n, 85):
+            old, new = max(got[a], got[b]), min(got[a], got[b])
+            got = [new if x == old else x for x in got]
+        assert got == want, case
+
+
 def test_ngram_join_of_other_widths(docs):
     r = random.Random(9)
     base = [f"w{k}" for k in range(60)]
