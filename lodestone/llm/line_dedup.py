@@ -7,8 +7,8 @@ within 2 edits.
 The edit join cuts each distinct text of length L into 3 segments: two texts within 2 edits share one of them, at a
 place that the counts of edits before and after it bound. A text's segments are indexed under (segment's number,
 length, hash), and each text probes the indexes of lengths L, L - 1 and L - 2 with the substrings at those places. A
-hit must agree in length and in the counts of eight letters (an edit moves them by 2 at most) before it becomes a
-candidate, so that texts that merely share a segment, as near copies with another word do, aren't paired. Candidates
+hit must agree in length and in the counts of its letters, by groups (an edit moves them by 2 at most), before it becomes
+a candidate, so that texts that merely share a segment, as near copies with another word do, aren't paired. Candidates
 are verified by a banded bit-parallel edit distance: 5 bits of the vertical differences move down the diagonal.
 
 Edge cases: a null text is an empty one; rows without doc_id keep all lines and make no other line go; rows that
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import bind, materialize
 
 EDITS, MIN_CHARS = 2, 40
-LETTERS = "entairsh"
+#: Groups of letters that are counted together, three bits each; the lower four bits hold the length.
+GROUPS = ("a", "b", "c", "d", "e", "f", "g", "h", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "ujq", "vwxyz")
 #: Candidate texts up to this number (16 bytes each) are looked up by a broadcast of their hashes, more by a shuffle.
 SMALL = 200_000
 
@@ -39,14 +40,14 @@ def _key(line: Column, i: int, length: Column, start: Column, size: Column) -> C
     return F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size))
 
 
-def index_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    n = F.length(line)
+def index_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
+    """n: the line's length."""
     return [_key(line, i, n, *_segment(n, i, edits + 1)) for i in range(edits + 1)]
 
 
-def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
+def probe_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
     """Keys beyond the text's own index keys under which a text within `edits`, as long or shorter, may be indexed."""
-    n, out = F.length(line), []
+    out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(n - less, i, edits + 1)
@@ -56,20 +57,23 @@ def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
     return out
 
 
-def letter_counts(line: Column) -> Column:
-    """Length and the counts of eight letters, six bits each, as one long."""
-    out = F.shiftleft((F.length(line) % 32768).cast("long"), 48)
-    for k, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("long"), 6 * k))
+def letter_counts(line: Column, n: Column) -> Column:
+    """The length modulo 16 and the counts of each group of letters modulo 8, as one long."""
+    out = (n % 16).cast("long")
+    for k, group in enumerate(GROUPS):
+        count = sum((n - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in group), F.lit(0))
+        out = out.bitwiseOR(F.shiftleft((count % 8).cast("long"), 4 + 3 * k))
     return out
 
 
 def counts_near(a: Column, b: Column, edits: int = EDITS) -> Column:
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63)))
-        total = total + F.least(d, F.lit(64) - d)
-    return (total <= 2 * edits) & (F.abs(F.shiftright(a, 48) - F.shiftright(b, 48)) <= edits)
+    """Whether two texts may be within `edits`: differences are taken around the modulus."""
+
+    def apart(at: int, bits: int) -> Column:
+        d = F.abs(F.shiftrightunsigned(a, at).bitwiseAND(F.lit((1 << bits) - 1)) - F.shiftrightunsigned(b, at).bitwiseAND(F.lit((1 << bits) - 1)))
+        return F.least(d, F.lit(1 << bits) - d)
+
+    return (apart(0, 4) <= edits) & (sum((apart(4 + 3 * k, 3) for k in range(len(GROUPS))), F.lit(0)) <= 2 * edits)
 
 
 def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -117,18 +121,23 @@ def _bit_at(v: Column, k: Column) -> Column:
 
 
 def lines_of(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, line and its two hashes, for the lines that take part."""
+    """doc_id, pos, line, its length n and its two hashes, for the lines that take part."""
     rows = df.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length("line") >= min_chars).select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    return rows.select("doc_id", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of texts that may be within `edits`, each pair once."""
-    texts = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    keyed = texts.select(F.col("h1").alias("id"), letter_counts(F.col("line")).alias("sig"), F.array(*index_keys(F.col("line"), edits)).alias("own"), F.array(*probe_keys(F.col("line"), edits)).alias("more"))
-    index = keyed.select(F.explode("own").alias("key"), F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    probe = keyed.select(F.explode(F.concat("own", F.array_compact("more"))).alias("key"), F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    hit = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & counts_near(F.col("sig_a"), F.col("sig_b"), edits))
+    # Keys are made before equal texts meet: they are shorter than most lines.
+    line, n = F.col("line"), F.col("n")
+    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), F.array(*index_keys(line, n, edits)).alias("own"), F.array_compact(F.array(*probe_keys(line, n, edits))).alias("more"))
+    keyed = materialize(made.groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.first("own").alias("own"), F.first("more").alias("more")).drop("h2"))
+    index = keyed.select(F.explode("own").alias("key"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
+    probe = keyed.select(F.explode(F.concat("own", "more")).alias("key"), F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
+    # Texts of one length find each other from both sides; one is enough.
+    once = (F.col("sig_a").bitwiseXOR(F.col("sig_b")).bitwiseAND(F.lit(15)) != 0) | (F.col("a") < F.col("b"))
+    hit = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & once & counts_near(F.col("sig_a"), F.col("sig_b"), edits))
     return hit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
