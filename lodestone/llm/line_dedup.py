@@ -59,9 +59,9 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
 
 def letter_counts(line: Column, n: Column) -> Column:
     """The length modulo 16 and the counts of each group of letters modulo 8, as one long."""
-    out = (n % 16).cast("long")
+    out, size = (n % 16).cast("long"), F.octet_length(line)
     for k, group in enumerate(GROUPS):
-        count = sum((n - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in group), F.lit(0))
+        count = sum((size - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in group), F.lit(0))
         out = out.bitwiseOR(F.shiftleft((count % 8).cast("long"), 4 + 3 * k))
     return out
 
@@ -131,10 +131,10 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of texts that may be within `edits`, each pair once."""
     # Keys are made before equal texts meet: they are shorter than most lines.
     line, n = F.col("line"), F.col("n")
-    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), F.array(*index_keys(line, n, edits)).alias("own"), F.array_compact(F.array(*probe_keys(line, n, edits))).alias("more"))
+    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), F.array(*index_keys(line, n, edits)).alias("own"), F.array(*probe_keys(line, n, edits)).alias("more"))
     keyed = materialize(made.groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.first("own").alias("own"), F.first("more").alias("more")).drop("h2"))
     index = keyed.select(F.explode("own").alias("key"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
-    probe = keyed.select(F.explode(F.concat("own", "more")).alias("key"), F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
+    probe = keyed.select(F.explode(F.concat("own", "more")).alias("key"), F.col("h1").alias("a"), F.col("sig").alias("sig_a")).where("key is not null")
     # Texts of one length find each other from both sides; one is enough.
     once = (F.col("sig_a").bitwiseXOR(F.col("sig_b")).bitwiseAND(F.lit(15)) != 0) | (F.col("a") < F.col("b"))
     hit = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & once & counts_near(F.col("sig_a"), F.col("sig_b"), edits))
