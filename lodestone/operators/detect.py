@@ -6,6 +6,8 @@ All families of a text are concatenated before the explode, so that a scan reads
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -297,11 +299,9 @@ def rules_table(spark) -> DataFrame:
     return spark.createDataFrame([(r, v.category(r), v.TOPICS.get(v.category(r))) for r in rules], "rule string, category string, topic string")
 
 
-def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = ()) -> DataFrame:
-    """df's columns and one row per candidate: rule, start, end, basis and the located value.
-
-    df has text and path. Equal spans of one rule collapse to the first in the families' order.
-    """
+@lru_cache(maxsize=64)
+def _found(families: tuple, groups: tuple[str, ...]) -> Column:
+    """The array of candidates of the columns text and path; kept, as building it takes thousands of calls to the JVM."""
     text, path = F.col("text"), F.col("path")
     found = [f(text, path) for f in families]
     if groups:
@@ -311,15 +311,22 @@ def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = ()) -> Data
         same = lambda a, b: (a["rule"] == b["rule"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
         return F.filter(all_, lambda c, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda b: same(b, c)))
 
-    rows = df.where(text.isNotNull()).withColumn("_c", F.explode(tx.bind(F.concat(*found), first_of_each)))
-    value = F.substring(text, F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))
+    return tx.bind(F.concat(*found), first_of_each)
+
+
+def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = ()) -> DataFrame:
+    """df's columns and one row per candidate: rule, start, end, basis and the located value.
+
+    df has text and path. Equal spans of one rule collapse to the first in the families' order.
+    """
+    rows = df.where(F.col("text").isNotNull()).select(*df.columns, F.explode(_found(tuple(families), tuple(groups))).alias("_c"))
+    value = F.substring(F.col("text"), F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))
     return rows.select(*df.columns, F.col("_c.rule").alias("rule"), F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), F.col("_c.basis").alias("basis"), value.alias("value"))
 
 
 def located(found: DataFrame, local: bool = False) -> DataFrame:
     """Findings with line and column, without the text; local ones carry the value and its context, others neither."""
-    line = tx.line_of(F.col("text"), F.col("start"))
-    out = found.withColumn("line", line).withColumn("column", tx.column_of(F.col("text"), F.col("start")))
+    out = found.withColumns({"line": tx.line_of(F.col("text"), F.col("start")), "column": tx.column_of(F.col("text"), F.col("start"))})
     if local:
         return out.withColumn("context", tx.context_of(F.col("text"), F.col("line"))).drop("text")
     return out.withColumn("file", tx.redact_path(F.col("path"))).withColumn("evidence", F.lit("[source value withheld]")).drop("text", "value")

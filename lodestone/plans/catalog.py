@@ -53,7 +53,7 @@ def _only(basis: str):
 for _name, _basis, _sql in (
     ("email_findings", "Email", o.spans("v", o.EMAIL)),
     ("phone_findings", "International", o.spans("v", o.PHONE)),
-    ("ssn_findings", "National", o.spans("v", o.SSN)),
+    ("ssn_findings", "National", o.ssns("v")),
     ("card_findings", "Payment", o.cards("v")),
 ):
     QUERIES[_name] = _only(_basis)
@@ -81,7 +81,7 @@ def credential_bindings(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL_FOUND = f"""(SELECT path, commit, doc_id, rule, value FROM (
-  SELECT path, commit, doc_id, value, 'privacy.personal.identifier' AS rule FROM (SELECT * FROM {o.spans('f', o.EMAIL)} UNION ALL SELECT * FROM {o.spans('f', o.PHONE)} UNION ALL SELECT * FROM {o.spans('f', o.SSN)} UNION ALL SELECT * FROM {o.cards('f')})
+  SELECT path, commit, doc_id, value, 'privacy.personal.identifier' AS rule FROM (SELECT * FROM {o.spans('f', o.EMAIL)} UNION ALL SELECT * FROM {o.spans('f', o.PHONE)} UNION ALL SELECT * FROM {o.ssns('f')} UNION ALL SELECT * FROM {o.cards('f')})
   UNION ALL SELECT path, commit, doc_id, value, 'privacy.endpoint.ip-address' AS rule FROM {o.ips('f')}
   UNION ALL SELECT path, commit, doc_id, value, rule FROM {BINDINGS.replace('FROM v ', 'FROM f ')}
   UNION ALL SELECT path, commit, doc_id, value, CASE WHEN regexp_matches(value, '^(?:AKIA|ASIA)[A-Z2-7]{{16}}$') THEN 'privacy.credential.format.aws-key-id' ELSE 'privacy.credential.format.candidate-prefix' END AS rule FROM {o.spans('f', chr(92) + 'b(?:AKIA|ASIA)[A-Z0-9]{16}' + chr(92) + 'b')}))"""
