@@ -30,9 +30,10 @@ def _letters() -> np.ndarray:
 
 
 def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """A table [states, alphabet + 1]: the next state, or for a missing move the state after a new phrase, with FLAG. The last symbol is filling and keeps the state.
+    """A table [states + 1, alphabet + 1]: the next state, or for a missing move the state after a new phrase, with FLAG.
 
-    Separators (-1) end one text: the next one starts anew.
+    The last state stands outside any phrase: at the start, and after a symbol that the sample lacks, which is a phrase
+    of its own. The last symbol is filling and keeps the state. Separators (-1) end one text: the next one starts anew.
     """
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -78,12 +79,13 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     nxt[p][c] = clone
                     p = link[p]
         last = cur
-    root = np.zeros(alphabet, np.int32)
+    outside = len(nxt)
+    root = np.full(alphabet, outside, np.int32)
     for c, s in nxt[0].items():
         root[c] = s
-    out = np.empty((len(nxt), alphabet + 1), np.int32)
+    out = np.empty((outside + 1, alphabet + 1), np.int32)
     out[:, :alphabet] = root | FLAG
-    out[:, alphabet] = np.arange(len(nxt))
+    out[:, alphabet] = np.arange(outside + 1)
     for s, moves in enumerate(nxt):
         for c, to in moves.items():
             out[s, c] = to
@@ -119,8 +121,8 @@ class Parser:
     def phrases(self, table: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         """Phrases of each row of pieces [places, rows]."""
         flat, width = table.ravel(), np.int32(table.shape[1])
-        state = np.zeros(pieces.shape[1], np.int32)
-        count = np.ones(pieces.shape[1], np.int32)
+        state = np.full(pieces.shape[1], len(table) - 1, np.int32)
+        count = np.zeros(pieces.shape[1], np.int32)
         for row in pieces:
             v = flat[state * width + row]
             count += v >= FLAG
