@@ -16,6 +16,8 @@ SPACED[[32, *range(9, 14)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+#: Bytes whose sums are held at once, so that a long text takes no more memory than many short ones.
+PIECE = 1 << 20
 #: The hash of the end token, which no word has but by chance.
 END = U(0x5851F42D4C957F2D)
 
@@ -49,9 +51,14 @@ def words(texts: list[bytes], kind: np.ndarray = SPACED, lower: bool = True, has
     doc = np.searchsorted(first, start, "right") - 1
     if not hashes:
         return doc, start, end, None, data
-    n = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(n)
+    h = np.empty(len(start), U)
+    cut = np.searchsorted(start, np.arange(0, len(data) + PIECE, PIECE))
     with np.errstate(over="ignore"):
-        total = np.concatenate([[U(0)], np.cumsum(_TABLE[data] * power[: len(data)], dtype=U)])
-        h = mix((total[end] - total[start]) * inverse[start] + U(1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if a < b:  # the words that start in one piece; their hashes don't depend on the place
+                lo, hi = int(start[a]), int(end[b - 1])
+                power, inverse = _powers(1 << max(21, (hi - lo).bit_length()))
+                total = np.concatenate([[U(0)], np.cumsum(_TABLE[data[lo:hi]] * power[: hi - lo], dtype=U)])
+                s, e = start[a:b] - lo, end[a:b] - lo
+                h[a:b] = mix((total[e] - total[s]) * inverse[s] + U(1))
     return doc, start, end, h, data
