@@ -94,7 +94,7 @@ class Index:
     """The benchmark's windows, sorted by hash, and each item's templates."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.vocabulary = [], {}
+        self.items, self.vocabulary, self.pairs = [], {}, set()
         rows = set()
         for item_id, text in items:
             toks, raw = canonical(text or "")
@@ -102,6 +102,7 @@ class Index:
                 continue
             k, w = len(self.items), min(WINDOW, len(toks))
             self.items.append((item_id, toks, raw))
+            self.pairs.update(zip(raw, raw[1:]))
             # Inside another text's sentence the first word is a name.
             inside = [NAME, *toks[1:]] if text.lstrip()[:1].isupper() and toks[0] not in (NUM, NAME) else toks
             for form in (toks, _unnamed(toks, raw), inside):
@@ -114,12 +115,15 @@ class Index:
         self.place = np.array([r[2] for r in ordered], np.int64)
 
     def plausible(self, text: str) -> bool:
-        """Whether some window holds nothing but words of the benchmark, numbers, and words with a capital."""
+        """Whether some window may match: its words, and then its pairs of words, are the benchmark's, but for numbers, units and words with a capital."""
         if not self.widths:
             return False
-        known = self.vocabulary
-        flags = bytes(t in known or not t.islower() for t in PLAIN.findall(text))
-        return b"\x01" * self.widths[-1] in flags
+        known, least, toks = self.vocabulary, self.widths[-1], PLAIN.findall(text)
+        if b"\x01" * least not in bytes(t in known or not t.islower() or t in UNITS for t in toks):
+            return False
+        free = [not t.islower() or t in UNITS for t in toks]
+        pairs = self.pairs
+        return least < 2 or b"\x01" * (least - 1) in bytes(f or g or p in pairs for f, g, p in zip(free, free[1:], zip(toks, toks[1:])))
 
     def matches(self, text: str) -> list[tuple[int, int, int, float, str]]:
         """(item id, first token, last token, share of the item covered, kind) of every run that counts."""
