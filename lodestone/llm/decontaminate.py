@@ -2,13 +2,16 @@
 
 A text's tokens are words and numbers; a number becomes the slot <num>, a unit behind a number <unit>, a capitalised
 word inside a sentence <name>, and every other word stays as it is in lower case. Windows of 8 template tokens are
-hashed, and so are the windows with names left as words, for texts whose capitals were changed. A document's windows that hit an item's windows form runs along one alignment (document place minus item
-place). In a run every slot value of the item must correspond to one value of the document, and the other way round;
-such a run is `exact` if all values agree, else `changed` (a re-parameterised question). A run counts if it covers at
-least 60 % of the item's tokens.
+hashed, and so are the windows with names left as words, for texts whose capitals were changed. A document's windows that hit an item's windows form segments along an alignment (document place minus item
+place). Segments of one item that follow each other in both, with alignments at most 8 apart, are chained to a run, so
+that inserted or missing words (a name of two words, a number spelt out) don't break it. In a run equal slot values of
+the item must have equal values in the document, while different ones may meet in one value; such a run is `exact` if
+it has one alignment and all values agree, else `changed` (a re-parameterised question). A run counts if its segments
+cover at least 60 % of the item's tokens. A change that leaves fewer than 8 tokens on a side hides that side.
 
 The items' windows are a hash table of bounded size that goes to every task, so that documents are never shuffled; a
-larger benchmark is cut into parts below the bound, each of which passes over the documents.
+larger benchmark is cut into parts below the bound, each of which passes over the documents; their results meet by a
+key of the row, which is written with the texts before the first pass.
 
 Edge cases: null texts are empty and match nothing; items with fewer than 8 tokens are matched as one window of their
 length; an item that repeats under several ids is reported under each; empty tables give no match; documents' other
@@ -24,9 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialize
 
-WINDOW, COVER = 8, 0.6
+WINDOW, COVER, DRIFT = 8, 0.6, 8
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|([.!?\n])")
 
 # Units that may follow a number.
@@ -79,11 +82,10 @@ def token_hash(t: str) -> int:
     return xxhash.xxh64_intdigest(t.encode())
 
 
-def consistent(item: Iterable[str], doc: Iterable[str]) -> bool:
-    """Whether slot values correspond one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item, doc, strict=True))
+def consistent(pairs: Iterable[tuple[str, str]], known: dict[str, str] | None = None) -> dict[str, str] | None:
+    """The document's value of each of the item's slot values, with those known before; None if one has two."""
+    there = dict(known or {})
+    return there if all(there.setdefault(a, b) == b for a, b in pairs) else None
 
 
 def _unnamed(toks: list[str], raw: list[str]) -> list[str]:
@@ -133,18 +135,70 @@ class Index:
         hits: dict[tuple[int, int], set[int]] = {}
         for form in (toks, _unnamed(toks, raw)):
             self._hit(form, hits)
-        out = []
+        by_item: dict[int, list[tuple[int, int, int]]] = {}
         for (item, shift), places in hits.items():
-            item_id, want, values = self.items[item]
-            width = min(WINDOW, len(want))
-            covered = sorted({q for p in places for q in range(p, p + width)})
-            # A word that begins the item's sentence is a name where it stands inside the document's.
-            slots = {q: want[q] if want[q] in (NUM, UNIT) else NAME for q in covered if want[q] in (NUM, UNIT, NAME) or toks[q + shift] == NAME}
-            share = len(covered) / len(want)
-            if share >= COVER and consistent([t + values[q] for q, t in slots.items()], [t + raw[q + shift] for q, t in slots.items()]):
-                kind = "exact" if all(values[q] == raw[q + shift] for q in slots) else "changed"
-                out.append((item_id, covered[0] + shift, covered[-1] + shift, share, kind))
-        return sorted(out)
+            width = min(WINDOW, len(self.items[item][1]))
+            begin = end = None
+            for p in sorted(places):
+                if begin is None or p > end:
+                    if begin is not None:
+                        by_item.setdefault(item, []).append((begin + shift, begin, end))
+                    begin = p
+                end = p + width
+            by_item.setdefault(item, []).append((begin + shift, begin, end))
+        return sorted(m for item, segments in by_item.items() for m in self._runs(item, segments, toks, raw))
+
+    def _runs(self, item: int, segments: list[tuple[int, int, int]], toks: list[str], raw: list[str]) -> list[tuple[int, int, int, float, str]]:
+        """The chains of an item's segments (document place, first item place, item place behind) that count; no segment is in two."""
+        item_id, want, values = self.items[item]
+        out, left = [], sorted(segments)
+        while sum(e - b for _, b, e in left) >= COVER * len(want):
+            # Of each segment: tokens covered by the best chain that ends with it, negative number of alignments, chain before, own first place, values so far.
+            best: list[tuple[int, int, int, int, dict] | None] = []
+            for j, (at, b, e) in enumerate(left):
+                shift, top = at - b, None
+                pairs = consistent(self._slots(item, b, e, shift, toks, raw))
+                if pairs is not None:
+                    top = (e - b, -1, -1, b, pairs)
+                for i in range(j - 1, -1, -1):
+                    at_i, b_i, e_i = left[i]
+                    if at_i < at - len(want) - DRIFT:
+                        break
+                    moved = shift - at_i + b_i
+                    first = max(b, e_i, e_i - moved)
+                    if best[i] is None or abs(moved) > DRIFT or b_i >= b or first >= e:
+                        continue
+                    rank = (best[i][0] + e - first, best[i][1] - (moved != 0))
+                    if top is None or rank > top[:2]:
+                        pairs = consistent(self._slots(item, first, e, shift, toks, raw), best[i][4])
+                        if pairs is not None:
+                            top = (*rank, i, first, pairs)
+                best.append(top)
+            used: set[int] = set()
+            for j in sorted((j for j, t in enumerate(best) if t and t[0] >= COVER * len(want)), key=lambda j: (-best[j][0], -best[j][1], j)):
+                chain, k = [], j
+                while k >= 0:
+                    chain.append(k)
+                    k = best[k][2]
+                if used.isdisjoint(chain):
+                    used.update(chain)
+                    places = [(q, left[k][0] - left[k][1]) for k in reversed(chain) for q in range(best[k][3], left[k][2])]
+                    same = best[j][1] == -1 and all(v == raw[q + shift] for q, shift in places for _, v, _ in self._slot(item, q, shift, toks))
+                    out.append((item_id, sum(places[0]), sum(places[-1]), best[j][0] / len(want), "exact" if same else "changed"))
+            if not used:
+                break
+            left = [x for j, x in enumerate(left) if j not in used]
+        return out
+
+    def _slot(self, item: int, q: int, shift: int, toks: list[str]) -> list[tuple[str, str, int]]:
+        """Kind, value and document place if the item's place q is a slot. A word that begins the item's sentence is a name where it stands inside the document's."""
+        _, want, values = self.items[item]
+        if want[q] in (NUM, UNIT, NAME):
+            return [(want[q], values[q], q + shift)]
+        return [(NAME, values[q], q + shift)] if toks[q + shift] == NAME else []
+
+    def _slots(self, item: int, begin: int, end: int, shift: int, toks: list[str], raw: list[str]) -> list[tuple[str, str]]:
+        return [(t + v, t + raw[at]) for q in range(begin, end) for t, v, at in self._slot(item, q, shift, toks)]
 
     def _hit(self, form: list[str], hits: dict[tuple[int, int], set[int]]) -> None:
         """Adds the item's places of each window that a form of the text shares, by item and shift."""
@@ -178,25 +232,31 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, small: int = 200_000) ->
     rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-int(size) // (4 * small)))  # a window starts at a token, of 4 characters or more on average
+    docs = df.select("doc_id", "text")
+    if parts > 1:  # written, so that a row has one key in all passes
+        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
+    else:
+        docs = docs.withColumn("row", F.lit(0).cast("long"))
     out = None
     for k in range(parts):
         some = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        got = _pass(df, Index([(r["item_id"], r["text"]) for r in some]))
+        got = _pass(docs, Index([(r["item_id"], r["text"]) for r in some]))
         out = got if out is None else out.unionByName(got)
     if parts > 1:
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_runs").alias("n_runs"), F.sum("n_changed").alias("n_changed"), F.max("best_share").alias("best_share"))
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_runs").alias("n_runs"), F.sum("n_changed").alias("n_changed"), F.max("best_share").alias("best_share"))
     return out.select("doc_id", (F.col("n_runs") > 0).alias("contaminated"), F.array_join("item_ids", ",").alias("item_ids"), "n_runs", "n_changed", "best_share")
 
 
 def _pass(df: DataFrame, index: Index) -> DataFrame:
-    def run(ids, texts):
+    def run(ids, texts, keys):
         found = [_found(index, t.decode("utf-8", "replace")) for t in texts]
         return {
             "doc_id": ids,
+            "row": keys,
             "item_ids": [sorted({f[0] for f in fs}) for fs in found],
             "n_runs": [len(fs) for fs in found],
             "n_changed": [sum(f[4] == "changed" for f in fs) for fs in found],
             "best_share": [max((f[3] for f in fs), default=0.0) for fs in found],
         }
 
-    return map_texts(df, run, "doc_id long, item_ids array<long>, n_runs long, n_changed long, best_share double")
+    return map_texts(df, run, "doc_id long, row long, item_ids array<long>, n_runs long, n_changed long, best_share double", ("row",))

@@ -225,6 +225,38 @@ def test_decontamination_against_brute_force(spark, docs):
     assert decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_with_inserted_and_missing_words():
+    item = "the old baker sells 5 loaves of bread every morning before he walks 3 miles along the river to town"
+    ix = Index([(1, item)])
+    found = lambda t: [(m[0], m[4]) for m in ix.matches(f"so it was. {t}. and so on")]
+    assert found(item) == [(1, "exact")]
+    assert found(item.replace("morning before", "single morning before")) == [(1, "changed")]
+    assert found(item.replace("morning ", "")) == [(1, "changed")]
+    assert found(item.replace("5 loaves of bread every morning before", "5 loaves of bread every morning long before")) == [(1, "changed")]
+    # Values that differ in the item may meet in one; equal ones may not part.
+    assert found(item.replace("5", "4").replace("3", "4")) == [(1, "changed")]
+    iy = Index([(2, "the baker sells 5 loaves of bread every morning and then 5 cakes in the late evening")])
+    two = lambda a, b: [m[4] for m in iy.matches(f"the baker sells {a} loaves of bread every morning and then {b} cakes in the late evening")]
+    assert two(7, 7) == ["changed"] and two(7, 8) == []
+    units = Index([(3, "he first ran 5 km along the shore and later on he swam 7 miles across the wide lake")])
+    assert [m[4] for m in units.matches("he first ran 5 km along the shore and later on he swam 7 km across the wide lake")] == ["changed"]
+    spelt = Index([(4, "in one box of the shop there are just 5 pears that the farmer sold to us last week")])
+    assert [m[4] for m in spelt.matches("in one box of the shop there are just twenty five pears that the farmer sold to us last week")] == ["changed"]
+    # Halves in the wrong order, or far apart, are no copy.
+    w = item.split()
+    assert found(" ".join(w[10:] + w[:10])) == [] and found(" ".join(w[:10]) + " x" * 60 + " " + " ".join(w[10:])) == []
+    # A repeated item is found each time.
+    assert found(f"{item}. {item.replace('morning ', '')}. {item}") == [(1, "exact"), (1, "changed"), (1, "exact")]
+
+
+def test_decontamination_in_parts_keeps_rows(spark, docs):
+    items = [(k, " ".join(f"{a}{'uvwxyz'[k]}x" for a in "abcdefghijkl")) for k in range(6)]
+    d = docs([(1, items[0][1]), (1, items[3][1]), (1, "nothing"), (None, items[2][1]), (None, None), (None, items[5][1])])
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted((str(x.doc_id), x.item_ids, x.n_runs) for x in decontaminate(d, b, small).collect()) for small in (200_000, 20))
+    assert len(whole) == 6 and whole == parts and [x[1] for x in whole] == ["", "0", "3", "", "2", "5"]
+
+
 def test_raking_meets_the_marginals(spark, docs):
     tokens = {(a, b): float(10 * x + y + 1) for x, a in enumerate("pqr") for y, b in enumerate("st")}
     w, _ = rake(tokens, [{"p": 0.2, "q": 0.3, "r": 0.5}, {"s": 0.6, "t": 0.4}])
