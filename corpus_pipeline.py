@@ -30,7 +30,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand, exactly or nearly, earlier in the corpus; documents that have nothing else go."""
-    return dedup_lines(docs)
+    return dedup_lines(docs, min_chars=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Line dedup: exact and near copies of lines over all documents, in DataFrame expressions only.
 
-Lines of 40 characters or more take part; shorter ones always stay. A line's text counts where it first stands (by
-doc_id, then place). Later copies of a text go, and a text goes altogether if another text that stands earlier is
-within 2 edits.
+Lines of min_chars characters or more take part, those under 40 only if they have a letter or a digit; others always
+stay. The queries take min_chars = 1: every line with a word. A line's text counts where it first stands (by doc_id,
+then place). Later copies of a text go, and a text goes altogether if another text that stands earlier is within 2
+edits, or within 1 if the shorter of the two has 3 to 19 characters; texts of 1 or 2 characters only go as copies.
 
-The edit join cuts each distinct text of length L into 3 segments: two texts within 2 edits share one of them, at a
+Texts of up to 20 characters are indexed under themselves and all their forms with one character left out: two within
+1 edit share one of these. For those of 20 and more the edit join cuts each distinct text of length L into 3 segments: two texts within 2 edits share one of them, at a
 place that the counts of edits before and after it bound. A text's segments are indexed under (segment's number,
 length, hash), and each text probes the indexes of lengths L, L - 1 and L - 2 with the substrings at those places. A
 hit must agree in length and in the counts of its letters, by groups (an edit moves them by 2 at most), before it becomes
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import bind, materialize
 
 EDITS, MIN_CHARS = 2, 40
+#: Texts of LEAST characters and more have near copies; those under SHORT within one edit.
+LEAST, SHORT = 3, 20
 #: Groups of letters that are counted together, three bits each; the lower four bits hold the length.
 GROUPS = ("a", "b", "c", "d", "e", "f", "g", "h", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "ujq", "vwxyz")
 #: Candidate texts up to this number (16 bytes each) are looked up by a broadcast of their hashes, more by a shuffle.
@@ -53,10 +57,30 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
             start, size = _segment(n - less, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 if less or shift:
-                    out.append(F.when((start + shift >= 0) & (start + shift + size <= n), _key(line, i, n - less, start + shift, size)))
+                    out.append(F.when((n - less >= SHORT) & (start + shift >= 0) & (start + shift + size <= n), _key(line, i, n - less, start + shift, size)))
     return out
 
 
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
+def left_out_keys(line: Column, n: Column) -> Column:
+    """Keys of a text and of its forms without one of its characters."""
+    one_less = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(-1), F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))))
+    return F.array_distinct(one_less)
+
+
+def own_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
+    """Keys under which a text is indexed: segments, forms, or at SHORT characters both."""
+    segments, forms = F.array(*index_keys(line, n, edits)), left_out_keys(line, n)
+    return F.when(n > SHORT, segments).when(n == SHORT, F.concat(segments, forms)).when(n >= LEAST, forms).otherwise(_none())
+
+
+def takes_part(line: Column, min_chars: int) -> Column:
+    return (F.length(line) >= min_chars) & ((F.length(line) >= MIN_CHARS) | F.rlike(line, F.lit(r"[\p{L}\p{N}]")))
+
+
 def letter_counts(line: Column, n: Column) -> Column:
     """The length modulo 16 and the counts of each group of letters modulo 8, as one long."""
     out, size = (n % 16).cast("long"), F.octet_length(line)
@@ -123,7 +147,7 @@ def _bit_at(v: Column, k: Column) -> Column:
 def lines_of(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, pos, line, its length n and its two hashes, for the lines that take part."""
     rows = df.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    rows = rows.withColumn("n", F.length("line")).where(takes_part(F.col("line"), min_chars))
     return rows.select("doc_id", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -131,7 +155,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of texts that may be within `edits`, each pair once."""
     # Keys are made before equal texts meet: they are shorter than most lines.
     line, n = F.col("line"), F.col("n")
-    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), F.array(*index_keys(line, n, edits)).alias("own"), F.array(*probe_keys(line, n, edits)).alias("more"))
+    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), own_keys(line, n, edits).alias("own"), F.when(n >= SHORT, F.array(*probe_keys(line, n, edits))).otherwise(_none()).alias("more"))
     keyed = materialize(made.groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.first("own").alias("own"), F.first("more").alias("more")).drop("h2"))
     index = keyed.select(F.explode("own").alias("key"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
     probe = keyed.select(F.explode(F.concat("own", "more")).alias("key"), F.col("h1").alias("a"), F.col("sig").alias("sig_a")).where("key is not null")
@@ -150,7 +174,8 @@ def near_texts(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = materialize(lines.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), at))
     side = lambda s: texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns))
     both = pairs.join(side("a"), F.col("a") == F.col("h1_a")).join(side("b"), F.col("b") == F.col("h1_b"))
-    close = both.where(edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    a, b = F.col("line_a"), F.col("line_b")
+    close = both.where(F.when(F.least(F.length(a), F.length(b)) < SHORT, edit_distance(a, b, 1) <= 1).otherwise(edit_distance(a, b, edits) <= edits))
     later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))
     return close.select(later.alias("l")).select("l.*").distinct()
 
@@ -166,10 +191,10 @@ def kept_places(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
 
 
 def line_verdicts(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: lines, lines that take part, lines that stay in all, and the places of those of 40 characters or more that stay."""
+    """One row per document: lines, lines that take part, lines that stay in all, and the places of those that take part and stay."""
     kept = kept_places(df, edits, min_chars)
     cut = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    docs = df.select("doc_id", F.size(cut).cast("long").alias("n_lines"), F.size(F.filter(cut, lambda x: F.length(x) >= min_chars)).cast("long").alias("n_checked"))
+    docs = df.select("doc_id", F.size(cut).cast("long").alias("n_lines"), F.size(F.filter(cut, lambda x: takes_part(x, min_chars))).cast("long").alias("n_checked"))
     out = docs.join(kept, "doc_id", "left")
     stay = F.when(F.col("doc_id").isNull(), F.col("n_checked")).otherwise(F.coalesce(F.size("kept"), F.lit(0)).cast("long"))
     stay = F.when(F.col("kept").isNull() & F.col("doc_id").isNotNull(), F.lit(0).cast("long")).otherwise(stay)
@@ -182,7 +207,7 @@ def dedup_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
     cut = F.split(F.col("text"), "\n", -1)
 
     def shortened(lines: Column, places: Column) -> Column:
-        return F.filter(lines, lambda x, i: (F.length(x) < min_chars) | F.array_contains(places, i))
+        return F.filter(lines, lambda x, i: ~takes_part(x, min_chars) | F.array_contains(places, i))
 
     none = F.array().cast("array<int>")
     joined = df.join(kept, df["doc_id"] == F.col("_kept_id"), "left")

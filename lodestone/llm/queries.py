@@ -31,7 +31,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_verdicts(table(spark, sf_dir, "documents"))
+    return line_verdicts(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,45 @@ def test_line_dedup_against_brute_force(docs):
     assert dedup_lines(d).columns == d.columns
 
 
+def test_short_lines_against_brute_force(spark, docs, tmp_path):
+    from corpus_pipeline import lines as stage
+    from lodestone.llm.queries import op4_line_dedup
+
+    r = random.Random(12)
+    lines = ["".join(r.choices("abc dé", k=r.randint(1, 24))) for _ in range(70)]
+    lines += [mutated(r, r.choice([x for x in lines[:70] if len(x) > 3]), r.randint(1, 3)) for _ in range(110)]
+    lines += ["", "  ", "}", "--", "Released under the MIT License.", "Released under the MIT Licence.", "4"]
+    rows = [(i, "\n".join(r.choices(lines, k=r.randint(0, 9)))) for i in range(70)] + [(90, None)]
+    first, seen = {}, []
+    for i, t in rows:
+        for p, x in enumerate((t or "").split("\n")):
+            if any(c.isalnum() for c in x):
+                first.setdefault(x, (i, p))
+                seen.append((i, p, x))
+
+    def near(a, b):
+        least = min(len(a), len(b))
+        return least >= 3 and lev(a, b) <= (1 if least < 20 else 2)
+
+    gone = {a for a in first for b in first if first[b] < first[a] and near(a, b)}
+    keep = collections.defaultdict(list)
+    for i, p, x in seen:
+        if first[x] == (i, p) and x not in gone:
+            keep[i].append(p)
+    assert {min(len(x), 20) for x in gone} >= {3, 5, 12, 19, 20}
+    d = docs(rows)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: x.kept_places for i, x in got.items()} == {i: ",".join(map(str, keep[i])) for i, _ in rows}
+    out = {x.doc_id: x.text for x in stage(spark, d, str(tmp_path)).collect()}
+    for i, t in rows:
+        cut = (t or "").split("\n")
+        assert got[i].n_checked == sum(any(c.isalnum() for c in x) for x in cut)
+        want = "\n".join(x for p, x in enumerate(cut) if not any(c.isalnum() for c in x) or p in keep[i])
+        if t is not None and (want.strip(" ") or not t.strip(" ")):
+            assert out[i] == want
+
+
 def test_templates():
     toks, raw = canonical("Then Tom ate 3 apples in 5 min. He left.")
     assert toks == ["then", "<name>", "ate", "<num>", "apples", "in", "<num>", "<unit>", "he", "left"] and raw[1] == "tom"
