@@ -30,16 +30,33 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share (spark.checkpoint.dir). A local session without one gets a temporary folder; a cluster must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Rows of a few numbers that may be broadcast; larger sides are shuffled.
+SMALL = 200_000
+
+
+def small_side(written: DataFrame) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its counted rows are few, else as it is."""
+    return F.broadcast(written) if written.count() <= SMALL else written
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no more than the rest of its own stage."""
     spark = df.sparkSession

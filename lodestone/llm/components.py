@@ -5,22 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SMALL, materialize, small_side
+
+#: Edges of one node that one task may take; a node with more is dealt over several.
+SPLIT = 1 << 14
+
+
+def _salted(df: DataFrame, hubs: DataFrame, key: str, spread: str) -> DataFrame:
+    """df with the column slot: rows of a hub are dealt over its slots by a hash of `spread`, others have slot 0."""
+    out = df.join(hubs, key, "left")
+    return out.withColumn("slot", F.pmod(F.xxhash64(spread), F.coalesce("slots", F.lit(1)))).drop("slots")
+
+
+def _repeated(df: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+    """df with one row for each slot of its key."""
+    out = df.join(hubs, key, "left")
+    return out.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+
+
+def _hubs(df: DataFrame, key: str) -> DataFrame:
+    """(key, slots) of the keys that have more than SPLIT rows; at most 1 / SPLIT of df's number."""
+    many = df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT)
+    return small_side(materialize(many.select(key, F.ceil(F.col("rows") / SPLIT).cast("long").alias("slots"))))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every id in edges (a long, b long); root is the smallest id of its component.
 
     Each round takes the least label among neighbours and then the label's own label, so that rounds grow with the
-    logarithm of a component's width; every round is written to the shared folder. An edge list without rows gives none.
+    logarithm of a component's width; every round is written to the shared folder. Edges of a node, and nodes of a
+    label, beyond SPLIT are dealt over several tasks. An edge list without rows gives none; nulls are no nodes.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    both = materialize(both)
+    hubs = _hubs(both, "b")
+    split = hubs.limit(1).count() > 0
+    both = materialize(_salted(both, hubs, "b", "a")) if split else both
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = materialize(step.join(up, "root", "left").select("id", "was", F.least(F.col("root"), F.coalesce("up", "root")).alias("root")))
+        seen = labels.withColumnRenamed("id", "b")
+        near = (both.join(_repeated(seen, hubs, "b"), ["b", "slot"]) if split else both.join(seen, "b")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = materialize(labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        # A label that has a smaller one itself: one row for each such label, whatever the number of its nodes.
+        used = step.groupBy("root").agg(F.count("*").alias("rows"))
+        moved = used.join(step.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").where("up <> root")
+        moved = materialize(moved.select("root", "up", F.ceil(F.col("rows") / SPLIT).cast("long").alias("slots")))
+        n, most = moved.agg(F.count("*"), F.max("slots")).first()
+        if not n:
+            new = step
+        elif n <= SMALL:
+            new = step.join(F.broadcast(moved.select("root", "up")), "root", "left")
+        elif most == 1:
+            new = step.join(moved.select("root", "up"), "root", "left")
+        else:
+            held = _salted(step, moved.where("slots > 1").select("root", "slots"), "root", "id")
+            up = moved.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).select("root", "slot", "up")
+            new = held.join(up, ["root", "slot"], "left")
+        if n:
+            new = materialize(new.select("id", "was", F.coalesce("up", "root").alias("root")))
         changed = new.where(F.col("root") != F.col("was")).limit(1).count()
         labels = new.select("id", "root")
         if not changed:

@@ -1,8 +1,9 @@
 """N-gram Jaccard join: sets of word 4-grams in prefix trees.
 
 1. Each text becomes the set of 64-bit hashes of its distinct 4-grams; equal sets are one class.
-2. Hashes are dealt by value into buckets of bounded size, which count in how many classes each occurs. A class can
-   only link if 85 % of its set is shared with others, so the rest of the classes is done.
+2. Hashes are dealt by value into buckets of bounded size, which count in how many classes each occurs. N-grams that
+   very many texts have are found while the sets are made: they are taken as shared and dealt by class, so that no bucket
+   holds an entry for each class. A class can only link if 85 % of its set is shared with others, so the rest is done.
 3. The shared n-grams of the classes left are ordered by (frequency, hash). By the prefix bound two linked classes
    have a common n-gram among the first |x| - ceil(0.85 |x|) + 1 of each.
 4. Classes meet where they share such an n-gram. A meeting puts its sets into a prefix tree (frequent first, so that
@@ -34,6 +35,8 @@ from .words import U, mix, words
 
 #: N-grams of a counting bucket, of a map task's flush, and of a meeting's block.
 BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 1 << 19
+#: Classes of a step (1 MB of texts) that make an n-gram worth counting before the buckets, and the sum from which it is hot.
+OFTEN, HOT = 6, 1 << 16
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], U)  # up to 16 words
 
 
@@ -72,17 +75,31 @@ def signature(s: np.ndarray) -> int:
 
 
 def class_of(df: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles, and the class: the digest of the set (null for an empty one)."""
+    """doc_id, n_shingles, the class (the digest of the set; null for an empty one), and the n-grams that many texts of a step have, at its first row."""
 
     def run(ids, texts):
         sets = shingle_sets(texts, width)
-        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "cls": [signature(s) if len(s) else None for s in sets]}
+        distinct = {signature(s): s for s in sets if len(s)}
+        h, times = np.unique(np.concatenate([*distinct.values(), np.zeros(0, U)]), return_counts=True)
+        often = [{"h": int(x), "times": int(n)} for x, n in zip(h[times >= OFTEN].view(np.int64), times[times >= OFTEN], strict=True)]
+        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "cls": [signature(s) if len(s) else None for s in sets], "often": [often, *([None] * (len(ids) - 1))]}
 
-    return map_texts(df, run, "doc_id long, n_shingles long, cls long")
+    return map_texts(df, run, "doc_id long, n_shingles long, cls long, often array<struct<h:long,times:long>>")
 
 
-def shared(df: DataFrame, buckets: int, width: int = 4) -> DataFrame:
-    """(cls, n, h, df) of every n-gram that more than one class has, with the number of those classes."""
+def hot_grams(docs: DataFrame) -> dict[int, int]:
+    """The n-grams that stand in HOT texts or more, as counted from class_of's steps, and these counts: fewer than 1 / HOT of all n-grams."""
+    found = docs.select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.times").alias("times")).where(F.col("times") >= HOT)
+    return {r["h"]: r["times"] for r in found.collect()}
+
+
+def shared(df: DataFrame, buckets: int, width: int = 4, hot: dict[int, int] | None = None) -> DataFrame:
+    """(cls, n, h, df) of every n-gram that more than one class has, with the number of those classes.
+
+    Hot n-grams don't meet in a bucket: they count as shared, have the count they come with, and are dealt by class.
+    """
+    hot_h = np.array(sorted(hot or {}), np.int64)
+    hot_df = np.array([hot[h] for h in hot_h.tolist()], np.int64) if hot else np.zeros(0, np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -92,8 +109,11 @@ def shared(df: DataFrame, buckets: int, width: int = 4) -> DataFrame:
         def flush():
             order, docs = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
             b = ((order >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            if len(hot_h):
+                of_class = np.fromiter(names, np.int64, len(names))[docs] % buckets + buckets
+                b = np.where(np.isin(order.view(np.int64), hot_h), of_class, b)
             by = np.argsort(b, kind="stable")
-            at = np.arange(buckets + 1)
+            at = np.arange(2 * buckets + 1)
             cut = np.searchsorted(b[by], at)
             # within a bucket the n-grams stand by class: each class once, with its number of n-grams there
             pair, times = np.unique(b * len(held) + docs, return_counts=True)
@@ -120,6 +140,11 @@ def shared(df: DataFrame, buckets: int, width: int = 4) -> DataFrame:
         h, cls = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("h", "cls"))
         n, times = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("n", "times"))
         cls, n = np.repeat(cls, times), np.repeat(n, times)
+        if rows["bucket"].iloc[0] >= buckets:  # hot n-grams of some classes: each pair once
+            by = np.lexsort((h, cls))
+            first = np.append(True, (cls[by][1:] != cls[by][:-1]) | (h[by][1:] != h[by][:-1]))
+            h, cls, n = h[by][first], cls[by][first], n[by][first]
+            return pd.DataFrame({"cls": cls, "n": n, "h": h, "df": np.minimum(hot_df[np.searchsorted(hot_h, h)], np.iinfo(np.int32).max).astype(np.int32)})
         by = np.argsort(h, kind="stable")
         hs = h[by]
         same = hs[1:] == hs[:-1]
@@ -169,7 +194,8 @@ class Meeting:
     def insert(self, k: int) -> None:
         s, i, node = self.sets[k], 0, self.root
         while True:
-            del node[6:]  # what was known of its members' component
+            if len(node) > 6 and self.find(node[6]) != self.find(k):
+                del node[6:]  # its members are no longer of one component
             node[3] = max(node[3], len(s) - i)
             node[4] = min(node[4], self.sizes[k])
             if i == len(s):
@@ -188,15 +214,22 @@ class Meeting:
             i, node = i + j, child
 
     def uniform(self, node: list) -> int:
-        """The component of all members below a node, or -1 if there are several."""
+        """The component of all members below a node, or -1 if there are several. Components only grow, so what was found once holds."""
         r = self.find(node[5])
-        if len(node) > 6 and node[6] == r:
-            return r
-        if any(self.find(k) != r for k in node[2]) or any(self.uniform(c) != r for c in node[1].values()):
-            return -1
-        del node[6:]
-        node.append(r)
-        return r
+        todo: list[tuple[list, Iterator]] = []
+        here = node
+        while True:
+            if here is not None and not (len(here) > 6 and self.find(here[6]) == r):
+                if any(self.find(k) != r for k in here[2]):
+                    return -1
+                todo.append((here, iter(here[1].values())))
+            if not todo:
+                return r
+            here = next(todo[-1][1], None)
+            if here is None:
+                done = todo.pop()[0]
+                del done[6:]
+                done.append(r)
 
     def probe(self, k: int) -> None:
         """Links k to every component in the tree that has a set close enough."""
@@ -270,10 +303,10 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def links(df: DataFrame, total: int, percent: int = 85, width: int = 4) -> DataFrame:
+def links(df: DataFrame, total: int, percent: int = 85, width: int = 4, hot: dict[int, int] | None = None) -> DataFrame:
     """(a, b): links between classes that have the same components as all links."""
     exact = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
-    found = shared(df, max(1, -(-total // BUCKET)), width)
+    found = shared(df, max(1, -(-total // BUCKET)), width, hot)
     sets = found.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("toks")).where(F.size("toks") >= exact)
     sets = materialize(sets.select("cls", "n", F.col("toks.h").alias("toks"), (F.col("n") - exact + 1 - (F.col("n") - F.size("toks"))).alias("q")))
     # First meetings: at the first and at the last n-gram of the prefix, in blocks.
@@ -303,7 +336,7 @@ def ngram_join(df: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     docs = materialize(class_of(df, width))
     classes = docs.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(links(df, int(total), percent, width))
+    roots = components(links(df, int(total), percent, width, hot_grams(docs)))
     named = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = named.join(least, "root").select("cls", "component_id")

@@ -360,3 +360,41 @@ def test_edge_rows_have_results(spark, edge):
         assert f(edge).count() == edge.count()
         assert f(empty).count() == 0
     assert dedup_lines(empty).count() == 0
+
+
+def test_nested_sets_of_one_family(docs):
+    """Texts that each add a word: a deep tree, and one component."""
+    words = [f"w{k}" for k in range(2600)]
+    sets = [np.arange(600 + k) for k in range(2000)]
+    got = meet(list(range(2000)), sets, [len(s) for s in sets], list(range(2000)), [0] * 2000, 85)
+    root = list(range(2000))
+    for a, b in got:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if x == old else x for x in root]
+    assert set(root) == {0} and len(got) == 1999
+    texts = [" ".join(words[: 300 + k]) for k in range(120)]
+    assert {x.component_id for x in ngram_join(docs(list(enumerate(texts)))).collect()} == {0}
+
+
+def test_ngrams_that_most_texts_have(docs, monkeypatch):
+    import lodestone.llm.ngram_join as m
+
+    monkeypatch.setattr(m, "HOT", 20)
+    monkeypatch.setattr(m, "BUCKET", 60)
+    r = random.Random(21)
+    common = "all of these texts begin with one and the same passage of words"
+    texts = [common + " " + " ".join(f"x{r.randrange(30)}" for _ in range(r.choice([3, 40]))) for _ in range(70)]
+    texts += [t.replace("same", "other", 1) for t in texts[:20]] + texts[:10]
+    got = {x.doc_id: x.component_id for x in ngram_join(docs(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[0]
+
+
+def test_components_of_hubs_and_giants(spark, monkeypatch):
+    import lodestone.llm.components as m
+
+    monkeypatch.setattr(m, "SPLIT", 8)
+    for small in (0, 1000):
+        monkeypatch.setattr(m, "SMALL", small)
+        edges = [(500, i) for i in range(100, 160)] + [(i, i + 1) for i in range(160, 200)] + [(160, 159), (3, 500), (900, 901)]
+        got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got.pop(900) == got.pop(901) == 900 and set(got.values()) == {3} and len(got) == 103
