@@ -1,6 +1,7 @@
 """Language identification by cross-parsing: suffix automata of labelled text, greedy longest matches, phrase counts.
 
-For each language a suffix automaton holds a bounded sample of training text. A document is cut into pieces of 256
+For each language a suffix automaton holds a bounded sample of training text, over all letters that any sample has; its
+moves are stored sparsely. A document is cut into pieces of 256
 letters and spaces, and each piece is parsed into the fewest longest matches (phrases) of that automaton; all pieces
 of a batch advance together, one table lookup per character. A language's count is divided by the phrases per
 character that its own training text takes; the smallest ratio wins.
@@ -12,6 +13,8 @@ ignored, and lang is read for training only.
 
 from __future__ import annotations
 
+import random
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import fold, map_texts
 
 PIECE = 256
+#: Places that a state tries before it goes behind all others.
+TRIES = 64
 FLAG, MASK = np.int32(1 << 28), np.int32((1 << 28) - 1)
 
 
@@ -29,12 +34,68 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """A table [states + 1, alphabet + 1]: the next state, or for a missing move the state after a new phrase, with FLAG.
+@dataclass
+class Automaton:
+    """Sparse moves: those of state s stand in shared rows at base[s] + code, where owner says whose they are.
 
-    The last state stands outside any phrase: at the start, and after a symbol that the sample lacks, which is a phrase
-    of its own. The last symbol is filling and keeps the state. Separators (-1) end one text: the next one starts anew.
+    A missing move leads to root[code], with FLAG: a new phrase. The last state stands outside any phrase: at the start,
+    and after a symbol that the sample lacks, which is a phrase of its own.
     """
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    root: np.ndarray
+
+    def phrases(self, pieces: np.ndarray) -> np.ndarray:
+        """Phrases of each column of pieces [places, columns]; the last code is filling."""
+        state = np.full(pieces.shape[1], len(self.base) - 1, np.int32)
+        count = np.zeros(pieces.shape[1], np.int32)
+        for row in pieces:
+            at = self.base[state] + row
+            v = np.where(self.owner[at] == state, self.target[at], self.root[row])
+            count += v >= FLAG
+            state = v & MASK
+        return count
+
+
+def packed(moves: list[dict[int, int]], alphabet: int) -> Automaton:
+    """Lays the states' moves into one row without overlap, states of many moves first."""
+    n = len(moves)
+    owner, target = [-1] * (alphabet + 1), [0] * (alphabet + 1)
+    r = random.Random(n)
+    base, first = [0] * (n + 1), alphabet  # no move stands below `first`, so that every place can serve every code
+    for s in sorted(range(n), key=lambda s: -len(moves[s])):
+        codes = sorted(moves[s])
+        if not codes:
+            break
+        while first < len(owner) and owner[first] >= 0:
+            first += 1
+        b = first - codes[0]
+        for k in range(TRIES):
+            if all(b + c >= len(owner) or owner[b + c] < 0 for c in codes):
+                break
+            b = b + 1 if k < TRIES // 2 else r.randrange(max(first - codes[0], 0), len(owner))
+        else:
+            b = len(owner) - codes[0]  # behind all others
+        if b + codes[-1] >= len(owner):
+            more = b + codes[-1] + 1 - len(owner)
+            owner += [-1] * more
+            target += [0] * more
+        for c in codes:
+            owner[b + c], target[b + c] = s, moves[s][c]
+        base[s] = b
+    owner += [-1] * (alphabet + 1)
+    target += [0] * (alphabet + 1)
+    root = np.full(alphabet + 1, n, np.int32)
+    for c, s in moves[0].items():
+        root[c] = s
+    root[:alphabet] |= FLAG
+    return Automaton(np.array(base, np.int32), np.array(owner, np.int32), np.array(target, np.int32), root)
+
+
+def suffix_automaton(symbols: list[int], alphabet: int) -> Automaton:
+    """The automaton of all substrings of the texts in symbols; separators (-1) end one text, and the next one starts anew."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -79,38 +140,28 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     nxt[p][c] = clone
                     p = link[p]
         last = cur
-    outside = len(nxt)
-    root = np.full(alphabet, outside, np.int32)
-    for c, s in nxt[0].items():
-        root[c] = s
-    out = np.empty((outside + 1, alphabet + 1), np.int32)
-    out[:, :alphabet] = root | FLAG
-    out[:, alphabet] = np.arange(outside + 1)
-    for s, moves in enumerate(nxt):
-        for c, to in moves.items():
-            out[s, c] = to
-    return out
+    return packed(nxt, alphabet)
 
 
 class Parser:
-    """The automata of all languages, and the code of each character: letters of the sample, one for other letters, and the space for all else."""
+    """The automata of all languages, and the code of each character: the letters of all samples, one for other letters, and the space for all else."""
 
     def __init__(self, letters: str):
         self.letters, self.alphabet = letters, len(letters) + 2
         self.langs: list[str] = []
-        self.tables: list[np.ndarray] = []
+        self.tables: list[Automaton] = []
         self.rates: list[float] = []
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
         is_letter = _letters()[points]
-        code = np.where(is_letter, self._lut()[points], 0).astype(np.uint8)
+        code = np.where(is_letter, self._lut()[points], 0)
         keep = (code > 0) | (np.diff(code, prepend=1) != 0)  # one space for a run of others
         return code[keep], bool(is_letter.any())
 
     def _lut(self) -> np.ndarray:
         if getattr(self, "_table", None) is None:
-            self._table = np.full(0x110000, self.alphabet - 1, np.uint8)
+            self._table = np.full(0x110000, self.alphabet - 1, np.int32)
             for k, c in enumerate(self.letters):
                 self._table[ord(c)] = k + 1
         return self._table
@@ -118,17 +169,6 @@ class Parser:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
-    def phrases(self, table: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-        """Phrases of each row of pieces [places, rows]."""
-        flat, width = table.ravel(), np.int32(table.shape[1])
-        state = np.full(pieces.shape[1], len(table) - 1, np.int32)
-        count = np.zeros(pieces.shape[1], np.int32)
-        for row in pieces:
-            v = flat[state * width + row]
-            count += v >= FLAG
-            state = v & MASK
-        return count
-
     def pieces(self, coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All pieces as columns, filled up, and the text each belongs to."""
         n = [max(1, -(-len(c) // PIECE)) for c in coded]
@@ -143,35 +183,37 @@ class Parser:
         """Phrases for each text and language, divided by what the language's own text takes at that length."""
         pieces, owner = self.pieces(coded)
         size = np.maximum([len(c) for c in coded], 1)
-        return np.stack([np.bincount(owner, self.phrases(t, pieces), len(coded)) / size / r for t, r in zip(self.tables, self.rates, strict=True)], 1)
+        return np.stack([np.bincount(owner, t.phrases(pieces), len(coded)) / size / r for t, r in zip(self.tables, self.rates, strict=True)], 1)
 
 
 def _joined(texts: list[np.ndarray]) -> list[int]:
     return [x for t in texts for x in (*t.tolist(), -1)]
 
 
-def train_languages(df: DataFrame, texts_per_language: int = 100, chars_per_language: int = 24000, max_languages: int = 64) -> Parser:
-    """Fits the automata on at most texts_per_language whole texts (by a hash of the id) and chars_per_language characters of each language.
+def train_languages(df: DataFrame, texts_per_language: int = 100, chars_per_language: int = 24000) -> Parser:
+    """Fits the automata on at most texts_per_language texts (by a hash of the id) of each language, and on at most chars_per_language characters of these.
+
+    All languages and all letters of the samples take part. An automaton has at most 2 * chars_per_language states (about
+    a megabyte), so the model grows with the number of languages, not with the corpus.
 
     Pieces of the sample that another language's half sample parses better (as in texts of two languages) are left out.
     """
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= texts_per_language).select("doc_id")
-    ids = ids.distinct().limit(texts_per_language * max_languages)
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")  # bounded by the two parameters
+    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")  # texts_per_language for each language
     by: dict[str, list[str]] = {}
     for r in sample.toLocalIterator():
         held = by.setdefault(r["lang"], [])
         if sum(map(len, held)) < 4 * chars_per_language:
-            held.append(r["text"][: 4 * chars_per_language])
+            held.append(r["text"][: 4 * chars_per_language])  # more of one text can't be among the characters taken
     letters: dict[str, int] = {}
     for texts in by.values():
         for t in texts:
             for c in t.lower():
                 if c.isalpha():
                     letters[c] = letters.get(c, 0) + 1
-    parser = Parser("".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[:80])))
+    parser = Parser("".join(sorted(letters)))
     pieces: dict[str, list[np.ndarray]] = {}
     for lang in sorted(by):
         # Short pieces of many texts rather than a few long texts.
@@ -196,8 +238,8 @@ def _fit(parser: Parser, pieces: dict[str, list[np.ndarray]], chars: int, part:
         parser.langs.append(lang)
         parser.tables.append(suffix_automaton(_joined(own), parser.alphabet))
         parser.rates.append(1.0)
-        got, owner = parser.pieces(rest or [np.zeros(1, np.uint8)])
-        parser.rates[-1] = float(np.median(parser.phrases(parser.tables[-1], got) / np.maximum([len(p) for p in rest] or [1], 1)))
+        got, owner = parser.pieces(rest or [np.zeros(1, np.int32)])
+        parser.rates[-1] = float(np.median(parser.tables[-1].phrases(got) / np.maximum([len(p) for p in rest] or [1], 1)))
 
 
 def _cleaned(parser: Parser, pieces: dict, kept: dict, chars: int) -> dict[str, list[np.ndarray]]:

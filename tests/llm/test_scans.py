@@ -130,13 +130,11 @@ def test_automaton_counts_phrases():
 
     r = random.Random(5)
     sample = [r.randint(0, 3) for _ in range(300)]
-    table = suffix_automaton(sample, 5)
+    automaton = suffix_automaton(sample, 5)
     word = "".join(map(str, sample))
-    from lodestone.llm.language_id import Parser
-
     for _ in range(30):
         text = [r.randint(0, 4) for _ in range(80)]
-        got = Parser("").phrases(table, np.array(text, np.int32)[:, None])[0]
+        got = automaton.phrases(np.array(text, np.int32)[:, None])[0]
         assert got == greedy("".join(map(str, text)), word)
 
 
@@ -151,6 +149,32 @@ def test_language_held_out(docs):
     assert {x.doc_id: x.lang_pred for x in out if x.doc_id >= 900} == {900: "und", 901: "und", 902: "und"}
 
 
+def test_scripts_of_many_letters(docs):
+    """Three scripts of 2,500 letters each, and a brute-force decision on the same phrase counts."""
+    r = random.Random(16)
+    scripts = {"aa": 0x4E00, "bb": 0x5A00, "cc": 0xAC00}
+    rows = [(i, " ".join("".join(chr(scripts[k] + min(2499, int(r.expovariate(1 / 500)))) for _ in range(3)) for _ in range(60)), k) for i in range(300) for k in [list(scripts)[i % 3]]]
+    d = docs(rows)
+    parser = train_languages(d)
+    out = language_id(d, parser).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert out and sum(x.lang == x.lang_pred for x in out) / len(out) >= 0.95
+    texts = dict((i, t) for i, t, _ in rows)
+    for x in out[:10]:
+        code = parser.codes(texts[x.doc_id])[0]
+        ratios = []
+        for automaton, rate in zip(parser.tables, parser.rates):
+            n = 0
+            for piece in (code[k : k + 256] for k in range(0, len(code), 256)):
+                state = len(automaton.base) - 1
+                for c in piece.tolist():
+                    at = automaton.base[state] + c
+                    v = automaton.target[at] if automaton.owner[at] == state else automaton.root[c]
+                    n, state = n + (v >= 1 << 28), v & ((1 << 28) - 1)
+            ratios.append(n / len(code) / rate)
+        best = min(range(3), key=lambda k: ratios[k])
+        assert x.lang_pred == parser.langs[best] and abs(x.phrase_ratio - ratios[best]) < 1e-9
+
+
 def test_quality_base_against_brute_force(docs):
     r = random.Random(7)
     space = re.compile(r"[^\x20\x09-\x0D]+")
