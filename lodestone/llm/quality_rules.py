@@ -59,26 +59,25 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(df: DataFrame) -> DataFrame:
     """doc_id and the statistics of each text."""
-    kept = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))
-    trimmed = F.regexp_replace("t", f"^{SPACE}|{SPACE}\\z", "")
+    count = lambda pattern: F.regexp_count("t", F.lit(pattern))
     cut = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select(
         "doc_id",
         "t",
-        F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE, -1)).otherwise(F.array().cast("array<string>")).alias("words"),
+        F.filter(F.split("t", SPACE, -1), lambda x: x != "").alias("words"),  # blanks at the ends leave empty pieces
         F.filter(F.split("t", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
     )
     stats = cut.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        kept("[^#*$%&|<>]+").cast("long").alias("n_symbols"),
+        count("[#*$%&|<>]").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        kept("[^A-Z]+").cast("long").alias("n_upper"),
-        kept("[^0-9]+").cast("long").alias("n_digits"),
-        kept("[^!?#*$%&|<>@~^_=+]+").cast("long").alias("n_marks"),
+        count("[A-Z]").cast("long").alias("n_upper"),
+        count("[0-9]").cast("long").alias("n_digits"),
+        count("[!?#*$%&|<>@~^_=+]").cast("long").alias("n_marks"),
     )
     return stats.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
