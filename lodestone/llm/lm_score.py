@@ -1,37 +1,44 @@
-"""Language-model scores: a hierarchical Pitman-Yor model of word trigrams, beside an add-one unigram base.
-
-Counts of all training words are one table (hash, count) that grows with the corpus. The words of the largest counts
-get numbers: at most `hot` (131,072) of them have their counts in every task, and the `vocabulary` (512) most frequent
-ones have restaurants of their own; all other words are one dish, RARE, in these, and are told apart by a further
-restaurant over all of them. Restaurants are opened for each of the 513 dishes as the word before, and below these
-for the `contexts` (2,048) most frequent pairs before; every table of a restaurant is a customer of its parent's (the
-pair's of its last word's, that one's of the unigram restaurant, which has a uniform base). Tables are sampled by
-Gibbs sweeps over all dishes, and predictive probabilities are averaged over the sweeps after burn-in. These
-statistics are bounded by the parameters ((vocabulary + 1)^2 and contexts * (vocabulary + 1) counts), so they are
-sampled in one place; counting, and scoring of every text, run on all data in tasks. A word outside the hot ones is
-looked up by a join on its hash.
-
-Edge cases: a null text is an empty one: its one token is the end; a null doc_id belongs to the held-out fold's
-complement; without training rows every count is 0 and both models are uniform; other columns are ignored.
+"""Language-model scores: a hierarchical Pitman-Yor model of word pairs, beside an add-one unigram base.
+
+Every word of the training texts is a context and has a restaurant, whose dishes are the words behind it; all of them
+share one parent, the restaurant of all words, over a uniform base. A table of a context's restaurant is a customer of
+the parent's. Nothing has a fixed size: words, contexts and pairs are counted over all training texts, and the tables
+that hold them are dealt over shards whose number grows with the texts.
+
+1. Words are counted. Texts' pairs are counted once per flush and dealt by context, and each shard sums its restaurants.
+   Contexts with more than SHARD customers are dealt by context and word; at most HOT of them exist.
+2. A dish of one customer has one table. The tables of the others are drawn by Gibbs sweeps inside their shard, given the
+   parent's probability of each dish; the tables' sums go to the words' shards as customers of the parent, which is
+   sampled likewise and answers with new probabilities. Both levels take turns for `rounds`; means are over the sweeps
+   after burn-in. Each shard sees the others' tables as of the round before. Discounts follow from the numbers of dishes
+   with one and two customers.
+3. Texts are grouped into packs. A pack asks the shards for its distinct words and pairs, and gets back, in the same
+   order, counts and predictive terms; the text's score is the sum over its tokens.
+
+Words of contexts are told apart by 48 bits of their hash, words themselves by 64. Edge cases: a null text is an empty
+one: its one token is the end; a null doc_id counts as fold 0; without training rows every count is 0 and both models are
+uniform; repeated rows are answered each on its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, materialize, steps
-from .pitman_yor import flat_tables, hierarchy
-from .words import END, U, words
+from .common import fold, materialize, steps
+from .pitman_yor import sweep
+from .words import END, U, mix, words
 
-DISCOUNT = 0.7
-FLUSH = 1 << 20
-TABLED = 1024
+#: Tokens of a flush or pack, training tokens of a shard, and the largest number of contexts that are split.
+PACK, SHARD, HOT = 1 << 20, 1 << 20, 1 << 16
+ROW = "key long, kind int, src long, a binary, b binary, c binary, x double, y double"
+WORDS, SINGLES, ASKED, MODEL, PARENT, PRIOR, TABLES, SEATED, ASK_WORDS, ASK_PAIRS = range(10)
+STRENGTH, SWEEPS, BURN = 1.0, 6, 2
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,204 +48,448 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(doc, at, np.arange(len(texts))), np.insert(h, at, END)
 
 
+def _many_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of any number of texts, with little memory beside the result."""
+    docs, hs, first = [np.zeros(0, np.int64)], [np.zeros(0, U)], 0
+    for _, some in steps(texts, texts):
+        doc, h = tokens(some)
+        docs.append(doc + first)
+        hs.append(h)
+        first += len(some)
+    return np.concatenate(docs), np.concatenate(hs)
+
+
 def _text_only(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document index and hash of the tokens of about PACK tokens of texts at a time."""
+    held, size, first = [], 0, 0
+    for batch in batches:
+        for _, texts in steps([None] * batch.num_rows, batch.column(0).to_pylist()):
+            doc, h = tokens(texts)
+            held.append((doc + first, h))
+            first, size = first + len(texts), size + len(h)
+            if size >= PACK:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size, first = [], 0, 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def count_words(df: DataFrame) -> DataFrame:
     """(h, c): the hash of each token (as a long) and its count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def run(batches):
+        for _, h in _flushes(batches):
+            h, c = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    return _text_only(df).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-        for batch in batches:
-            for _, texts in steps([None] * batch.num_rows, batch.column(0).to_pylist()):
-                held.append(tokens(texts)[1])
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+class Rows:
+    """Rows of ROW, as a batch or a pandas frame."""
 
-    return _text_only(df).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in range(8)]
 
+    def add(self, key: int, kind: int, src: int, a: bytes = b"", b: bytes = b"", c: bytes = b"", x: float = 0.0, y: float = 0.0) -> None:
+        for column, value in zip(self.columns, (int(key), kind, int(src), a, b, c, float(x), float(y)), strict=True):
+            column.append(value)
 
-def count_codes(df: DataFrame, code, size: int) -> DataFrame:
-    """(code, c): counts of the codes below size that code(doc, hashes) gives for some tokens (negative ones are left out)."""
+    def batch(self) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, types, strict=True)], [x.split()[0] for x in ROW.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for _, texts in steps([None] * batch.num_rows, batch.column(0).to_pylist()):
-                c = code(*tokens(texts))
-                total += np.bincount(c[c >= 0], minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["code", "c"])
+    def frame(self) -> pd.DataFrame:
+        return self.batch().to_pandas()
 
-    return _text_only(df).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> U(16)
 
-def _dense(df: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    got = df.toArrow()  # at most `size` rows
-    out[got.column("code").to_numpy()] = got.column("c").to_numpy()
-    return out
 
+def _put48(w: np.ndarray) -> bytes:
+    return (w >> U(16)).astype(np.uint32).tobytes() + (w & U(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _get48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(U) << U(16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(U)
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a 64-bit hash, in the hash's order."""
+    return ((h >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+
+
+def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of each run of an ordered array."""
+    cut = np.searchsorted(shard, np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        yield k, int(cut[k]), int(cut[k + 1])
+
+
+class Pairs:
+    """The distinct words of some texts and their distinct pairs, ordered by the shard that holds them."""
+
+    def __init__(self, doc: np.ndarray, h: np.ndarray, shards: int, hot: np.ndarray, parts: np.ndarray):
+        self.words, ids = np.unique(h, return_inverse=True)
+        before = np.full(len(h), np.searchsorted(self.words, END), np.int64)
+        before[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], before[1:])
+        pair, inverse, times = np.unique(before << 32 | ids, return_inverse=True, return_counts=True)
+        v, w = pair >> 32, pair & 0xFFFFFFFF
+        shard = _shard(self.words, shards)[v]
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, self.words), len(hot) - 1)
+            n = np.where(hot[at] == self.words, parts[at], 1)[v]
+            some = np.flatnonzero(n > 1)
+            part = (_short(self.words[w[some]]) % n[some].astype(U)).astype(U)
+            with np.errstate(over="ignore"):
+                shard[some] = _shard(mix(self.words[v[some]] + part * U(0x9E3779B97F4A7C15)), shards)
+        self.by = np.argsort(shard, kind="stable")
+        self.v, self.w, self.times, self.shard = v[self.by], w[self.by], times[self.by], shard[self.by]
+        self.ids, self.before, self.inverse = ids, before, inverse
 
-def _previous(doc: np.ndarray, ids: np.ndarray, end: int, back: int) -> np.ndarray:
-    """The number of the token `back` places before; the end before a text's first."""
-    out = np.full(len(ids), end, np.int64)
-    out[back:] = np.where(doc[back:] == doc[:-back], ids[:-back], end) if len(ids) > back else out[back:]
+    def segments(self, shards: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(shard, from, to, contexts, pairs of each context)."""
+        for k, a, b in _dealt(self.shard, shards):
+            v = self.v[a:b]
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            yield k, a, b, self.words[v[first]], np.diff(np.append(first, b - a)).astype(np.uint32)
+
+
+def _grouped(df: DataFrame, f) -> DataFrame:
+    return df.groupBy("key").applyInPandas(f, ROW)
+
+
+def _of(rows: pd.DataFrame, kind: int) -> pd.DataFrame:
+    return rows[rows["kind"] == kind]
+
+
+def word_rows(counts: DataFrame, shards: int) -> DataFrame:
+    """WORDS rows: a shard's words and counts, in pieces."""
+
+    def run(batches):
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()
+            by = np.argsort(h)
+            h, c, out = h[by], c[by], Rows()
+            for k, a, b in _dealt(_shard(h, shards), shards):
+                out.add(k, WORDS, 0, h[a:b].tobytes(), c[a:b].tobytes())
+            yield out.batch()
+
+    return counts.select("h", "c").mapInArrow(run, ROW)
+
+
+def _words(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = _of(rows, WORDS)
+    h, c = np.frombuffer(b"".join(rows["a"]), U), np.frombuffer(b"".join(rows["b"]), np.int64)
+    by = np.argsort(h)
+    return h[by], c[by]
+
+
+def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """MODEL (a shard's contexts with their dishes of one customer, and the other dishes), SINGLES (the former, by word) and ASKED (the words whose probabilities the shard needs)."""
+
+    def deal(batches):
+        for doc, h in _flushes(batches):
+            p, out = Pairs(doc, h, shards, hot, parts), Rows()
+            short = _short(p.words)
+            for k, a, b, v, n in p.segments(shards):
+                out.add(k, MODEL, 0, v.tobytes() + n.tobytes(), _put48(short[p.w[a:b]]), p.times[a:b].astype(np.uint32).tobytes())
+            yield out.batch()
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        v, w, c = [], [], []
+        for a, b, t in zip(rows["a"], rows["b"], rows["c"], strict=True):
+            k = len(a) // 12
+            v.append(np.repeat(np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k)))
+            w.append(_get48(b))
+            c.append(np.frombuffer(t, np.uint32))
+        v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c).astype(np.int64)
+        by = np.lexsort((w, v))
+        v, w = v[by], w[by]
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        v, w, c = v[first], w[first], np.add.reduceat(c[by], first)
+        one, out = c == 1, Rows()
+        contexts, room = np.unique(v, return_inverse=True)
+        singles = np.bincount(room[one], minlength=len(contexts)).astype(np.uint32)
+        more = np.bincount(room[~one], minlength=len(contexts)).astype(np.uint32)
+        out.add(rows["key"].iloc[0], MODEL, 0, contexts.tobytes() + singles.tobytes() + more.tobytes(), _put48(w[~one]), c[~one].astype(np.uint32).tobytes(), one.sum(), (c == 2).sum())
+        # Dishes of one customer are found again among the pairs that are asked for: kept as words, by context.
+        out.add(rows["key"].iloc[0], SINGLES + 100, 0, _put48(w[one]))
+        for kind, some in ((SINGLES, w[one]), (ASKED, w[~one])):
+            u, n = np.unique(some, return_counts=True)
+            for k, a, b in _dealt(_shard(u << U(16), shards), shards):
+                out.add(k, kind, rows["key"].iloc[0], _put48(u[a:b]), n[a:b].astype(np.uint32).tobytes())
+        return out.frame()
+
+    return _grouped(_text_only(train).mapInArrow(deal, ROW), count)
+
+
+def parents(rows: DataFrame, vocabulary: int, total: float, d: float, seed: int) -> DataFrame:
+    """PARENT rows: customers and mean tables of a shard's words in the restaurant of all words. total: its tables before."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h, _ = _words(rows)
+        short, c = _short(h), np.zeros(len(h))
+        asked = {}
+        for src, a, n in _of(rows, ASKED)[["src", "a", "b"]].itertuples(index=False):
+            asked[src] = np.searchsorted(short, _get48(a)), np.frombuffer(n, np.uint32)
+        for a, n in _of(rows, SINGLES)[["a", "b"]].itertuples(index=False):
+            np.add.at(c, np.searchsorted(short, _get48(a)), np.frombuffer(n, np.uint32))
+        seated = dict(_of(rows, TABLES)[["src", "a"]].itertuples(index=False))
+        for src, (at, n) in asked.items():  # before the first round each dish has one table
+            np.add.at(c, at, np.frombuffer(seated[src], np.float32) if src in seated else n)
+        c = np.round(c).astype(np.int64)
+        fixed = np.array([max(0.0, total - min(total, (c > 0).sum()))])
+        r = np.random.default_rng([seed, int(rows["key"].iloc[0])])
+        mean, _ = sweep(np.zeros(len(c), np.int64), 1, c, fixed, np.full(len(c), 1 / (vocabulary + 1)), d, STRENGTH, r, SWEEPS, BURN)
+        out = Rows()
+        out.add(rows["key"].iloc[0], PARENT, 0, c.tobytes(), mean.astype(np.float32).tobytes(), b"", c.sum(), mean.sum())
+        return out.frame()
+
+    return _grouped(rows, run)
+
+
+class Parent:
+    """Predictive probabilities of the restaurant of all words."""
+
+    def __init__(self, vocabulary: int, customers: float, tables: float, d: float):
+        self.back = (STRENGTH + d * tables) / (vocabulary + 1)
+        self.all, self.d = STRENGTH + customers, d
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (c - self.d * t + self.back) / self.all
+
+
+def _parent_of(rows: pd.DataFrame, parent: Parent) -> np.ndarray:
+    one = _of(rows, PARENT)
+    if not len(one):
+        return np.zeros(0)
+    return parent(np.frombuffer(one["a"].iloc[0], np.int64), np.frombuffer(one["b"].iloc[0], np.float32))
+
+
+def priors(rows: DataFrame, parent: Parent) -> DataFrame:
+    """PRIOR rows: the parent's probabilities of the words that a shard asked for, in its order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h, _ = _words(rows)
+        p, out = _parent_of(rows, parent), Rows()
+        short = _short(h)
+        for src, a in _of(rows, ASKED)[["src", "a"]].itertuples(index=False):
+            out.add(src, PRIOR, rows["key"].iloc[0], p[np.searchsorted(short, _get48(a))].astype(np.float64).tobytes())
+        return out.frame()
+
+    return _grouped(rows, run)
+
+
+def _model(rows: pd.DataFrame):
+    """(contexts, dishes of one customer and others by context, the latter's words and customers) of a shard."""
+    row = _of(rows, MODEL).iloc[0]
+    k = len(row["a"]) // 16
+    contexts = np.frombuffer(row["a"], U, k)
+    singles, more = np.frombuffer(row["a"], np.uint32, 2 * k, 8 * k).reshape(2, k).astype(np.int64)
+    return contexts, singles, more, _get48(row["b"]), np.frombuffer(row["c"], np.uint32).astype(np.int64)
+
+
+def seatings(rows: DataFrame, shards: int, d: float, hot: np.ndarray, elsewhere: np.ndarray, seed: int) -> DataFrame:
+    """TABLES (tables by word, for the words' shards) and SEATED (mean tables of each dish; of split contexts also their sum). elsewhere: tables of split contexts in all shards."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(_of(rows, MODEL)):
+            return Rows().frame()
+        key = int(rows["key"].iloc[0])
+        contexts, singles, more, w, c = _model(rows)
+        asked, at = np.unique(w, return_inverse=True)
+        prior = _of(rows, PRIOR).sort_values("src")  # shards follow the words' order
+        p0 = np.frombuffer(b"".join(prior["a"]), np.float64)[at] if len(w) else np.zeros(0)
+        room = np.repeat(np.arange(len(contexts)), more)
+        fixed = singles.astype(float)
+        split = np.flatnonzero(np.isin(contexts, hot)) if len(hot) else np.zeros(0, np.int64)
+        if len(split):
+            fixed[split] += np.maximum(elsewhere[np.searchsorted(hot, contexts[split])] - singles[split] - more[split], 0)
+        mean, last = sweep(room, len(contexts), c, fixed, p0, d, STRENGTH, np.random.default_rng([seed, key]), SWEEPS, BURN)
+        out, sums = Rows(), np.bincount(at, last, len(asked)).astype(np.float32)
+        for k, a, b in _dealt(_shard(asked << U(16), shards), shards):
+            out.add(k, TABLES, key, sums[a:b].tobytes())
+        tables = singles + np.bincount(room, mean, len(contexts))
+        out.add(key, SEATED, 0, mean.astype(np.float32).tobytes(), contexts[split].tobytes(), tables[split].tobytes())
+        return out.frame()
+
+    return _grouped(rows, run)
+
+
+def _split_tables(seated: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """The tables of each split context over all shards; one small row for each shard that has any."""
+    out = np.zeros(len(hot))
+    for r in seated.where((F.col("kind") == SEATED) & (F.length("b") > 0)).select("b", "c").toLocalIterator():
+        np.add.at(out, np.searchsorted(hot, np.frombuffer(r["b"], U)), np.frombuffer(r["c"], np.float64))
     return out
 
 
-@dataclass
 class PitmanYorModel:
-    hashes: np.ndarray  # of the hot words, sorted
-    counts: np.ndarray
-    numbers: np.ndarray  # 1.. for the vocabulary, 0 (RARE) for other hot words
-    end: int
-    opened: np.ndarray  # by pair of numbers: the context's place, or -1
-    log2: np.ndarray
-    log3: np.ndarray
-    tables: np.ndarray  # mean tables by count, up to TABLED
-    added: float
-    total: float
-    n: int
-    v: int
-
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1 if not hot) and number of each token."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        return np.where(hit, self.counts[at], -1), np.where(hit, self.numbers[at], 0)
-
-    def rare(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the probability of a rare word that has c customers, given RARE."""
-        t = np.where(c <= TABLED, self.tables[np.minimum(c, TABLED)], self.tables[TABLED] * (np.maximum(c, 1) / TABLED) ** DISCOUNT)
-        return np.log10((c - DISCOUNT * t + self.added) / self.total)
-
-    def rare_column(self, c: Column) -> Column:
-        table = F.array(*(F.lit(float(x)) for x in self.tables))
-        t = F.when(c <= TABLED, F.get(table, F.least(c, F.lit(TABLED)).cast("int"))).otherwise(float(self.tables[TABLED]) * F.pow(c / float(TABLED), F.lit(DISCOUNT)))
-        return F.log10((c - DISCOUNT * t + self.added) / self.total)
-
-
-def _numbers(hashes: np.ndarray, numbers: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(hashes):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return np.where(hashes[at] == h, numbers[at], 0)
-
-
-def train_lm(train: DataFrame, counts: DataFrame, hot: int = 1 << 17, vocabulary: int = 512, contexts: int = 2048) -> PitmanYorModel:
-    """counts: count_words(train), written."""
-    # The counts' own counts, exact below 4096 and by steps of 1/64 of a doubling above: a bounded number of rows.
-    step = F.when(F.col("c") < 4096, F.col("c").cast("double")).otherwise(F.floor(F.log2("c") * 64) + 4096 - 12 * 64)
-    spread = sorted((r[1], r[2], r[3]) for r in counts.groupBy(step).agg(F.min("c"), F.count("*"), F.sum("c")).collect())
-    n, v = sum(x[2] for x in spread), sum(x[1] for x in spread)
-    least, held = 1 << 62, 0
-    for c, k, _ in reversed(spread):
-        if held + k > hot:
-            break
-        least, held = c, held + k
-    top = counts.where(F.col("c") >= least).toArrow()  # at most `hot` rows
-    h, c = top.column("h").to_numpy().view(U), top.column("c").to_numpy()
-    by = np.argsort(h)
-    h, c = h[by].copy(), c[by].copy()
-    numbers = np.zeros(len(h), np.int64)
-    first = np.lexsort((h, -c))[:vocabulary]
-    numbers[first] = np.arange(1, len(first) + 1)
-    own = numbers > 0
-    own_h, own_n = h[own], numbers[own]
-    size = vocabulary + 1
-    end = int(_numbers(own_h, own_n, np.array([END]))[0])
-
-    def pairs(doc, hs):
-        ids = _numbers(own_h, own_n, hs)
-        return _previous(doc, ids, end, 1) * size + ids
-
-    bigrams = _dense(count_codes(train, pairs, size * size), size * size)
-    order = np.argsort(-bigrams, kind="stable")[:contexts]
-    order = order[(bigrams[order] > 1) & (order % size != end)]
-    opened = np.full(size * size, -1, np.int64)
-    opened[order] = np.arange(len(order))
-
-    def triples(doc, hs):
-        ids = _numbers(own_h, own_n, hs)
-        place = opened[_previous(doc, ids, end, 2) * size + _previous(doc, ids, end, 1)]
-        return np.where(place >= 0, place * size + ids, -1)
-
-    trigrams = _dense(count_codes(train, triples, max(1, len(order)) * size), max(1, len(order)) * size).reshape(-1, size)[: len(order)]
-    p2, p3 = hierarchy(bigrams.reshape(size, size), trigrams, order % size)
-    # The restaurant of the rare words, from the counts' counts without the vocabulary's.
-    times, dishes = np.array([x[2] / x[1] for x in spread]).round().astype(np.int64), np.array([x[1] for x in spread], np.int64)
-    for k in c[own]:
-        dishes[max(0, np.searchsorted([x[0] for x in spread], k, "right") - 1)] -= 1
-    times, dishes = times[dishes > 0], dishes[dishes > 0]
-    mean, added, total = flat_tables(times, dishes, int(dishes.sum()), DISCOUNT)
-    grid = np.arange(TABLED + 1)
-    tables = np.interp(grid, np.concatenate([[0], times]), np.concatenate([[0.0], mean])) if len(times) else np.minimum(grid, 1).astype(float)
-    return PitmanYorModel(h, c, numbers, end, opened, np.log10(p2).astype(np.float32), np.log10(p3).astype(np.float32), tables, added, total, int(n), int(v))
-
-
-def lm_score(df: DataFrame, train: DataFrame | None = None, **sizes) -> DataFrame:
+    """The written tables of a model, and the few numbers that all tasks need."""
+
+    def __init__(self, train: DataFrame, rounds: int = 2, seed: int = 17):
+        self.counts = materialize(count_words(train))
+        n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.n, self.v = int(n), int(v)
+        self.shards = max(1, -(-self.n // SHARD))
+        top = self.counts.where(F.col("c") > SHARD).orderBy(F.col("c").desc(), "h").limit(HOT).collect()
+        h, c = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["c"] for r in top], np.int64)
+        by = np.argsort(h)
+        self.hot, self.hot_c = h[by], c[by]
+        self.parts = -(-self.hot_c // SHARD)
+        self.words = materialize(word_rows(self.counts, self.shards))
+        found = materialize(restaurants(train, self.shards, self.hot, self.parts))
+        kind = F.col("kind")
+        self.pairs = found.where(kind.isin(MODEL, SINGLES + 100))
+        one, two = found.where(kind == MODEL).agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        self.d = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+        self.parent, self.seated = None, None
+        asked, tables, total = found.where(kind.isin(SINGLES, ASKED)), None, float(self.v)
+        self.elsewhere = np.zeros(len(self.hot))
+        for k in range(rounds + 1):
+            rows = self.words.union(asked) if tables is None else self.words.union(asked).union(tables)
+            self.parent = materialize(parents(rows, self.v, total, 0.5, seed + k))
+            customers, total = (float(x or 0) for x in self.parent.agg(F.sum("x"), F.sum("y")).first())
+            self.predict = Parent(self.v, customers, total, 0.5)
+            if k < rounds:
+                answers = priors(self.words.union(self.parent).union(asked.where(kind == ASKED)), self.predict)
+                got = materialize(seatings(found.where(kind == MODEL).union(answers), self.shards, self.d, self.hot, self.elsewhere, seed + 100 + k))
+                self.seated, tables = got.where(kind == SEATED), got.where(kind == TABLES)
+                self.elsewhere = _split_tables(got, self.hot)
+
+
+def _asks(model_shards: int, hot: np.ndarray, parts: np.ndarray):
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        doc, h = _many_tokens(list(rows["text"]))
+        p, out, pack = Pairs(doc, h, model_shards, hot, parts), Rows(), int(rows["pack"].iloc[0])
+        for k, a, b in _dealt(_shard(p.words, model_shards), model_shards):
+            out.add(k, ASK_WORDS, pack, p.words[a:b].tobytes())
+        short = _short(p.words)
+        for k, a, b, v, n in p.segments(model_shards):
+            out.add(model_shards + k, ASK_PAIRS, pack, v.tobytes() + n.tobytes(), _put48(short[p.w[a:b]]))
+        return out.frame()
+
+    return ask
+
+
+def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.ndarray, elsewhere: np.ndarray):
+    def words_of(rows: pd.DataFrame, key: int) -> pd.DataFrame:
+        h, c = _words(rows)
+        p, out = _parent_of(rows, predict), Rows()
+        for src, a in _of(rows, ASK_WORDS)[["src", "a"]].itertuples(index=False):
+            w = np.frombuffer(a, U)
+            at = np.minimum(np.searchsorted(h, w), max(len(h) - 1, 0))
+            hit = h[at] == w if len(h) else np.zeros(len(w), bool)
+            at = at[hit]
+            times, prob = np.zeros(len(w), np.int64), np.full(len(w), predict(np.zeros(1), np.zeros(1))[0])
+            times[hit], prob[hit] = c[at], p[at]
+            out.add(src, ASK_WORDS, key, times.tobytes(), prob.astype(np.float64).tobytes())
+        return out.frame()
+
+    def pairs_of(rows: pd.DataFrame, key: int) -> pd.DataFrame:
+        out = Rows()
+        if len(_of(rows, MODEL)):
+            contexts, singles, more, w, c = _model(rows)
+            alone = _get48(_of(rows, SINGLES + 100)["a"].iloc[0])
+            mean = np.frombuffer(_of(rows, SEATED)["a"].iloc[0], np.float32)
+            room = np.repeat(np.arange(len(contexts)), more)
+            tables = singles + np.bincount(room, mean, len(contexts))
+            customers = singles + np.bincount(room, c, len(contexts))
+            split = np.flatnonzero(np.isin(contexts, hot)) if len(hot) else np.zeros(0, np.int64)
+            if len(split):
+                at = np.searchsorted(hot, contexts[split])
+                tables[split], customers[split] = elsewhere[at], hot_c[at]
+            back, over = (STRENGTH + d * tables) / (STRENGTH + customers), STRENGTH + customers
+            # One ordered list of (context, word): a mixed key, with the place's customers and tables.
+            rooms = np.concatenate([np.repeat(np.arange(len(contexts)), singles), room])
+            keys, weight = _pair_keys(rooms, np.concatenate([alone, w])), np.concatenate([np.full(len(alone), 1 - d), c - d * mean]) / over[rooms]
+            by = np.argsort(keys)
+            keys, weight = keys[by], weight[by].astype(np.float32)
+        else:
+            contexts, keys = np.zeros(0, U), np.zeros(0, U)
+        for src, a, b in _of(rows, ASK_PAIRS)[["src", "a", "b"]].itertuples(index=False):
+            k = len(a) // 12
+            v, n, w = np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k), _get48(b)
+            share, rest = np.zeros(len(w), np.float32), np.ones(k, np.float32)
+            if len(contexts):
+                at = np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)
+                known = contexts[at] == v
+                rest[known] = back[at[known]]
+                asked = _pair_keys(np.repeat(at, n), w)
+                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                share = np.where((keys[place] == asked) & np.repeat(known, n), weight[place], np.float32(0))
+            out.add(src, ASK_PAIRS, key, share.tobytes(), rest.tobytes(), n.tobytes())
+        return out.frame()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key = int(rows["key"].iloc[0])
+        return words_of(rows, key) if key < shards else pairs_of(rows, key)
+
+    return run
+
+
+def _pair_keys(room: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(room.astype(U) * U(0x9E3779B97F4A7C15) + w)
+
+
+SCORED = "doc_id string, n_tokens long, n_known long, base double, score double"
+
+
+def _score(shards: int, whole: float, hot: np.ndarray, parts: np.ndarray):
+    def score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        doc, h = _many_tokens(list(docs["text"]))
+        p = Pairs(doc, h, shards, hot, parts)
+        by_kind = {k: _of(got, k).sort_values("src") for k in (ASK_WORDS, ASK_PAIRS)}
+        times, prior = (np.frombuffer(b"".join(by_kind[ASK_WORDS][c]), t) for c, t in (("a", np.int64), ("b", np.float64)))
+        share, rest = (np.frombuffer(b"".join(by_kind[ASK_PAIRS][c]), np.float32) for c in ("a", "b"))
+        n = np.frombuffer(b"".join(by_kind[ASK_PAIRS]["c"]), np.uint32)
+        value = np.empty(len(p.by))
+        value[p.by] = np.log10(share + np.repeat(rest, n) * prior[p.w])
+        c, size = times[p.ids], len(docs)
+        return pd.DataFrame({
+            "doc_id": docs["doc_id"].to_numpy(),
+            "n_tokens": np.bincount(doc, minlength=size),
+            "n_known": np.bincount(doc, c > 0, size).astype(np.int64),
+            "base": np.bincount(doc, np.log10((c + 1) / whole), size),
+            "score": np.bincount(doc, value[p.inverse], size),
+        })
+
+    return score
+
+
+def lm_score(df: DataFrame, train: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """One row per document: n_tokens, n_known, train_tokens, base_score and score (log10 probabilities), and perplexity per token.
 
     Learns from `train`, by default from the rows of df whose fold of seven isn't 2.
     """
     train = df.where(fold("doc_id", 7) != 2) if train is None else train
-    counts = materialize(count_words(train))
-    model = train_lm(train, counts, **sizes)
-    whole = float(model.n + 1 * (model.v + 1))
-
-    def run(ids, texts):
-        doc, h = tokens(texts)
-        c, number = model.lookup(h)
-        size = len(texts)
-        u1, u2 = _previous(doc, number, model.end, 2), _previous(doc, number, model.end, 1)
-        place = model.opened[u1 * len(model.log2) + u2]
-        score = model.log2[u2, number].astype(np.float64)
-        open_ = place >= 0
-        score[open_] = model.log3[place[open_], number[open_]]
-        known = c >= 0
-        rare = known & (number == 0)
-        score[rare] += model.rare(c[rare])
-        base = np.where(known, np.log10(np.maximum(c + 1, 1) / whole), 0.0)
-        add = lambda x: np.bincount(doc, x, size)
-        tail, cut = h[~known].view(np.int64), np.searchsorted(doc[~known], np.arange(size + 1))
-        return {
-            "doc_id": ids,
-            "n_tokens": np.bincount(doc, minlength=size),
-            "known": add(known & (c > 0)).astype(np.int64),
-            "base": add(base),
-            "score": add(score),
-            "tail": [tail[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)],
-        }
-
-    done = map_texts(df, run, "doc_id long, n_tokens long, known long, base double, score double, tail array<long>")
-    done = materialize(done.withColumn("row", F.monotonically_increasing_id()))
-    # Words that aren't hot: their counts by a join, then sums per document.
-    rest = done.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
-    found = rest.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    times = F.col("times")
-    sums = found.groupBy("row").agg(F.sum(times * (F.col("c") > 0).cast("long")).alias("more_known"), F.sum(times * F.log10((F.col("c") + 1) / whole)).alias("more_base"), F.sum(times * model.rare_column(F.col("c"))).alias("more_score"))
-    out = done.drop("tail").join(sums, "row", "left")
-    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        (fold("doc_id", 7) == 2).alias("held_out"),
+    m = PitmanYorModel(train, rounds)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
+    packs = max(1, -(-int(size) // (6 * PACK)))  # a token has about 6 bytes
+    pack = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(packs)).alias("pack")
+    docs = df.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), pack).repartition(min(packs, 4096), "pack")
+    shifted = F.col("key") + m.shards
+    tables = m.words.union(m.parent).union(m.pairs.union(m.seated).withColumn("key", shifted))
+    asks = docs.groupBy("pack").applyInPandas(_asks(m.shards, m.hot, m.parts), ROW)
+    answers = _grouped(tables.union(asks), _answers(m.shards, m.predict, m.d, m.hot, m.hot_c, m.elsewhere))
+    answers = answers.select(F.col("key").alias("pack"), "kind", "src", "a", "b", "c")
+    done = docs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(_score(m.shards, float(m.n + 1 * (m.v + 1)), m.hot, m.parts), SCORED)
+    return done.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (fold(F.col("doc_id").cast("long"), 7) == 2).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "n_known",
+        F.lit(m.n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -1,110 +1,71 @@
-"""Seating in Pitman-Yor restaurants: blocked Gibbs sampling of table counts, in numpy."""
+"""Seating in Pitman-Yor restaurants: Gibbs draws of a dish's tables given the other dishes' tables, in numpy."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
+#: Up to this number of customers a dish's tables are drawn from their exact conditional distribution.
 EXACT = 64
 
 
+@lru_cache(maxsize=16)
+def log_stirling(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) of discount d, for c and t up to EXACT: the weight of all ways to seat c customers at t tables."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(EXACT):
+            t = np.arange(1, EXACT + 1)
+            grow = np.log(np.maximum(c - d * t, 0.0)) + out[c, 1:]
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.where(np.isnan(grow), -np.inf, grow))
+    return out
+
+
 def seat(c: np.ndarray, p0: np.ndarray, others: np.ndarray, d: float, r: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its c customers sat down one by one, given the rest of its restaurant.
+    """Tables of each dish of c customers, drawn given the rest of its restaurant.
 
-    others: strength plus discount times the other dishes' tables; p0: the parent's probability of the dish. The first
-    64 customers are seated singly, later ones in blocks that double, each with the probability at its middle.
+    others: strength plus discount times the other dishes' tables; p0: the parent's probability of the dish. Dishes of
+    more than EXACT customers begin with such a draw; their other customers sit down in turn, in blocks that double,
+    each block with the probability at its middle.
     """
     t = np.minimum(c, 1).astype(np.int64)
-    at = np.flatnonzero(c > 1)
-    j = 1
-    while len(at) and j < EXACT:
-        new = (others[at] + d * t[at]) * p0[at]
-        t[at] += r.random(len(at)) < new / (new + j - d * t[at])
-        j += 1
-        at = at[c[at] > j]
+    small = np.minimum(c, EXACT)
+    order = np.argsort(small, kind="stable")
+    cut = np.searchsorted(small[order], np.arange(2, EXACT + 2))
+    stirling = log_stirling(d)
+    for k in range(2, EXACT + 1):
+        at = order[cut[k - 2] : cut[k - 1]]
+        if not len(at):
+            continue
+        tables = np.arange(1, k + 1)
+        # S(k, t) p0^t times the product over the t tables of (others + discount * tables before); the first factor is common to all t.
+        w = np.cumsum(np.log(others[at, None] + d * (tables - 1)) + np.log(p0[at, None]), 1) + stirling[k, 1 : k + 1]
+        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+        t[at] = 1 + (r.random(len(at))[:, None] * w[:, -1:] > w).sum(1)
+    at, j = np.flatnonzero(c > EXACT), EXACT
     while len(at):
         m = np.minimum(j, c[at] - j)
         new = (others[at] + d * t[at]) * p0[at]
-        t[at] += r.binomial(m, np.minimum(1.0, new / (new + j + m / 2 - d * t[at])))
+        t[at] += r.binomial(m, np.minimum(1.0, new / (new + np.maximum(j + m / 2 - d * t[at], 1e-9))))
         j *= 2
         at = at[c[at] > j]
-    return t
-
-
-class Level:
-    """Restaurants of one depth: dish counts c[restaurant, dish], discount d and strength s."""
-
-    def __init__(self, shape: tuple[int, int], d: float, s: float):
-        self.c, self.t, self.d, self.s = np.zeros(shape, np.int64), np.zeros(shape, np.int64), d, s
-
-    def sample(self, c: np.ndarray, parent: np.ndarray, r: np.random.Generator) -> None:
-        """Seats all customers anew, each dish given the tables that the others have now; parent[restaurant or 0, dish]."""
-        self.c = c
-        u, w = np.nonzero(c)
-        if not self.t.any():
-            self.t = np.minimum(c, 1)
-        total = self.t.sum(1)
-        own = self.t[u, w]
-        p0 = parent[u if len(parent) > 1 else np.zeros(len(u), np.int64), w]
-        t = np.zeros_like(c)
-        t[u, w] = seat(c[u, w], p0, self.s + self.d * (total[u] - own), self.d, r)
-        self.t = t
-
-    def predict(self, parent: np.ndarray) -> np.ndarray:
-        back = self.s + self.d * self.t.sum(1, keepdims=True)
-        return (self.c - self.d * self.t + back * parent) / (self.s + self.c.sum(1, keepdims=True))
-
-
-def hierarchy(bigrams: np.ndarray, trigrams: np.ndarray, parents: np.ndarray, sweeps: int = 24, burn: int = 8, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged predictive probabilities (p2[word, next], p3[context, next]) over the sweeps after `burn`.
-
-    bigrams: counts of all pairs; trigrams[context, next]: counts of the opened contexts, whose last words are `parents`;
-    those customers sit in the context's restaurant and send a customer to the parent's for each table.
-    """
-    size = bigrams.shape[0]
-    r = np.random.default_rng(seed)
-    one, two, three = Level((1, size), 0.4, 2.0), Level(bigrams.shape, 0.6, 2.0), Level(trigrams.shape, 0.7, 2.0)
-    inner = np.zeros_like(bigrams)
-    np.add.at(inner, parents, trigrams)
-    direct = bigrams - inner
-    base = np.full((1, size), 1 / size)
-    p1 = base
-    p2 = np.repeat(p1, size, 0)
-    mean2, mean3, kept = np.zeros(bigrams.shape), np.zeros(trigrams.shape), 0
-    for k in range(sweeps):
-        three.sample(trigrams, p2[parents] if len(parents) else np.zeros((0, size)), r)
-        sent = np.zeros_like(bigrams)
-        np.add.at(sent, parents, three.t)
-        two.sample(direct + sent, p1, r)
-        one.sample(two.t.sum(0, keepdims=True), base, r)
-        p1 = one.predict(base)
-        p2 = two.predict(p1)
-        if k >= burn:
-            mean2 += p2
-            mean3 += three.predict(p2[parents]) if len(parents) else mean3
-            kept += 1
-    return mean2 / kept, mean3 / kept
+    return np.minimum(t, c)
 
 
-def flat_tables(times: np.ndarray, n: np.ndarray, types: int, d: float = 0.7, s: float = 1.0, sweeps: int = 24, burn: int = 8, seed: int = 23) -> tuple[np.ndarray, float, float]:
-    """A restaurant with a uniform base over types + 1 dishes, where n[k] dishes have times[k] customers each.
+def sweep(room: np.ndarray, rooms: int, c: np.ndarray, fixed: np.ndarray, p0: np.ndarray, d: float, s: float, r: np.random.Generator, sweeps: int, burn: int, t: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(mean tables after burn-in, tables of the last sweep) of each dish.
 
-    Returns the mean tables of a dish by k, and (added, total) so that a dish of c customers and t tables has the
-    probability (c - d t + added) / total.
+    room[i]: the restaurant of dish i; fixed[room]: tables there that don't change (dishes of one customer, and those
+    seated elsewhere). A sweep draws every other dish in turn of two halves, so that a draw sees the others' last tables.
     """
-    r = np.random.default_rng(seed)
-    copies = np.minimum(n, 64)
-    c = np.repeat(times, copies)
-    cut = np.cumsum(copies) - copies
-    p0 = np.full(len(c), 1 / (types + 1))
-    mean = np.minimum(times, 1).astype(float)
-    total, kept, out = float((mean * n).sum()), 0, np.zeros(len(times))
+    t = np.minimum(c, 1).astype(np.int64) if t is None else t.copy()
+    mean, half = np.zeros(len(c)), r.random(len(c)) < 0.5
     for k in range(sweeps):
-        t = seat(c, p0, np.maximum(s + d * (total - np.repeat(mean, copies)), s), d, r)
-        mean = np.add.reduceat(t, cut) / copies if len(c) else mean
-        total = float((mean * n).sum())
+        for part in (half, ~half):
+            total = fixed + np.bincount(room, t, rooms)
+            t[part] = seat(c[part], p0[part], s + d * np.maximum(total[room[part]] - t[part], 0), d, r)
         if k >= burn:
-            out += mean
-            kept += 1
-    out = out / max(kept, 1)
-    tables = float((out * n).sum())
-    return out, (s + d * tables) / (types + 1), s + float((times * n).sum())
+            mean += t
+    return mean / max(1, sweeps - burn), t

@@ -14,7 +14,7 @@ from lodestone.llm.line_dedup import dedup_lines, edit_distance, line_verdicts
 from lodestone.llm.lm_score import lm_score
 from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample
 from lodestone.llm.ngram_join import meet, ngram_join
-from lodestone.llm.pitman_yor import flat_tables, hierarchy
+from lodestone.llm.pitman_yor import log_stirling, seat, sweep
 
 
 def brute_components(texts):
@@ -328,7 +328,7 @@ def test_lm_base_against_brute_force(docs):
     toks = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
     c = collections.Counter(w for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(c.values()), len(c)
-    out = lm_score(docs(rows), hot=64, vocabulary=16, contexts=8).collect()
+    out = lm_score(docs(rows)).collect()
     assert len(out) == len(rows)
     for x in out:
         t = toks[x.doc_id]
@@ -340,17 +340,88 @@ def test_lm_base_against_brute_force(docs):
     assert lm_score(docs([])).count() == 0
 
 
-def test_predictions_are_distributions():
-    r = np.random.default_rng(8)
-    big = r.poisson(3, (9, 9))
-    parents = np.array([1, 4])
-    tri = np.minimum(r.poisson(2, (2, 9)), big[parents])
-    p2, p3 = hierarchy(big, tri, parents)
-    assert np.allclose(p2.sum(1), 1) and np.allclose(p3.sum(1), 1) and p2.min() > 0
-    times, n = np.array([1, 2, 5]), np.array([10, 4, 1])
-    mean, added, total = flat_tables(times, n, 15)
-    seen = ((times - 0.7 * mean + added) / total * n).sum()
-    assert abs(seen + added / total - 1) < 0.02
+def test_lm_scores_against_the_written_model(spark, docs, monkeypatch):
+    """Scores from the model's tables by plain dictionaries, with split contexts and many shards and packs."""
+    import lodestone.llm.lm_score as m
+
+    monkeypatch.setattr(m, "SHARD", 60)
+    monkeypatch.setattr(m, "PACK", 90)
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choices(["a", "a", "b", "c", "d", f"x{r.randrange(30)}"], k=r.randint(0, 25)))) for i in range(60)] + [(7, "a b a b"), (7, "a b a b"), (None, "a c"), (200, None)]
+    made = []
+    model = m.PitmanYorModel
+    monkeypatch.setattr(m, "PitmanYorModel", lambda *a: made.append(model(*a)) or made[0])
+    out = m.lm_score(docs(rows)).collect()
+    py = made[0]
+    assert py.shards > 3 and len(py.hot) >= 1
+    tok = lambda t: m.tokens([(t or "").encode()])[1].tolist()
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c1, c2 = collections.Counter(), collections.Counter()
+    for t in train:
+        w = tok(t)
+        c1.update(w)
+        c2.update(zip([int(m.END), *w[:-1]], w))
+    tables = {}
+    for row in py.pairs.where(F.col("kind") == m.MODEL).collect():
+        contexts, singles, more, w, c = m._model(row_frame(row))
+        mean = np.frombuffer(py.seated.where(F.col("key") == row["key"]).first()["a"], np.float32)
+        for k, v in enumerate(np.repeat(np.arange(len(contexts)), more)):
+            tables[int(contexts[v]), int(w[k])] = (int(c[k]), float(mean[k]))
+    assert tables and all(1 <= t <= c for c, t in tables.values())
+    want = {p: c for p, c in c2.items() if c > 1}
+    assert {(v, w >> 16): c for (v, w), c in want.items()} == {p: c for p, (c, _) in tables.items()}
+    prior = {}
+    for row in py.parent.collect():
+        h = np.sort(np.concatenate([np.frombuffer(x["a"], np.uint64) for x in py.words.where(F.col("key") == row["key"]).collect()]))
+        prior |= dict(zip(h.tolist(), py.predict(np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.float32)).tolist()))
+    unseen = float(py.predict(np.zeros(1), np.zeros(1))[0])
+    assert abs(sum(prior.values()) + unseen - 1) < 1e-6
+    of = collections.defaultdict(float)
+    for (v, w), c in c2.items():
+        of[v] += tables.get((v, w >> 16), (c, 1.0))[1]
+
+    def logp(t):
+        total, before = 0.0, int(m.END)
+        for w in tok(t):
+            c, k = tables.get((before, w >> 16), (c2[before, w], 1.0 if c2[before, w] else 0.0))
+            total += math.log10((c - py.d * k + (m.STRENGTH + py.d * of[before]) * prior.get(w, unseen)) / (m.STRENGTH + c1[before]))
+            before = w
+        return total
+
+    assert len(out) == len(rows)
+    got = sorted((str(x.doc_id), round(x.score, 3)) for x in out)
+    assert got == sorted((str(i), round(logp(t), 3)) for i, t in rows) or all(abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, sorted((str(i), logp(t)) for i, t in rows)))
+
+
+def row_frame(row):
+    import pandas as pd
+
+    return pd.DataFrame([row.asDict()])
+
+
+def test_seating_follows_the_exact_distribution():
+    """Draws against an enumeration of all seatings."""
+    d, others, p0 = 0.6, 2.5, 0.3
+
+    def seatings(c):
+        ways = [((1,), others * p0)]
+        for _ in range(c - 1):
+            ways = [x for tables, w in ways for x in [*((tuple(n + (j == k) for j, n in enumerate(tables)), w * (tables[k] - d)) for k in range(len(tables))), (tables + (1,), w * (others + d * len(tables)) * p0)]]
+        return ways
+
+    for c in (2, 3, 5):
+        weight = collections.Counter()
+        for tables, w in seatings(c):
+            weight[len(tables)] += w
+        total = sum(weight.values())
+        t = seat(np.full(40000, c), np.full(40000, p0), np.full(40000, others), d, np.random.default_rng(c))
+        for k in range(1, c + 1):
+            assert abs((t == k).mean() - weight[k] / total) < 0.012
+    assert np.isclose(np.exp(log_stirling(0.5)[3, 1]), 0.5 * 1.5)
+    big = seat(np.array([500, 70, 1, 0]), np.full(4, 0.01), np.full(4, 5.0), d, np.random.default_rng(1))
+    assert 1 <= big[0] <= 500 and 1 <= big[1] <= 70 and big[2] == 1 and big[3] == 0
+    mean, last = sweep(np.array([0, 0, 1]), 2, np.array([4, 9, 2]), np.array([3.0, 0.0]), np.full(3, 0.1), d, 1.0, np.random.default_rng(2), 6, 2)
+    assert (mean >= 1).all() and (mean <= [4, 9, 2]).all() and (last >= 1).all()
 
 
 def test_edge_rows_have_results(spark, edge):
