@@ -11,6 +11,7 @@ from lodestone.llm.language_id import language_id, suffix_automaton, train_langu
 from lodestone.llm.license_scan import compile_template, license_scan
 from lodestone.llm.quality_rules import cover, learn_rules, quality_rules
 from lodestone.llm.secret_scan import CharCnn, secret_scan
+from lodestone.llm.secret_scan import train as train_secrets
 from lodestone.llm.toxicity import ToxicityModel, grammar, toxicity, train_toxicity
 from lodestone.llm.words import ALNUM, SPACED, words
 
@@ -89,6 +90,24 @@ def test_network_learns_and_keeps_recall():
     assert (p[y == 1] >= m.threshold).mean() >= 0.95
 
 
+def test_network_sees_every_candidate(docs):
+    """Keys behind words that the base patterns don't know are found; long words are not; recall is measured."""
+    r = random.Random(13)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, a=alnum: "".join(r.choices(a, k=n))
+    words = ["internationalisation", "straightforwardly", "the", "of", "misunderstanding", "well-known-people", "a", "river"]
+    rows = [(i, " ".join(r.choices(words, k=30)) + (f' token = "{key(40, alnum[26:])}" and more' if i % 3 else "")) for i in range(400)]
+    planted = [(1000 + i, f'then client_secret="{key(32)}" ' if i % 2 else f'Authorization: bearer {key(40)} ok') for i in range(20)]
+    alone = [(2000 + i, f'then bearer {key(40, alnum[:52])} and so on') for i in range(20)]
+    d = docs(rows + planted + alone)
+    model = train_secrets(d)
+    assert model.recall >= 0.9 and model.false_alarms <= 0.1
+    got = {x.doc_id: x for x in secret_scan(d, model).collect()}
+    assert sum(got[i].n_cnn > 0 for i, _ in alone) >= 15
+    assert sum(got[i].n_confirmed == got[i].n_assign == 1 for i, _ in rows if i % 3) >= 0.9 * sum(i % 3 > 0 for i, _ in rows)
+    assert sum(got[i].n_cnn for i, _ in rows if not i % 3) <= 10
+
+
 def test_grammar_marks_clauses():
     m = ToxicityModel({"idiot": 1.0, "scumm*": 1.0})
     one = lambda t: m.evidence(t)[0]
