@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm.language_id import language_id, suffix_automaton, train_languages
-from lodestone.llm.license_scan import compile_template, license_scan
+from lodestone.llm.license_scan import TEMPLATES, compile_template, license_scan
 from lodestone.llm.quality_rules import cover, learn_rules, quality_rules
 from lodestone.llm.secret_scan import CharCnn, secret_scan
 from lodestone.llm.secret_scan import train as train_secrets
@@ -58,6 +58,36 @@ def test_template_automaton_wants_the_mandatory_wording():
     assert not ok("this very big work is licensed under foo license") and not ok("licensed under a foo license") and not ok("licensed foo license")
 
 
+def plainest(markup):
+    """A template's wording without optional parts, with a word in each replaceable region."""
+    while "[[" in markup:
+        markup = re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " ", markup, flags=re.S)
+    return " ".join(re.sub(r"\{\{\d+\}\}", " acme ", markup).split())
+
+
+def test_whole_licences(docs):
+    """Each template's text is accepted; with a word changed, missing or inserted it isn't; nor inside another sentence."""
+    r = random.Random(17)
+    rows, want = [], []
+    for label, markup in TEMPLATES:
+        w = plainest(markup).split()
+        k = r.choice([i for i, x in enumerate(w) if x != "acme" and w[max(0, i - 1)] != "acme" and w[min(i + 1, len(w) - 1)] != "acme"])
+        for text, ok in ((" ".join(w), True), ("Some file.\n" + " ".join(w).upper() + ".\nMore text", True), (" ".join([*w[:k], "zebra", *w[k + 1 :]]), False), (" ".join([*w[:k], "zebra", *w[k:]]), False), ("never take this " + " ".join(w), False), (" ".join(w) + " except on sundays", False)):
+            rows.append((len(rows), text))
+            want.append((label, ok))
+    rows.append((len(rows), "do not use this under the mit license"))
+    want.append(("mit-notice", False))
+    rows.append((len(rows), "This small library is released under the terms of the MIT license!"))
+    want.append(("mit-notice", True))
+    got = {x.doc_id: x.labels.split(",") for x in license_scan(docs(rows)).collect()}
+    for (i, text), (label, ok) in zip(rows, want):
+        # what begins or ends with a replaceable region takes more words there
+        w = plainest(dict(TEMPLATES).get(label, "x")).split()
+        if (text.endswith("sundays") and w[-1] == "acme") or (text.startswith("never") and w[0] == "acme"):
+            continue
+        assert (label in got[i]) == ok, (label, ok, text[:200])
+
+
 def brute_secrets(t):
     out = [("assign", m.start(), m.end(), 0) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
     out += [("access", m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
