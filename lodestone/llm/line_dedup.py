@@ -8,10 +8,10 @@ edits, or within 1 if the shorter of the two has 3 to 19 characters; texts of 1
 Texts of up to 20 characters are indexed under themselves and all their forms with one character left out: two within
 1 edit share one of these. For those of 20 and more the edit join cuts each distinct text of length L into 3 segments: two texts within 2 edits share one of them, at a
 place that the counts of edits before and after it bound. A text's segments are indexed under (segment's number,
-length, hash), and each text probes the indexes of lengths L, L - 1 and L - 2 with the substrings at those places. A
-hit must agree in length and in the counts of its letters, by groups (an edit moves them by 2 at most), before it becomes
-a candidate, so that texts that merely share a segment, as near copies with another word do, aren't paired. Candidates
-are verified by a banded bit-parallel edit distance: 5 bits of the vertical differences move down the diagonal.
+length, hash), and each text probes the indexes of lengths L, L - 1 and L - 2 with the substrings at those places. Texts
+that share a key with another one then have their letters counted, by groups (an edit moves the counts by 2 at most), and
+only those that agree in these become candidates: near copies with another word share a segment but aren't paired.
+Candidates are verified by a banded bit-parallel edit distance: 5 bits of the vertical differences move down the diagonal.
 
 Edge cases: a null text is an empty one; rows without doc_id keep all lines and make no other line go; rows that
 repeat an id and its text share their verdicts; empty lines and tables are answered as they are; other columns of
@@ -23,15 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize
+from .common import bind, materialize, small_side, unused
 
 EDITS, MIN_CHARS = 2, 40
 #: Texts of LEAST characters and more have near copies; those under SHORT within one edit.
 LEAST, SHORT = 3, 20
 #: Groups of letters that are counted together, three bits each; the lower four bits hold the length.
 GROUPS = ("a", "b", "c", "d", "e", "f", "g", "h", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "ujq", "vwxyz")
-#: Candidate texts up to this number (16 bytes each) are looked up by a broadcast of their hashes, more by a shuffle.
-SMALL = 200_000
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -155,10 +153,19 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of texts that may be within `edits`, each pair once."""
     # Keys are made before equal texts meet: they are shorter than most lines.
     line, n = F.col("line"), F.col("n")
-    made = lines.select("h1", "h2", letter_counts(line, n).alias("sig"), own_keys(line, n, edits).alias("own"), F.when(n >= SHORT, F.array(*probe_keys(line, n, edits))).otherwise(_none()).alias("more"))
-    keyed = materialize(made.groupBy("h1", "h2").agg(F.first("sig").alias("sig"), F.first("own").alias("own"), F.first("more").alias("more")).drop("h2"))
-    index = keyed.select(F.explode("own").alias("key"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
-    probe = keyed.select(F.explode(F.concat("own", "more")).alias("key"), F.col("h1").alias("a"), F.col("sig").alias("sig_a")).where("key is not null")
+    made = lines.select("h1", "h2", own_keys(line, n, edits).alias("own"), F.when(n >= SHORT, F.array(*probe_keys(line, n, edits))).otherwise(_none()).alias("more"))
+    keyed = materialize(made.groupBy("h1", "h2").agg(F.first("own").alias("own"), F.first("more").alias("more")).drop("h2"))
+    # Most keys belong to one text; letters are counted only in texts that share a key, and pairs made only of these.
+    of = lambda name, mine: F.transform(F.filter(name, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), F.lit(mine).alias("mine")))
+    each = keyed.select("h1", F.explode(F.concat(of("own", True), of("more", False))).alias("k")).select("h1", "k.key", "k.mine")
+    shared = each.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("mine").alias("mine")).where("lo < hi and mine").select("key")
+    met = materialize(each.join(small_side(materialize(shared)), "key", "left_semi"))
+    ids = materialize(met.select("h1").distinct())
+    sigs = lines.join(small_side(ids), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
+    sigs = materialize(sigs.select("h1", letter_counts(F.col("line"), F.length("line")).alias("sig")))
+    met = met.join(small_side(sigs), "h1")
+    index = met.where("mine").select("key", F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
+    probe = met.select("key", F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
     # Texts of one length find each other from both sides; one is enough.
     once = (F.col("sig_a").bitwiseXOR(F.col("sig_b")).bitwiseAND(F.lit(15)) != 0) | (F.col("a") < F.col("b"))
     hit = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & once & counts_near(F.col("sig_a"), F.col("sig_b"), edits))
@@ -169,9 +176,8 @@ def near_texts(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(h1, h2): texts that go because a text that stands earlier is within `edits`."""
     pairs = materialize(near_pairs(lines, edits))
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
     at = F.min(F.struct("doc_id", "pos")).alias("at")
-    texts = materialize(lines.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), at))
+    texts = materialize(lines.join(small_side(ids), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), at))
     side = lambda s: texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns))
     both = pairs.join(side("a"), F.col("a") == F.col("h1_a")).join(side("b"), F.col("b") == F.col("h1_b"))
     a, b = F.col("line_a"), F.col("line_b")
@@ -203,17 +209,17 @@ def line_verdicts(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def dedup_lines(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with only the lines that stay, in df's columns (n_chars is counted anew if there is one); a document that loses all of its lines that have a word goes, one that had none stays."""
-    kept = kept_places(df, edits, min_chars).withColumnsRenamed({"doc_id": "_kept_id", "kept": "_kept"})
+    key, places, short = (unused(df, c) for c in ("kept_id", "kept_places", "short"))
+    kept = kept_places(df, edits, min_chars).withColumnsRenamed({"doc_id": key, "kept": places})
     cut = F.split(F.col("text"), "\n", -1)
 
-    def shortened(lines: Column, places: Column) -> Column:
-        return F.filter(lines, lambda x, i: ~takes_part(x, min_chars) | F.array_contains(places, i))
+    def shortened(lines: Column, at: Column) -> Column:
+        return F.filter(lines, lambda x, i: ~takes_part(x, min_chars) | F.array_contains(at, i))
 
     none = F.array().cast("array<int>")
-    joined = df.join(kept, df["doc_id"] == F.col("_kept_id"), "left")
-    short = F.array_join(shortened(cut, F.coalesce("_kept", none)), "\n")
-    text = F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.col("text")).otherwise(short)
-    out = joined.withColumn("_short", text).where(F.col("text").isNull() | (F.trim("_short") != "") | (F.trim("text") == ""))
-    cols = ["_short" if c == "text" else c for c in df.columns]
-    out = out.select(*(F.col(c).alias("text") if c == "_short" else F.length("_short").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else df[c] for c in cols))
-    return out
+    joined = df.join(kept, df["doc_id"] == F.col(key), "left")
+    text = F.array_join(shortened(cut, F.coalesce(places, none)), "\n")
+    out = joined.withColumn(short, F.when(F.col("text").isNull() | F.col("doc_id").isNull(), F.col("text")).otherwise(text))
+    out = out.where(F.col("text").isNull() | (F.trim(short) != "") | (F.trim("text") == ""))
+    new = {"text": F.col(short), "n_chars": F.length(short).cast(df.schema["n_chars"].dataType) if "n_chars" in df.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns))

@@ -469,3 +469,13 @@ def test_components_of_hubs_and_giants(spark, monkeypatch):
         edges = [(500, i) for i in range(100, 160)] + [(i, i + 1) for i in range(160, 200)] + [(160, 159), (3, 500), (900, 901)]
         got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got.pop(900) == got.pop(901) == 900 and set(got.values()) == {3} and len(got) == 103
+
+
+def test_reserved_names_are_kept(spark):
+    """Columns of the names that the operators use inside stay as they are."""
+    schema = "doc_id long, text string, lang string, source string, kept_id string, kept_places string, short string, _short string, key string, line string"
+    rows = [(1, "a line of some length that is there twice\nand one more line", "en", "s", *"123456"), (2, "a line of some length that is there twice\nsomething else", None, None, *"abcdef"), (None, None, "en", "s", *"uvwxyz")]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r for r in dedup_lines(df, min_chars=1).collect()}
+    assert got[2].text == "something else" and tuple(got[2])[4:] == tuple("abcdef") and got[None].text is None
+    assert got[1].asDict().keys() == set(df.columns)
