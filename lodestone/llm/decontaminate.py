@@ -9,9 +9,11 @@ the item must have equal values in the document, while different ones may meet i
 it has one alignment and all values agree, else `changed` (a re-parameterised question). A run counts if its segments
 cover at least 60 % of the item's tokens. A change that leaves fewer than 8 tokens on a side hides that side.
 
-The items' windows are a hash table of bounded size that goes to every task, so that documents are never shuffled; a
-larger benchmark is cut into parts below the bound, each of which passes over the documents; their results meet by a
-key of the row, which is written with the texts before the first pass.
+The documents are read once. A filter of bounded size (bits of the hashes of the items' words, pairs of words, and
+windows; more bits set only let more pass) goes to every task and leaves each document its windows that may be an
+item's, none for almost all. These windows meet the benchmark's table of windows in an equi-join on the hash, whatever
+the size of either; the rows that meet an item get its text, and runs and slots are checked on both texts. A key of the
+row carries the verdict, so that rows that repeat an id are answered each on its own.
 
 Edge cases: null texts are empty and match nothing; items with fewer than 8 tokens are matched as one window of their
 length; an item that repeats under several ids is reported under each; empty tables give no match; documents' other
@@ -22,12 +24,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import map_texts, materialize
+from .common import materialize, small_side, steps, unused
+from .words import ALNUM, mix, words
 
 WINDOW, COVER, DRIFT = 8, 0.6, 8
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|([.!?\n])")
@@ -37,9 +44,6 @@ UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec second seconds m
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
-PLAIN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+")
-
-
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """The template tokens and, at the same places, what stood there (in lower case)."""
     out, raw, begins, after_number = [], [], True, False
@@ -77,8 +81,6 @@ def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 def token_hash(t: str) -> int:
     """A 64-bit hash of a token that is the same in every process."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(t.encode())
 
 
@@ -92,11 +94,18 @@ def _unnamed(toks: list[str], raw: list[str]) -> list[str]:
     return [r if t == NAME else t for t, r in zip(toks, raw, strict=True)]
 
 
+def forms(text: str, toks: list[str], raw: list[str]) -> list[tuple[list[str], int | None]]:
+    """The token sequences whose windows stand for an item, and how many of each one's windows count (all if None)."""
+    # Inside another text's sentence the first word is a name.
+    inside = [NAME, *toks[1:]] if text.lstrip()[:1].isupper() and toks[0] not in (NUM, NAME) else toks
+    return [(toks, None), (_unnamed(toks, raw), None), (inside, 1)]
+
+
 class Index:
     """The benchmark's windows, sorted by hash, and each item's templates."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.vocabulary, self.pairs = [], {}, set()
+        self.items, self.vocabulary = [], {}
         rows = set()
         for item_id, text in items:
             toks, raw = canonical(text or "")
@@ -104,33 +113,17 @@ class Index:
                 continue
             k, w = len(self.items), min(WINDOW, len(toks))
             self.items.append((item_id, toks, raw))
-            self.pairs.update(zip(raw, raw[1:]))
-            # Inside another text's sentence the first word is a name.
-            inside = [NAME, *toks[1:]] if text.lstrip()[:1].isupper() and toks[0] not in (NUM, NAME) else toks
-            for form in (toks, _unnamed(toks, raw), inside):
+            for form, places in forms(text, toks, raw):
                 ids = np.array([self.vocabulary.setdefault(t, token_hash(t)) for t in form], np.uint64)
-                rows |= {(int(h), k, p) for p, h in enumerate(_hashes(ids, w)) if form is not inside or not p}
+                rows |= {(int(h), k, p) for p, h in enumerate(_hashes(ids, w)[:places])}
         self.widths = sorted({min(WINDOW, len(t)) for _, t, _ in self.items}, reverse=True)
         ordered = sorted(rows)
         self.hash = np.array([r[0] for r in ordered], np.uint64)
         self.item = np.array([r[1] for r in ordered], np.int64)
         self.place = np.array([r[2] for r in ordered], np.int64)
 
-    def plausible(self, text: str) -> bool:
-        """Whether some window may match: its words, and then its pairs of words, are the benchmark's, but for numbers, units and words with a capital."""
-        if not self.widths:
-            return False
-        known, least, toks = self.vocabulary, self.widths[-1], PLAIN.findall(text)
-        if b"\x01" * least not in bytes(t in known or not t.islower() or t in UNITS for t in toks):
-            return False
-        free = [not t.islower() or t in UNITS for t in toks]
-        pairs = self.pairs
-        return least < 2 or b"\x01" * (least - 1) in bytes(f or g or p in pairs for f, g, p in zip(free, free[1:], zip(toks, toks[1:])))
-
     def matches(self, text: str) -> list[tuple[int, int, int, float, str]]:
         """(item id, first token, last token, share of the item covered, kind) of every run that counts."""
-        if not self.plausible(text):
-            return []
         toks, raw = canonical(text)
         hits: dict[tuple[int, int], set[int]] = {}
         for form in (toks, _unnamed(toks, raw)):
@@ -219,44 +212,170 @@ class Index:
                         hits.setdefault((item, p - int(self.place[k])), set()).add(int(self.place[k]))
 
 
-def _found(index: Index, text: str) -> list[tuple]:
-    return index.matches(text) if text else []
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, small: int = 200_000) -> DataFrame:
-    """One row per document: contaminated, the ids of the items found (sorted, distinct), the runs' number and kinds, and the best share.
-
-    The benchmark's windows are held by each task: `small` bounds their number (about 30 MB). A larger benchmark is cut into
-    parts below the bound, by a hash of the item's text, and each part passes over the documents.
-    """
-    rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // (4 * small)))  # a window starts at a token, of 4 characters or more on average
-    docs = df.select("doc_id", "text")
-    if parts > 1:  # written, so that a row has one key in all passes
-        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
-    else:
-        docs = docs.withColumn("row", F.lit(0).cast("long"))
-    out = None
-    for k in range(parts):
-        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        got = _pass(docs, Index([(r["item_id"], r["text"]) for r in some]))
-        out = got if out is None else out.unionByName(got)
-    if parts > 1:
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_runs").alias("n_runs"), F.sum("n_changed").alias("n_changed"), F.max("best_share").alias("best_share"))
-    return out.select("doc_id", (F.col("n_runs") > 0).alias("contaminated"), F.array_join("item_ids", ",").alias("item_ids"), "n_runs", "n_changed", "best_share")
-
-
-def _pass(df: DataFrame, index: Index) -> DataFrame:
-    def run(ids, texts, keys):
-        found = [_found(index, t.decode("utf-8", "replace")) for t in texts]
-        return {
-            "doc_id": ids,
-            "row": keys,
-            "item_ids": [sorted({f[0] for f in fs}) for fs in found],
-            "n_runs": [len(fs) for fs in found],
-            "n_changed": [sum(f[4] == "changed" for f in fs) for fs in found],
-            "best_share": [max((f[3] for f in fs), default=0.0) for fs in found],
-        }
-
-    return map_texts(df, run, "doc_id long, row long, item_ids array<long>, n_runs long, n_changed long, best_share double", ("row",))
+#: Bits of each filter: at least 16 for each hash until it has its largest size.
+LEAST_BITS, MOST_BITS = 16, 27
+WORD, PAIR, WIN = range(3)
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    return words([text.encode()], ALNUM)[3]
+
+
+def _pair_hashes(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+
+
+def item_rows(items: DataFrame) -> DataFrame:
+    """(item, kind, h, width): the hashes of each item's words, pairs of words, and windows (with their width)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                toks, raw = canonical(text)
+                if not toks:
+                    continue
+                width, plain = min(WINDOW, len(toks)), _word_hashes(" ".join(raw))
+                wins = [_hashes(np.array([token_hash(t) for t in form], np.uint64), width)[:n] for form, n in forms(text, toks, raw)]
+                for kind, hs in ((WORD, plain), (PAIR, _pair_hashes(plain)), (WIN, np.concatenate(wins))):
+                    out += [(item, kind, h, width) for h in np.unique(hs).view(np.int64).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["item", "kind", "h", "width"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, kind int, h long, width int")
+
+
+class Bits:
+    """A set of hashes by one bit each: no false negatives."""
+
+    def __init__(self, rows: DataFrame, kind: int):
+        some = rows.where(F.col("kind") == kind)
+        n = some.select("h").distinct().count()
+        self.size = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - self.size)
+        got = some.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.size}) & 63 as int))")).alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (self.size - 6), np.uint64)  # 16 MB at most
+        self.bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.size)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class Filter:
+    """Finds the windows of a text that may be an item's."""
+
+    def __init__(self, rows: DataFrame):
+        self.word, self.pair, self.window = (Bits(rows, k) for k in (WORD, PAIR, WIN))
+        self.widths = [r["width"] for r in rows.where(F.col("kind") == WIN).select("width").distinct().orderBy("width").collect()]  # 8 at most
+        self.units = np.unique(_word_hashes(" ".join(sorted(UNITS))))
+
+    def plausible(self, texts: list[bytes]) -> np.ndarray:
+        """Whether each text has so many words in a row that are the benchmark's, and stand in its pairs, as a window needs.
+
+        Words with digits, capitals, or characters beyond lower-case Latin letters are free: they may be slots, or be cut
+        into several tokens.
+        """
+        doc, start, end, h, data = words(texts, ALNUM)
+        out = np.zeros(len(texts), bool)
+        if not len(h) or not self.widths:
+            return out
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        behind = np.append(raw[1:], 32)
+        latin = (raw == 0xC3) & (behind >= 0xA0) & (behind != 0xB7)
+        wide = (raw >= 0xC0) & ~latin
+        digit = (raw >= 48) & (raw < 58)
+        count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        per = lambda c: c[end] - c[start]
+        digits, wides = per(count(digit)), per(count(wide))
+        at = np.minimum(np.searchsorted(self.units, h), len(self.units) - 1)
+        free = (digits > 0) | (wides > 0) | (per(count((raw >= 65) & (raw < 91))) > 0) | (self.units[at] == h)
+        tokens = 1 + wides + np.where(digits > 0, end - start, 0)
+        ok = free | self.word.has(h)
+        begins = np.ones(len(h), bool)
+        begins[1:] = (doc[1:] != doc[:-1]) | ~ok[:-1] | ~(free[1:] | free[:-1] | self.pair.has(_pair_hashes(h)))
+        first = np.flatnonzero(begins | ~ok)
+        out[doc[first[np.add.reduceat(np.where(ok, tokens, 0), first) >= self.widths[0]]]] = True
+        return out
+
+    def windows(self, text: str) -> list[int]:
+        toks, raw = canonical(text)
+        found: set[int] = set()
+        for form in (toks, _unnamed(toks, raw)):
+            ids = np.array([token_hash(t) for t in form], np.uint64)
+            for width in self.widths:
+                h = _hashes(ids, width)
+                found.update(h[self.window.has(h)].view(np.int64).tolist())
+        return sorted(found)
+
+
+def probed(df: DataFrame, chosen: Filter, name: str) -> DataFrame:
+    """df's columns and the windows of its text that may be an item's (null if none)."""
+    at = df.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            done = 0
+            for _, some in steps(texts, texts):
+                found = [chosen.windows(t.decode("utf-8", "replace")) or None if y else None for t, y in zip(some, chosen.plausible(some).tolist(), strict=True)]
+                part = batch.slice(done, len(some))
+                done += len(some)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(LongType()))]))
+
+
+def found_items(rows: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows: row, text, windows. For each row with a run that counts: row, item_ids, n_runs, n_changed, best_share."""
+    hits = rows.select("row", F.explode("windows").alias("h")).join(windows, "h").select("row", "item").distinct()
+    named = hits.join(items, "item").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", F.col("text").alias("item_text")))).alias("items"))
+    both = rows.select("row", "text").join(named, "row")
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for row, text, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                fs = _index(tuple((x["item_id"], x["item_text"]) for x in some)).matches(text)
+                if fs:
+                    out.append((row, sorted({f[0] for f in fs}), len(fs), sum(f[4] == "changed" for f in fs), max(f[3] for f in fs)))
+            types = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["row", "item_ids", "n_runs", "n_changed", "best_share"])
+
+    return both.select("row", "text", "items").mapInArrow(check, "row long, item_ids array<long>, n_runs long, n_changed long, best_share double")
+
+
+@lru_cache(maxsize=1024)
+def _index(items: tuple[tuple[int, str], ...]) -> Index:
+    return Index(list(items))
+
+
+def _searched(df: DataFrame, benchmark: DataFrame, keep_text: bool) -> tuple[DataFrame, DataFrame, str]:
+    """(df's rows with a row key, written; the finds of those that have any; the key's name)."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = materialize(items.withColumn("item", F.xxhash64("item_id", "text")))
+    rows = materialize(item_rows(items))
+    key = unused(df, "row")
+    name = unused(df, "windows")
+    seen = probed(df.withColumn(key, F.monotonically_increasing_id()), Filter(rows), name)
+    if not keep_text:
+        seen = seen.withColumn("text", F.when(F.col(name).isNotNull(), F.col("text")))
+    seen = materialize(seen)
+    some = seen.where(F.col(name).isNotNull()).select(F.col(key).alias("row"), "text", F.col(name).alias("windows"))
+    windows = small_side(materialize(rows.where(F.col("kind") == WIN).select("h", "item").distinct()))
+    return seen.drop(name), materialize(found_items(some, items, windows)), key
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: contaminated, the ids of the items found (sorted, distinct), the runs' number and kinds, and the best share."""
+    docs, found, _ = _searched(df.select("doc_id", "text"), benchmark, False)
+    out = docs.select("doc_id", "row").join(small_side(found), "row", "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", F.col("n_runs").isNotNull().alias("contaminated"), F.coalesce(F.array_join("item_ids", ","), F.lit("")).alias("item_ids"), F.coalesce("n_runs", none).alias("n_runs"), F.coalesce("n_changed", none).alias("n_changed"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"))
+
+
+def without_benchmark(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """df's rows in which no item is found, in df's columns."""
+    docs, found, key = _searched(df, benchmark, True)
+    gone = small_side(materialize(found.select(F.col("row").alias(key))))
+    return docs.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

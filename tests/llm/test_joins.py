@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.decontaminate import Index, canonical, decontaminate
+from lodestone.llm import common
+from lodestone.llm.decontaminate import Filter, Index, canonical, decontaminate, item_rows, without_benchmark
 from lodestone.llm.line_dedup import dedup_lines, edit_distance, line_verdicts
 from lodestone.llm.lm_score import lm_score
 from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample
@@ -245,7 +246,7 @@ def test_templates():
     assert kind("nothing of the kind stands here at all today") == []
 
 
-def test_decontamination_against_brute_force(spark, docs):
+def test_decontamination_against_brute_force(spark, docs, monkeypatch):
     r = random.Random(5)
     vocab = [f"{a}{b}" for a in "abcdef" for b in "uvwxyz"]
     items = [(k, " ".join(r.choices(vocab, k=r.randint(10, 30)))) for k in range(12)]
@@ -258,8 +259,9 @@ def test_decontamination_against_brute_force(spark, docs):
         want[i] = ",".join(map(str, sorted(k for k, _ in some)))
     d = docs(rows + [(99, None)])
     b = spark.createDataFrame(items + [(50, None), (51, "")], "item_id long, text string")
-    for small in (200_000, 40):
-        got = {x.doc_id: x.item_ids for x in decontaminate(d, b, small).collect()}
+    for small in (200_000, 0):  # by broadcasts, and by shuffles alone
+        monkeypatch.setattr(common, "SMALL", small)
+        got = {x.doc_id: x.item_ids for x in decontaminate(d, b).collect()}
         assert got == want | {99: ""}
     assert decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
@@ -288,12 +290,36 @@ def test_items_with_inserted_and_missing_words():
     assert found(f"{item}. {item.replace('morning ', '')}. {item}") == [(1, "exact"), (1, "changed"), (1, "exact")]
 
 
-def test_decontamination_in_parts_keeps_rows(spark, docs):
+def test_decontamination_keeps_rows(spark, docs, monkeypatch):
     items = [(k, " ".join(f"{a}{'uvwxyz'[k]}x" for a in "abcdefghijkl")) for k in range(6)]
     d = docs([(1, items[0][1]), (1, items[3][1]), (1, "nothing"), (None, items[2][1]), (None, None), (None, items[5][1])])
-    b = spark.createDataFrame(items, "item_id long, text string")
-    whole, parts = (sorted((str(x.doc_id), x.item_ids, x.n_runs) for x in decontaminate(d, b, small).collect()) for small in (200_000, 20))
-    assert len(whole) == 6 and whole == parts and [x[1] for x in whole] == ["", "0", "3", "", "2", "5"]
+    b = spark.createDataFrame(items + [(9, items[5][1]), (9, items[5][1])], "item_id long, text string")
+    for small in (200_000, 0):
+        monkeypatch.setattr(common, "SMALL", small)
+        got = sorted((str(x.doc_id), x.item_ids, x.n_runs) for x in decontaminate(d, b).collect())
+        assert [x[1] for x in got] == ["", "0", "3", "", "2", "5,9"]
+        left = d.withColumn("row", F.lit("x")).withColumn("windows", F.lit("y"))
+        kept = without_benchmark(left, b)
+        assert kept.columns == left.columns and sorted((str(x.doc_id), x.text, x.row, x.windows) for x in kept.collect()) == [("1", "nothing", "x", "y"), ("None", None, "x", "y")]
+
+
+def test_the_filter_loses_no_window(spark):
+    """Windows of the filter against all windows of the index, on texts full of the benchmark's words and odd characters."""
+    r = random.Random(41)
+    vocab = ["tom", "Ann", "has", "pears", "three", "é", "über", "naïve", "the", "of", "river", "km"]
+    items = [(k, " ".join(r.choice(vocab) if r.random() < 0.8 else str(r.randint(1, 99)) for _ in range(r.choice([3, 12, 20])))) for k in range(25)]
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.col("item_id"))
+    chosen, index = Filter(item_rows(b)), Index(items)
+    glue = [" ", " ", ", ", ". ", "—", "“", "-", "_", "÷", "’", " 3.5 ", "\n"]
+    hits = 0
+    for _ in range(400):
+        text = "".join(x for _ in range(r.randint(3, 40)) for x in (r.choice([*vocab, r.choice(items)[1], "zebra", "x1y2"]), r.choice(glue)))
+        text = r.choice([text, text.upper(), text.title()])
+        found = index.matches(text)
+        hits += bool(found)
+        if found:
+            assert chosen.plausible([text.encode()])[0] and chosen.windows(text), text
+    assert hits > 50
 
 
 def test_raking_meets_the_marginals(spark, docs):
