@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one vectorised step in a Python worker takes; one longer text is one step.
 STEP_BYTES = 1 << 20
@@ -98,8 +100,19 @@ def map_texts(df: DataFrame, f: Callable[[list, list[bytes]], dict], schema: str
     return df.select(*cols).mapInArrow(run, schema)
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def with_texts(df: DataFrame, name: str, kind: DataType, f: Callable[[list[bytes]], list]) -> DataFrame:
+    """df's columns and one more, f of its texts (null as empty), without a join or a shuffle."""
+    at, arrow = df.columns.index("text"), to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, done = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], 0
+            for _, some in steps(texts, texts):
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(some)).columns, pa.array(f(some), arrow)], [*batch.schema.names, name])
+                done += len(some)
 
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)]))
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))

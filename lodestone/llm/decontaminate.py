@@ -31,9 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import materialize, small_side, steps, unused
+from .common import materialize, small_side, unused, with_texts
 from .words import ALNUM, mix, words
 
 WINDOW, COVER, DRIFT = 8, 0.6, 8
@@ -311,19 +311,8 @@ class Filter:
 
 def probed(df: DataFrame, chosen: Filter, name: str) -> DataFrame:
     """df's columns and the windows of its text that may be an item's (null if none)."""
-    at = df.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            done = 0
-            for _, some in steps(texts, texts):
-                found = [chosen.windows(t.decode("utf-8", "replace")) or None if y else None for t, y in zip(some, chosen.plausible(some).tolist(), strict=True)]
-                part = batch.slice(done, len(some))
-                done += len(some)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, name])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(LongType()))]))
+    found = lambda texts: [chosen.windows(t.decode("utf-8", "replace")) or None if y else None for t, y in zip(texts, chosen.plausible(texts).tolist(), strict=True)]
+    return with_texts(df, name, ArrayType(LongType()), found)
 
 
 def found_items(rows: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:

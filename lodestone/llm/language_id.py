@@ -20,8 +20,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import fold, map_texts
+from .common import fold, map_texts, with_texts
 
 PIECE = 256
 #: Places that a state tries before it goes behind all others.
@@ -257,21 +258,26 @@ def _cleaned(parser: Parser, pieces: dict, kept: dict, chars: int) -> dict[str,
 def language_id(df: DataFrame, parser: Parser) -> DataFrame:
     """One row per document: held_out, lang_pred, score (how far the second language's ratio lies above the first's, 0 to 1), and the ratio."""
 
-    def run(ids, texts):
-        coded, lettered = zip(*(parser.codes(t.decode("utf-8", "replace")) for t in texts), strict=True)
-        if not parser.langs:
-            return {"doc_id": ids, "lang_pred": ["und"] * len(ids), "score": [0.0] * len(ids), "ratio": [None] * len(ids)}
-        rate = parser.rate(list(coded))
-        best = rate.argmin(1)
-        ordered = np.sort(rate, 1)
-        margin = np.ones(len(ids)) if rate.shape[1] < 2 else 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1e-9)
-        score = np.clip(0.5 + margin, 0, 1)
-        return {
-            "doc_id": ids,
-            "lang_pred": [parser.langs[b] if y else "und" for b, y in zip(best.tolist(), lettered, strict=True)],
-            "score": [float(s) if y else 0.0 for s, y in zip(score, lettered, strict=True)],
-            "ratio": [float(r) if y else None for r, y in zip(ordered[:, 0], lettered, strict=True)],
-        }
-
-    out = map_texts(df, run, "doc_id long, lang_pred string, score double, ratio double")
+    out = map_texts(df, lambda ids, texts: {"doc_id": ids, **_decided(parser, texts)}, "doc_id long, lang_pred string, score double, ratio double")
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.col("ratio").alias("phrase_ratio"))
+
+
+def with_language(df: DataFrame, parser: Parser, name: str) -> DataFrame:
+    """df's columns and the language of each row's text."""
+    return with_texts(df, name, StringType(), lambda texts: _decided(parser, texts)["lang_pred"])
+
+
+def _decided(parser: Parser, texts: list[bytes]) -> dict:
+    coded, lettered = zip(*(parser.codes(t.decode("utf-8", "replace")) for t in texts), strict=True)
+    if not parser.langs:
+        return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "ratio": [None] * len(texts)}
+    rate = parser.rate(list(coded))
+    best = rate.argmin(1)
+    ordered = np.sort(rate, 1)
+    margin = np.ones(len(texts)) if rate.shape[1] < 2 else 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1e-9)
+    score = np.clip(0.5 + margin, 0, 1)
+    return {
+        "lang_pred": [parser.langs[b] if y else "und" for b, y in zip(best.tolist(), lettered, strict=True)],
+        "score": [float(s) if y else 0.0 for s, y in zip(score, lettered, strict=True)],
+        "ratio": [float(r) if y else None for r, y in zip(ordered[:, 0], lettered, strict=True)],
+    }

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, steps
 from .pitman_yor import sweep
-from .words import END, U, mix, words
+from .words import END, U, get48, mix, put48, words
 
 #: Tokens of a flush or pack, training tokens of a shard, and the largest number of contexts that are split.
 PACK, SHARD, HOT = 1 << 20, 1 << 20, 1 << 16
@@ -111,15 +111,6 @@ def _short(h: np.ndarray) -> np.ndarray:
     return h >> U(16)
 
 
-def _put48(w: np.ndarray) -> bytes:
-    return (w >> U(16)).astype(np.uint32).tobytes() + (w & U(0xFFFF)).astype(np.uint16).tobytes()
-
-
-def _get48(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, np.uint32, n).astype(U) << U(16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(U)
-
-
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a 64-bit hash, in the hash's order."""
     return ((h >> U(32)) * U(shards) >> U(32)).astype(np.int64)
@@ -199,7 +190,7 @@ def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarra
             p, out = Pairs(doc, h, shards, hot, parts), Rows()
             short = _short(p.words)
             for k, a, b, v, n in p.segments(shards):
-                out.add(k, MODEL, 0, v.tobytes() + n.tobytes(), _put48(short[p.w[a:b]]), p.times[a:b].astype(np.uint32).tobytes())
+                out.add(k, MODEL, 0, v.tobytes() + n.tobytes(), put48(short[p.w[a:b]]), p.times[a:b].astype(np.uint32).tobytes())
             yield out.batch()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +198,7 @@ def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarra
         for a, b, t in zip(rows["a"], rows["b"], rows["c"], strict=True):
             k = len(a) // 12
             v.append(np.repeat(np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k)))
-            w.append(_get48(b))
+            w.append(get48(b))
             c.append(np.frombuffer(t, np.uint32))
         v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c).astype(np.int64)
         by = np.lexsort((w, v))
@@ -218,13 +209,13 @@ def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarra
         contexts, room = np.unique(v, return_inverse=True)
         singles = np.bincount(room[one], minlength=len(contexts)).astype(np.uint32)
         more = np.bincount(room[~one], minlength=len(contexts)).astype(np.uint32)
-        out.add(rows["key"].iloc[0], MODEL, 0, contexts.tobytes() + singles.tobytes() + more.tobytes(), _put48(w[~one]), c[~one].astype(np.uint32).tobytes(), one.sum(), (c == 2).sum())
+        out.add(rows["key"].iloc[0], MODEL, 0, contexts.tobytes() + singles.tobytes() + more.tobytes(), put48(w[~one]), c[~one].astype(np.uint32).tobytes(), one.sum(), (c == 2).sum())
         # Dishes of one customer are found again among the pairs that are asked for: kept as words, by context.
-        out.add(rows["key"].iloc[0], SINGLES + 100, 0, _put48(w[one]))
+        out.add(rows["key"].iloc[0], SINGLES + 100, 0, put48(w[one]))
         for kind, some in ((SINGLES, w[one]), (ASKED, w[~one])):
             u, n = np.unique(some, return_counts=True)
             for k, a, b in _dealt(_shard(u << U(16), shards), shards):
-                out.add(k, kind, rows["key"].iloc[0], _put48(u[a:b]), n[a:b].astype(np.uint32).tobytes())
+                out.add(k, kind, rows["key"].iloc[0], put48(u[a:b]), n[a:b].astype(np.uint32).tobytes())
         return out.frame()
 
     return _grouped(_text_only(train).mapInArrow(deal, ROW), count)
@@ -238,9 +229,9 @@ def parents(rows: DataFrame, vocabulary: int, total: float, d: float, seed: int)
         short, c = _short(h), np.zeros(len(h))
         asked = {}
         for src, a, n in _of(rows, ASKED)[["src", "a", "b"]].itertuples(index=False):
-            asked[src] = np.searchsorted(short, _get48(a)), np.frombuffer(n, np.uint32)
+            asked[src] = np.searchsorted(short, get48(a)), np.frombuffer(n, np.uint32)
         for a, n in _of(rows, SINGLES)[["a", "b"]].itertuples(index=False):
-            np.add.at(c, np.searchsorted(short, _get48(a)), np.frombuffer(n, np.uint32))
+            np.add.at(c, np.searchsorted(short, get48(a)), np.frombuffer(n, np.uint32))
         seated = dict(_of(rows, TABLES)[["src", "a"]].itertuples(index=False))
         for src, (at, n) in asked.items():  # before the first round each dish has one table
             np.add.at(c, at, np.frombuffer(seated[src], np.float32) if src in seated else n)
@@ -281,7 +272,7 @@ def priors(rows: DataFrame, parent: Parent) -> DataFrame:
         p, out = _parent_of(rows, parent), Rows()
         short = _short(h)
         for src, a in _of(rows, ASKED)[["src", "a"]].itertuples(index=False):
-            out.add(src, PRIOR, rows["key"].iloc[0], p[np.searchsorted(short, _get48(a))].astype(np.float64).tobytes())
+            out.add(src, PRIOR, rows["key"].iloc[0], p[np.searchsorted(short, get48(a))].astype(np.float64).tobytes())
         return out.frame()
 
     return _grouped(rows, run)
@@ -293,7 +284,7 @@ def _model(rows: pd.DataFrame):
     k = len(row["a"]) // 16
     contexts = np.frombuffer(row["a"], U, k)
     singles, more = np.frombuffer(row["a"], np.uint32, 2 * k, 8 * k).reshape(2, k).astype(np.int64)
-    return contexts, singles, more, _get48(row["b"]), np.frombuffer(row["c"], np.uint32).astype(np.int64)
+    return contexts, singles, more, get48(row["b"]), np.frombuffer(row["c"], np.uint32).astype(np.int64)
 
 
 def seatings(rows: DataFrame, shards: int, d: float, hot: np.ndarray, elsewhere: np.ndarray, seed: int) -> DataFrame:
@@ -373,7 +364,7 @@ def _asks(model_shards: int, hot: np.ndarray, parts: np.ndarray):
             out.add(k, ASK_WORDS, pack, p.words[a:b].tobytes())
         short = _short(p.words)
         for k, a, b, v, n in p.segments(model_shards):
-            out.add(model_shards + k, ASK_PAIRS, pack, v.tobytes() + n.tobytes(), _put48(short[p.w[a:b]]))
+            out.add(model_shards + k, ASK_PAIRS, pack, v.tobytes() + n.tobytes(), put48(short[p.w[a:b]]))
         return out.frame()
 
     return ask
@@ -397,7 +388,7 @@ def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.
         out = Rows()
         if len(_of(rows, MODEL)):
             contexts, singles, more, w, c = _model(rows)
-            alone = _get48(_of(rows, SINGLES + 100)["a"].iloc[0])
+            alone = get48(_of(rows, SINGLES + 100)["a"].iloc[0])
             mean = np.frombuffer(_of(rows, SEATED)["a"].iloc[0], np.float32)
             room = np.repeat(np.arange(len(contexts)), more)
             tables = singles + np.bincount(room, mean, len(contexts))
@@ -416,7 +407,7 @@ def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.
             contexts, keys = np.zeros(0, U), np.zeros(0, U)
         for src, a, b in _of(rows, ASK_PAIRS)[["src", "a", "b"]].itertuples(index=False):
             k = len(a) // 12
-            v, n, w = np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k), _get48(b)
+            v, n, w = np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k), get48(b)
             share, rest = np.zeros(len(w), np.float32), np.ones(k, np.float32)
             if len(contexts):
                 at = np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)

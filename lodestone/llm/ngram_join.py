@@ -28,10 +28,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import map_texts, materialize, steps
+from .common import map_texts, materialize, small_side, steps, unused, with_texts
 from .components import components
-from .words import U, mix, words
+from .words import MASK48, U, get48, mix, put48, words
 
 #: N-grams of a counting bucket, of a map task's flush, and of a meeting's block.
 BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 1 << 19
@@ -100,6 +101,10 @@ def shared(df: DataFrame, buckets: int, width: int = 4, hot: dict[int, int] | No
     """
     hot_h = np.array(sorted(hot or {}), np.int64)
     hot_df = np.array([hot[h] for h in hot_h.tolist()], np.int64) if hot else np.zeros(0, np.int64)
+    bucket_of = lambda h: ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    # Six bytes of an n-gram travel; its bucket tells as much of the other two as there are buckets.
+    named = lambda b, low: (b.astype(U) * U(1 << 16) // U(buckets) << U(48) | low).view(np.int64)
+    hot_name = named(bucket_of(hot_h.view(U)), hot_h.view(U) & MASK48) if len(hot_h) else hot_h
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -108,10 +113,12 @@ def shared(df: DataFrame, buckets: int, width: int = 4, hot: dict[int, int] | No
 
         def flush():
             order, docs = np.concatenate(held), np.repeat(np.arange(len(held)), [len(s) for s in held])
-            b = ((order >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            b, low = bucket_of(order), order & MASK48
             if len(hot_h):
-                of_class = np.fromiter(names, np.int64, len(names))[docs] % buckets + buckets
-                b = np.where(np.isin(order.view(np.int64), hot_h), of_class, b)
+                at = np.minimum(np.searchsorted(hot_h, order.view(np.int64)), len(hot_h) - 1)
+                is_hot = hot_h[at] == order.view(np.int64)
+                b = np.where(is_hot, np.fromiter(names, np.int64, len(names))[docs] % buckets + buckets, b)
+                low = np.where(is_hot, at.astype(U), low)
             by = np.argsort(b, kind="stable")
             at = np.arange(2 * buckets + 1)
             cut = np.searchsorted(b[by], at)
@@ -121,7 +128,9 @@ def shared(df: DataFrame, buckets: int, width: int = 4, hot: dict[int, int] | No
             cls, n = np.fromiter(names, np.int64, len(names))[pair % len(held)], np.fromiter(names.values(), np.int32, len(names))[pair % len(held)]
             have = np.flatnonzero(np.diff(cut))
             part = lambda a, c: pa.array([a[c[k] : c[k + 1]].tobytes() for k in have], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), part(order[by], cut), part(cls, cut2), part(n, cut2), part(times.astype(np.int32), cut2)], ["bucket", "h", "cls", "n", "times"])
+            low = low[by]
+            grams = pa.array([put48(low[cut[k] : cut[k + 1]]) for k in have], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), grams, part(cls, cut2), part(n, cut2), part(times.astype(np.int32), cut2)], ["bucket", "h", "cls", "n", "times"])
 
         for batch in batches:
             for _, texts in steps([None] * batch.num_rows, batch.column(0).to_pylist()):
@@ -137,14 +146,16 @@ def shared(df: DataFrame, buckets: int, width: int = 4, hot: dict[int, int] | No
             yield flush()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        h, cls = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("h", "cls"))
+        bucket, cls = int(rows["bucket"].iloc[0]), np.frombuffer(b"".join(rows["cls"]), np.int64)
+        low = np.concatenate([get48(x) for x in rows["h"]])
+        h = hot_name[low.astype(np.int64)] if bucket >= buckets else named(np.full(1, bucket), low)
         n, times = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("n", "times"))
         cls, n = np.repeat(cls, times), np.repeat(n, times)
-        if rows["bucket"].iloc[0] >= buckets:  # hot n-grams of some classes: each pair once
+        if bucket >= buckets:  # hot n-grams of some classes: each pair once
             by = np.lexsort((h, cls))
-            first = np.append(True, (cls[by][1:] != cls[by][:-1]) | (h[by][1:] != h[by][:-1]))
-            h, cls, n = h[by][first], cls[by][first], n[by][first]
-            return pd.DataFrame({"cls": cls, "n": n, "h": h, "df": np.minimum(hot_df[np.searchsorted(hot_h, h)], np.iinfo(np.int32).max).astype(np.int32)})
+            by = by[np.append(True, (cls[by][1:] != cls[by][:-1]) | (h[by][1:] != h[by][:-1]))]
+            df_ = np.minimum(hot_df[low[by].astype(np.int64)], np.iinfo(np.int32).max)
+            return pd.DataFrame({"cls": cls[by], "n": n[by], "h": h[by], "df": df_.astype(np.int32)})
         by = np.argsort(h, kind="stable")
         hs = h[by]
         same = hs[1:] == hs[:-1]
@@ -331,13 +342,44 @@ def links(df: DataFrame, total: int, percent: int = 85, width: int = 4, hot: dic
     return edges.union(materialize(rest))
 
 
-def ngram_join(df: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
+def _joined(df: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles and cls of each row, written; cls, least doc_id and root of each class)."""
     docs = materialize(class_of(df, width))
     classes = docs.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(links(df, int(total), percent, width, hot_grams(docs)))
-    named = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    return docs, classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+
+
+def ngram_join(df: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
+    docs, named = _joined(df, percent, width)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = named.join(least, "root").select("cls", "component_id")
     return docs.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_groups(df: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+    """The rows of df of which one is left of each component: that of its smallest doc_id (any one if all are null); texts without a set stay.
+
+    Rows that share their doc_id, or have none, are told apart by a key that is written with them.
+    """
+    docs, named = _joined(df, percent, width)
+    rows = docs.select("doc_id", "cls").join(named.select("cls", "root"), "cls", "left")
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    count = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    odd = materialize(count.where((F.col("rows") > 1) | F.col("doc_id").isNull()).select("doc_id"))
+    gone = rows.join(first, "root").where(F.col("doc_id") != F.col("first")).select("doc_id").distinct()
+    if not odd.limit(1).count():
+        return df.join(small_side(materialize(gone)), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    same = unused(df, "same")
+    key, cls = unused(df, "key"), unused(df, "cls")
+    odd = small_side(odd).withColumnRenamed("doc_id", same)
+    is_odd = df["doc_id"].eqNullSafe(F.col(same))
+    plain = df.join(odd, is_odd, "left_anti").join(small_side(materialize(gone)), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    held = with_texts(df.join(odd, is_odd, "left_semi").withColumn(key, F.monotonically_increasing_id()), cls, LongType(), lambda texts: [signature(s) if len(s) else None for s in shingle_sets(texts, width)])
+    held = materialize(held)
+    mine = held.select(F.col(key).alias("key"), F.col(cls).alias("cls"), "doc_id").join(named.select("cls", "root"), "cls").join(first, "root")
+    one = mine.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("root").agg(F.min("key").alias("key"))
+    lost = materialize(mine.select("key").join(one.select("key"), "key", "left_anti").withColumnRenamed("key", key))
+    return plain.unionByName(held.join(small_side(lost), key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns)))

@@ -17,6 +17,14 @@ from .secret_scan import secret_scan
 from .toxicity import toxicity, train_toxicity
 
 
+#: The mixture that op6 and the pipeline aim at: shares of the tokens by language, topic and source. Sources that aren't named share what is left.
+TARGETS = {
+    "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.15, "none": 0.02, "other": 0.03},
+    "topic": {f"topic{k}": 0.125 for k in range(8)},
+    "source": {**{f"src{k}": 0.04 for k in range(20)}, "other": 0.2},
+}
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -40,8 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing(docs, fit(docs))
+    return mixing(fit(table(spark, sf_dir, "documents"), TARGETS))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

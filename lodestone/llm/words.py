@@ -62,3 +62,16 @@ def words(texts: list[bytes], kind: np.ndarray = SPACED, lower: bool = True, has
                 s, e = start[a:b] - lo, end[a:b] - lo
                 h[a:b] = mix((total[e] - total[s]) * inverse[s] + U(1))
     return doc, start, end, h, data
+
+
+MASK48 = U((1 << 48) - 1)
+
+
+def put48(x: np.ndarray) -> bytes:
+    """Numbers below 2^48, six bytes each."""
+    return (x >> U(16)).astype(np.uint32).tobytes() + (x & U(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def get48(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(U) << U(16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(U)

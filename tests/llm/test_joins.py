@@ -13,8 +13,9 @@ from lodestone.llm import common
 from lodestone.llm.decontaminate import Filter, Index, canonical, decontaminate, item_rows, without_benchmark
 from lodestone.llm.line_dedup import dedup_lines, edit_distance, line_verdicts
 from lodestone.llm.lm_score import lm_score
-from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample
-from lodestone.llm.ngram_join import meet, ngram_join
+from lodestone.llm.words import words
+from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample, uniform
+from lodestone.llm.ngram_join import first_of_groups, meet, ngram_join
 from lodestone.llm.pitman_yor import log_stirling, seat, sweep
 
 
@@ -329,13 +330,35 @@ def test_raking_meets_the_marginals(spark, docs):
     p = calibrate(tokens, w, 0.5)
     assert abs(sum(p[k] * tokens[k] for k in tokens) - 0.5 * sum(tokens.values())) < 1e-3 and max(p.values()) <= 1
     r = random.Random(6)
-    d = docs([(i, "word " * r.randint(1, 40), r.choice(["en", "de", "de", None])) for i in range(400)] + [(500, None)])
-    mix = fit(d, {"lang": {"en": 0.5, "de": 0.4, "none": 0.1}})
-    assert abs(mix.marginal("lang")["en"] - 0.5) < 1e-6
-    out = mixing(d, mix)
-    assert out.count() == 401 and sample(d, mix).columns == d.columns
-    assert sample(d, mix).count() == out.where("sampled").count()
-    assert mixing(d.limit(0), fit(d.limit(0))).count() == 0
+    themes = [[f"{c}{k}" for k in range(40)] for c in "abc"]
+    d = docs([(i, " ".join(r.choices(themes[i % 3], k=r.randint(1, 40))), r.choice(["en", "de", "de", None])) for i in range(1500)] + [(5000, None), (None, "x y")])
+    mix = fit(d, {"lang": {"en": 0.5, "de": 0.4, "none": 0.1}}, budget=0.02)
+    assert abs(mix.marginal("lang")["en"] - 0.5) < 1e-6 and sum(x[3] for x in mix.rows if x[5] == 1) < 0.01 * sum(x[3] for x in mix.rows)
+    out = mixing(mix).collect()
+    assert len(out) == 1502 and sample(d, mix).columns == d.columns
+    assert sorted(str(x.doc_id) for x in sample(d, mix).collect()) == sorted(str(x.doc_id) for x in out if x.sampled)
+    # What is expected meets the targets but for cells that are taken whole, what is sampled about so; each token's weight adds up.
+    expected, got = collections.Counter(), collections.Counter()
+    for x in out:
+        expected[x.lang_cell] += x.probability * x.n_tokens
+        got[x.lang_cell] += x.sampled * x.n_tokens
+    assert abs(expected["en"] / sum(expected.values()) - 0.5) < 0.02 and got["en"] > 0
+    assert abs(sum(x.token_weight * x.n_tokens for x in out) - 1) < 1e-9
+    chance = lambda x: x.probability / 0.02 * 0.3  # a larger draw of the same proportions, by the same numbers of the ids
+    u = {r.doc_id: r.u for r in d.select("doc_id", uniform().alias("u")).collect()}
+    got = collections.Counter()
+    for x in out:
+        got[x.lang_cell] += (u[x.doc_id] < chance(x)) * x.n_tokens
+    assert abs(got["en"] / sum(got.values()) - 0.5) < 0.12
+    # Topics follow the themes: almost all texts of a theme that are long enough have topics that no other theme has.
+    of = collections.defaultdict(collections.Counter)
+    for x in out:
+        if x.n_tokens >= 8:
+            of[x.topic_cell][x.doc_id % 3] += 1
+    assert sum(max(c.values()) for c in of.values()) >= 0.95 * sum(sum(c.values()) for c in of.values())
+    brute = [[sum(float(mix.topics.word[int(h) >> 52, k]) for h in words(["a1 b2 c3 a1".encode()])[3]) + mix.topics.share[k] for k in range(8)]]
+    assert mix.topics.of([b"a1 b2 c3 a1"]) == ([f"topic{int(np.argmax(brute[0]))}"], [4])
+    assert mixing(fit(d.limit(0))).count() == 0
 
 
 def test_lm_base_against_brute_force(docs):
@@ -453,7 +476,7 @@ def test_seating_follows_the_exact_distribution():
 def test_edge_rows_have_results(spark, edge):
     b = spark.createDataFrame([(1, "some item text that is long enough to match")], "item_id long, text string")
     empty = edge.limit(0)
-    for f in (line_verdicts, ngram_join, lm_score, lambda d: decontaminate(d, b), lambda d: mixing(d, fit(d))):
+    for f in (line_verdicts, ngram_join, lm_score, lambda d: decontaminate(d, b), lambda d: mixing(fit(d))):
         assert f(edge).count() == edge.count()
         assert f(empty).count() == 0
     assert dedup_lines(empty).count() == 0
@@ -505,3 +528,18 @@ def test_reserved_names_are_kept(spark):
     got = {r.doc_id: r for r in dedup_lines(df, min_chars=1).collect()}
     assert got[2].text == "something else" and tuple(got[2])[4:] == tuple("abcdef") and got[None].text is None
     assert got[1].asDict().keys() == set(df.columns)
+    more = df.withColumns({n: F.lit(n) for n in ("source_cell", "lang_cell", "topic_cell", "token_weight", "probability", "found", "same", "cls", "tokens")})
+    for out in (sample(more, fit(more, budget=1.0)), first_of_groups(more)):
+        assert out.columns == more.columns and all(r.found == "found" and r.cls == "cls" for r in out.collect()) and out.count() == 3
+
+
+def test_one_row_of_each_group(docs):
+    r = random.Random(51)
+    base = [[f"w{r.randrange(200)}" for _ in range(50)] for _ in range(6)]
+    near = lambda k: " ".join([*base[k][:25], f"z{r.randrange(9)}", *base[k][26:]])
+    texts = [(i, near(i % 6)) for i in range(30)] + [(3, near(0)), (3, near(0)), (None, near(1)), (None, "only here " * 9), (None, "only here " * 9), (None, None), (None, None), (70, ""), (71, "x"), (71, "x")]
+    kept = first_of_groups(docs(texts), 60, 5).collect()
+    ids = [x.doc_id for x in kept]
+    assert sorted(str(i) for i in ids) == sorted(map(str, [0, 1, 2, 3, 4, 5, 70, 71, None, None, None]))
+    plain = first_of_groups(docs(texts[:30]), 60, 5)
+    assert sorted(x.doc_id for x in plain.collect()) == [0, 1, 2, 3, 4, 5]
