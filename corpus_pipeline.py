@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, mixing.
 
 Each stage takes what the one before kept, written as Parquet and read again; all but the last return the columns of
-documents. Rows without a doc_id share one verdict where a stage joins its verdicts by id.
+documents. Verdicts belong to rows: rows that repeat an id, or have none, are judged each on its own, but for line
+dedup, where rows without an id keep all lines, and mixing, where documents of one id share their fate.
 """
 
 from __future__ import annotations
@@ -9,23 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
-from lodestone.llm.decontaminate import decontaminate
-from lodestone.llm.language_id import language_id, train_languages
+from lodestone.llm.common import materialize, table, unused
+from lodestone.llm.decontaminate import without_benchmark
+from lodestone.llm.language_id import train_languages, with_language
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import fit, sample
-from lodestone.llm.ngram_join import ngram_join
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+from lodestone.llm.ngram_join import first_of_groups
+from lodestone.llm.queries import TARGETS
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go."""
-    return _only(docs, language_id(docs, train_languages(docs)).where(F.col("lang_pred") != "und"))
+    name = unused(docs, "language")
+    return with_language(docs, train_languages(docs), name).where(F.col(name) != "und").drop(name)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of linked ones: five words, a similarity of 0.8 or more."""
-    found = ngram_join(docs, percent=80, width=5)
-    return _only(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """One document of each group of linked ones, that of the smallest id: five words, a similarity of 0.8 or more."""
+    return first_of_groups(docs, percent=80, width=5)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's passage."""
-    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the raked mixture samples."""
-    return sample(docs, fit(docs))
+    return sample(docs, fit(docs, TARGETS))
 
 
 STAGES = [
