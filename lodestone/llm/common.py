@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """Like materialize, with a folder for each value of the columns `by`, and the table's path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes written tables that no later step reads, and lets the JVM notice that the shuffles which led to them are unused, so that executors drop their files."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 #: Rows of a few numbers that may be broadcast; larger sides are shuffled.
 SMALL = 200_000
 

@@ -13,7 +13,7 @@ that hold them are dealt over shards whose number grows with the texts.
    after burn-in. Each shard sees the others' tables as of the round before. Discounts follow from the numbers of dishes
    with one and two customers.
 3. Texts are grouped into packs. A pack asks the shards for its distinct words and pairs, and gets back, in the same
-   order, counts and predictive terms; the text's score is the sum over its tokens.
+   order, counts and predictive terms; the text's score is the sum over its tokens. Packs are answered in BLOCKS parts.
 
 Words of contexts are told apart by 48 bits of their hash, words themselves by 64. Edge cases: a null text is an empty
 one: its one token is the end; a null doc_id counts as fold 0; without training rows every count is 0 and both models are
@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, steps
+from .common import discard, fold, materialize, steps, written
 from .pitman_yor import sweep
 from .words import END, U, get48, mix, put48, words
 
 #: Tokens of a flush or pack, training tokens of a shard, and the largest number of contexts that are split.
-PACK, SHARD, HOT = 1 << 20, 1 << 20, 1 << 16
+PACK, SHARD, HOT = 1 << 19, 1 << 20, 1 << 16
+#: Parts of the packs that are scored one after the other, so that what they ask and are answered is never on disk as a whole.
+BLOCKS = 6
 ROW = "key long, kind int, src long, a binary, b binary, c binary, x double, y double"
-WORDS, SINGLES, ASKED, MODEL, PARENT, PRIOR, TABLES, SEATED, ASK_WORDS, ASK_PAIRS = range(10)
+WORDS, SINGLES, ASKED, MODEL, PARENT, PRIOR, TABLES, SEATED, ASK_WORDS, ASK_PAIRS, ALONE = range(11)
 STRENGTH, SWEEPS, BURN = 1.0, 6, 2
 
 
@@ -128,10 +130,17 @@ class Pairs:
 
     def __init__(self, doc: np.ndarray, h: np.ndarray, shards: int, hot: np.ndarray, parts: np.ndarray):
         self.words, ids = np.unique(h, return_inverse=True)
-        before = np.full(len(h), np.searchsorted(self.words, END), np.int64)
-        before[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], before[1:])
-        pair, inverse, times = np.unique(before << 32 | ids, return_inverse=True, return_counts=True)
-        v, w = pair >> 32, pair & 0xFFFFFFFF
+        pair = np.full(len(h), np.searchsorted(self.words, END), np.int64)
+        pair[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], pair[1:])
+        pair <<= 32
+        pair |= ids
+        self.ids = ids.astype(np.int32)
+        del ids
+        pair, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
+        self.inverse, times = inverse.astype(np.int32), times.astype(np.uint32)
+        del inverse
+        v, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        del pair
         shard = _shard(self.words, shards)[v]
         if len(hot):
             at = np.minimum(np.searchsorted(hot, self.words), len(hot) - 1)
@@ -142,7 +151,6 @@ class Pairs:
                 shard[some] = _shard(mix(self.words[v[some]] + part * U(0x9E3779B97F4A7C15)), shards)
         self.by = np.argsort(shard, kind="stable")
         self.v, self.w, self.times, self.shard = v[self.by], w[self.by], times[self.by], shard[self.by]
-        self.ids, self.before, self.inverse = ids, before, inverse
 
     def segments(self, shards: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """(shard, from, to, contexts, pairs of each context)."""
@@ -190,7 +198,7 @@ def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarra
             p, out = Pairs(doc, h, shards, hot, parts), Rows()
             short = _short(p.words)
             for k, a, b, v, n in p.segments(shards):
-                out.add(k, MODEL, 0, v.tobytes() + n.tobytes(), put48(short[p.w[a:b]]), p.times[a:b].astype(np.uint32).tobytes())
+                out.add(k, MODEL, 0, v.tobytes() + n.tobytes(), put48(short[p.w[a:b]]), p.times[a:b].tobytes())
             yield out.batch()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +219,7 @@ def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarra
         more = np.bincount(room[~one], minlength=len(contexts)).astype(np.uint32)
         out.add(rows["key"].iloc[0], MODEL, 0, contexts.tobytes() + singles.tobytes() + more.tobytes(), put48(w[~one]), c[~one].astype(np.uint32).tobytes(), one.sum(), (c == 2).sum())
         # Dishes of one customer are found again among the pairs that are asked for: kept as words, by context.
-        out.add(rows["key"].iloc[0], SINGLES + 100, 0, put48(w[one]))
+        out.add(rows["key"].iloc[0], ALONE, 0, put48(w[one]))
         for kind, some in ((SINGLES, w[one]), (ASKED, w[~one])):
             u, n = np.unique(some, return_counts=True)
             for k, a, b in _dealt(_shard(u << U(16), shards), shards):
@@ -314,6 +322,27 @@ def seatings(rows: DataFrame, shards: int, d: float, hot: np.ndarray, elsewhere:
     return _grouped(rows, run)
 
 
+def answer_tables(rows: DataFrame, d: float, hot: np.ndarray, hot_c: np.ndarray, elsewhere: np.ndarray) -> DataFrame:
+    """One row for each shard: contexts with what goes to the parent and the customers; ordered keys of the dishes of one customer, and of the others with their customers less discounts."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        contexts, singles, more, w, c = _model(rows)
+        alone, mean = get48(_of(rows, ALONE)["a"].iloc[0]), np.frombuffer(_of(rows, SEATED)["a"].iloc[0], np.float32)
+        room = np.repeat(np.arange(len(contexts)), more)
+        tables, customers = singles + np.bincount(room, mean, len(contexts)), singles + np.bincount(room, c, len(contexts))
+        split = np.flatnonzero(np.isin(contexts, hot)) if len(hot) else np.zeros(0, np.int64)
+        if len(split):
+            at = np.searchsorted(hot, contexts[split])
+            tables[split], customers[split] = elsewhere[at], hot_c[at]
+        back, over = ((STRENGTH + d * tables) / (STRENGTH + customers)).astype(np.float32), (STRENGTH + customers).astype(np.float32)
+        one, others = np.sort(_pair_keys(np.repeat(np.arange(len(contexts)), singles), alone)), _pair_keys(room, w)
+        by, out = np.argsort(others), Rows()
+        out.add(rows["key"].iloc[0], MODEL, 0, contexts.tobytes() + back.tobytes() + over.tobytes(), put48(one), put48(others[by]) + (c - d * mean)[by].astype(np.float32).tobytes())
+        return out.frame()
+
+    return _grouped(rows, run)
+
+
 def _split_tables(seated: DataFrame, hot: np.ndarray) -> np.ndarray:
     """The tables of each split context over all shards; one small row for each shard that has any."""
     out = np.zeros(len(hot))
@@ -326,34 +355,41 @@ class PitmanYorModel:
     """The written tables of a model, and the few numbers that all tasks need."""
 
     def __init__(self, train: DataFrame, rounds: int = 2, seed: int = 17):
-        self.counts = materialize(count_words(train))
-        n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        spark = train.sparkSession
+        counts, counted = written(count_words(train))
+        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(n), int(v)
         self.shards = max(1, -(-self.n // SHARD))
-        top = self.counts.where(F.col("c") > SHARD).orderBy(F.col("c").desc(), "h").limit(HOT).collect()
+        top = counts.where(F.col("c") > SHARD).orderBy(F.col("c").desc(), "h").limit(HOT).collect()
         h, c = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["c"] for r in top], np.int64)
         by = np.argsort(h)
         self.hot, self.hot_c = h[by], c[by]
         self.parts = -(-self.hot_c // SHARD)
-        self.words = materialize(word_rows(self.counts, self.shards))
-        found = materialize(restaurants(train, self.shards, self.hot, self.parts))
-        kind = F.col("kind")
-        self.pairs = found.where(kind.isin(MODEL, SINGLES + 100))
+        self.words, _ = written(word_rows(counts, self.shards))
+        discard(spark, counted)
+        found, place = written(restaurants(train, self.shards, self.hot, self.parts), "kind")
+        discard(spark)
+        kind, old = F.col("kind"), []
         one, two = found.where(kind == MODEL).agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
         self.d = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
-        self.parent, self.seated = None, None
         asked, tables, total = found.where(kind.isin(SINGLES, ASKED)), None, float(self.v)
-        self.elsewhere = np.zeros(len(self.hot))
+        elsewhere, before = np.zeros(len(self.hot)), []
         for k in range(rounds + 1):
             rows = self.words.union(asked) if tables is None else self.words.union(asked).union(tables)
-            self.parent = materialize(parents(rows, self.v, total, 0.5, seed + k))
+            self.parent, parent_at = written(parents(rows, self.v, total, 0.5, seed + k))
+            discard(spark, *old)
             customers, total = (float(x or 0) for x in self.parent.agg(F.sum("x"), F.sum("y")).first())
             self.predict = Parent(self.v, customers, total, 0.5)
             if k < rounds:
                 answers = priors(self.words.union(self.parent).union(asked.where(kind == ASKED)), self.predict)
-                got = materialize(seatings(found.where(kind == MODEL).union(answers), self.shards, self.d, self.hot, self.elsewhere, seed + 100 + k))
-                self.seated, tables = got.where(kind == SEATED), got.where(kind == TABLES)
-                self.elsewhere = _split_tables(got, self.hot)
+                got, got_at = written(seatings(found.where(kind == MODEL).union(answers), self.shards, self.d, self.hot, elsewhere, seed + 100 + k), "kind")
+                seated, tables = got.where(kind == SEATED), got.where(kind == TABLES)
+                elsewhere = _split_tables(got, self.hot)
+                old = [parent_at, *before]
+                before = [got_at]
+        discard(spark, f"{place}/kind={SINGLES}", f"{place}/kind={ASKED}", f"{got_at}/kind={TABLES}")
+        self.tables, _ = written(answer_tables(found.where(kind.isin(MODEL, ALONE)).union(seated), self.d, self.hot, self.hot_c, elsewhere))
+        discard(spark, place, got_at)
 
 
 def _asks(model_shards: int, hot: np.ndarray, parts: np.ndarray):
@@ -370,7 +406,13 @@ def _asks(model_shards: int, hot: np.ndarray, parts: np.ndarray):
     return ask
 
 
-def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.ndarray, elsewhere: np.ndarray):
+def _among(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def _answers(shards: int, predict: Parent, d: float):
     def words_of(rows: pd.DataFrame, key: int) -> pd.DataFrame:
         h, c = _words(rows)
         p, out = _parent_of(rows, predict), Rows()
@@ -381,42 +423,29 @@ def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.
             at = at[hit]
             times, prob = np.zeros(len(w), np.int64), np.full(len(w), predict(np.zeros(1), np.zeros(1))[0])
             times[hit], prob[hit] = c[at], p[at]
-            out.add(src, ASK_WORDS, key, times.tobytes(), prob.astype(np.float64).tobytes())
+            out.add(src, ASK_WORDS, key, times.tobytes(), prob.astype(np.float32).tobytes())
         return out.frame()
 
     def pairs_of(rows: pd.DataFrame, key: int) -> pd.DataFrame:
-        out = Rows()
-        if len(_of(rows, MODEL)):
-            contexts, singles, more, w, c = _model(rows)
-            alone = get48(_of(rows, SINGLES + 100)["a"].iloc[0])
-            mean = np.frombuffer(_of(rows, SEATED)["a"].iloc[0], np.float32)
-            room = np.repeat(np.arange(len(contexts)), more)
-            tables = singles + np.bincount(room, mean, len(contexts))
-            customers = singles + np.bincount(room, c, len(contexts))
-            split = np.flatnonzero(np.isin(contexts, hot)) if len(hot) else np.zeros(0, np.int64)
-            if len(split):
-                at = np.searchsorted(hot, contexts[split])
-                tables[split], customers[split] = elsewhere[at], hot_c[at]
-            back, over = (STRENGTH + d * tables) / (STRENGTH + customers), STRENGTH + customers
-            # One ordered list of (context, word): a mixed key, with the place's customers and tables.
-            rooms = np.concatenate([np.repeat(np.arange(len(contexts)), singles), room])
-            keys, weight = _pair_keys(rooms, np.concatenate([alone, w])), np.concatenate([np.full(len(alone), 1 - d), c - d * mean]) / over[rooms]
-            by = np.argsort(keys)
-            keys, weight = keys[by], weight[by].astype(np.float32)
-        else:
-            contexts, keys = np.zeros(0, U), np.zeros(0, U)
+        out, known_ = Rows(), _of(rows, MODEL)
+        if len(known_):
+            m = known_.iloc[0]
+            k, n = len(m["a"]) // 16, len(m["c"]) // 10
+            contexts, (back, over) = np.frombuffer(m["a"], U, k), np.frombuffer(m["a"], np.float32, 2 * k, 8 * k).reshape(2, k)
+            alone, others, weight = get48(m["b"]), get48(m["c"][: 6 * n]), np.frombuffer(m["c"], np.float32, n, 6 * n)
         for src, a, b in _of(rows, ASK_PAIRS)[["src", "a", "b"]].itertuples(index=False):
             k = len(a) // 12
             v, n, w = np.frombuffer(a, U, k), np.frombuffer(a, np.uint32, k, 8 * k), get48(b)
-            share, rest = np.zeros(len(w), np.float32), np.ones(k, np.float32)
-            if len(contexts):
+            held, rest, whole = np.zeros(len(w), np.float32), np.ones(k, np.float32), np.ones(k, np.float32)
+            if len(known_):
                 at = np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)
                 known = contexts[at] == v
-                rest[known] = back[at[known]]
-                asked = _pair_keys(np.repeat(at, n), w)
-                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                share = np.where((keys[place] == asked) & np.repeat(known, n), weight[place], np.float32(0))
-            out.add(src, ASK_PAIRS, key, share.tobytes(), rest.tobytes(), n.tobytes())
+                rest[known], whole[known] = back[at[known]], over[at[known]]
+                asked, mine = _pair_keys(np.repeat(at, n), w), np.repeat(known, n)
+                held[mine & _among(alone, asked)] = 1 - d
+                hit = mine & _among(others, asked)
+                held[hit] = weight[np.searchsorted(others, asked[hit])]
+            out.add(src, ASK_PAIRS, key, held.tobytes(), rest.tobytes(), whole.tobytes())
         return out.frame()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -428,7 +457,7 @@ def _answers(shards: int, predict: Parent, d: float, hot: np.ndarray, hot_c: np.
 
 def _pair_keys(room: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(room.astype(U) * U(0x9E3779B97F4A7C15) + w)
+        return _short(mix(room.astype(U) * U(0x9E3779B97F4A7C15) + w))
 
 
 SCORED = "doc_id string, n_tokens long, n_known long, base double, score double"
@@ -439,11 +468,11 @@ def _score(shards: int, whole: float, hot: np.ndarray, parts: np.ndarray):
         doc, h = _many_tokens(list(docs["text"]))
         p = Pairs(doc, h, shards, hot, parts)
         by_kind = {k: _of(got, k).sort_values("src") for k in (ASK_WORDS, ASK_PAIRS)}
-        times, prior = (np.frombuffer(b"".join(by_kind[ASK_WORDS][c]), t) for c, t in (("a", np.int64), ("b", np.float64)))
-        share, rest = (np.frombuffer(b"".join(by_kind[ASK_PAIRS][c]), np.float32) for c in ("a", "b"))
-        n = np.frombuffer(b"".join(by_kind[ASK_PAIRS]["c"]), np.uint32)
+        times, prior = (np.frombuffer(b"".join(by_kind[ASK_WORDS][c]), t) for c, t in (("a", np.int64), ("b", np.float32)))
+        held, rest, over = (np.frombuffer(b"".join(by_kind[ASK_PAIRS][c]), np.float32) for c in ("a", "b", "c"))
+        n = np.concatenate([n for *_, n in p.segments(shards)])
         value = np.empty(len(p.by))
-        value[p.by] = np.log10(share + np.repeat(rest, n) * prior[p.w])
+        value[p.by] = np.log10(held / np.repeat(over, n) + np.repeat(rest, n) * prior[p.w].astype(np.float64))
         c, size = times[p.ids], len(docs)
         return pd.DataFrame({
             "doc_id": docs["doc_id"].to_numpy(),
@@ -466,14 +495,20 @@ def lm_score(df: DataFrame, train: DataFrame | None = None, rounds: int = 2) ->
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     size = df.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
     packs = max(1, -(-int(size) // (6 * PACK)))  # a token has about 6 bytes
+    blocks = min(BLOCKS, packs)
     pack = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(packs)).alias("pack")
-    docs = df.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), pack).repartition(min(packs, 4096), "pack")
-    shifted = F.col("key") + m.shards
-    tables = m.words.union(m.parent).union(m.pairs.union(m.seated).withColumn("key", shifted))
-    asks = docs.groupBy("pack").applyInPandas(_asks(m.shards, m.hot, m.parts), ROW)
-    answers = _grouped(tables.union(asks), _answers(m.shards, m.predict, m.d, m.hot, m.hot_c, m.elsewhere))
-    answers = answers.select(F.col("key").alias("pack"), "kind", "src", "a", "b", "c")
-    done = docs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(_score(m.shards, float(m.n + 1 * (m.v + 1)), m.hot, m.parts), SCORED)
+    texts = df.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), pack)
+    tables = m.words.union(m.parent).union(m.tables.withColumn("key", F.col("key") + m.shards))
+    done = None
+    for k in range(blocks):
+        docs = texts.where(F.col("pack") % blocks == k).repartition(min(-(-packs // blocks), 4096), "pack")
+        asks = docs.groupBy("pack").applyInPandas(_asks(m.shards, m.hot, m.parts), ROW)
+        answers = _grouped(tables.union(asks), _answers(m.shards, m.predict, m.d)).select(F.col("key").alias("pack"), "kind", "src", "a", "b", "c")
+        some = docs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(_score(m.shards, float(m.n + 1 * (m.v + 1)), m.hot, m.parts), SCORED)
+        some = materialize(some)
+        done = some if done is None else done.union(some)
+        del docs, asks, answers
+        discard(df.sparkSession)
     return done.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold(F.col("doc_id").cast("long"), 7) == 2).alias("held_out"),

@@ -410,36 +410,52 @@ def test_lm_scores_against_the_written_model(spark, docs, monkeypatch):
         w = tok(t)
         c1.update(w)
         c2.update(zip([int(m.END), *w[:-1]], w))
-    tables = {}
-    for row in py.pairs.where(F.col("kind") == m.MODEL).collect():
-        contexts, singles, more, w, c = m._model(row_frame(row))
-        mean = np.frombuffer(py.seated.where(F.col("key") == row["key"]).first()["a"], np.float32)
-        for k, v in enumerate(np.repeat(np.arange(len(contexts)), more)):
-            tables[int(contexts[v]), int(w[k])] = (int(c[k]), float(mean[k]))
-    assert tables and all(1 <= t <= c for c, t in tables.values())
-    want = {p: c for p, c in c2.items() if c > 1}
-    assert {(v, w >> 16): c for (v, w), c in want.items()} == {p: c for p, (c, _) in tables.items()}
+    # The written table of each shard: every pair's customers less discounts, and what a context leaves to the parent.
+    shards = [row_frame(row).iloc[0] for row in py.tables.collect()]
+
+    def looked_up(v, w):
+        """(customers less discounts, share of the parent, customers and strength) of a pair."""
+        for row in shards:
+            k, n = len(row["a"]) // 16, len(row["c"]) // 10
+            contexts = np.frombuffer(row["a"], np.uint64, k).tolist()
+            if v in contexts:
+                at = contexts.index(v)
+                back, over = np.frombuffer(row["a"], np.float32, 2 * k, 8 * k).reshape(2, k)[:, at]
+                key = int(m._pair_keys(np.array([at]), np.array([w >> 16], np.uint64))[0])
+                if key in m.get48(row["b"]).tolist():
+                    return 1 - py.d, float(back), float(over)
+                others = m.get48(row["c"][: 6 * n]).tolist()
+                if key in others:
+                    return float(np.frombuffer(row["c"], np.float32, n, 6 * n)[others.index(key)]), float(back), float(over)
+                found = (0.0, float(back), float(over))
+        return found if any(v in np.frombuffer(row["a"], np.uint64, len(row["a"]) // 16).tolist() for row in shards) else (0.0, 1.0, 1.0)
+
+    for (v, w), c in c2.items():
+        held, back, over = looked_up(v, w)
+        assert over == m.STRENGTH + c1[v]
+        assert abs(held - (1 - py.d)) < 1e-6 if c == 1 else c - py.d * c - 1e-5 <= held <= c - py.d + 1e-5
+    assert looked_up(int(m.END), 12345 << 16)[0] == 0
+    for v in {v for v, _ in c2}:  # a context's dishes and what it leaves to its parent add up
+        mine = [looked_up(v, w) for x, w in c2 if x == v]
+        assert abs(sum(x[0] for x in mine) / mine[0][2] + mine[0][1] - 1) < 1e-4
     prior = {}
     for row in py.parent.collect():
         h = np.sort(np.concatenate([np.frombuffer(x["a"], np.uint64) for x in py.words.where(F.col("key") == row["key"]).collect()]))
         prior |= dict(zip(h.tolist(), py.predict(np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.float32)).tolist()))
     unseen = float(py.predict(np.zeros(1), np.zeros(1))[0])
     assert abs(sum(prior.values()) + unseen - 1) < 1e-6
-    of = collections.defaultdict(float)
-    for (v, w), c in c2.items():
-        of[v] += tables.get((v, w >> 16), (c, 1.0))[1]
 
     def logp(t):
         total, before = 0.0, int(m.END)
         for w in tok(t):
-            c, k = tables.get((before, w >> 16), (c2[before, w], 1.0 if c2[before, w] else 0.0))
-            total += math.log10((c - py.d * k + (m.STRENGTH + py.d * of[before]) * prior.get(w, unseen)) / (m.STRENGTH + c1[before]))
+            held, back, over = looked_up(before, w)
+            total += math.log10(held / over + back * prior.get(w, unseen))
             before = w
         return total
 
     assert len(out) == len(rows)
-    got = sorted((str(x.doc_id), round(x.score, 3)) for x in out)
-    assert got == sorted((str(i), round(logp(t), 3)) for i, t in rows) or all(abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, sorted((str(i), logp(t)) for i, t in rows)))
+    got, want = sorted((str(x.doc_id), x.score) for x in out), sorted((str(i), logp(t)) for i, t in rows)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, want))
 
 
 def row_frame(row):
