@@ -1,18 +1,22 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Four small transducers read a clause's words as classes and are composed into one machine:
+Four transducers read a clause's words and are composed into one machine:
 
-* lexicon: a word becomes an insult (with a learned weight), threat, target, negation, speech or plain symbol;
+* lexicon: a trie over characters; a word becomes an insult or threat with a weight, a target, a negation, a verb of
+  saying, a quote, or a plain symbol. Stems (words' beginnings of 4 to 7 letters) end in a state that any letter keeps;
 * negation: within three words after a negation an insult or threat is marked as negated;
 * reported speech: after a verb of saying or inside quotes it is marked as reported;
-* target: an insult or threat whose clause names a target is marked as aimed.
+* target: an insult or threat whose clause names a target, before or after it, is marked as aimed.
 
-A clause's score is the sum of its symbols' weights, scaled by their marks; the document's score is a logistic
-function of its clauses' scores, fitted on the same bounded sample of labelled rows that the insult stems (words and
-word beginnings of 4 to 7 letters) are learned from.
+Each final output symbol (insult or threat, with its marks) has a weight. A clause's score is the sum of its words'
+weights times those of their symbols; a text's logit adds, for each symbol, its weight times the logarithm of 1 + the
+words' weights under that symbol in all clauses. The symbols' weights and the bias are fitted together, on the same
+bounded sample of labelled rows that the insult stems are learned from, around prior weights that hold where a
+symbol has no examples.
 
 Edge cases: a null text is an empty one and gets the score of a text without evidence; rows repeat as they come;
-without labelled rows the lexicon holds the fixed words alone; columns other than doc_id and text are ignored.
+without labelled rows the lexicon holds the fixed words, and the symbols their prior weights; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -103,57 +107,85 @@ def grammar() -> Table:
     return compose(r, _target(outputs(r)))
 
 
+class Lexicon:
+    """A transducer from a word's characters to its symbol and weight, as a trie; a stem's last state takes any further letters."""
+
+    def __init__(self, stems: dict[str, float]):
+        self.root: dict = {}
+        # Later entries win: the grammar's own words before learned ones.
+        for word, weight in sorted(stems.items()):
+            self._add(word, "I", weight)
+        for words, symbol in ((SPEECH, "R"), (NEGATIONS, "N"), (TARGETS, "T"), (QUOTES, "Q"), (THREATS, "H")):
+            for word in words:
+                self._add(word, symbol, 1.0)
+        self.cache: dict[str, tuple[str, float]] = {}
+
+    def _add(self, word: str, symbol: str, weight: float) -> None:
+        node = self.root
+        for c in word.rstrip("*"):
+            node = node.setdefault(c, {})
+        node["*" if word.endswith("*") else ""] = (symbol, weight)
+
+    def __call__(self, word: str) -> tuple[str, float]:
+        """The output of the whole word, or of the longest stem that it begins with."""
+        out = self.cache.get(word)
+        if out is None:
+            node, out = self.root, ("o", 0.0)
+            for c in word:
+                node = node.get(c)
+                if node is None:
+                    break
+                out = node.get("*", out)
+            else:
+                out = node.get("", out)
+            if len(self.cache) > 1 << 18:
+                self.cache.clear()
+            self.cache[word] = out
+        return out
+
+
+#: Output symbols of insults (I) and threats (H) with their marks: negated, reported, aimed; and their prior weights.
+PRIOR = {"I": 6.0, "I!": 8.0, 'I"': 2.5, 'I"!': 3.5, "I-": 1.0, "I-!": 1.5, 'I-"': 0.5, 'I-"!': 0.75, "H": 0.5, "H!": 10.0, 'H"': 0.2, 'H"!': 3.0, "H-": 0.1, "H-!": 1.0, 'H-"': 0.1, 'H-"!': 0.5}
+MARKED, BIAS = tuple(PRIOR), -4.0
+
+
 @dataclass
 class ToxicityModel:
     stems: dict[str, float]
-    coef: tuple[float, ...] = (-4.0, 4.0, 1.0, 2.0)
-    negated: float = 0.35
-    reported: float = 0.5
-    aimed: float = 1.5
-    threat: float = 1.0
+    bias: float = BIAS
+    weights: tuple[float, ...] = tuple(PRIOR.values())
 
     def __post_init__(self):
-        self.machine = grammar()
-        self.lengths = sorted({len(s.rstrip("*")) for s in self.stems if s.endswith("*")})
-        self.heads = {s[:4] for s in self.stems}
-
-    def weight(self, word: str) -> float:
-        """The weight of a word, or of the longest stem that it begins with; 0 if none."""
-        if word[:4] not in self.heads:
-            return 0.0
-        if word in self.stems:
-            return self.stems[word]
-        return next((w for n in reversed(self.lengths) if len(word) >= n and (w := self.stems.get(word[:n] + "*"))), 0.0)
-
-    def scale(self, symbol: str) -> float:
-        return (self.negated if "-" in symbol else 1) * (self.reported if '"' in symbol else 1) * (self.aimed if "!" in symbol else 1)
-
-    def clause(self, words: list[str], insults: dict[str, float]) -> float:
-        state, total, last = 0, 0.0, 0.0
+        self.machine, self.lexicon = grammar(), Lexicon(self.stems)
+        self.place = {s: k for k, s in enumerate(MARKED)}
+
+    def clause(self, words: list[str]) -> list[float]:
+        """The words' weights under each marked symbol, as the composed machine gives them."""
+        state, found, last = 0, [0.0] * len(MARKED), None
         for w in words:
-            x = "I" if w in insults else "H" if w in THREATS else "T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in SPEECH else "Q" if w in QUOTES else "o"
+            x, weight = self.lexicon(w)
             state, out = self.machine[state, x]
             if out[0] in "IH":
-                last = (insults[w] if out[0] == "I" else self.threat) * self.scale(out)
-                if out[0] == "I" or "!" in out:  # a threat counts once it is aimed
-                    total += last
-            elif out == "T!":
-                total += last * (self.aimed - 1)
-        return total
-
-    def evidence(self, text: str) -> tuple[float, float, float]:
-        """The largest clause score, the logarithm of 1 + their sum, and the largest weight in a clause that scores."""
+                found[self.place[out]] += weight
+                last = None if "!" in out else (out, weight)
+            elif out == "T!" and last:  # the target that came behind aims it
+                found[self.place[last[0]]] -= last[1]
+                found[self.place[last[0] + "!"]] += last[1]
+                last = None
+        return found
+
+    def evidence(self, text: str) -> tuple[list[float], float]:
+        """The logarithm of 1 + the weights under each symbol over all clauses, and the largest clause score."""
         low = text.lower()
-        words = set(WORD.findall(low))
-        insults = {w: x for w in words if (x := self.weight(w))}
-        if not insults and not words & THREATS:
-            return 0.0, 0.0, 0.0
-        scores = [self.clause(WORD.findall(c), insults) for c in CLAUSE.split(low)]
-        return max(scores), log(1 + sum(scores)), max(insults.values(), default=0.0)
-
-    def score(self, evidence: tuple[float, float, float]) -> float:
+        if not any(self.lexicon(w)[0] in "IH" for w in set(WORD.findall(low))):
+            return [0.0] * len(MARKED), 0.0
+        clauses = [self.clause(WORD.findall(c)) for c in CLAUSE.split(low)]
+        top = max(sum(w * x for w, x in zip(self.weights, c, strict=True)) for c in clauses)
+        return [log(1 + max(0.0, sum(x))) for x in zip(*clauses, strict=True)], top
+
+    def score(self, evidence: list[float]) -> float:
         """The probability of the label by the logistic function."""
-        x = self.coef[0] + sum(w * e for w, e in zip(self.coef[1:], evidence, strict=True))
+        x = self.bias + sum(w * e for w, e in zip(self.weights, evidence, strict=True))
         return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
 
 
@@ -191,26 +223,29 @@ def train_toxicity(df: DataFrame, labels: DataFrame, sample: int = 12000, least_
         return {"f": both, "t": [n[1][f] for f in both], "c": [n[0][f] for f in both]}
 
     counts = map_texts(train, count, "f string, t long, c long", ("toxic",)).groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counts.where((F.col("f") == "") | ((F.col("t") >= least_support) & (F.col("t") > 12 * F.col("c")))).orderBy((F.col("f") == "").desc(), F.col("t").desc(), "f").limit(20000).collect()
+    kept = counts.where((F.col("f") == "") | ((F.col("t") >= least_support) & (F.col("t") > 12 * F.col("c")))).collect()  # at most the words of `sample` texts over least_support
     total = next(((r["t"], r["c"]) for r in kept if r["f"] == ""), (0, 0))
     model = ToxicityModel(choose([(r["f"], r["t"], r["c"]) for r in kept if r["f"]], *total, least_odds))
 
     def evidence(_, texts, toxic):
-        found = [model.evidence(t.decode("utf-8", "replace")) for t in texts]
-        return {"y": [int(y > 0) for y in toxic], **{k: [e[i] for e in found] for i, k in enumerate("abc")}}
+        return {"y": [int(y > 0) for y in toxic], "x": [model.evidence(t.decode("utf-8", "replace"))[0] for t in texts]}
 
-    rows = map_texts(train, evidence, "y int, a double, b double, c double", ("toxic",)).collect()
+    rows = map_texts(train, evidence, "y int, x array<double>", ("toxic",)).collect()
     if rows and 0 < sum(r["y"] for r in rows) < len(rows):
-        model.coef = _logistic(np.array([[1, r["a"], r["b"], r["c"]] for r in rows]), np.array([r["y"] for r in rows]))
+        fitted = _logistic(np.array([[1, *r["x"]] for r in rows]), np.array([r["y"] for r in rows]), np.array([BIAS, *PRIOR.values()]))
+        model.bias, model.weights = fitted[0], fitted[1:]
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> tuple[float, ...]:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> tuple[float, ...]:
+    """Weights of the largest posterior around the prior ones, by damped Newton steps; those of evidence are not negative."""
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * (w - prior))
+        w = w + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+        w[1:] = np.maximum(w[1:], 0.0)
     return tuple(float(v) for v in w)
 
 
@@ -219,8 +254,8 @@ def toxicity(df: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(ids, texts):
         found = [model.evidence(t.decode("utf-8", "replace")) for t in texts]
-        score = [model.score(e) for e in found]
-        return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score], "clause": [e[0] for e in found]}
+        score = [model.score(e) for e, _ in found]
+        return {"doc_id": ids, "score": score, "predicted": [int(s >= 0.5) for s in score], "clause": [top for _, top in found]}
 
     out = map_texts(df, run, "doc_id long, score double, predicted int, clause double")
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.col("clause").alias("top_clause_score"))

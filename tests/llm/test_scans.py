@@ -140,10 +140,14 @@ def test_network_sees_every_candidate(docs):
 
 def test_grammar_marks_clauses():
     m = ToxicityModel({"idiot": 1.0, "scumm*": 1.0})
-    one = lambda t: m.evidence(t)[0]
+    one = lambda t: m.evidence(t)[1]
+    score = lambda t: m.score(m.evidence(t)[0])
     assert one("you idiot") > one("idiot") > one("he said idiot") > one("he said not idiot") > 0
     assert one("not an idiot") < one("idiot") and one("nothing here") == 0
-    assert one("kill") == 0 and one("i will kill you") > 0
+    assert one("kill") < one("idiot") and one("i will kill you") > one("idiot")
+    assert score("i will kill you") >= 0.5 > score("kill") and score("you are an idiot") >= 0.5 > score("nothing here")
+    assert score("he said you are not an idiot") < score("he said you are an idiot") < score("you are an idiot")
+    assert m.lexicon("idiots") == ("o", 0.0) and m.lexicon("scummy") == ("I", 1.0) and m.lexicon("kill") == ("H", 1.0) and m.lexicon("nie") == ("N", 1.0)
     assert one("what scummering") == one("idiot")
     assert {x for _, x in grammar()} == {"I", "H", "T", "N", "R", "Q", "o"}
 
