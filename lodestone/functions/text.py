@@ -18,6 +18,31 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: Numbers of an array that are summed at once: prefix sums cost its length times this, and not its square.
+STRIDE = 128
+
+
+def prefix_sums(sizes: Column, f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """f(before), where before(i) is the sum of the first i of sizes; every stride's sum is added up once."""
+    add = lambda a, x: a + x
+    zero = F.lit(0)
+    whole = F.transform(F.sequence(F.lit(0), F.size(sizes), F.lit(STRIDE)), lambda k: F.aggregate(F.slice(sizes, k + 1, F.lit(STRIDE)), zero, add))
+
+    def summed(strides: Column) -> Column:
+        starts = F.transform(strides, lambda _, k: F.aggregate(F.slice(strides, F.lit(1), k), zero, add))
+
+        def use(first: Column) -> Column:
+            def before(i: Column) -> Column:
+                k = F.floor(i / STRIDE).cast("int")
+                return F.get(first, k) + F.aggregate(F.slice(sizes, k * STRIDE + 1, i - k * STRIDE), zero, add)
+
+            return f(before)
+
+        return bind(starts, use)
+
+    return bind(whole, summed)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches as (start, end, value), in code points from 0.
 
@@ -28,11 +53,14 @@ def spans(text: Column, pattern: str) -> Column:
         sizes = F.zip_with(gap, m, lambda g, x: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(x), F.lit(0)))
 
         def at(total: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                start = F.aggregate(F.slice(total, 1, i), F.length(F.get(gap, i)), lambda a, b: a + b)
-                return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("value"))
+            def all_(before: Callable[[Column], Column]) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    start = before(i) + F.length(F.get(gap, i))
+                    return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("value"))
+
+                return F.transform(m, one)
 
-            return F.transform(m, one)
+            return prefix_sums(total, all_)
 
         return bind(sizes, at)
 
@@ -41,6 +69,49 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), all_).otherwise(F.array().cast(SPAN))
 
 
+def with_places(text: Column, found: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f(x, line, column) of each x of found (structs with a start), lines and columns from 1.
+
+    The text is cut into blocks once; a place is looked up in its own block, and in what the blocks before it hold.
+    """
+    n = F.length(text)
+    size = F.greatest(F.lit(4096), F.ceil(F.sqrt(n)).cast("int") * 8)
+
+    def in_blocks(b: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), n, b), lambda k: F.substring(text, k + 1, b))
+
+        def blocks(c: Column) -> Column:
+            lines = F.transform(c, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+            last = F.transform(c, lambda x, k: F.when(x.contains("\n"), k * b + F.length(x) - F.length(F.substring_index(x, "\n", -1))))
+
+            def placed(ends: Column) -> Column:
+                starts = F.transform(ends, lambda _, k: F.coalesce(F.array_max(F.slice(ends, F.lit(1), k)), F.lit(0)))
+
+                def use(line_start: Column) -> Column:
+                    def each(before: Callable[[Column], Column]) -> Column:
+                        def one(x: Column) -> Column:
+                            k = F.floor(x["start"] / b).cast("int")
+
+                            def here(head: Column) -> Column:
+                                more = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+                                column = F.when(more > 0, F.length(F.substring_index(head, "\n", -1)) + 1).otherwise(x["start"] - F.get(line_start, k) + 1)
+                                return f(x, (before(k) + more + 1).cast("int"), column.cast("int"))
+
+                            return bind(F.substring(F.get(c, k), F.lit(1), x["start"] - k * b), here)
+
+                        return F.transform(found, one)
+
+                    return bind(lines, lambda sizes: prefix_sums(sizes, each))
+
+                return bind(starts, use)
+
+            return bind(last, placed)
+
+        return bind(cut, blocks)
+
+    return bind(size, in_blocks)
+
+
 def group_spans(text: Column, pattern: str, group: int, where: Callable[[Column], Column] | None = None) -> Column:
     """Like spans, for the last group of a pattern whose match ends with it, apart from what `after` the pattern says."""
     got = spans(text, pattern)
@@ -55,6 +126,7 @@ def group_spans(text: Column, pattern: str, group: int, where: Callable[[Column]
     return F.transform(got, inner)
 
 
+# Bindings of a key to a quoted or bare literal.
 KEY = r"[A-Za-z_][A-Za-z0-9_.-]*"
 QUOTED = r"(?U)(?<![\w.-])([\"'](?:[^\"'\\]*+(?:\\.[^\"'\\]*+)*+)[\"']|" + KEY + r")\s*(?::|=|:=)\s*([\"'])([^\"'\\]*+(?:\\.[^\"'\\]*+)*+)\2"
 UNQUOTED = r"(?U)(?<![\w.-])(" + KEY + r")\s*(?::|=|:=)\s*([^\s,;#}\]]+)"
@@ -79,13 +151,14 @@ def bindings(text: Column) -> Column:
         value = F.regexp_extract(s["value"], UNQUOTED, 2)
         return F.struct(normalize_key(F.regexp_extract(s["value"], UNQUOTED, 1)).alias("key"), value.alias("value"), (s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), F.lit(False).alias("quoted"))
 
-    first = F.transform(spans(text, QUOTED), quoted)
+    bare_ones = F.filter(F.transform(spans(text, UNQUOTED), bare), lambda b: ~b["value"].startswith('"') & ~b["value"].startswith("'"))
+    # Ordered by place, quoted ones first: a binding whose neighbour before has the same place is the same literal.
+    placed = F.sort_array(F.transform(F.concat(F.transform(spans(text, QUOTED), quoted), bare_ones), lambda b: F.struct(b["start"], b["end"], (~b["quoted"]).alias("bare"), b["key"], b["value"], b["quoted"])))
 
-    def both(q: Column) -> Column:
-        rest = F.filter(F.transform(spans(text, UNQUOTED), bare), lambda b: ~b["value"].startswith('"') & ~b["value"].startswith("'") & ~F.exists(q, lambda x: (x["start"] == b["start"]) & (x["end"] == b["end"])))
-        return F.concat(q, rest)
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce((a["start"] == b["start"]) & (a["end"] == b["end"]) & a["quoted"] & ~b["quoted"], F.lit(False))
 
-    return bind(first, both)
+    return bind(placed, lambda all_: F.filter(all_, lambda b, i: ~same(F.get(all_, i - 1), b)))
 
 
 def is_placeholder(value: Column) -> Column:
@@ -155,6 +228,7 @@ def luhn(value: Column) -> Column:
 def redact_path(path: Column) -> Column:
     """A location without what is sensitive in it; the order of the replacements matters."""
     p = F.replace(F.regexp_replace(path, "[\\x00-\\x1f\\x7f]", "_"), F.lit("\\"), F.lit("/"))
+    # What is redacted, in order, and the words that stand for it.
     steps = [
         (r"(?i)/(?:Users|home)/[^/\s]+(?:/[^\s]*)?|[A-Z]:[\\/]Users[\\/][^\\/\s]+(?:[\\/][^\s]*)?", "[local-path]"),
         (r"(?i)/(?:Volumes|private/var/folders|private/var/tmp)/[^\s]+", "[local-path]"),

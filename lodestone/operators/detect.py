@@ -6,6 +6,7 @@ All families of a text are concatenated before the explode, so that a scan reads
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import values as v
 
-CANDIDATE = "array<struct<rule:string,start:int,end:int,basis:string>>"
+CANDIDATE = "array<struct<rule:string,start:int,end:int,basis:string,value:string>>"
 
 
 def _empty() -> Column:
@@ -23,7 +24,7 @@ def _empty() -> Column:
 
 def _as(found: Column, rule: str | None, basis: str, name=None) -> Column:
     """Candidates of one rule (or of name(span)) from spans."""
-    return F.transform(found, lambda s: F.struct((F.lit(rule) if rule else name(s)).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), F.lit(basis).alias("basis")))
+    return F.transform(found, lambda s: F.struct((F.lit(rule) if rule else name(s)).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), F.lit(basis).alias("basis"), s["value"].alias("value")))
 
 
 def _if(test: Column, found: Column) -> Column:
@@ -229,15 +230,14 @@ def _decoded(segment: Column) -> Column:
 
 def keys(text: Column, path: Column) -> Column:
     """PEM blocks and bare markers, OpenSSH public keys, JSON web keys without nesting, signed and encrypted tokens."""
-    block = r"(?s)-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----.*?-----END \1-----"
-    marker = v.PEM
+    block, marker = v.PEM_BLOCK, v.PEM
 
     def pem(blocks: Column) -> Column:
         bare = F.filter(tx.spans(text, marker), lambda s: ~F.exists(blocks, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
         return F.concat(_as(blocks, "privacy.key.private-pem", "Private key block"), _as(bare, "privacy.key.private-pem", "Private key marker"))
 
-    kinds = "ssh-rsa|ssh-dss|ssh-ed25519|ecdsa-sha2-nistp(?:256|384|521)|sk-ssh-ed25519@openssh\\.com|sk-ecdsa-sha2-nistp256@openssh\\.com"
-    ssh = f"(?<![A-Za-z0-9-])({kinds})[ \\t]+([A-Za-z0-9+/]{{40,}}={{0,2}})(?![A-Za-z0-9+/=])"
+    kinds = "|".join(re.escape(k) for k in v.SSH_KINDS)
+    ssh = f"(?<![\\w-])({kinds})[ \\t]+([A-Za-z0-9+/]+={{0,2}})(?![A-Za-z0-9+/=])"
 
     def wired(s: Column) -> Column:
         kind, blob = F.regexp_extract(s["value"], ssh, 1), F.try_to_binary(F.regexp_extract(s["value"], ssh, 2), F.lit("base64"))
@@ -261,8 +261,6 @@ def keys(text: Column, path: Column) -> Column:
         body = F.get_json_object(_decoded(part(1)), "$").startswith("{")
         return F.coalesce((F.length(alg) > 0) & body & ((part(2) == "") == (alg == "none")), F.lit(False))
 
-    jwe = "(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*(?:\\.[A-Za-z0-9_-]+){3}(?![A-Za-z0-9_.-])"
-
     def encrypted(s: Column) -> Column:
         head = _decoded(F.get(F.split(s["value"], "\\.", -1), F.lit(0)))
         alg, enc = F.get_json_object(head, "$.alg"), F.get_json_object(head, "$.enc")
@@ -274,7 +272,7 @@ def keys(text: Column, path: Column) -> Column:
         _if(text.contains("ssh-") | text.contains("ecdsa-"), _as(F.filter(tx.spans(text, ssh), wired), "privacy.key.ssh-public", "OpenSSH public key with a matching wire format")),
         _if(text.contains('"kty"'), _as(F.filter(tx.spans(text, jwk), private), "privacy.key.private-jwk", "JSON web key with private members")),
         _if(text.contains("eyJ"), _as(F.filter(tx.spans(text, v.JOSE), signed), "privacy.token.signed-jose", "Signed token with a decodable header")),
-        _if(text.contains("eyJ"), _as(F.filter(tx.spans(text, jwe), encrypted), "privacy.token.encrypted-jose", "Encrypted token with a decodable header")),
+        _if(text.contains("eyJ"), _as(F.filter(tx.spans(text, v.JWE), encrypted), "privacy.token.encrypted-jose", "Encrypted token with a decodable header")),
     )
 
 
@@ -308,28 +306,32 @@ def _found(families: tuple, groups: tuple[str, ...]) -> Column:
         found.append(patterns(text, path, list(groups)))
 
     def first_of_each(all_: Column) -> Column:
-        same = lambda a, b: (a["rule"] == b["rule"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
-        return F.filter(all_, lambda c, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda b: same(b, c)))
+        # Ordered by rule and span, and then by the families' order: the first of each run of equal spans is kept.
+        ordered = F.sort_array(F.transform(all_, lambda c, i: F.struct(c["rule"], c["start"], c["end"], i.alias("i"), c["basis"], c["value"])))
+        same = lambda a, b: F.coalesce((a["rule"] == b["rule"]) & (a["start"] == b["start"]) & (a["end"] == b["end"]), F.lit(False))
+        return tx.bind(ordered, lambda o: F.filter(o, lambda c, i: ~same(F.get(o, i - 1), c)))
+
+    def placed(kept: Column) -> Column:
+        return tx.with_places(text, kept, lambda c, line, column: F.struct(c["rule"], c["start"], c["end"], c["basis"], c["value"], line.alias("line"), column.alias("column")))
 
-    return tx.bind(F.concat(*found), first_of_each)
+    return tx.bind(F.concat(*found), lambda all_: F.when(F.size(all_) > 0, tx.bind(first_of_each(all_), placed)))
 
 
 def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = ()) -> DataFrame:
-    """df's columns and one row per candidate: rule, start, end, basis and the located value.
+    """df's columns and one row per candidate: rule, start, end, basis, the located value, line and column.
 
-    df has text and path. Equal spans of one rule collapse to the first in the families' order.
+    df has text and path. Equal spans of one rule collapse to the first in the families' order. Places are found before
+    the rows are made, so that a text is not copied to its candidates unless a later step reads it.
     """
     rows = df.where(F.col("text").isNotNull()).select(*df.columns, F.explode(_found(tuple(families), tuple(groups))).alias("_c"))
-    value = F.substring(F.col("text"), F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))
-    return rows.select(*df.columns, F.col("_c.rule").alias("rule"), F.col("_c.start").alias("start"), F.col("_c.end").alias("end"), F.col("_c.basis").alias("basis"), value.alias("value"))
+    return rows.select(*df.columns, *(F.col(f"_c.{c}").alias(c) for c in ("rule", "start", "end", "basis", "value", "line", "column")))
 
 
 def located(found: DataFrame, local: bool = False) -> DataFrame:
-    """Findings with line and column, without the text; local ones carry the value and its context, others neither."""
-    out = found.withColumns({"line": tx.line_of(F.col("text"), F.col("start")), "column": tx.column_of(F.col("text"), F.col("start"))})
+    """Findings without the text; local ones carry the value and its context, others neither."""
     if local:
-        return out.withColumn("context", tx.context_of(F.col("text"), F.col("line"))).drop("text")
-    return out.withColumn("file", tx.redact_path(F.col("path"))).withColumn("evidence", F.lit("[source value withheld]")).drop("text", "value")
+        return found.withColumn("context", tx.context_of(F.col("text"), F.col("line"))).drop("text")
+    return found.withColumn("file", tx.redact_path(F.col("path"))).withColumn("evidence", F.lit("[source value withheld]")).drop("text", "value")
 
 
 def first_versions(versions: DataFrame) -> DataFrame:

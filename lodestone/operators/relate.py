@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
-def split_exempt(found: DataFrame, exceptions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, exempted) candidates by exact exceptions (rule, path, value)."""
+def with_exempt(found: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """found with exempt: whether an exact exception (rule, path, value) names the candidate. One join; found is read once."""
     on = ["rule", "path", "value"]
-    named = exceptions.select(*on).distinct()
-    return found.join(named, on, "left_anti"), found.join(named, on, "left_semi")
+    named = exceptions.select(*on).distinct().withColumn("exempt", F.lit(True))
+    return found.join(named, on, "left").withColumn("exempt", F.coalesce("exempt", F.lit(False)))
+
+
+def split_exempt(found: DataFrame, exceptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, exempted) candidates by exact exceptions."""
+    both = with_exempt(found, exceptions)
+    return both.where(~F.col("exempt")).drop("exempt"), both.where("exempt").drop("exempt")
 
 
 def canonical_ip(value: Column) -> Column:
@@ -25,23 +31,31 @@ def canonical_ip(value: Column) -> Column:
     return F.when(value.contains(":"), F.array_join(whole, ":")).otherwise(value)
 
 
+def _without(found: DataFrame, keys: dict[str, Column], allow: DataFrame, on: Column) -> DataFrame:
+    """found without rows that a row of allow matches; the keys are null for rows of other rules, which no row matches."""
+    return found.withColumns(keys).join(allow, on, "left_anti").drop(*keys)
+
+
 def without_allowed_ips(found: DataFrame, allow: DataFrame) -> DataFrame:
     """Drops addresses that the allowlist (ip, path_regex) has for their path; other rules' candidates pass."""
-    rule = F.col("rule") == "privacy.endpoint.ip-address"
-    ip = found.where(rule).withColumn("_ip", canonical_ip(F.col("value")))
-    allowed = allow.select(canonical_ip(F.col("ip")).alias("_ip"), "path_regex")
-    kept = ip.join(allowed, (ip["_ip"] == allowed["_ip"]) & F.expr("path rlike path_regex"), "left_anti").drop("_ip")
-    return kept.unionByName(found.where(~rule))
+    ip = F.when(F.col("rule") == "privacy.endpoint.ip-address", canonical_ip(F.col("value")))
+    allowed = allow.select(canonical_ip(F.col("ip")).alias("_allowed"), "path_regex")
+    return _without(found, {"_ip": ip}, allowed, (F.col("_ip") == F.col("_allowed")) & F.expr("path rlike path_regex"))
 
 
 def without_allowed_hosts(found: DataFrame, allow: DataFrame) -> DataFrame:
-    """Likewise for endpoints, by (host, scheme or null for any, path_regex)."""
-    rule = F.col("rule") == "privacy.endpoint.private-host"
-    host = F.lower(F.regexp_extract("value", "^[^:]+://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/:?#]*)", 1))
-    hosts = found.where(rule).withColumn("_host", F.regexp_replace(host, "\\.+\\z", "")).withColumn("_scheme", F.lower(F.regexp_extract("value", "^([^:]+):", 1)))
+    """Likewise for endpoints and for bindings of a host, by (host, scheme or null for any, path_regex).
+
+    A binding has no scheme, so that only rows for any scheme allow it.
+    """
+    value, rule = F.col("value"), F.col("rule")
+    url = F.regexp_extract(value, "^[^:]+://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/:?#]*)", 1)
+    bare = F.regexp_replace(F.regexp_extract(value, "^(?:[^@]*@)?([^:/?#]*)", 1), "\\.+\\z", "")
+    host = F.lower(F.when(rule == "privacy.endpoint.private-host", F.regexp_replace(url, "\\.+\\z", "")).when(rule == "privacy.endpoint.host-binding", bare))
+    scheme = F.when(rule == "privacy.endpoint.private-host", F.lower(F.regexp_extract(value, "^([^:]+):", 1)))
     a = allow.select(F.regexp_replace(F.lower("host"), "\\.+\\z", "").alias("_h"), F.lower("scheme").alias("_s"), "path_regex")
-    kept = hosts.join(a, (hosts["_host"] == a["_h"]) & (a["_s"].isNull() | (a["_s"] == hosts["_scheme"])) & F.expr("path rlike path_regex"), "left_anti").drop("_host", "_scheme")
-    return kept.unionByName(found.where(~rule))
+    on = (F.col("_host") == F.col("_h")) & (F.col("_s").isNull() | (F.col("_s") == F.col("_scheme"))) & F.expr("path rlike path_regex")
+    return _without(found, {"_host": host, "_scheme": scheme}, a, on)
 
 
 def finding_counts(found: DataFrame) -> DataFrame:

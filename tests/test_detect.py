@@ -15,6 +15,7 @@ def b64(o):
 
 
 ED = base64.b64encode(b"\x00\x00\x00\x0bssh-ed25519\x00\x00\x00\x20" + bytes(range(32))).decode()
+CERT = base64.b64encode(b"\x00\x00\x00\x28ecdsa-sha2-nistp256-cert-v01@openssh.com\x00\x00\x00\x20" + bytes(range(32))).decode()
 KEY = "AKIA" + "ABCDEFGH23456723"
 
 CASES = [
@@ -27,6 +28,8 @@ CASES = [
     ("pem", "k.txt", "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----", {"private-pem": ["-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]}),
     ("ssh", "k.txt", f"ssh-ed25519 {ED} me", {"ssh-public": [f"ssh-ed25519 {ED}"]}),
     ("ssh kind", "k.txt", f"ssh-rsa {ED} me", {}),
+    ("pgp", "k.txt", "-----BEGIN PGP PRIVATE KEY----- x -----BEGIN PGP PRIVATE KEY BLOCK-----", {"private-pem": ["-----BEGIN PGP PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----"]}),
+    ("ssh cert", "k.txt", f"ecdsa-sha2-nistp256-cert-v01@openssh.com {CERT} me", {"ssh-public": [f"ecdsa-sha2-nistp256-cert-v01@openssh.com {CERT}"]}),
     ("jwk", "j.txt", '{"kty":"EC","d":"abcdef"} {"kty":"EC","x":"abc"}', {"private-jwk": ['{"kty":"EC","d":"abcdef"}']}),
     ("jws", "j.txt", f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.c2ln {b64({'alg': 'none'})}.{b64({'sub': 'x'})}.c2ln", {"signed-jose": [f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.c2ln"]}),
     ("jwe", "j.txt", f"{b64({'alg': 'dir', 'enc': 'A'})}..YQ.YQ.YQ", {"encrypted-jose": [f"{b64({'alg': 'dir', 'enc': 'A'})}..YQ.YQ.YQ"]}),
@@ -82,6 +85,25 @@ def test_long_text_and_nulls(spark):
     assert [(r.path, r.start) for r in rows] == [("a.txt", 1200000)]
 
 
+def test_many_findings_in_one_text(spark):
+    """50,000 addresses over 50,000 lines: places by brute force, in time that grows with the text and not its square."""
+    import re
+    import time
+
+    text = "".join(f"row {i} é 8.{i % 200}.{i // 200 % 250}.7 and\n" for i in range(50000))
+    df = spark.createDataFrame([("a.csv", text)], "path string, text string")
+    began = time.time()
+    rows = candidates(df).select("rule", "start", "value", "line", "column").collect()
+    took = time.time() - began
+    got = {r.start: r for r in rows if r.rule.endswith("ip-address")}
+    want = [m.start() for m in re.finditer(r"8\.\d+\.\d+\.7", text)]
+    assert sorted(got) == want and len(want) == 50000
+    for k in (0, 1, 999, 31234, 49999):
+        r = got[want[k]]
+        assert (r.line, r.column) == (k + 1, len(f"row {k} é ") + 1) and text[r.start :].startswith(r.value)
+    assert took < 60
+
+
 def test_catalog_is_unique(spark):
     rules = [r.rule for r in rules_table(spark).collect()]
     assert len(rules) == len(set(rules)) == 83 + 4

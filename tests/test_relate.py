@@ -31,6 +31,20 @@ def test_allowlists(spark):
     ip = "privacy.endpoint.ip-address"
     assert [r.path for r in relate.without_allowed_ips(found, ips).where(F.col("rule") == ip).collect()] == ["b/a.txt"]
     assert [r.path for r in relate.without_allowed_hosts(found, hosts).where("rule like '%private-host'").collect()] == ["b/a.txt"]
+    bound = candidates(spark.createDataFrame([("c.tf", 'host = "db.corp.io"'), ("d.tf", 'host = "db.other.io"')], "path string, text string"))
+    any_scheme = spark.createDataFrame([("DB.corp.io.", None, ".*"), ("db.other.io", "https", ".*")], "host string, scheme string, path_regex string")
+    assert [r.value for r in relate.without_allowed_hosts(bound, any_scheme).where("rule like '%host-binding'").collect()] == ["db.other.io"]
+
+
+def test_a_scan_reads_each_text_once(spark, capsys):
+    """Exceptions and both allowlists in one plan, with one explode."""
+    v = spark.createDataFrame([(1, "c1", 1, "a.txt", "o1", "8.8.8.8")], "doc_id long, commit string, seq int, path string, oid string, text string")
+    exceptions = spark.createDataFrame([("r", "a", "v")], "rule string, path string, value string")
+    ips = spark.createDataFrame([("8.8.8.8", ".*")], "ip string, path_regex string")
+    hosts = spark.createDataFrame([("a.b", None, ".*")], "host string, scheme string, path_regex string")
+    out = scan(v, exceptions, ips, hosts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and out.count() == 0
 
 
 def test_status_precedence(spark):
