@@ -113,15 +113,22 @@ def hygiene(tree: DataFrame) -> DataFrame:
     return _rows(tree.where(bad | (F.col("size") > MAX_BYTES)), "repository.hygiene", detail=F.when(bad, "artifact").otherwise("size"))
 
 
-def data_files(tree: DataFrame, fixtures: list[str] = ()) -> DataFrame:
-    """Data artifacts; admitted dump fixtures may hold table and index definitions only."""
+def data_verdict(fixtures: list[str] = ()) -> Column:
+    """binary or dump for a data artifact, else null; admitted dump fixtures may hold table and index definitions only."""
     statement = r"(?is)^\s*create\s+(?:table|unique\s+index|index)\b(?!.*\bas\s+(?:select|with)\b).*"
     bare = F.regexp_replace(F.regexp_replace("text", "--[^\\n]*", ""), "(?s)/\\*.*?\\*/", "")
     parts = F.filter(F.split(bare, ";", -1), lambda s: F.trim(F.regexp_replace(s, "\\s+", " ")) != "")
-    schema_only = F.coalesce((F.size(parts) > 0) & (F.size(parts) <= 512) & F.forall(parts, lambda s: s.rlike(statement)), F.lit(False))
+    small = F.octet_length("text") <= 262144
+    schema_only = F.coalesce(small & (F.size(parts) > 0) & (F.size(parts) <= 512) & F.forall(parts, lambda s: s.rlike(statement)), F.lit(False))
     ok = F.col("path").isin(list(fixtures)) & schema_only if fixtures else F.lit(False)
     s = suffix(F.col("path"))
-    return _rows(tree.where(s.isin(BINARY_DATA) | (s.isin(DATA_DUMPS) & ~ok)), "repository.data-file-admission", detail=F.when(s.isin(BINARY_DATA), "binary").otherwise("dump"))
+    return F.when(s.isin(BINARY_DATA), "binary").when(s.isin(DATA_DUMPS) & ~ok, "dump")
+
+
+def data_files(tree: DataFrame, fixtures: list[str] = ()) -> DataFrame:
+    """Data artifacts that no fixture admits."""
+    judged = tree.withColumn("_verdict", data_verdict(fixtures)).where("_verdict is not null")
+    return _rows(judged, "repository.data-file-admission", detail=F.col("_verdict"))
 
 
 def json_files(tree: DataFrame, admissions: DataFrame) -> DataFrame:
@@ -144,6 +151,33 @@ def json_files(tree: DataFrame, admissions: DataFrame) -> DataFrame:
     return out.select("rule", F.col("path").alias("file"), F.lit(1).alias("line"), F.coalesce("admitted", F.lit("")).alias("detail"))
 
 
+def historical_data(versions: DataFrame, head: DataFrame, admissions: DataFrame, fixtures: list[str] = ()) -> DataFrame:
+    """The data contracts over versions (path, oid, commit, kind, size, text) that the head (path, oid) no longer has: rule, file, commit, detail, severity.
+
+    Each version is judged once, like a file of a tree, at the commit where it first stands. JSON outside the admissions that is valid
+    and gone from the head is a warning, everything else an error.
+    """
+    h = head.select("path", F.col("oid").alias("head_oid"))
+    old = versions.join(h, "path", "left").where(~F.col("oid").eqNullSafe(F.col("head_oid")))
+    once = old.groupBy("path", "oid").agg(F.min(F.struct("seq", "commit")).alias("first"), F.first("kind").alias("kind"), F.first("size").alias("size"), F.first("text").alias("text"), F.first("head_oid").isNull().alias("gone"))
+    s, commit = suffix(F.col("path")), F.col("first.commit").alias("commit")
+    dumps = once.withColumn("detail", data_verdict(fixtures)).where("detail is not null")
+    dumps = dumps.select(F.lit("repository.data-file-admission").alias("rule"), F.col("path").alias("file"), commit, "detail", F.lit("error").alias("severity"))
+    valid = F.try_parse_json("text").isNotNull()
+    texts = once.where((s == ".json") & (F.col("kind") == "blob")).withColumn("valid", valid)
+    listed = texts.join(admissions.select("path").distinct().withColumn("listed", F.lit(True)), "path", "left")
+    common = base_name(F.col("path")).isin(COMMON_JSON) & ~F.col("path").contains("/")
+    loose = listed.where(F.col("listed").isNull() & ~common).select(F.lit("repository.json-not-allowlisted").alias("rule"), F.col("path").alias("file"), commit, F.lit("").alias("detail"), F.when(F.col("valid") & F.col("gone"), "warning").otherwise("error").alias("severity"))
+    broken = listed.where((F.col("listed").isNotNull() | common) & ~F.coalesce("valid", F.lit(False))).select(F.lit("repository.json-invalid").alias("rule"), F.col("path").alias("file"), commit, F.lit("").alias("detail"), F.lit("error").alias("severity"))
+    return dumps.unionByName(loose).unionByName(broken)
+
+
+def incomplete_text(tree: DataFrame, rule: str) -> DataFrame:
+    """What a contract that reads text can't judge: rule, file and reason of rows that aren't blobs, or have no text."""
+    reason = F.when((F.coalesce("kind", F.lit("blob")) != "blob") | (F.coalesce("mode", F.lit("")) == "120000"), "non-text Git object").when(F.col("text").isNull() | F.col("text").contains("\x00"), "text unavailable")
+    return tree.select(F.lit(rule).alias("rule"), F.col("path").alias("file"), reason.alias("reason")).where("reason is not null")
+
+
 def is_document() -> Column:
     return F.col("path").startswith("docs/") & F.lower("path").endswith(".md")
 

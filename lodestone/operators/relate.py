@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 
 
 def with_exempt(found: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -138,11 +137,98 @@ def duplicates(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).count().where("count > 1")
 
 
-def context_rows(found: DataFrame, around: int = 2) -> DataFrame:
-    return found.withColumn("context", tx.context_of(F.col("text"), F.col("line"), around))
-
-
 def unrepeated(policy: DataFrame, blobs: DataFrame) -> DataFrame:
     """Policy findings that the blob scan doesn't already have at the same (file, commit, rule, line); commits may be null."""
     on = [policy[c].eqNullSafe(blobs[c]) for c in ("file", "commit", "rule", "line")]
     return policy.join(blobs, on, "left_anti")
+
+
+def report_totals(runs: DataFrame) -> DataFrame:
+    """Totals over runs (id, repository, finished_at, findings)."""
+    return runs.agg(F.countDistinct("repository").alias("repositories"), F.count("*").alias("runs"), F.max("finished_at").alias("latest"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
+
+
+def rule_sets(findings: DataFrame, evaluated: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every rule of a run once: whether it was evaluated, has an error (blocks), and its findings.
+
+    findings: rule, severity; evaluated and catalog: rule. The rules of a run are all three together.
+    """
+    per = findings.groupBy("rule").agg(F.count("*").alias("findings"), F.bool_or(F.col("severity") == "error").alias("blocking"))
+    rules = catalog.select("rule").union(evaluated.select("rule")).union(findings.select("rule")).distinct()
+    seen = evaluated.select("rule").distinct().withColumn("evaluated", F.lit(True))
+    none = F.lit(False)
+    return rules.join(seen, "rule", "left").join(per, "rule", "left").select("rule", F.coalesce("evaluated", none).alias("evaluated"), F.coalesce("blocking", none).alias("blocking"), F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+def governance_status(status: DataFrame, governance: DataFrame) -> DataFrame:
+    """A run's status (one row) after governance findings (detail): unverified makes it incomplete, others raise completed to warnings."""
+    g = governance.agg(F.coalesce(F.bool_or(F.col("detail") == "unverified"), F.lit(False)).alias("unverified"), F.count("*").alias("governance"))
+    folded = F.when(F.col("unverified"), "incomplete").when((F.col("governance") > 0) & (F.col("status") == "completed"), "completed_with_warnings").otherwise(F.col("status"))
+    return status.join(g).select(folded.alias("status"), "governance")  # one row each
+
+
+def is_relative(path: Column) -> Column:
+    """Whether a path stays inside its repository: not absolute, no backslash, no empty part, no dots alone."""
+    return F.coalesce((path != "") & ~path.contains("\\") & ~F.exists(F.split(path, "/", -1), lambda p: p.isin("", ".", "..")), F.lit(False))
+
+
+def is_text(value: Column) -> Column:
+    """Whether a receipt's text says something and holds no control characters but tabs and line ends."""
+    return F.coalesce((F.trim(F.regexp_replace(value, "\\s+", " ")) != "") & ~value.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"), F.lit(False))
+
+
+def identity_violations(findings: DataFrame) -> DataFrame:
+    """The first breach of each finding's identity: index, violation. findings: index, file, rule, start, end, line, end_line, commit, matched, context, provenance_commit."""
+    positive = lambda c, least: F.col(c).isNotNull() & (F.col(c) < least)
+    literal = F.col("matched").isNotNull() & ~F.coalesce((F.col("end") - F.col("start") == F.length("matched")) & F.col("context").contains(F.col("matched")), F.lit(False))
+    what = (
+        F.when(F.coalesce(F.col("rule"), F.lit("")) == "", "no rule")
+        .when(positive("line", 1) | positive("end_line", 1) | positive("start", 0) | positive("end", 0), "location")
+        .when(literal, "literal evidence")
+        .when(~F.col("provenance_commit").eqNullSafe(F.col("commit")), "other version")
+        .when(F.col("end") < F.col("start"), "span")
+        .when(F.col("end_line") < F.col("line"), "line range")
+        .when(~is_relative(F.col("file")), "path")
+    )
+    return findings.select("index", what.alias("violation")).where("violation is not null")
+
+
+def review_tasks(fixed: DataFrame, topics: DataFrame, profile: DataFrame) -> DataFrame:
+    """The union of review tasks (id, title, prompt): fixed ones, detector topics, and one for each of a profile's requirements (repository, index, prompt)."""
+    key = F.regexp_replace(F.regexp_replace("repository", "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+\\z", "")
+    own = profile.select(F.concat(F.lit("profile:"), key, F.lit(":"), F.col("index").cast("string")).alias("id"), F.concat(F.lit("Repository review requirement "), (F.col("index") + 1).cast("string")).alias("title"), "prompt")
+    return fixed.select("id", "title", "prompt").union(topics.select("id", "title", "prompt")).union(own)
+
+
+def task_violations(tasks: DataFrame, reviews: DataFrame) -> DataFrame:
+    """id and violation: tasks that repeat, lack a review or have several, reviews of no task, and reviews without conclusion or evidence."""
+    t = tasks.groupBy("id").agg(F.count("*").alias("tasks"))
+    r = reviews.groupBy("id").agg(F.count("*").alias("reviews"), F.bool_and(is_text(F.col("conclusion")) & is_text(F.col("evidence"))).alias("said"))
+    what = F.when(F.col("tasks").isNull(), "unknown").when(F.col("tasks") > 1, "task repeats").when(F.col("reviews").isNull(), "missing").when(F.col("reviews") > 1, "repeated").when(~F.col("said"), "text")
+    return t.join(r, "id", "full_outer").select("id", what.alias("violation")).where("violation is not null")
+
+
+def manifest_violations(files: DataFrame, commits: DataFrame, scope: str) -> DataFrame:
+    """path and violation of review files (path, commits array, inspected, excluded) against the scan's commits (commit)."""
+    known = commits.agg(F.collect_set("commit").alias("known"))  # the commits of one run
+    outside = F.size(F.array_except("commits", "known")) > 0
+    empty = (F.size("commits") == 0) & F.lit(scope not in ("staged", "worktree"))
+    repeats = files.groupBy("path").agg(F.count("*").alias("times"))
+    what = F.when(~is_relative(F.col("path")), "path").when(F.col("times") > 1, "path repeats").when(empty | outside, "commits").when(F.size(F.array_distinct("commits")) < F.size("commits"), "commit repeats").when(F.least("inspected", "excluded") < 0, "states").when(F.col("inspected") + F.col("excluded") == 0, "no version")
+    return files.join(repeats, "path").join(F.broadcast(known)).select("path", what.alias("violation")).where("violation is not null")  # one row
+
+
+def additional_violations(additional: DataFrame, commits: DataFrame, scope: str, verdicts: list[str] = ("confirmed", "false_positive", "uncertain")) -> DataFrame:
+    """index and violation of a receipt's additional findings (index, path, line, commit, verdict, category, rule, basis, impact, action)."""
+    known = commits.select("commit").distinct().withColumn("known", F.lit(True))
+    said = F.array_min(F.array(*(is_text(F.col(c)) for c in ("category", "rule", "basis", "impact", "action"))))
+    what = (
+        F.when(~is_relative(F.col("path")), "path")
+        .when(~F.coalesce(F.col("line") >= 1, F.lit(False)), "line")
+        .when(F.trim("commit") == "", "commit")
+        .when(~F.coalesce(F.col("verdict").isin(list(verdicts)), F.lit(False)), "verdict")
+        .when(~said, "text")
+        .when(F.col("commit").isNull() & F.lit(scope not in ("staged", "worktree")), "no commit")
+        .when(F.col("commit").isNotNull() & F.col("known").isNull(), "commit outside")
+    )
+    return additional.join(known, "commit", "left").select("index", what.alias("violation")).where("violation is not null")

@@ -211,12 +211,26 @@ def superseded_versions(spark: SparkSession, d: str) -> DataFrame:
     return re_.superseded(vs, head).groupBy("path", "removed").agg(F.count("*").alias("versions"))
 
 
-@query("SELECT CASE WHEN count(*) FILTER (doc_id % 50 <= 3) > 0 THEN 'incomplete' ELSE 'completed' END AS status, CASE WHEN count(*) FILTER (doc_id % 50 <= 3) > 0 THEN 1 ELSE 0 END AS exit_code, count(*) FILTER (doc_id % 97 = 5) AS findings, count(*) FILTER (doc_id % 50 <= 3) AS incomplete FROM documents")
+@query(f"""WITH {o.VERSIONS}, {o.FIRST}, n AS (SELECT (SELECT count(*) FROM {ALL_FOUND}) AS findings, (SELECT count(*) FROM documents WHERE doc_id % 50 <= 3) AS incomplete)
+SELECT CASE WHEN incomplete > 0 THEN 'incomplete' WHEN findings > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status, CASE WHEN incomplete > 0 THEN 1 ELSE 0 END AS exit_code, findings, incomplete FROM n""")
 def run_status(spark: SparkSession, d: str) -> DataFrame:
-    """The run's status from findings' severities and incomplete rows."""
-    docs = table(spark, d, "documents")
-    findings = docs.where("doc_id % 97 = 5").select(F.lit("warning").alias("severity"))
-    return re_.run_status(findings, _admitted(spark, d).where("reason is not null"))
+    """The run's status from the scan's findings and the versions that aren't text."""
+    return re_.run_status(scan(_versions(spark, d)), _admitted(spark, d).where("reason is not null"))
+
+
+@query(f"""WITH {o.VERSIONS}, {o.FIRST}, a AS (SELECT rule, count(*) AS findings FROM {ALL_FOUND} GROUP BY 1), c AS (SELECT unnest(['privacy.personal.identifier', 'privacy.endpoint.ip-address', 'privacy.credential.binding', 'repository.hygiene']) AS rule)
+SELECT coalesce(c.rule, a.rule) AS rule, coalesce(c.rule, '') = 'repository.hygiene' AS evaluated, false AS blocking, coalesce(findings, 0) AS findings FROM c FULL JOIN a ON c.rule = a.rule""")
+def rule_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of a run: those of the catalog (four here), those evaluated, those with findings, and which of them block."""
+    names = spark.createDataFrame([("privacy.personal.identifier",), ("privacy.endpoint.ip-address",), ("privacy.credential.binding",)], "rule string")
+    evaluated = spark.createDataFrame([("repository.hygiene",)], "rule string")
+    return re_.rule_sets(scan(_versions(spark, d)), evaluated, names)
+
+
+@query(f"""WITH {o.VERSIONS}, {o.FIRST} SELECT 'incomplete' AS status, CAST(4 AS BIGINT) AS governance""")
+def governance_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The run's status after governance findings, one of which could not be verified."""
+    return re_.governance_status(re_.run_status(scan(_versions(spark, d)), spark.range(0)), governance(spark, d))
 
 
 REQUEST = "r AS (SELECT doc_id AS index, sha256(coalesce(text, '')) AS identity FROM documents)"
@@ -257,6 +271,66 @@ def reviewed_findings(spark: SparkSession, d: str) -> DataFrame:
     return re_.reviewed(r.withColumn("judgment", F.lit("unreviewed")), w).select("index", "judgment")
 
 
+IDENTITY = f"""a AS (SELECT doc_id, path, commit, start, finish, value, row_number() OVER (ORDER BY doc_id, start, value) AS k FROM (SELECT * FROM {o.spans('v', o.EMAIL)}))"""
+
+
+@query(f"""WITH {o.VERSIONS}, {IDENTITY} SELECT doc_id AS index, violation FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'no rule' WHEN doc_id % 7 = 2 THEN 'literal evidence' WHEN doc_id % 7 = 3 THEN 'other version' WHEN doc_id % 7 = 4 THEN 'path' END AS violation FROM a) WHERE violation IS NOT NULL""")
+def identity_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Findings' identities, some of them broken: without a rule, with other evidence, of another version, outside the repository."""
+    found = de.candidates(_versions(spark, d), (de.personal,)).where(F.col("basis").startswith("Email"))
+    k = F.col("doc_id") % 7
+    made = found.select(
+        F.col("doc_id").alias("index"),
+        F.when(k == 4, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("file"),
+        F.when(k == 1, "").otherwise(F.col("rule")).alias("rule"),
+        F.col("start").alias("start"),
+        F.when(k == 2, F.col("end") + 1).otherwise(F.col("end")).alias("end"),
+        "line",
+        F.col("line").alias("end_line"),
+        "commit",
+        F.col("value").alias("matched"),
+        F.concat(F.lit("> "), "value").alias("context"),
+        F.when(k == 3, "c-other").otherwise(F.col("commit")).alias("provenance_commit"),
+    )
+    return re_.identity_violations(made)
+
+
+@query("""WITH p AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), t AS (SELECT 'profile:' || source || ':' || i AS id, i FROM p, range(0, 3) r(i))
+SELECT id, CASE i WHEN 1 THEN 'missing' ELSE 'text' END AS violation FROM t WHERE i > 0 UNION ALL SELECT 'privacy-endpoints', 'repeated' UNION ALL SELECT 'other', 'unknown'""")
+def task_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Review tasks of fixed topics, detectors and each source's profile, against reviews that leave some out."""
+    made = lambda *ids: spark.createDataFrame([(i, i, "look") for i in ids], "id string, title string, prompt string")
+    profile = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("repository")).distinct()
+    profile = profile.select("repository", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("index"), F.lit("check it").alias("prompt"))
+    tasks = re_.review_tasks(made("scope"), made("privacy-endpoints"), profile)
+    own = tasks.where("not endswith(id, ':1')").select("id", F.lit("done").alias("conclusion"), F.when(F.col("id").endswith(":2"), " ").otherwise("seen").alias("evidence"))
+    more = spark.createDataFrame([("privacy-endpoints", "done", "again"), ("other", "done", "seen")], "id string, conclusion string, evidence string")
+    return re_.task_violations(tasks, own.union(more))
+
+
+@query(f"""WITH {o.VERSIONS} SELECT path, 'commits' AS violation FROM (SELECT path, max(seq) AS last FROM v GROUP BY 1) WHERE last >= 6 UNION ALL SELECT '/abs/x', 'path'""")
+def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a review against a scan of six of the eight commits."""
+    files = re_.review_files(_admitted(spark, d)).union(spark.createDataFrame([("/abs/x", ["c0"], 1, 0)], "path string, commits array<string>, inspected long, excluded long"))
+    commits = _versions(spark, d).where("seq < 6").select("commit").distinct()
+    return re_.manifest_violations(files, commits, "range")
+
+
+@query("""SELECT doc_id AS index, CASE doc_id % 6 WHEN 1 THEN 'path' WHEN 2 THEN 'line' WHEN 3 THEN 'verdict' WHEN 4 THEN 'no commit' WHEN 5 THEN CASE WHEN doc_id % 8 = 7 THEN 'commit outside' END END AS violation FROM documents WHERE doc_id % 6 IN (1, 2, 3, 4) OR (doc_id % 6 = 5 AND doc_id % 8 = 7)""")
+def additional_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Additional findings of a receipt, one for each document, some of them broken."""
+    k = F.col("doc_id") % 6
+    some = _versions(spark, d).select(
+        F.col("doc_id").alias("index"),
+        F.when(k == 1, "a/../b").otherwise(F.col("path")).alias("path"),
+        F.when(k == 2, 0).otherwise(1).alias("line"),
+        F.when(k != 4, F.when((k != 5) & (F.col("seq") == 7), "c0").otherwise(F.col("commit"))).alias("commit"),
+        F.when(k == 3, "maybe").otherwise("confirmed").alias("verdict"),
+        *(F.lit("said").alias(c) for c in ("category", "rule", "basis", "impact", "action")),
+    )
+    return re_.additional_violations(some, _versions(spark, d).where("seq < 7").select("commit"), "range")
+
+
 RUNS = "(SELECT 'run' || (doc_id % 40) AS id, max(doc_id) AS finished_at, sum(n_chars)::VARCHAR AS content FROM documents GROUP BY 1)"
 
 
@@ -269,10 +343,13 @@ def run_ledger(spark: SparkSession, d: str) -> DataFrame:
     return saved.select("id", "finished_at")
 
 
-@query("SELECT count(DISTINCT source) AS repositories, count(*) AS runs, CAST(max(doc_id) AS BIGINT) AS latest, CAST(sum(n_chars) AS BIGINT) AS findings FROM documents")
+@query(f"""WITH {o.VERSIONS}, {o.FIRST} SELECT count(DISTINCT repository) AS repositories, count(DISTINCT repository || ' ' || commit) AS runs, CAST(max(doc_id) AS BIGINT) AS latest, (SELECT CAST(count(*) AS BIGINT) FROM {ALL_FOUND}) AS findings FROM v""")
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Totals over runs: repositories, runs, the latest, and findings."""
-    return table(spark, d, "documents").agg(F.countDistinct("source").alias("repositories"), F.count("*").alias("runs"), F.max("doc_id").alias("latest"), F.sum("n_chars").alias("findings"))
+    """Totals over runs, one for each repository and commit: repositories, runs, the latest, and the scan's findings."""
+    vs, on = _versions(spark, d), ["repository", "commit"]
+    found = scan(vs).groupBy(*on).agg(F.count("*").alias("findings"))
+    runs = vs.groupBy(*on).agg(F.max("doc_id").alias("finished_at")).join(found, on, "left").withColumn("id", F.concat_ws(" ", *on))
+    return re_.report_totals(runs)
 
 
 @query("SELECT doc_id % 300 AS key, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -300,6 +377,8 @@ def commit_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A tree of files made from documents: the path depends on the id, the text is the document's.
+#: Line ends of a document's text.
+NEWLINES = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))"
 KINDS = ("src/m{}.py", "build/o{}.log", "data/t{}.csv", "conf/c{}.json", "docs/guide/p{}.md", "docs/adrs/a{}.md", "ops/prod/{}.tfvars", "ops/sample/{}.tfvars", "data/s{}.parquet", "skills/x{}/SKILL.md")
 TREE_SQL = "t AS (SELECT doc_id, CASE doc_id % 10 " + " ".join("WHEN {} THEN {}".format(k, " || ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(p.replace("{}", "\0doc_id\0").split("\0")) if x)) for k, p in enumerate(KINDS)) + " END AS path, CASE WHEN doc_id % 10 = 3 AND doc_id % 3 = 0 THEN '{\"name\": 1, \"name\": 2}' WHEN doc_id % 10 = 3 AND doc_id % 3 = 1 THEN '[\"a\", \"b\"]' WHEN doc_id % 10 = 3 THEN '{\"name\": \"x\"}' ELSE text END AS text, 1000 * n_chars AS size FROM documents)"
 
@@ -356,22 +435,24 @@ def documentation(spark: SparkSession, d: str) -> DataFrame:
     return ct.documents(_tree(spark, d), ["README.md", "docs/README.md"], ["docs/adrs/", "docs/protocols/"]).select("rule", "file")
 
 
-@query(f"WITH {TREE_SQL} SELECT 'repository.documentation-link-target' AS rule, path AS file, 2 AS line, 'docs/guide/p' || (doc_id + 5) || '.md' AS detail FROM t WHERE doc_id % 10 = 5 AND doc_id % 20 = 5")
+@query(f"WITH {TREE_SQL} SELECT 'repository.documentation-link-target' AS rule, path AS file, CAST({NEWLINES} + 3 AS INT) AS line, 'docs/guide/p' || (doc_id + 5) || '.md' AS detail FROM t WHERE doc_id % 10 = 5 AND doc_id % 20 = 5")
 def broken_links(spark: SparkSession, d: str) -> DataFrame:
     """Local Markdown links without a target in the tree."""
     t = _tree(spark, d)
     n = F.col("doc_id")
+    whole = F.coalesce("text", F.lit(""))
     to = F.when(n % 20 == 5, n + 5).otherwise(n - 1).cast("string")
-    text = F.concat(F.lit("see [home](https://example.com) and [all](../guide/)\n![x](<../guide/p"), to, F.lit('.md>) [top](#top "t")'))
-    return ct.broken_links(t.withColumn("text", F.when(n % 10 == 5, text).otherwise(F.lit(""))))
+    text = F.concat(whole, F.lit("\nsee [home](https://example.com) and [all](../guide/)\n![x](<../guide/p"), to, F.lit('.md>) [top](#top "t")'))
+    return ct.broken_links(t.withColumn("text", F.when(n % 10 == 5, text).otherwise(whole)))
 
 
 @query(f"WITH {TREE_SQL} SELECT r AS rule, path AS file FROM t, (SELECT unnest(['repository.documentation-generated-source', 'repository.documentation-generated-update']) AS r) WHERE doc_id % 10 = 4 AND ((r LIKE '%source' AND doc_id % 3 <> 0) OR (r LIKE '%update' AND doc_id % 4 <> 0))")
 def generated_documents(spark: SparkSession, d: str) -> DataFrame:
     """Generated documentation without its source or its way of update."""
     n = F.col("doc_id")
-    text = F.concat(F.lit("<!-- generated -->\n"), F.when(n % 3 == 0, "Generated from x\n").otherwise(""), F.when(n % 4 == 0, "update command: make\n").otherwise(""))
-    return ct.generated(_tree(spark, d).withColumn("text", F.when(n % 10 == 4, text).otherwise(F.lit("plain")))).select("rule", "file")
+    whole = F.coalesce("text", F.lit(""))
+    text = F.concat(whole, F.lit("\n<!-- generated -->\n"), F.when(n % 3 == 0, "Generated from x\n").otherwise(""), F.when(n % 4 == 0, "update command: make\n").otherwise(""))
+    return ct.generated(_tree(spark, d).withColumn("text", F.when(n % 10 == 4, text).otherwise(whole))).select("rule", "file")
 
 
 @query(f"WITH {TREE_SQL} SELECT 'repository.server-material-path' AS rule, path AS file FROM t WHERE doc_id % 10 = 6")
@@ -380,12 +461,13 @@ def server_material(spark: SparkSession, d: str) -> DataFrame:
     return ct.server_material(_tree(spark, d)).select("rule", "file")
 
 
-@query(f"WITH {TREE_SQL} SELECT 'repository.server-security-signal' AS rule, path AS file, 2 AS line, CASE WHEN doc_id % 20 = 0 THEN 'command-injection' ELSE 'weak-password-hash' END AS detail FROM t WHERE doc_id % 10 = 0")
+@query(f"WITH {TREE_SQL} SELECT 'repository.server-security-signal' AS rule, path AS file, CAST({NEWLINES} + 3 AS INT) AS line, CASE WHEN doc_id % 20 = 0 THEN 'command-injection' ELSE 'weak-password-hash' END AS detail FROM t WHERE doc_id % 10 = 0")
 def server_signals(spark: SparkSession, d: str) -> DataFrame:
     """The first place of each kind of security marker in each source file."""
     n = F.col("doc_id")
-    text = F.when(n % 20 == 0, "x\nrun(a, Shell  =   TRUE)\nshell=true").otherwise("x\nhashlib.MD5(password)")
-    return ct.server_signals(_tree(spark, d).withColumn("text", F.when(n % 10 == 0, text).otherwise(F.lit(""))))
+    whole = F.coalesce("text", F.lit(""))
+    text = F.concat(whole, F.when(n % 20 == 0, "\nx\nrun(a, Shell  =   TRUE)\nshell=true").otherwise("\nx\nhashlib.MD5(password)"))
+    return ct.server_signals(_tree(spark, d).withColumn("text", F.when(n % 10 == 0, text).otherwise(whole)))
 
 
 @query("SELECT 'repository.resource-scope' AS rule, 'none/**' AS file, 'b' AS detail UNION ALL SELECT 'repository.resource-scope', 'src/*.go', 'c'")
@@ -394,20 +476,23 @@ def resource_scopes(spark: SparkSession, d: str) -> DataFrame:
     return _files(ct.resource_scopes(_tree(spark, d), {"a": ["src/*"], "b": ["none/**", "void/*"], "c": ["src/*.go"], "d": ["x/*", "docs/**"]}))
 
 
-@query(f"WITH {TREE_SQL} SELECT 'repository.dependency-commercial-signal' AS rule, 'src/m' || doc_id || '/package.json' AS file, 1 AS line, 'proprietary' AS detail FROM t WHERE doc_id % 10 = 0 UNION ALL SELECT 'repository.dependency-commercial-signal', 'src/m' || doc_id || '/package.json', 2, 'commercial license' FROM t WHERE doc_id % 20 = 0")
+@query(f"WITH {TREE_SQL} SELECT 'repository.dependency-commercial-signal' AS rule, 'src/m' || doc_id || '/package.json' AS file, CAST({NEWLINES} + 2 AS INT) AS line, 'proprietary' AS detail FROM t WHERE doc_id % 10 = 0 UNION ALL SELECT 'repository.dependency-commercial-signal', 'src/m' || doc_id || '/package.json', CAST({NEWLINES} + 3 AS INT), 'commercial license' FROM t WHERE doc_id % 20 = 0")
 def commercial_signals(spark: SparkSession, d: str) -> DataFrame:
     """Commercial terms in dependency manifests."""
     n = F.col("doc_id")
-    t = _tree(spark, d).where(n % 10 == 0).withColumn("path", F.concat(F.lit("src/m"), n.cast("string"), F.lit("/package.json")))
-    return ct.commercial_signals(t.withColumn("text", F.when(n % 20 == 0, '{"license": "Proprietary",\n"x": "commercial   LICENSE"}').otherwise('{"license": "Proprietary"}')))
+    whole = F.coalesce("text", F.lit(""))
+    own = F.concat(whole, F.lit("\n"), F.when(n % 20 == 0, '{"license": "Proprietary",\n"x": "commercial   LICENSE"}').otherwise('{"license": "Proprietary"}'))
+    path = F.when(n % 10 == 0, F.concat(F.lit("src/m"), n.cast("string"), F.lit("/package.json"))).otherwise(F.col("path"))
+    return ct.commercial_signals(_tree(spark, d).select("doc_id", path.alias("path"), F.when(n % 10 == 0, own).otherwise(whole).alias("text")))
 
 
 @query(f"WITH {TREE_SQL} SELECT 'repository.dependency-boundary-evidence' AS rule, 'src/m' || doc_id || '/package.json' AS file, 'lib' || doc_id AS detail FROM t WHERE doc_id % 10 = 0 AND doc_id <> 10 UNION ALL SELECT 'repository.dependency-boundary-evidence', 'docs/dependencies.md', 'authorization|授权'")
 def dependency_boundary(spark: SparkSession, d: str) -> DataFrame:
     """Declared dependencies and topics that the boundary evidence lacks."""
     n = F.col("doc_id")
-    t = _tree(spark, d).where(n % 10 == 0)
-    made = t.select(F.concat(F.lit("src/m"), n.cast("string"), F.lit("/package.json")).alias("path"), F.concat(F.lit('{"dependencies": {"Lib'), n.cast("string"), F.lit('": "1"}}')).alias("text"))
+    manifest = F.to_json(F.struct(F.col("text").alias("description"), F.create_map(F.concat(F.lit("Lib"), n.cast("string")), F.lit("1")).alias("dependencies")))
+    path = F.when(n % 10 == 0, F.concat(F.lit("src/m"), n.cast("string"), F.lit("/package.json"))).otherwise(F.col("path"))
+    made = _tree(spark, d).select(path.alias("path"), F.when(n % 10 == 0, manifest).otherwise(F.col("text")).alias("text"))
     page = spark.createDataFrame([("docs/dependencies.md", "Dependency and Commercial use\n\nusage\n boundary: lib10 only")], "path string, text string")
     return _files(ct.dependency_boundary(made.unionByName(page), ["docs/dependencies.md", "DEPENDENCY-USAGE.md"]))
 
@@ -487,3 +572,23 @@ def pattern_rules(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(n % 10 == 1, F.concat(F.lit(".github/workflows/w"), n.cast("string"), F.lit(".yml"))).otherwise(F.col("path"))
     t = _tree(spark, d).withColumn("text", text).withColumn("path", path)
     return de.candidates(t, (), ["code", "workflows", "dependencies"]).groupBy("rule").agg(F.count("*").alias("findings"))
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'repository.data-file-admission' ELSE 'repository.json-not-allowlisted' END AS rule, CASE doc_id % 3 WHEN 0 THEN 'data/t' || doc_id || '.csv' ELSE 'conf/c' || doc_id || '.json' END AS file, 'c0' AS commit, CASE doc_id % 3 WHEN 0 THEN 'dump' ELSE '' END AS detail, CASE doc_id % 3 WHEN 1 THEN 'warning' ELSE 'error' END AS severity
+FROM documents WHERE doc_id % 2 = 0""")
+def historical_data(spark: SparkSession, d: str) -> DataFrame:
+    """Data files that half of the paths' heads no longer have: dumps are errors, removed valid JSON a warning, invalid JSON an error."""
+    n, k = F.col("doc_id"), F.col("doc_id") % 3
+    name = F.when(k == 0, F.concat(F.lit("data/t"), n.cast("string"), F.lit(".csv"))).otherwise(F.concat(F.lit("conf/c"), n.cast("string"), F.lit(".json")))
+    text = F.when(k == 1, F.to_json(F.struct("text"))).when(k == 2, F.concat(F.lit("{"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select("doc_id", name.alias("path"), F.lit("o1").alias("oid"), F.lit("c0").alias("commit"), F.lit(0).alias("seq"), F.lit("blob").alias("kind"), F.col("n_chars").alias("size"), text.alias("text"))
+    head = docs.where(n % 2 == 1).select("path", "oid")
+    return ct.historical_data(docs, head, spark.createDataFrame([], "path string, kind string"))
+
+
+@query(f"WITH {TREE_SQL} SELECT 'repository.documentation-markdown-read' AS rule, path AS file, CASE WHEN doc_id % 50 = 5 THEN 'non-text Git object' ELSE 'text unavailable' END AS reason FROM t WHERE doc_id % 50 IN (5, 15)")
+def unread_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown files that the documentation contracts can't read."""
+    n = F.col("doc_id") % 50
+    t = _tree(spark, d).withColumns({"mode": F.when(n == 5, "120000").otherwise("100644"), "text": F.when(n == 15, F.lit(None)).otherwise(F.coalesce("text", F.lit("")))})
+    return ct.incomplete_text(t.where(F.lower("path").endswith(".md")), "repository.documentation-markdown-read")

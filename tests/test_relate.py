@@ -83,6 +83,15 @@ def test_schema_fixture_grammar(spark):
     assert sorted(r.file for r in ct.data_files(tree, ["a.sql", "b.sql", "c.sql", "d.sql"]).collect()) == ["b.sql", "c.sql", "d.sql"]
 
 
+def test_versions_of_one_path_are_judged_apart(spark):
+    rows = [("a.sql", "o1", "c0", 0, "create table t (x int);"), ("a.sql", "o2", "c1", 1, "insert into t values (1);"), ("a.sql", "o1", "c2", 2, "create table t (x int);"), ("b.json", "o3", "c1", 1, '{"a": 1}'), ("b.json", "o4", "c2", 2, "{")]
+    v = spark.createDataFrame(rows, "path string, oid string, commit string, seq int, text string").withColumns({"kind": F.lit("blob"), "size": F.lit(1)})
+    head = spark.createDataFrame([("b.json", "o4")], "path string, oid string")
+    none = spark.createDataFrame([], "path string, kind string")
+    got = sorted((r.file, r.commit, r.detail, r.severity) for r in ct.historical_data(v, head, none, ["a.sql"]).collect())
+    assert got == [("a.sql", "c1", "dump", "error"), ("b.json", "c1", "", "error")]
+
+
 def test_link_resolution(spark):
     cases = [("docs/a.md", "../x.md#y", "x.md"), ("docs/a.md", "b%20c.md", "docs/b c.md"), ("a.md", "../../x", "x"), ("docs/a.md", "/r.md", "r.md"), ("docs/d/a.md", "./", "docs/d")]
     df = spark.createDataFrame(cases, "s string, t string, want string")
