@@ -139,17 +139,20 @@ def endpoint_hosts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(de.url_host(url).alias("host"), found.cast("long").alias("n")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("findings"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT page_id AS doc_id, 'pages/' || page_id || '.html' AS path, 'c0' AS commit, html AS text FROM pages WHERE html IS NOT NULL) SELECT rule, count(*) AS findings FROM {ALL_FOUND} GROUP BY rule""")
 def page_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole catalog over the pages' HTML."""
     return scan(pages_as_versions(table(spark, d, "pages"))).groupBy("rule").agg(F.count("*").alias("findings"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT conv_id AS doc_id, 'conversations/' || conv_id || '.txt' AS path, 'c0' AS commit, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' write to bob' || conv_id || '@corp-mail.de' WHEN 1 THEN chr(10) || 'the server is 8.8.' || conv_id % 250 || '.4 now' ELSE '' END AS text FROM conversations)
+SELECT rule, count(*) AS findings, count(DISTINCT path) AS paths FROM {ALL_FOUND} GROUP BY rule""")
 def conversation_findings(spark: SparkSession, d: str) -> DataFrame:
-    """The whole catalog over conversation turns, one file per conversation."""
-    turns = table(spark, d, "conversations").select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("path"), "turn", "text")
-    return de.candidates(turns).groupBy("rule").agg(F.count("*").alias("findings"))
+    """The whole catalog over conversation turns, one file per conversation; an address stands behind two of three turns."""
+    turn, conv = F.col("turn") % 3, F.col("conv_id").cast("string")
+    more = F.when(turn == 0, F.concat(F.lit(" write to bob"), conv, F.lit("@corp-mail.de"))).when(turn == 1, F.concat(F.lit("\nthe server is 8.8."), (F.col("conv_id") % 250).cast("string"), F.lit(".4 now"))).otherwise("")
+    turns = table(spark, d, "conversations").select(F.concat(F.lit("conversations/"), conv, F.lit(".txt")).alias("path"), "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+    return de.candidates(turns).groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
 
 
 def _admitted(spark, d) -> DataFrame:
@@ -564,11 +567,12 @@ def rule_catalog(spark: SparkSession, d: str) -> DataFrame:
     return de.rules_table(spark).where("category <> 'Credentials'")
 
 
-@query()
+@query("""SELECT rule, count(*) AS findings FROM documents, (VALUES ('security.shell-execution', 0), ('security.disabled-verification', 0), ('workflow.mutable-action', 1)) r(rule, k) WHERE doc_id % 10 = k GROUP BY rule""")
 def pattern_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The opt-in rule groups on source files made from documents."""
+    """The opt-in rule groups on source files and workflows made from documents, behind whose texts a case stands."""
     n = F.col("doc_id")
-    text = F.when(n % 10 == 0, "subprocess.run(x, shell=True)\nverify_signature = False\n").otherwise(F.concat(F.lit("- uses: a/b@v1\n"), F.coalesce("text", F.lit(""))))
+    case = F.when(n % 10 == 0, "\nsubprocess.run(x, shell=True)\nverify_signature = False\n").otherwise("\n- uses: a/b@v1\n")
+    text = F.concat(F.coalesce("text", F.lit("")), case)
     path = F.when(n % 10 == 1, F.concat(F.lit(".github/workflows/w"), n.cast("string"), F.lit(".yml"))).otherwise(F.col("path"))
     t = _tree(spark, d).withColumn("text", text).withColumn("path", path)
     return de.candidates(t, (), ["code", "workflows", "dependencies"]).groupBy("rule").agg(F.count("*").alias("findings"))
