@@ -40,7 +40,7 @@ PACK, SHARD, HOT = 1 << 19, 1 << 20, 1 << 16
 BLOCKS = 6
 ROW = "key long, kind int, src long, a binary, b binary, c binary, x double, y double"
 WORDS, SINGLES, ASKED, MODEL, PARENT, PRIOR, TABLES, SEATED, ASK_WORDS, ASK_PAIRS, ALONE = range(11)
-STRENGTH, SWEEPS, BURN = 1.0, 6, 2
+STRENGTH, SWEEPS, BURN = 1.0, 4, 1
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,11 @@ def _text_only(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def _size():
+    """Bytes of a row's text and of what stands for its end."""
+    return F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+
+
 def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Document index and hash of the tokens of about PACK tokens of texts at a time."""
     held, size, first = [], 0, 0
@@ -80,17 +85,6 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def count_words(df: DataFrame) -> DataFrame:
-    """(h, c): the hash of each token (as a long) and its count."""
-
-    def run(batches):
-        for _, h in _flushes(batches):
-            h, c = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
-
-    return _text_only(df).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 class Rows:
     """Rows of ROW, as a batch or a pandas frame."""
 
@@ -128,7 +122,7 @@ def _dealt(shard: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
 class Pairs:
     """The distinct words of some texts and their distinct pairs, ordered by the shard that holds them."""
 
-    def __init__(self, doc: np.ndarray, h: np.ndarray, shards: int, hot: np.ndarray, parts: np.ndarray):
+    def __init__(self, doc: np.ndarray, h: np.ndarray, shards: int, hot: np.ndarray, parts: np.ndarray, inverse: bool = False):
         self.words, ids = np.unique(h, return_inverse=True)
         pair = np.full(len(h), np.searchsorted(self.words, END), np.int64)
         pair[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], pair[1:])
@@ -136,9 +130,13 @@ class Pairs:
         pair |= ids
         self.ids = ids.astype(np.int32)
         del ids
-        pair, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
-        self.inverse, times = inverse.astype(np.int32), times.astype(np.uint32)
-        del inverse
+        if inverse:  # each token's pair, for its score
+            pair, at, times = np.unique(pair, return_inverse=True, return_counts=True)
+            self.inverse = at.astype(np.int32)
+            del at
+        else:
+            pair, times = np.unique(pair, return_counts=True)
+        times = times.astype(np.uint32)
         v, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
         del pair
         shard = _shard(self.words, shards)[v]
@@ -168,26 +166,33 @@ def _of(rows: pd.DataFrame, kind: int) -> pd.DataFrame:
     return rows[rows["kind"] == kind]
 
 
-def word_rows(counts: DataFrame, shards: int) -> DataFrame:
-    """WORDS rows: a shard's words and counts, in pieces."""
+def word_rows(train: DataFrame, shards: int) -> DataFrame:
+    """WORDS rows: each shard's words and counts, in order, with their sum and number; of the words that are more often than SHARD, again in c."""
 
-    def run(batches):
-        for batch in batches:
-            h, c = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()
-            by = np.argsort(h)
-            h, c, out = h[by], c[by], Rows()
+    def deal(batches):
+        for _, h in _flushes(batches):
+            h, c = np.unique(h, return_counts=True)
+            out = Rows()
             for k, a, b in _dealt(_shard(h, shards), shards):
-                out.add(k, WORDS, 0, h[a:b].tobytes(), c[a:b].tobytes())
+                out.add(k, WORDS, 0, h[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes())
             yield out.batch()
 
-    return counts.select("h", "c").mapInArrow(run, ROW)
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        h, c = np.frombuffer(b"".join(rows["a"]), U), np.frombuffer(b"".join(rows["b"]), np.uint32).astype(np.int64)
+        by = np.argsort(h)
+        h = h[by]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, c, out = h[first], np.add.reduceat(c[by], first), Rows()
+        often = c > SHARD
+        out.add(rows["key"].iloc[0], WORDS, 0, h.tobytes(), c.tobytes(), h[often].tobytes() + c[often].tobytes(), c.sum(), len(c))
+        return out.frame()
+
+    return _grouped(_text_only(train).mapInArrow(deal, ROW), count)
 
 
 def _words(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = _of(rows, WORDS)
-    h, c = np.frombuffer(b"".join(rows["a"]), U), np.frombuffer(b"".join(rows["b"]), np.int64)
-    by = np.argsort(h)
-    return h[by], c[by]
+    return np.frombuffer(b"".join(rows["a"]), U), np.frombuffer(b"".join(rows["b"]), np.int64)  # one row
 
 
 def restaurants(train: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
@@ -356,19 +361,18 @@ class PitmanYorModel:
 
     def __init__(self, train: DataFrame, rounds: int = 2, seed: int = 17):
         spark = train.sparkSession
-        counts, counted = written(count_words(train))
-        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        size = train.agg(F.coalesce(F.sum(_size()), F.lit(0))).first()[0]
+        self.shards = max(1, -(-int(size) // (6 * SHARD)))  # a token has about 6 bytes
+        self.words, _ = written(word_rows(train, self.shards))
+        n, v = self.words.agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
         self.n, self.v = int(n), int(v)
-        self.shards = max(1, -(-self.n // SHARD))
-        top = counts.where(F.col("c") > SHARD).orderBy(F.col("c").desc(), "h").limit(HOT).collect()
-        h, c = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["c"] for r in top], np.int64)
-        by = np.argsort(h)
-        self.hot, self.hot_c = h[by], c[by]
+        often = [(np.frombuffer(r["c"], U, len(r["c"]) // 16), np.frombuffer(r["c"], np.int64, len(r["c"]) // 16, len(r["c"]) // 2)) for r in self.words.where(F.length("c") > 0).select("c").toLocalIterator()]
+        h, c = (np.concatenate([x[k] for x in often]) if often else np.zeros(0, t) for k, t in ((0, U), (1, np.int64)))
+        top = np.argsort(-c, kind="stable")[:HOT]
+        by = np.argsort(h[top])
+        self.hot, self.hot_c = h[top][by], c[top][by]
         self.parts = -(-self.hot_c // SHARD)
-        self.words, _ = written(word_rows(counts, self.shards))
-        discard(spark, counted)
         found, place = written(restaurants(train, self.shards, self.hot, self.parts), "kind")
-        discard(spark)
         kind, old = F.col("kind"), []
         one, two = found.where(kind == MODEL).agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
         self.d = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
@@ -406,10 +410,12 @@ def _asks(model_shards: int, hot: np.ndarray, parts: np.ndarray):
     return ask
 
 
-def _among(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _among(ordered: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is among the ordered numbers, and where."""
     if not len(ordered):
-        return np.zeros(len(x), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return ordered[at] == x, at
 
 
 def _answers(shards: int, predict: Parent, d: float):
@@ -442,9 +448,10 @@ def _answers(shards: int, predict: Parent, d: float):
                 known = contexts[at] == v
                 rest[known], whole[known] = back[at[known]], over[at[known]]
                 asked, mine = _pair_keys(np.repeat(at, n), w), np.repeat(known, n)
-                held[mine & _among(alone, asked)] = 1 - d
-                hit = mine & _among(others, asked)
-                held[hit] = weight[np.searchsorted(others, asked[hit])]
+                held[mine & _among(alone, asked)[0]] = 1 - d
+                hit, place = _among(others, asked)
+                hit &= mine
+                held[hit] = weight[place[hit]]
             out.add(src, ASK_PAIRS, key, held.tobytes(), rest.tobytes(), whole.tobytes())
         return out.frame()
 
@@ -466,7 +473,7 @@ SCORED = "doc_id string, n_tokens long, n_known long, base double, score double"
 def _score(shards: int, whole: float, hot: np.ndarray, parts: np.ndarray):
     def score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         doc, h = _many_tokens(list(docs["text"]))
-        p = Pairs(doc, h, shards, hot, parts)
+        p = Pairs(doc, h, shards, hot, parts, True)
         by_kind = {k: _of(got, k).sort_values("src") for k in (ASK_WORDS, ASK_PAIRS)}
         times, prior = (np.frombuffer(b"".join(by_kind[ASK_WORDS][c]), t) for c, t in (("a", np.int64), ("b", np.float32)))
         held, rest, over = (np.frombuffer(b"".join(by_kind[ASK_PAIRS][c]), np.float32) for c in ("a", "b", "c"))
@@ -493,7 +500,7 @@ def lm_score(df: DataFrame, train: DataFrame | None = None, rounds: int = 2) ->
     train = df.where(fold("doc_id", 7) != 2) if train is None else train
     m = PitmanYorModel(train, rounds)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    size = df.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
+    size = df.agg(F.coalesce(F.sum(_size()), F.lit(0))).first()[0]
     packs = max(1, -(-int(size) // (6 * PACK)))  # a token has about 6 bytes
     blocks = min(BLOCKS, packs)
     pack = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(packs)).alias("pack")
