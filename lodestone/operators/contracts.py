@@ -273,15 +273,121 @@ def license_evidence(tree: DataFrame, files: list[str] = LICENSE_FILES, spdx: li
     return facts.select(F.explode(F.array_compact(wrong)).alias("w")).select(F.lit("repository.license-evidence").alias("rule"), "w.file", F.lit(1).alias("line"), "w.detail")
 
 
+def _sections(text: Column) -> Column:
+    """The tables of a TOML text: (header, body), the part before the first header under an empty one."""
+    cut = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n")), "\n[ \\t]*\\[(?!\\[)", -1)
+    return F.transform(cut, lambda x, i: F.struct(F.when(i > 0, F.trim(F.regexp_extract(x, "^([^\\n]*?)\\][ \\t]*(?:#[^\\n]*)?(?:\\n|\\z)", 1))).otherwise("").alias("header"), F.when(i > 0, F.regexp_replace(x, "^[^\\n]*", "")).otherwise(x).alias("body")))
+
+
+def _strings(text: Column) -> Column:
+    """What stands between quotes."""
+    return F.transform(F.regexp_extract_all(text, F.lit("\"([^\"\\n]*)\"|'([^'\\n]*)'"), 0), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+def _array_of(body: Column, key: str) -> Column:
+    """The strings of the arrays that stand under a key (a regular expression)."""
+    return _strings(F.array_join(F.regexp_extract_all(body, F.lit(f"(?m)^[ \\t]*(?:{key})[ \\t]*=[ \\t]*\\[((?:[^\\]\"'#]|#[^\\n]*|\"[^\"\\n]*\"|'[^'\\n]*')*)\\]"), 1), " "))
+
+
+def _keys(body: Column) -> Column:
+    return F.transform(F.regexp_extract_all(body, F.lit("(?m)^[ \\t]*(\"[^\"]+\"|[A-Za-z0-9_.-]+)[ \\t]*="), 1), lambda x: F.regexp_replace(x, '"', ""))
+
+
+def _requirement(x: Column) -> Column:
+    """The name that a requirement begins with; nothing for options, paths and comments."""
+    return F.regexp_extract(F.trim(F.regexp_replace(x, "[#;].*", "")), "^([A-Za-z0-9][A-Za-z0-9_.-]*)(?:\\s|\\[|[<>=!~@]|\\z)", 1)
+
+
+def _members(x: Column, key: str) -> Column:
+    """The keys of a JSON object, or the strings of a JSON array, under a key."""
+    value = F.get_json_object(x, f"$.{key}")
+    return F.coalesce(F.json_object_keys(value), F.from_json(value, "array<string>"), F.array().cast("array<string>"))
+
+
+def _bare(text: Column, comment: str) -> Column:
+    """A source without its comments; strings stay."""
+    return F.regexp_replace(text, '(?s)("(?:\\\\.|[^"\\\\])*+")|' + comment, "$1")
+
+
+def manifest_names(tree: DataFrame) -> DataFrame:
+    """(path, name) of the dependencies that manifests of nine formats declare, as far as their lines and tables say so.
+
+    Nothing is executed. A text that doesn't parse gives no names; manifest_errors tells which ones these are.
+    """
+    t, name = F.col("text"), base_name(F.col("path"))
+    flat = lambda xs: F.flatten(F.transform(*xs))
+    npm = F.concat(*(_members(t, k) for k in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "bundledDependencies", "bundleDependencies")))
+
+    def python_table(s: Column) -> Column:
+        h, b = s["header"], s["body"]
+        listed = F.when(h == "project", _array_of(b, "dependencies")).when(h == "project.optional-dependencies", _array_of(b, "[\"A-Za-z0-9_.-]+")).when(h == "build-system", _array_of(b, "requires")).otherwise(F.array().cast("array<string>"))
+        poetry = F.when(h.rlike("^tool\\.poetry\\.(?:dev-)?dependencies\\z|^tool\\.poetry\\.group\\.[^.]+\\.dependencies\\z"), F.filter(_keys(b), lambda k: F.lower(k) != "python")).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.transform(listed, _requirement), poetry)
+
+    def cargo_table(s: Column) -> Column:
+        h, b = s["header"], s["body"]
+        table = h.rlike("(?:^|\\.)(?:[a-z]+-)?dependencies\\z")
+        one = F.regexp_extract(h, "(?:^|\\.)(?:[a-z]+-)?dependencies\\.([^.]+)\\z", 1)
+        actual = F.regexp_extract_all(b, F.lit("\\bpackage\\s*=\\s*\"([^\"]+)\""), 1)
+        return F.when(table, F.concat(_keys(b), actual)).when(one != "", F.concat(F.array(one), actual)).otherwise(F.array().cast("array<string>"))
+
+    cmake = _bare(t, r"#\[(=*)\[.*?\]\2\]|#[^\n]*")
+    named = F.regexp_extract_all(cmake, F.lit(r"""(?is)\b(?:find_package|FetchContent_Declare|ExternalProject_Add)\s*\(\s*["']?([A-Za-z0-9_.+-]+)|\bCPMAddPackage\s*\([^)]*?\bNAME\s+["']?([A-Za-z0-9_.+-]+)|"(?:\\.|[^"\\])*+\""""), 0)
+    cmake_names = F.transform(F.filter(named, lambda x: ~x.startswith('"')), lambda x: F.regexp_extract(x, "([A-Za-z0-9_.+-]+)\\z", 1))
+    go = F.regexp_replace(t, "//[^\n]*", "")
+    block = F.array_join(F.regexp_extract_all(go, F.lit(r"(?ms)^\s*require\s*\(\s*$(.*?)^\s*\)\s*$"), 1), "\n")
+    go_names = F.concat(F.regexp_extract_all(go, F.lit(r"(?m)^[ \t]*require[ \t]+([^\s(]+)[ \t]+v\S+[ \t]*$"), 1), F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*(\S+)[ \t]+v\S+[ \t]*$"), 1))
+
+    def pub_part(part: Column) -> Column:
+        lines = F.filter(F.split(part, "\n", -1), lambda x, i: (i > 0) & (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
+        indent = F.regexp_extract(F.get(lines, F.lit(0)), "^( +)", 1)
+        same = F.filter(lines, lambda x: (F.regexp_extract(x, "^( *)", 1) == indent) & x.rlike("^ *[A-Za-z0-9_]+:(?:\\s|\\z)"))
+        return F.transform(same, lambda x: F.regexp_extract(x, "([A-Za-z0-9_]+):", 1))
+
+    parts = F.filter(F.split(F.regexp_replace(t, "\r", ""), "(?m)^(?=[^\\s#])", -1), lambda x: x.rlike("^(?:dependencies|dev_dependencies|dependency_overrides):\\s*(?:\\{\\})?\\s*(?:#[^\n]*)?(?:\n|\\z)"))
+    feature = F.map_values(F.coalesce(F.from_json(F.get_json_object(t, "$.features"), "map<string,struct<dependencies:array<string>>>"), F.create_map().cast("map<string,struct<dependencies:array<string>>>")))
+    ports = F.concat(_members(t, "dependencies"), F.flatten(F.transform(feature, lambda x: F.coalesce(x["dependencies"], F.array().cast("array<string>")))))
+    vcpkg = F.transform(ports, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))
+    calls = F.regexp_extract_all(_bare(t, r"/\*.*?\*/|//[^\n]*"), F.lit(r'\.package\s*\(((?:[^()"]|"[^"]*"|\([^()]*\))*)\)'), 1)
+    last = lambda x: F.regexp_replace(F.element_at(F.split(F.regexp_replace(x, "/+\\z", ""), "/", -1), -1), "\\.git\\z", "")
+    swift = F.flatten(F.transform(calls, lambda x: F.concat(F.regexp_extract_all(x, F.lit(r'\bname\s*:\s*"([^"\\]+)"'), 1), F.transform(F.regexp_extract_all(x, F.lit(r'\b(?:url|path)\s*:\s*"([^"\\]+)"'), 1), last))))
+    found = (
+        F.when(name.isin("package.json", "package-lock.json"), npm)
+        .when(name == "pyproject.toml", flat((_sections(t), python_table)))
+        .when(name == "Cargo.toml", flat((_sections(t), cargo_table)))
+        .when(name == "CMakeLists.txt", cmake_names)
+        .when(name == "go.mod", go_names)
+        .when(name.rlike("^requirements.*\\.txt\\z"), F.transform(F.split(t, "\r?\n", -1), _requirement))
+        .when(name == "pubspec.yaml", flat((parts, pub_part)))
+        .when(name == "vcpkg.json", vcpkg)
+        .when(name == "Package.swift", swift)
+    )
+    return tree.where(t.isNotNull()).select("path", F.explode(F.array_distinct(found)).alias("name")).where("name <> ''")
+
+
+def manifest_errors(tree: DataFrame) -> DataFrame:
+    """Manifests that can't be read: JSON that doesn't parse or whose groups are of another type, open headers and values, open groups and calls, inline mappings."""
+    t, name = F.col("text"), base_name(F.col("path"))
+    group = lambda k: F.coalesce(F.get_json_object(t, f"$.{k}"), F.lit("{}"))
+    odd = F.exists(F.array(*(group(k) for k in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"))), lambda x: ~x.rlike("^[{\\[]"))
+    toml = t.rlike("(?m)^[ \\t]*\\[[^\\]\n]*$|(?m)^[ \\t]*[A-Za-z0-9_-]+[ \\t]*=[ \\t]*$") | t.rlike("(?m)^[ \\t]*dependencies[ \\t]*=[ \\t]*[\"'0-9]")
+    balance = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, '"[^"]*"', ""), "[^(]", "")) != F.length(F.regexp_replace(F.regexp_replace(x, '"[^"]*"', ""), "[^)]", ""))
+    bad = (
+        F.when(name.isin("package.json", "package-lock.json"), F.try_parse_json(t).isNull() | odd)
+        .when(name == "vcpkg.json", F.try_parse_json(t).isNull() | F.exists(_members(t, "dependencies"), lambda x: x.rlike("^[0-9]")))
+        .when(name.isin("pyproject.toml", "Cargo.toml"), toml)
+        .when(name == "CMakeLists.txt", balance(_bare(t, r"#\[(=*)\[.*?\]\2\]|#[^\n]*")))
+        .when(name == "Package.swift", balance(_bare(t, r"/\*.*?\*/|//[^\n]*")))
+        .when(name == "go.mod", balance(F.regexp_replace(t, "//[^\n]*", "")))
+        .when(name == "pubspec.yaml", t.rlike("(?m)^(?:dependencies|dev_dependencies|dependency_overrides):[ \\t]*[^\\s#{]|^(?:dependencies|dev_dependencies|dependency_overrides):[ \\t]*\\{[^}]"))
+        .when(name.rlike("^requirements.*\\.txt\\z"), F.exists(F.split(t, "\r?\n", -1), lambda x: ~F.trim(x).rlike("^(?:[#.-]|\\z)") & (_requirement(x) == "")))
+    )
+    return _rows(tree.where(t.isNotNull() & F.coalesce(bad, F.lit(False))), "repository.dependency-manifest-parse")
+
+
 def dependencies(tree: DataFrame) -> DataFrame:
-    """(name, path) of what JSON and requirements manifests declare, in lower case."""
-    known = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
-    packages = tree.where((base_name(F.col("path")) == "package.json") & F.try_parse_json("text").isNotNull())
-    keys = F.concat(*(F.coalesce(F.json_object_keys(F.get_json_object("text", f"$.{k}")), F.array().cast("array<string>")) for k in known))
-    npm = packages.select("path", F.explode(keys).alias("name"))
-    lines = tree.where(base_name(F.col("path")).rlike("^requirements.*\\.txt\\z")).select("path", F.explode(F.split("text", "\n", -1)).alias("l"))
-    pip = lines.select("path", F.regexp_extract("l", "^\\s*([A-Za-z0-9][A-Za-z0-9._-]*)\\s*(?:\\[[^\\]]*\\])?\\s*(?:[=<>!~;@#].*)?\\s*$", 1).alias("name")).where("name != ''")
-    return npm.unionByName(pip).select(F.lower("name").alias("name"), "path").groupBy("name").agg(F.min("path").alias("path"))
+    """(name, path) of what manifests declare, in lower case."""
+    return manifest_names(tree).select(F.lower("name").alias("name"), "path").groupBy("name").agg(F.min("path").alias("path"))
 
 
 def dependency_boundary(tree: DataFrame, files: list[str], groups: list[str] = DEPENDENCY_MARKERS) -> DataFrame:

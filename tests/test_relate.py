@@ -92,6 +92,32 @@ def test_versions_of_one_path_are_judged_apart(spark):
     assert got == [("a.sql", "c1", "dump", "error"), ("b.json", "c1", "", "error")]
 
 
+MANIFESTS = [
+    ("package.json", '{"dependencies": {"a": "1"}, "devDependencies": {"b": "1"}, "bundledDependencies": ["c"], "bundleDependencies": {"d": "1"}, "x": {"y": 1}}', {"a", "b", "c", "d"}),
+    ("pyproject.toml", '[project]\nname = "x"\ndependencies = [\n  "req[sec]>=2; python_version >= \'3\'",  # note\n  "direct @ https://x.invalid/d.whl",\n]\n[project.optional-dependencies]\ntest = ["pyt>=8"]\n[build-system]\nrequires = ["st>=68", "wh"]\n[tool.poetry.dependencies]\npython = "^3.11"\nrich = "*"\n[tool.poetry.group.docs.dependencies]\nsph = "*"\n[tool.other]\nnone = "*"\n', {"req", "direct", "pyt", "st", "wh", "rich", "sph"}),
+    ("Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1"\nren = { package = "act", version = "1" }\n[dev-dependencies]\nfix = "1"\n[target.\'cfg(unix)\'.dependencies]\nlibc = "1"\n[workspace.dependencies]\nsh = "1"\n[dependencies.tab]\nversion = "1"\n', {"serde", "ren", "act", "fix", "libc", "sh", "tab"}),
+    ("CMakeLists.txt", '# find_package(No)\n#[[ FetchContent_Declare(No2) ]]\nmessage("find_package(No3)")\nfind_package(Threads REQUIRED)\nFetchContent_Declare(fmt URL "https://x.invalid/f.tgz")\nExternalProject_Add(dep-p URL "u")\nCPMAddPackage(NAME Cat2 VERSION 3.0)\n', {"Threads", "fmt", "dep-p", "Cat2"}),
+    ("requirements-dev.txt", "# doc\nreq[sec]>=2; python_version > '3'\ndirect @ https://x.invalid/p.whl\n-r more.txt\n--index-url https://x.invalid\n./local\n", {"req", "direct"}),
+    ("pubspec.yaml", "name: x\ndependencies:\n  flutter:\n    sdk: flutter\n  http: ^1.0\ndev_dependencies:\n  ft:\n    sdk: flutter\ndependency_overrides:\n  cus:\n    git:\n      url: u\nflutter:\n  uses: true\n", {"flutter", "http", "ft", "cus"}),
+    ("go.mod", "module x.invalid/self\ngo 1.22\nrequire x.invalid/one v1.0.0\nrequire (\n  x.invalid/two v1.1.0 // indirect\n  x.invalid/three v2.0.0\n)\nreplace x.invalid/o v1.0.0 => x.invalid/n v1.0.0\n", {"x.invalid/one", "x.invalid/two", "x.invalid/three"}),
+    ("Package.swift", '// .package(url: "https://x.invalid/no.git")\nlet p = [\n.package(name: "Nam", url: "https://x.invalid/rep.git", from: "1.0.0"),\n.package(url: "https://x.invalid/dot.name.git", .upToNextMajor(from: "2.0.0")),\n.package(path: "../loc")]\n', {"Nam", "rep", "dot.name", "loc"}),
+    ("vcpkg.json", '{"dependencies": ["fmt", {"name": "boost", "features": ["s"]}], "features": {"n": {"dependencies": ["curl"]}}}', {"fmt", "boost", "curl"}),
+]
+BROKEN = [("package.json", '{"dependencies":'), ("package.json", '{"dependencies":23}'), ("pyproject.toml", "[project\n"), ("pyproject.toml", '[project]\ndependencies = "bad"'), ("Cargo.toml", "[dependencies]\nx = "), ("CMakeLists.txt", "find_package(Gone"), ("go.mod", "require (\nx.invalid/i v1.0.0"), ("Package.swift", '.package(url: "u"'), ("vcpkg.json", '{"dependencies":[12]}'), ("pubspec.yaml", "dependencies: [bad]"), ("requirements.txt", "??? bad")]
+
+
+def test_manifest_grammars(spark):
+    tree = spark.createDataFrame([(f"d{k}/{n}", t) for k, (n, t, _) in enumerate(MANIFESTS)] + [("x.txt", None), ("a/package.json", None)], "path string, text string")
+    got = {}
+    for r in ct.manifest_names(tree).collect():
+        got.setdefault(r.path, set()).add(r.name)
+    for k, (n, _, want) in enumerate(MANIFESTS):
+        assert got.get(f"d{k}/{n}") == want, n
+    assert ct.manifest_errors(tree).count() == 0
+    bad = spark.createDataFrame([(f"d{k}/{n}", t) for k, (n, t) in enumerate(BROKEN)], "path string, text string")
+    assert sorted(r.file for r in ct.manifest_errors(bad).collect()) == sorted(f"d{k}/{n}" for k, (n, _) in enumerate(BROKEN))
+
+
 def test_link_resolution(spark):
     cases = [("docs/a.md", "../x.md#y", "x.md"), ("docs/a.md", "b%20c.md", "docs/b c.md"), ("a.md", "../../x", "x"), ("docs/a.md", "/r.md", "r.md"), ("docs/d/a.md", "./", "docs/d")]
     df = spark.createDataFrame(cases, "s string, t string, want string")
