@@ -47,7 +47,7 @@ def written(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
     """Like materialize, with a folder for each value of the columns `by`, and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns), path
 
 

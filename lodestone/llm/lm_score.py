@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fold, materialize, steps, written
-from .pitman_yor import sweep
+from .pitman_yor import seat_alike, sweep
 from .words import END, U, get48, mix, put48, words
 
 #: Tokens of a flush or pack, training tokens of a shard, and the largest number of contexts that are split.
@@ -249,9 +249,11 @@ def parents(rows: DataFrame, vocabulary: int, total: float, d: float, seed: int)
         for src, (at, n) in asked.items():  # before the first round each dish has one table
             np.add.at(c, at, np.frombuffer(seated[src], np.float32) if src in seated else n)
         c = np.round(c).astype(np.int64)
-        fixed = np.array([max(0.0, total - min(total, (c > 0).sum()))])
+        elsewhere, t, mean = max(0.0, total - (c > 0).sum()), np.minimum(c, 1), np.zeros(len(c))
         r = np.random.default_rng([seed, int(rows["key"].iloc[0])])
-        mean, _ = sweep(np.zeros(len(c), np.int64), 1, c, fixed, np.full(len(c), 1 / (vocabulary + 1)), d, STRENGTH, r, SWEEPS, BURN)
+        for k in range(SWEEPS):  # all words have one prior; beside all tables, a word's own ones are as good as one
+            t = seat_alike(c, 1 / (vocabulary + 1), STRENGTH + d * max(0.0, elsewhere + t.sum() - 1), d, r)
+            mean += t * (k >= BURN) / (SWEEPS - BURN)
         out = Rows()
         out.add(rows["key"].iloc[0], PARENT, 0, c.tobytes(), mean.astype(np.float32).tobytes(), b"", c.sum(), mean.sum())
         return out.frame()

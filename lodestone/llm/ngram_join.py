@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import map_texts, materialize, small_side, steps, unused, with_texts
+from .common import discard, map_texts, materialize, small_side, steps, unused, with_texts, written
 from .components import components
 from .words import MASK48, U, get48, mix, put48, words
 
 #: N-grams of a counting bucket, of a map task's flush, and of a meeting's block.
-BUCKET, FLUSH, BLOCK = 1 << 19, 1 << 19, 1 << 19
+BUCKET, FLUSH, BLOCK = 1 << 20, 1 << 19, 1 << 19
 #: Classes of a step (1 MB of texts) that make an n-gram worth counting before the buckets, and the sum from which it is hot.
 OFTEN, HOT = 6, 1 << 16
 _ORDER = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], U)  # up to 16 words
@@ -317,9 +317,13 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def links(df: DataFrame, total: int, percent: int = 85, width: int = 4, hot: dict[int, int] | None = None) -> DataFrame:
     """(a, b): links between classes that have the same components as all links."""
     exact = F.expr(f"cast((n * {percent} + 99) div 100 as int)")
-    found = shared(df, max(1, -(-total // BUCKET)), width, hot)
+    # Written between its two shuffles, whose files are let go of as soon as they are read: never are both on disk.
+    spark = df.sparkSession
+    found, found_at = written(shared(df, max(1, -(-total // BUCKET)), width, hot))
+    discard(spark)
     sets = found.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("toks")).where(F.size("toks") >= exact)
     sets = materialize(sets.select("cls", "n", F.col("toks.h").alias("toks"), (F.col("n") - exact + 1 - (F.col("n") - F.size("toks"))).alias("q")))
+    discard(spark, found_at)
     # First meetings: at the first and at the last n-gram of the prefix, in blocks.
     ends = sets.select("cls", F.size("toks").alias("m"), F.explode(F.array_distinct(F.array(F.element_at("toks", 1), F.element_at("toks", F.col("q"))))).alias("key"))
     crowd = ends.groupBy("key").agg(F.count("*").alias("count"), F.sum("m").alias("m")).where("count > 1")

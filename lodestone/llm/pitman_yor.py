@@ -54,6 +54,24 @@ def seat(c: np.ndarray, p0: np.ndarray, others: np.ndarray, d: float, r: np.rand
     return np.minimum(t, c)
 
 
+def seat_alike(c: np.ndarray, p0: float, others: float, d: float, r: np.random.Generator) -> np.ndarray:
+    """seat() of dishes that differ in their customers only: one distribution for each number of customers."""
+    t = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(np.minimum(c, EXACT), kind="stable")
+    cut = np.searchsorted(np.minimum(c, EXACT)[order], np.arange(2, EXACT + 2))
+    stirling = log_stirling(d)
+    for k in range(2, EXACT + 1):
+        at = order[cut[k - 2] : cut[k - 1]]
+        if len(at):
+            tables = np.arange(1, k + 1)
+            w = np.cumsum(np.log(others + d * (tables - 1)) + np.log(p0)) + stirling[k, 1 : k + 1]
+            w = np.cumsum(np.exp(w - w.max()))
+            t[at] = 1 + np.searchsorted(w, r.random(len(at)) * w[-1], "right")
+    more = np.flatnonzero(c > EXACT)
+    t[more] = seat(c[more], np.full(len(more), p0), np.full(len(more), others), d, r)
+    return np.minimum(t, c)
+
+
 def sweep(room: np.ndarray, rooms: int, c: np.ndarray, fixed: np.ndarray, p0: np.ndarray, d: float, s: float, r: np.random.Generator, sweeps: int, burn: int, t: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(mean tables after burn-in, tables of the last sweep) of each dish.
 

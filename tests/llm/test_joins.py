@@ -16,7 +16,7 @@ from lodestone.llm.lm_score import lm_score
 from lodestone.llm.words import words
 from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample, uniform
 from lodestone.llm.ngram_join import first_of_groups, meet, ngram_join
-from lodestone.llm.pitman_yor import log_stirling, seat, sweep
+from lodestone.llm.pitman_yor import log_stirling, seat, seat_alike, sweep
 
 
 def brute_components(texts):
@@ -482,6 +482,8 @@ def test_seating_follows_the_exact_distribution():
         t = seat(np.full(40000, c), np.full(40000, p0), np.full(40000, others), d, np.random.default_rng(c))
         for k in range(1, c + 1):
             assert abs((t == k).mean() - weight[k] / total) < 0.012
+        t = seat_alike(np.full(40000, c), p0, others, d, np.random.default_rng(c + 50))
+        assert all(abs((t == k).mean() - weight[k] / total) < 0.012 for k in range(1, c + 1))
     assert np.isclose(np.exp(log_stirling(0.5)[3, 1]), 0.5 * 1.5)
     big = seat(np.array([500, 70, 1, 0]), np.full(4, 0.01), np.full(4, 5.0), d, np.random.default_rng(1))
     assert 1 <= big[0] <= 500 and 1 <= big[1] <= 70 and big[2] == 1 and big[3] == 0
