@@ -67,6 +67,7 @@ def ip_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 TOKENS = r'token\s*=\s*"[^"]*"'
+ESCAPED = r"token\s*=\s*&quot"  # a bare value in HTML
 PASSWORDS = r"\bpassword=[^\s,;#}\]\"'][^\s,;#}\]]*"
 BINDINGS = f"""(SELECT doc_id, path, commit, value, rule FROM (
   SELECT doc_id, path, commit, regexp_extract(value, '"([^"]*)"', 1) AS value, 'privacy.credential.binding' AS rule FROM {o.spans("v", TOKENS)}
@@ -139,7 +140,7 @@ def endpoint_hosts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(de.url_host(url).alias("host"), found.cast("long").alias("n")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("findings"))
 
 
-@query(f"""WITH f AS (SELECT page_id AS doc_id, 'pages/' || page_id || '.html' AS path, 'c0' AS commit, html AS text FROM pages WHERE html IS NOT NULL) SELECT rule, count(*) AS findings FROM {ALL_FOUND} GROUP BY rule""")
+@query(f"""WITH f AS (SELECT page_id AS doc_id, 'pages/' || page_id || '.html' AS path, 'c0' AS commit, html AS text FROM pages WHERE html IS NOT NULL) SELECT rule, count(*) AS findings FROM (SELECT rule FROM {ALL_FOUND} UNION ALL SELECT 'privacy.credential.binding' FROM {o.spans('f', ESCAPED)}) GROUP BY rule""")
 def page_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole catalog over the pages' HTML."""
     return scan(pages_as_versions(table(spark, d, "pages"))).groupBy("rule").agg(F.count("*").alias("findings"))
