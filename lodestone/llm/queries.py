@@ -15,6 +15,7 @@ from .ngram_join import ngram_join
 from .quality_rules import learn_rules, quality_rules
 from .secret_scan import secret_scan
 from .toxicity import toxicity, train_toxicity
+from .vector_codes import vector_codes
 
 
 #: The mixture that op6 and the pipeline aim at: shares of the tokens by language, topic and source. Sources that aren't named share what is left.
@@ -68,7 +69,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_language_id, op6_mixing, op7_quality_rules, op8_secret_scan, op9_lm_score, op10_ngram_join)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_license_scan, op4_line_dedup, op5_language_id, op6_mixing, op7_quality_rules, op8_secret_scan, op9_lm_score, op10_ngram_join, op13_vector_codes)}
 #: Sets of 4-grams, links by counting the common ones, and components as the closure of the links.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
@@ -79,5 +84,24 @@ e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) m ON m.id = s.doc_id"""
 
+#: Six Lloyd rounds, one common table each.
+_LLOYD = (
+    """WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM k, range(8) r(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS z FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16),"""
+    + "".join(
+        f"""
+a{i} AS MATERIALIZED (SELECT vec_id, label, p.part, x, min(struct_pack(d := CAST(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - z[j]) * (x[j] - z[j]))) AS BIGINT), e := e)) AS best FROM p JOIN c{i} c ON c.part = p.part GROUP BY vec_id, label, p.part, x),
+s{i} AS MATERIALIZED (SELECT part, e, list((t - ((t % n) + n) % n) // n ORDER BY j) AS m FROM (SELECT part, best.e AS e, j, CAST(sum(x[j]) AS BIGINT) AS t, count(*) AS n FROM a{i}, range(1, len(x) + 1) r(j) GROUP BY ALL) GROUP BY part, e),
+c{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(m, z) AS z FROM c{i} LEFT JOIN s{i} USING (part, e)),"""
+        for i in range(6)
+    )
+    + """
+a6 AS (SELECT vec_id, label, p.part, min(struct_pack(d := CAST(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - z[j]) * (x[j] - z[j]))) AS BIGINT), e := e)) AS best FROM p JOIN c6 c ON c.part = p.part GROUP BY vec_id, label, p.part),
+r AS MATERIALIZED (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY part, e)) FROM c6) AS codebooks_sha256 FROM r"""
+)
+
 #: The other operators learn, or compare by methods that SQL has no form of; tests hold them against brute force and held-out truth.
-ORACLE_SQL: dict[str, str] = {"op10_ngram_join": _NGRAM_JOIN}
+ORACLE_SQL: dict[str, str] = {"op10_ngram_join": _NGRAM_JOIN, "op13_vector_codes": _LLOYD}
