@@ -86,11 +86,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def steps(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    """Cuts a batch into runs of about STEP_BYTES of text."""
+def steps(ids: list, texts: list[bytes], size: int = STEP_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Cuts a batch into runs of about `size` bytes of text."""
     first, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > STEP_BYTES:
+        if held and held + len(t) > size:
             yield ids[first:i], texts[first:i]
             first, held = i, 0
         held += len(t)
