@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.fixtures import schema_only
 
 # File names, parts and suffixes of the contracts.
 FORBIDDEN_NAMES = ".DS_Store Thumbs.db Desktop.ini .coverage coverage.xml flutter_export_environment.sh generated_plugin_registrant.cc generated_plugin_registrant.h generated_plugins.cmake .flutter-plugins .flutter-plugins-dependencies local.properties".split()
@@ -115,12 +116,7 @@ def hygiene(tree: DataFrame) -> DataFrame:
 
 def data_verdict(fixtures: list[str] = ()) -> Column:
     """binary or dump for a data artifact, else null; admitted dump fixtures may hold table and index definitions only."""
-    statement = r"(?is)^\s*create\s+(?:table|unique\s+index|index)\b(?!.*\bas\s+(?:select|with)\b).*"
-    bare = F.regexp_replace(F.regexp_replace("text", "--[^\\n]*", ""), "(?s)/\\*.*?\\*/", "")
-    parts = F.filter(F.split(bare, ";", -1), lambda s: F.trim(F.regexp_replace(s, "\\s+", " ")) != "")
-    small = F.octet_length("text") <= 262144
-    schema_only = F.coalesce(small & (F.size(parts) > 0) & (F.size(parts) <= 512) & F.forall(parts, lambda s: s.rlike(statement)), F.lit(False))
-    ok = F.col("path").isin(list(fixtures)) & schema_only if fixtures else F.lit(False)
+    ok = F.col("path").isin(list(fixtures)) & schema_only(F.col("text")) if fixtures else F.lit(False)
     s = suffix(F.col("path"))
     return F.when(s.isin(BINARY_DATA), "binary").when(s.isin(DATA_DUMPS) & ~ok, "dump")
 

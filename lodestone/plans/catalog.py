@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +11,11 @@ from ..operators import contracts as ct
 from ..operators import detect as de
 from ..operators import relate as re_
 from ..sources.versions import admissible, branches, changed, commit_meta, pages_as_versions, table, versions
+from . import formats  # noqa: F401 (registers its queries)
 from . import oracle as o
+from .registry import ORACLE_SQL, QUERIES, query
 from .scan import scan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _versions(spark, d) -> DataFrame:
     return versions(table(spark, d, "documents"))
 

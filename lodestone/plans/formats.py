@@ -1,0 +1,29 @@
+"""Queries over formats within texts: fixtures of definitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixtures as fx
+from ..sources.versions import table
+from .registry import query
+
+SQL_TEXT = """CASE doc_id % 6 WHEN 0 THEN 'CREATE TABLE t' || doc_id || ' (note TEXT DEFAULT ''' || replace(text, '''', '''''') || '''); -- ' || replace(text, chr(10), ' ') || chr(10)
+  WHEN 1 THEN 'CREATE TABLE t (note TEXT DEFAULT ''' || text || ''');' WHEN 2 THEN 'CREATE INDEX i ON t (note) WHERE note LIKE ''' || replace(text, '''', '''''') || ''';'
+  WHEN 3 THEN '/* ' || text || ' */ CREATE TABLE t AS SELECT (1);' WHEN 4 THEN 'CREATE TABLE t (a INT, ' || text || ');' ELSE 'CREATE TABLE t (a INT); ' || text END"""
+SQL_TOKEN = fx.TOKEN.replace("'", "''")
+SQL_FIXTURES = rf"""WITH s AS (SELECT doc_id, {SQL_TEXT} AS s FROM documents), k AS (SELECT doc_id, s, regexp_extract_all(s, '{SQL_TOKEN}') AS k FROM s),
+m AS (SELECT doc_id, s, len(list_filter(k, lambda x: x IN ('''', '"', '`', '[', ']', '/*'))) = 0 AS whole, string_split(array_to_string(list_transform(k, lambda x: CASE WHEN x LIKE '--%' OR x LIKE '/*%' THEN ' ' WHEN length(x) > 1 AND x[1] = '''' THEN '''' WHEN length(x) > 1 AND x[1] IN ('"', '`', '[') THEN '"' ELSE x END), ''), ';') AS p FROM k),
+d AS (SELECT doc_id, i, trim(p[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS d FROM m, unnest(range(1, len(p))) u(i) WHERE whole),
+c AS (SELECT doc_id, i, j, CASE WHEN x = '(' THEN 1 ELSE -1 END AS x FROM (SELECT doc_id, i, unnest(string_split(q, '')) AS x, unnest(range(1, length(q) + 1)) AS j FROM (SELECT doc_id, i, regexp_replace(d, '[^()]', '', 'g') AS q FROM d)) WHERE x <> ''),
+b AS (SELECT doc_id, i, min(h) FILTER (NOT last) AS low, min(h) FILTER (last) AS ends FROM (SELECT doc_id, i, sum(x) OVER (PARTITION BY doc_id, i ORDER BY j) AS h, j = max(j) OVER (PARTITION BY doc_id, i) AS last FROM c) GROUP BY ALL),
+g AS (SELECT d.doc_id, count(*) AS n, bool_and(coalesce(ends = 0 AND low >= 1, false) AND NOT regexp_matches(translate(d, '''"', '  '), '(?i)\bAS\s+(?:SELECT|WITH)\b') AND (regexp_matches(d, '(?is)^CREATE\s+TABLE\s+[A-Z_][A-Z0-9_]*\s*\(.+\)\s*$')
+  OR regexp_matches(d, '(?is)^CREATE\s+(?:UNIQUE\s+)?INDEX\s+[A-Z_][A-Z0-9_]*\s+ON\s+[A-Z_][A-Z0-9_]*\s*\(.+\)\s*(?:WHERE\s+[A-Z_][A-Z0-9_]*\s+LIKE\s+''+\s*)?$'))) AS fits FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND b.i = d.i GROUP BY d.doc_id)
+SELECT m.doc_id, coalesce(whole AND n <= 512 AND fits AND NOT regexp_matches(p[-1], '\S') AND strlen(s) <= 262144, false) AS admitted FROM m LEFT JOIN g ON g.doc_id = m.doc_id"""
+
+
+@query(SQL_FIXTURES)
+def sql_fixtures(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as literals, comments and columns of table and index definitions: which of these are fixtures."""
+    return table(spark, d, "documents").select("doc_id", fx.schema_only(F.expr(SQL_TEXT)).alias("admitted"))
