@@ -6,12 +6,12 @@ All families of a text are concatenated before the explode, so that a scan reads
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys as km
 from ..functions import text as tx
 from ..functions import values as v
 
@@ -220,59 +220,13 @@ def resources(text: Column, path: Column) -> Column:
     return _if(p.rlike("^" + tx.one_of(v.OPERATIONAL_ROOTS)), _as(tx.spans(text, v.RESOURCE_ID), "privacy.backend.resource-id", "Provider resource identifier in operational material"))
 
 
-def _decoded(segment: Column) -> Column:
-    """Text of a base64url segment; null if it is none."""
-    s = F.translate(segment, "-_", "+/")
-    padded = F.rpad(s, (F.length(s) + 3) / 4 * 4 - ((F.length(s) + 3) % 4), "=")
-    ok = s.rlike("^[A-Za-z0-9+/]+\\z") & (F.length(s) % 4 != 1)
-    return F.try_to_binary(F.when(ok, padded), F.lit("base64")).cast("string")
-
-
 def keys(text: Column, path: Column) -> Column:
-    """PEM blocks and bare markers, OpenSSH public keys, JSON web keys without nesting, signed and encrypted tokens."""
-    block, marker = v.PEM_BLOCK, v.PEM
-
-    def pem(blocks: Column) -> Column:
-        bare = F.filter(tx.spans(text, marker), lambda s: ~F.exists(blocks, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-        return F.concat(_as(blocks, "privacy.key.private-pem", "Private key block"), _as(bare, "privacy.key.private-pem", "Private key marker"))
-
-    kinds = "|".join(re.escape(k) for k in v.SSH_KINDS)
-    ssh = f"(?<![\\w-])({kinds})[ \\t]+([A-Za-z0-9+/]+={{0,2}})(?![A-Za-z0-9+/=])"
-
-    def wired(s: Column) -> Column:
-        kind, blob = F.regexp_extract(s["value"], ssh, 1), F.try_to_binary(F.regexp_extract(s["value"], ssh, 2), F.lit("base64"))
-        n = F.length(kind)
-        head = F.conv(F.hex(F.substring(blob, F.lit(1), F.lit(4))), 16, 10).cast("int")
-        named = F.substring(blob, F.lit(5), n).cast("string") == kind
-        size = F.octet_length(blob)
-        return F.coalesce((head == n) & named & (size > n + 8) & ((kind != "ssh-ed25519") | (size == 51)), F.lit(False))
-
-    jwk = r"\{[^{}]*\"kty\"\s*:\s*\"(?:RSA|EC|OKP|oct)\"[^{}]*\}"
-
-    def private(s: Column) -> Column:
-        get = lambda k: F.get_json_object(s["value"], f"$.{k}")
-        secret = lambda *ks: F.coalesce(F.array_max(F.array(*(F.coalesce(get(k).isNotNull() & ~tx.is_placeholder(get(k)), F.lit(False)) for k in ks))), F.lit(False))
-        kty = get("kty")
-        return F.coalesce(F.when(kty == "RSA", secret("d", "p", "q", "dp", "dq", "qi")).when(kty.isin("EC", "OKP"), secret("d")).when(kty == "oct", secret("k")), F.lit(False))
-
-    def signed(s: Column) -> Column:
-        part = lambda i: F.get(F.split(s["value"], "\\.", -1), F.lit(i))
-        alg = F.get_json_object(_decoded(part(0)), "$.alg")
-        body = F.get_json_object(_decoded(part(1)), "$").startswith("{")
-        return F.coalesce((F.length(alg) > 0) & body & ((part(2) == "") == (alg == "none")), F.lit(False))
-
-    def encrypted(s: Column) -> Column:
-        head = _decoded(F.get(F.split(s["value"], "\\.", -1), F.lit(0)))
-        alg, enc = F.get_json_object(head, "$.alg"), F.get_json_object(head, "$.enc")
-        key = F.get(F.split(s["value"], "\\.", -1), F.lit(1))
-        return F.coalesce((F.length(alg) > 0) & (F.length(enc) > 0) & ((key != "") | alg.isin("dir", "ECDH-ES")), F.lit(False))
-
+    """Private key blocks and markers, SSH public keys, private members of JSON web keys, signed and encrypted tokens."""
     return F.concat(
-        _if(text.contains("-----BEGIN "), tx.bind(tx.spans(text, block), pem)),
-        _if(text.contains("ssh-") | text.contains("ecdsa-"), _as(F.filter(tx.spans(text, ssh), wired), "privacy.key.ssh-public", "OpenSSH public key with a matching wire format")),
-        _if(text.contains('"kty"'), _as(F.filter(tx.spans(text, jwk), private), "privacy.key.private-jwk", "JSON web key with private members")),
-        _if(text.contains("eyJ"), _as(F.filter(tx.spans(text, v.JOSE), signed), "privacy.token.signed-jose", "Signed token with a decodable header")),
-        _if(text.contains("eyJ"), _as(F.filter(tx.spans(text, v.JWE), encrypted), "privacy.token.encrypted-jose", "Encrypted token with a decodable header")),
+        _if(text.contains("-----BEGIN "), km.private_blocks(text)),
+        _if(text.contains("ssh-") | text.contains("ecdsa-"), km.ssh_keys(text)),
+        _if(text.contains("kty") | text.contains("\\u00"), km.web_keys(text)),
+        _if(text.rlike(km.HEADER), F.concat(km.signed_tokens(text), km.encrypted_tokens(text))),
     )
 
 

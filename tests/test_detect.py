@@ -15,7 +15,7 @@ def b64(o):
 
 
 ED = base64.b64encode(b"\x00\x00\x00\x0bssh-ed25519\x00\x00\x00\x20" + bytes(range(32))).decode()
-CERT = base64.b64encode(b"\x00\x00\x00\x28ecdsa-sha2-nistp256-cert-v01@openssh.com\x00\x00\x00\x20" + bytes(range(32))).decode()
+CERT = base64.b64encode(b"\x00\x00\x00\x28ecdsa-sha2-nistp256-cert-v01@openssh.com\x00\x00\x00\x08nistp256\x00\x00\x00\x20" + bytes(range(32)) + b"tail").decode()
 KEY = "AKIA" + "ABCDEFGH23456723"
 
 CASES = [
@@ -30,7 +30,7 @@ CASES = [
     ("ssh kind", "k.txt", f"ssh-rsa {ED} me", {}),
     ("pgp", "k.txt", "-----BEGIN PGP PRIVATE KEY----- x -----BEGIN PGP PRIVATE KEY BLOCK-----", {"private-pem": ["-----BEGIN PGP PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----"]}),
     ("ssh cert", "k.txt", f"ecdsa-sha2-nistp256-cert-v01@openssh.com {CERT} me", {"ssh-public": [f"ecdsa-sha2-nistp256-cert-v01@openssh.com {CERT}"]}),
-    ("jwk", "j.txt", '{"kty":"EC","d":"abcdef"} {"kty":"EC","x":"abc"}', {"private-jwk": ['{"kty":"EC","d":"abcdef"}']}),
+    ("jwk", "j.txt", '{"kty":"EC","d":"abcdef"} {"kty":"EC","x":"abc"}', {"private-jwk": ["abcdef"]}),
     ("jws", "j.txt", f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.c2ln {b64({'alg': 'none'})}.{b64({'sub': 'x'})}.c2ln", {"signed-jose": [f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.c2ln"]}),
     ("jwe", "j.txt", f"{b64({'alg': 'dir', 'enc': 'A'})}..YQ.YQ.YQ", {"encrypted-jose": [f"{b64({'alg': 'dir', 'enc': 'A'})}..YQ.YQ.YQ"]}),
     ("ip", "i.txt", "127.0.0.1 192.0.2.5 8.8.8.8 08.8.8.8 2606:4700::1111 ::1 2001:db8::1", {"ip-address": ["8.8.8.8", "2606:4700::1111"]}),
