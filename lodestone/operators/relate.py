@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scopes import in_scopes
 
 
 def with_exempt(found: DataFrame, exceptions: DataFrame) -> DataFrame:
@@ -35,15 +36,28 @@ def _without(found: DataFrame, keys: dict[str, Column], allow: DataFrame, on: Co
     return found.withColumns(keys).join(allow, on, "left_anti").drop(*keys)
 
 
+def _places(found: DataFrame, allow: DataFrame) -> tuple[DataFrame, Column]:
+    """allow with the paths that it is for, and the condition that a candidate's path is one.
+
+    A path_glob is resolved against the distinct paths first, by its literal parts, so that a candidate meets a rule by
+    equal paths; a path_regex is compared with the path of each candidate whose other keys are equal.
+    """
+    if "path_glob" in allow.columns:
+        pairs = in_scopes(found, allow, "path", "path_glob", policy=False).select(F.col("path").alias("_path"), F.col("pattern").alias("path_glob"))
+        return allow.join(pairs, "path_glob").drop("path_glob"), F.col("path") == F.col("_path")
+    return allow.withColumnRenamed("path_regex", "_path"), F.expr("path rlike _path")
+
+
 def without_allowed_ips(found: DataFrame, allow: DataFrame) -> DataFrame:
-    """Drops addresses that the allowlist (ip, path_regex) has for their path; other rules' candidates pass."""
+    """Drops addresses that the allowlist (ip, and path_glob or path_regex) has for their path; other rules' candidates pass."""
     ip = F.when(F.col("rule") == "privacy.endpoint.ip-address", canonical_ip(F.col("value")))
-    allowed = allow.select(canonical_ip(F.col("ip")).alias("_allowed"), "path_regex")
-    return _without(found, {"_ip": ip}, allowed, (F.col("_ip") == F.col("_allowed")) & F.expr("path rlike path_regex"))
+    rules, here = _places(found, allow)
+    allowed = rules.select(canonical_ip(F.col("ip")).alias("_allowed"), "_path")
+    return _without(found, {"_ip": ip}, allowed, (F.col("_ip") == F.col("_allowed")) & here)
 
 
 def without_allowed_hosts(found: DataFrame, allow: DataFrame) -> DataFrame:
-    """Likewise for endpoints and for bindings of a host, by (host, scheme or null for any, path_regex).
+    """Likewise for endpoints and for bindings of a host, by (host, scheme or null for any, and path_glob or path_regex).
 
     A binding has no scheme, so that only rows for any scheme allow it.
     """
@@ -52,8 +66,9 @@ def without_allowed_hosts(found: DataFrame, allow: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.regexp_extract(value, "^(?:[^@]*@)?([^:/?#]*)", 1), "\\.+\\z", "")
     host = F.lower(F.when(rule == "privacy.endpoint.private-host", F.regexp_replace(url, "\\.+\\z", "")).when(rule == "privacy.endpoint.host-binding", bare))
     scheme = F.when(rule == "privacy.endpoint.private-host", F.lower(F.regexp_extract(value, "^([^:]+):", 1)))
-    a = allow.select(F.regexp_replace(F.lower("host"), "\\.+\\z", "").alias("_h"), F.lower("scheme").alias("_s"), "path_regex")
-    on = (F.col("_host") == F.col("_h")) & (F.col("_s").isNull() | (F.col("_s") == F.col("_scheme"))) & F.expr("path rlike path_regex")
+    rules, here = _places(found, allow)
+    a = rules.select(F.regexp_replace(F.lower("host"), "\\.+\\z", "").alias("_h"), F.lower("scheme").alias("_s"), "_path")
+    on = (F.col("_host") == F.col("_h")) & (F.col("_s").isNull() | (F.col("_s") == F.col("_scheme"))) & here
     return _without(found, {"_host": host, "_scheme": scheme}, a, on)
 
 

@@ -11,7 +11,7 @@ from ..operators import contracts as ct
 from ..operators import detect as de
 from ..operators import relate as re_
 from ..sources.versions import admissible, branches, changed, commit_meta, pages_as_versions, table, versions
-from . import formats  # noqa: F401 (registers its queries)
+from . import formats, policies  # noqa: F401 (they register their queries)
 from . import oracle as o
 from .registry import ORACLE_SQL, QUERIES, query
 from .scan import scan

@@ -36,6 +36,18 @@ def test_allowlists(spark):
     assert [r.value for r in relate.without_allowed_hosts(bound, any_scheme).where("rule like '%host-binding'").collect()] == ["db.other.io"]
 
 
+def test_allowlists_by_globs(spark):
+    rows = [("src/a.txt", "8.8.8.8 https://db.corp.io/x"), ("src/deep/b.txt", "8.8.8.8 http://db.corp.io/x"), ("docs/c.md", "8.8.8.8 https://DB.corp.io./x")]
+    found = candidates(spark.createDataFrame(rows, "path string, text string"))
+    ips = spark.createDataFrame([("8.8.8.8", "src/?.txt"), ("8.8.8.8", "docs/*.txt")], "ip string, path_glob string")
+    hosts = spark.createDataFrame([("db.corp.io", "https", "*.md"), ("db.corp.io", None, "src/deep/*"), ("other.io", None, "*")], "host string, scheme string, path_glob string")
+    ip = "privacy.endpoint.ip-address"
+    kept = relate.without_allowed_ips(found, ips)
+    assert "NestedLoop" not in kept._jdf.queryExecution().toString()
+    assert sorted(r.path for r in kept.where(F.col("rule") == ip).collect()) == ["docs/c.md", "src/deep/b.txt"]
+    assert [r.path for r in relate.without_allowed_hosts(found, hosts).where("rule like '%private-host'").collect()] == ["src/a.txt"]
+
+
 def test_a_scan_reads_each_text_once(spark, capsys):
     """Exceptions and both allowlists in one plan, with one explode."""
     v = spark.createDataFrame([(1, "c1", 1, "a.txt", "o1", "8.8.8.8")], "doc_id long, commit string, seq int, path string, oid string, text string")
