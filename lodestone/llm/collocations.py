@@ -3,7 +3,7 @@
 1. Map tasks cut texts of one language into chunks and tokenise them; a chunk is written as its distinct words with
    their counts, and the sequence of its words as numbers of these. Word counts are summed over chunks.
 2. The dictionary holds the words that occur often enough to stand in a candidate, with dense numbers. It is joined to
-   the chunks' words (broadcast only if its counted rows are few), so that a chunk's sequence becomes one of dictionary
+   the chunks' words, so that a chunk's sequence becomes one of dictionary
    numbers; other words, and the ends of pieces, break it.
 3. A place gives one key of three fixed-width numbers: its word and the next two, or zeros beyond a break. A pair's
    count is the sum over the keys that begin with it, so that one sort counts both lengths. Chunks sort and run-length
@@ -30,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ from .common import discard, small_side, steps, written
 from .words import words
 
 #: Bytes of text of a chunk, and keys of a range.
-CHUNK, RANGE = 4 << 20, 1 << 21
+CHUNK, RANGE = 4 << 20, 1 << 19
 #: Chunks that place the range bounds, keys that each gives, and the largest number of ranges.
-SAMPLED, KEYS, RANGES = 256, 4096, 1 << 16
+SAMPLED, KEYS, RANGES = 256, 1024, 1 << 16
 #: Phrases that one task ranks for a language.
 RANKED = 200_000
 #: What parts pieces, and what parts words.
@@ -63,7 +64,7 @@ def planes_of(numbers: np.ndarray, digits: int) -> np.ndarray:
 
 def numbers_of(planes: np.ndarray, digits: int) -> np.ndarray:
     """The inverse of planes_of."""
-    wide = planes.astype(np.int64).reshape(-1, digits, planes.shape[1])
+    wide = planes.astype(np.int64).reshape(len(planes) // digits, digits, planes.shape[1])
     return sum(wide[:, d] << (16 * (digits - 1 - d)) for d in range(digits))
 
 
@@ -74,9 +75,11 @@ def radix_runs(planes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if digit.size and (digit != digit[0]).any():
             order = order[np.argsort(digit[order], kind="stable")]
     planes = planes[:, order]
-    first = np.ones(planes.shape[1], bool)
-    first[1:] = (planes[:, 1:] != planes[:, :-1]).any(0)
-    at = np.flatnonzero(first)
+    same = np.ones(planes.shape[1], bool)
+    same[:1] = False
+    for digit in planes:
+        same[1:] &= digit[1:] == digit[:-1]
+    at = np.flatnonzero(~same)
     return planes[:, at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
@@ -113,7 +116,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                     packed = code.astype(np.uint32) << 1 | cut
                     planes = (packed & 0xFFFF).astype(np.uint16).tobytes() + (packed >> 16).astype(np.uint16).tobytes()
                     lists = [pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), x) for x in (names, pa.array(n.astype(np.int64)))]
-                    columns = [pa.array([next(number)], pa.int64()), pa.array([lang], pa.string()), pa.array([len(h)], pa.int64()), *lists, pa.array([planes], pa.binary())]
+                    columns = [pa.array([next(number)], pa.int64()), pa.array([lang], pa.string()), pa.array([len(h)], pa.int64()), *lists, pa.array([zstandard.compress(planes, 3)], pa.binary())]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     lang, text = F.coalesce("lang", F.lit("und")), F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -133,7 +136,14 @@ def _numbered(words_: DataFrame) -> tuple[DataFrame, str, int]:
     return ids.drop("_place", "_part", "_before"), at, before[-1] - 1
 
 
-def _keys(codes: bytes, local: list[int], ids: list[int], digits: int) -> tuple[np.ndarray, np.ndarray]:
+def _known(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """chunk, codes, and the dictionary's words in it as two arrays: their numbers in the chunk and in the dictionary."""
+    for chunk, codes, known in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        local, ids = (known.values.field(k).to_numpy() for k in (0, 1))
+        yield chunk.as_py(), zstandard.decompress(codes.as_buffer()), local, ids
+
+
+def _keys(codes: bytes, local: np.ndarray, ids: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of a chunk and their counts."""
     n = len(codes) // 4
     packed = np.frombuffer(codes, np.uint16, n).astype(np.int64) | np.frombuffer(codes, np.uint16, n, 2 * n).astype(np.int64) << 16
@@ -156,12 +166,12 @@ def _bounds(encoded: DataFrame, digits: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                keys = as_bytes(_keys(r["codes"], [x["local"] for x in r["known"]], [x["id"] for x in r["known"]], digits)[0])
+            for _, codes, local, ids in _known(batch):
+                keys = as_bytes(_keys(codes, local, ids, digits)[0])
                 take = np.unique(np.linspace(0, len(keys) - 1, min(len(keys), KEYS)).astype(int)) if len(keys) else []
                 yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([[bytes(k).ljust(6 * digits, b"\0") for k in keys[take]]], pa.list_(pa.binary()))], names=["n", "keys"])
 
-    got = [r for r in some.select("codes", "known").mapInArrow(run, "n long, keys array<binary>").collect() if r["n"]]
+    got = [r for r in some.select("chunk", "codes", "known").mapInArrow(run, "n long, keys array<binary>").collect() if r["n"]]
     if not got:
         return np.zeros(0, f"S{6 * digits}")
     total = sum(r["n"] for r in got) * chunks / len(got)
@@ -189,13 +199,13 @@ def _counted(encoded: DataFrame, digits: int, at_least: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                planes, n = _keys(r["codes"], [x["local"] for x in r["known"]], [x["id"] for x in r["known"]], digits)
-                to = _range_of(as_bytes(planes), bounds, r["chunk"] * 0x9E3779B1 >> 7)
+            for chunk, codes, local, ids in _known(batch):
+                planes, n = _keys(codes, local, ids, digits)
+                to = _range_of(as_bytes(planes), bounds, chunk * 0x9E3779B1 >> 7)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
                 small = n.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if n.max(initial=0) <= np.iinfo(t).max))
-                blocks = [pickle.dumps((planes[:, some], small[some]), 5) for some in np.split(order, cuts[1:])] if len(order) else []
+                blocks = [zstandard.compress(pickle.dumps((planes[:, some], small[some]), 5), 3) for some in np.split(order, cuts[1:])] if len(order) else []
                 yield pa.RecordBatch.from_arrays([pa.array(to[order[cuts]] if len(order) else [], pa.int32()), pa.array(blocks, pa.binary())], schema=sent)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +216,7 @@ def _counted(encoded: DataFrame, digits: int, at_least: int) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(1):
-                held.append(pickle.loads(value.as_buffer()))
+                held.append(pickle.loads(zstandard.decompress(value.as_buffer())))
                 size += len(held[-1][1])
                 if size > 2 * RANGE and len(held) > 1:
                     held = [merged()]
@@ -214,18 +224,21 @@ def _counted(encoded: DataFrame, digits: int, at_least: int) -> DataFrame:
         if not held:
             return
         planes, n = merged()
-        ids = numbers_of(planes, digits)
+        held.clear()
         first = np.ones(len(n), bool)
-        first[1:] = (ids[:2, 1:] != ids[:2, :-1]).any(0)
+        for digit in planes[: 2 * digits]:
+            first[1:] &= digit[1:] == digit[:-1]
+        first[1:] = ~first[1:]
         starts = np.flatnonzero(first)
         pair_n = np.add.reduceat(n, starts)
         often = pair_n >= at_least
         often[[0, -1]] = True
-        pairs = np.concatenate([ids[:2, starts[often]], np.zeros((1, int(often.sum())), np.int64)])
+        pairs = numbers_of(planes[:, starts[often]], digits)
+        pairs[2] = 0
         often3 = n >= at_least
         often3[0] = True
-        often3 &= ids[2] > 0
-        ids, n = np.concatenate([pairs, ids[:, often3]], 1), np.concatenate([pair_n[often], n[often3]])
+        often3 &= planes[2 * digits :].any(0)
+        ids, n = np.concatenate([pairs, numbers_of(planes[:, often3], digits)], 1), np.concatenate([pair_n[often], n[often3]])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*ids, n)], schema=arrow)
 
     parts = encoded.select("chunk", "codes", "known").mapInArrow(deal, "range int, keys binary").repartitionById(ranges, "range").mapInArrow(merge, schema)
@@ -252,7 +265,7 @@ def _ranked(grams: DataFrame, dictionary: DataFrame, totals: DataFrame, share: i
     whole = triples.join(_cut(pairs, "a", "b"), ["a", "b"]).join(_cut(pairs, "b", "c"), ["b", "c"])
     none = F.lit(None).cast("long")
     rows = free.select("a", "b", "c", "n", none.alias("f_ab"), none.alias("f_bc")).unionByName(whole.select("a", "b", "c", "n", "f_ab", "f_bc"))
-    names = small_side(dictionary.select("id", "lang", "word", "f"))
+    names = dictionary.select("id", "lang", "word", "f")
     for side in "abc":
         named = names.select(F.col("id").alias(side), F.col("word").alias(f"w_{side}"), F.col("f").alias(f"f_{side}"), *(["lang"] if side == "a" else []))
         rows = rows.join(named, side, "left" if side == "c" else "inner")
@@ -283,7 +296,7 @@ def collocations(docs: DataFrame, at_least: int = 10, share: int = 50, top: int
     totals, _ = written(chunks.groupBy("lang").agg(F.sum("total").alias("n")))
     dictionary, at_words, size = _numbered(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least))
     dictionary, _ = written(dictionary)
-    known = local.select("chunk", "lang", "local", "word").join(small_side(dictionary.select("lang", "word", "id")), ["lang", "word"])
+    known = local.select("chunk", "lang", "local", "word").join(dictionary.select("lang", "word", "id"), ["lang", "word"])
     known = known.groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("known"))
     encoded, at_encoded = written(chunks.select("chunk", "codes").join(known, "chunk"))
     discard(spark, at_chunks, at_words)
