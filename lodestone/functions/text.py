@@ -185,10 +185,14 @@ def column_of(text: Column, start: Column) -> Column:
     return F.length(F.element_at(F.split(F.substring(text, F.lit(1), start), "\n", -1), -1)) + 1
 
 
-def context_of(text: Column, line: Column, around: int = 2) -> Column:
+def lines_around(lines: Column, line: Column, around: int = 2) -> Column:
     """The lines around a line, joined again."""
     first = F.greatest(line - around, F.lit(1))
-    return F.array_join(F.slice(F.split(text, "\n", -1), first, line + around - first + 1), "\n")
+    return F.array_join(F.slice(lines, first, line + around - first + 1), "\n")
+
+
+def context_of(text: Column, line: Column, around: int = 2) -> Column:
+    return lines_around(F.split(text, "\n", -1), line, around)
 
 
 def glob_regex(glob: str) -> str:

@@ -60,6 +60,11 @@ DANGEROUS = {
 TOOL_IDENTITY = r"(?i)(?<![a-z0-9])cursor(?:ai|bot|agent|[\s_.-]+(?:ai|bot|agent))?(?![a-z0-9])"
 CONTRIBUTOR_FIELD = r"(?i)\b(?:authors?|contributors?|maintainers?|developers?|credits?)\b\s*[\"']?\s*[:=]"
 CONTRIBUTOR_FILES = ".all-contributorsrc .mailmap authors authors.md authors.txt contributors contributors.md contributors.txt".split()
+ATTRIBUTION_SUFFIXES = ".md .json .toml .yaml .yml .txt .xml".split()
+LOOKBACK, FIELD_REACH = 1024, 512
+FIELD_BEHIND = rf"(?dUs){CONTRIBUTOR_FIELD}.{{0,{FIELD_REACH}}}\z"
+HEADED = r"(?dUims)\A(?:.*^|)#{1,6}\s+(?:authors?|contributors?|maintainers?|credits?)\s*?$(.*)\z"
+TRAILER_LINE = r"(?i)^(?:co-authored-by|signed-off-by|authored-by|committed-by|generated-by|assisted-by|made-with)\s*:"
 METADATA_FILES = "cargo.toml citation.cff composer.json package.json pom.xml pubspec.yaml pyproject.toml".split()
 
 COLUMNS = ("rule", "file", "line", "detail")
@@ -213,11 +218,12 @@ def resolve(source: Column, target: Column) -> Column:
 def links(tree: DataFrame) -> DataFrame:
     """path, line and resolved target of every local link in Markdown files other than the root readmes."""
     md = tree.where(F.lower("path").endswith(".md") & ~F.col("path").isin("README.md", "README.zh-CN.md") & F.col("text").isNotNull())
-    each = md.select("path", "text", F.explode(tx.spans(F.col("text"), LINK)).alias("s"))
+    found = tx.with_places(F.col("text"), tx.spans(F.col("text"), LINK), lambda s, line, _: F.struct(s["value"].alias("value"), line.alias("line")))
+    each = md.where(F.col("text").rlike(LINK)).select("path", F.explode(found).alias("s"))
     raw = F.trim(F.regexp_extract("s.value", LINK, 1))
     target = F.when(raw.startswith("<") & raw.endswith(">"), F.trim(F.regexp_replace(raw, "^<|>\\z", ""))).otherwise(F.regexp_extract(raw, "^\\S*", 0))
     local = each.withColumn("target", target).where((F.col("target") != "") & ~F.col("target").rlike("(?i)^(?:#|//|[a-z][a-z0-9+.-]*:)"))
-    return local.select("path", tx.line_of(F.col("text"), F.col("s.start")).alias("line"), resolve(F.col("path"), F.col("target")).alias("place"))
+    return local.select("path", F.col("s.line").alias("line"), resolve(F.col("path"), F.col("target")).alias("place"))
 
 
 def broken_links(tree: DataFrame) -> DataFrame:
@@ -409,8 +415,10 @@ def _first_marks(files: DataFrame, rule: str, groups: dict[str, list[str]]) -> D
     quote = lambda t: "\\s+".join(re.sub(r"([^\w])", r"\\\1", x) for x in t.split())
     at = lambda ts: F.regexp_instr("text", F.lit("(?iu)" + "|".join(f"(?:{quote(t)})" for t in ts)))
     marks = F.array(*(F.struct(F.lit(k).alias("detail"), at(ts).alias("at")) for k, ts in groups.items()))
-    each = files.where(F.col("text").isNotNull()).select("path", "text", F.explode(F.filter(marks, lambda m: m["at"] > 0)).alias("m"))
-    return _rows(each, rule, line=tx.line_of(F.col("text"), F.col("m.at") - 1), detail=F.col("m.detail"))
+    hits = F.transform(F.filter(marks, lambda m: m["at"] > 0), lambda m: F.struct(m["detail"].alias("detail"), (m["at"] - 1).alias("start")))
+    lined = tx.bind(hits, lambda h: F.when(F.size(h) > 0, tx.with_places(F.col("text"), h, lambda m, line, _: F.struct(m["detail"].alias("detail"), line.alias("line")))))
+    each = files.where(F.col("text").isNotNull()).select("path", F.explode(lined).alias("m"))
+    return _rows(each, rule, line=F.col("m.line"), detail=F.col("m.detail"))
 
 
 def resource_scopes(tree: DataFrame, scopes: dict[str, list[str]]) -> DataFrame:
@@ -499,15 +507,33 @@ def defect_records(tree: DataFrame, root: str, closed: list[str], audit: list[st
     return _rows(here.withColumn("w", F.explode(wrong)), "repository.defect-record-closure", detail=F.col("w"))
 
 
-def attribution(tree: DataFrame) -> DataFrame:
-    """Tool identities where contributors are named: in contributor files, in trailers, or up to 512 characters after a contributor field of a metadata file."""
+def attribution(tree: DataFrame, only_documents: bool = True) -> DataFrame:
+    """Tool identities where contributors are named.
+
+    That is: in a contributors' file; on a trailer's line; in a metadata file, at most 512 characters behind the last
+    contributor field; or under a contributors' heading, if no other heading stands between. Fields and headings are
+    looked for in the 1,024 characters before. Only files with the suffix of a document or a known name are read,
+    unless all are asked for.
+    """
     name = F.lower(base_name(F.col("path")))
-    each = tree.where(F.col("text").rlike(TOOL_IDENTITY)).select("path", "text", F.explode(tx.spans(F.col("text"), TOOL_IDENTITY)).alias("s"))
-    line = F.element_at(F.split(F.substring(F.col("text"), F.lit(1), F.col("s.start")), "\n", -1), -1)
-    trailer = line.rlike("(?i)^(?:co-authored-by|signed-off-by|authored-by|committed-by|generated-by|assisted-by|made-with)\\s*:")
-    from_ = F.greatest(F.col("s.start") - 512, F.lit(0))
-    field = name.isin(METADATA_FILES) & F.substring(F.col("text"), from_ + 1, F.col("s.start") - from_).rlike(CONTRIBUTOR_FIELD)
-    return _rows(each.where(name.isin(CONTRIBUTOR_FILES) | trailer | field), "contribution.cursor-attribution", line=tx.line_of(F.col("text"), F.col("s.start")))
+    known = name.isin(CONTRIBUTOR_FILES + METADATA_FILES)
+    read = known | suffix(F.col("path")).isin(ATTRIBUTION_SUFFIXES) if only_documents else F.lit(True)
+    text = F.col("text")
+
+    def judged(s: Column, line: Column, column: Column) -> Column:
+        from_ = F.greatest(s["start"] - LOOKBACK, F.lit(0))
+
+        def near(before: Column) -> Column:
+            here = F.substring(text, s["start"] - column + 2, F.least(column - 1 + F.length(s["value"]), F.lit(LOOKBACK)))
+            behind = F.regexp_extract(before, HEADED, 1)
+            headed = before.rlike(HEADED) & ~behind.rlike(r"(?dm)^#{1,6}\s+")
+            return name.isin(CONTRIBUTOR_FILES) | here.rlike(TRAILER_LINE) | (name.isin(METADATA_FILES) & before.rlike(FIELD_BEHIND)) | headed
+
+        return F.struct(line.alias("line"), tx.bind(F.substring(text, from_ + 1, s["start"] - from_), near).alias("ok"))
+
+    found = F.filter(tx.with_places(text, tx.spans(text, TOOL_IDENTITY), judged), lambda s: s["ok"])
+    each = tree.where(read & text.rlike(TOOL_IDENTITY)).select("path", F.explode(found).alias("s"))
+    return _rows(each, "contribution.cursor-attribution", line=F.col("s.line"))
 
 
 def commit_attribution(meta: DataFrame) -> DataFrame:

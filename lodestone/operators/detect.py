@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as km
@@ -252,12 +252,13 @@ def rules_table(spark) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _found(families: tuple, groups: tuple[str, ...]) -> Column:
+def _found(families: tuple, groups: tuple[str, ...], places: bool, context: bool) -> Column:
     """The array of candidates of the columns text and path; kept, as building it takes thousands of calls to the JVM."""
     text, path = F.col("text"), F.col("path")
     found = [f(text, path) for f in families]
     if groups:
         found.append(patterns(text, path, list(groups)))
+    named = lambda c, *more: F.struct(*(c[k].alias(k) for k in ("rule", "start", "end", "basis", "value")), *more)
 
     def first_of_each(all_: Column) -> Column:
         # Ordered by rule and span, and then by the families' order: the first of each run of equal spans is kept.
@@ -266,29 +267,60 @@ def _found(families: tuple, groups: tuple[str, ...]) -> Column:
         return tx.bind(ordered, lambda o: F.filter(o, lambda c, i: ~same(F.get(o, i - 1), c)))
 
     def placed(kept: Column) -> Column:
-        return tx.with_places(text, kept, lambda c, line, column: F.struct(c["rule"], c["start"], c["end"], c["basis"], c["value"], line.alias("line"), column.alias("column")))
+        if not places:
+            return F.transform(kept, lambda c: named(c))
+        at = tx.with_places(text, kept, lambda c, line, column: named(c, line.alias("line"), column.alias("column")))
+        around = lambda c, lines: named(c, c["line"].alias("line"), c["column"].alias("column"), tx.lines_around(lines, c["line"]).alias("context"))
+        return tx.bind(F.split(text, "\n", -1), lambda lines: F.transform(at, lambda c: around(c, lines))) if context else at
 
     return tx.bind(F.concat(*found), lambda all_: F.when(F.size(all_) > 0, tx.bind(first_of_each(all_), placed)))
 
 
-def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = ()) -> DataFrame:
-    """df's columns and one row per candidate: rule, start, end, basis, the located value, line and column.
+def candidates(df: DataFrame, families=FAMILIES, groups: list[str] = (), places: bool = True, context: bool = False) -> DataFrame:
+    """df's columns and one row per candidate: rule, start, end, basis, the located value, and line and column if places are asked for.
 
-    df has text and path. Equal spans of one rule collapse to the first in the families' order. Places are found before
-    the rows are made, so that a text is not copied to its candidates unless a later step reads it.
+    df has text and path. Equal spans of one rule collapse to the first in the families' order. Places, and the lines
+    around a candidate (context), are found before the rows are made, from one pass over the text.
     """
-    rows = df.where(F.col("text").isNotNull()).select(*df.columns, F.explode(_found(tuple(families), tuple(groups))).alias("_c"))
-    return rows.select(*df.columns, *(F.col(f"_c.{c}").alias(c) for c in ("rule", "start", "end", "basis", "value", "line", "column")))
+    rows = df.where(F.col("text").isNotNull()).select(*df.columns, F.explode(_found(tuple(families), tuple(groups), places or context, context)).alias("_c"))
+    return rows.select(*df.columns, *(F.col(f"_c.{c}").alias(c) for c in ("rule", "start", "end", "basis", "value", *(("line", "column") if places or context else ()), *(("context",) if context else ()))))
 
 
 def located(found: DataFrame, local: bool = False) -> DataFrame:
     """Findings without the text; local ones carry the value and its context, others neither."""
     if local:
-        return found.withColumn("context", tx.context_of(F.col("text"), F.col("line"))).drop("text")
+        return found.drop("text") if "context" in found.columns else found.withColumn("context", tx.context_of(F.col("text"), F.col("line"))).drop("text")
     return found.withColumn("file", tx.redact_path(F.col("path"))).withColumn("evidence", F.lit("[source value withheld]")).drop("text", "value")
 
 
+#: What orders the versions of a path's object.
+ORDER = ("seq", "commit", "doc_id")
+
+
+def introduced(found: DataFrame) -> DataFrame:
+    """Each finding of a (path, object) once, from the version that introduces it: one aggregation of rows without texts.
+
+    Versions of one object have the same text, and so the same findings at the same places; the first version's stay.
+    """
+    keys = [k for k in ("path", "oid", "rule", "start", "end") if k in found.columns]
+    rest = [c for c in found.columns if c not in keys]
+    one = F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*ORDER)).alias("_v")
+    return found.groupBy(*keys).agg(one).select(*(F.col(c) if c in keys else F.col("_v")[c].alias(c) for c in found.columns))
+
+
 def first_versions(versions: DataFrame) -> DataFrame:
-    """The introducing version of each (path, oid): the only window in the engine."""
-    w = Window.partitionBy("path", "oid").orderBy("seq", "commit", "doc_id")
-    return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The introducing version of each (path, oid), chosen from rows without texts.
+
+    Rows with a text are joined with the chosen keys, so that no task sorts an object's copies; rows that repeat path,
+    oid, seq, commit and doc_id are one version, and stay each.
+    """
+    if "text" not in versions.columns:
+        rest = [c for c in versions.columns if c not in ("path", "oid")]
+        one = versions.groupBy("path", "oid").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("_v"))
+        return one.select(*(F.col(c) if c in ("path", "oid") else F.col("_v")[c].alias(c) for c in versions.columns))
+    first = versions.groupBy("path", "oid").agg(F.min(F.struct(*ORDER)).alias("_k"))
+    first = first.select(F.col("path").alias("_path"), F.col("oid").alias("_oid"), *(F.col("_k")[c].alias(f"_{c}") for c in ORDER))
+    on = (F.col("path") == F.col("_path")) & (F.col("oid") == F.col("_oid"))
+    for c in ORDER:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return versions.join(first, on, "left_semi")

@@ -15,6 +15,8 @@ from . import formats, policies  # noqa: F401 (they register their queries)
 from . import oracle as o
 from .registry import ORACLE_SQL, QUERIES, query
 from .scan import scan
+from .shared import written
+
 
 def _versions(spark, d) -> DataFrame:
     return versions(table(spark, d, "documents"))
@@ -22,8 +24,7 @@ def _versions(spark, d) -> DataFrame:
 
 def _located(spark, d, family, value: bool = True) -> DataFrame:
     found = de.candidates(_versions(spark, d), (family,))
-    out = de.located(found, local=True)
-    return out.select("doc_id", "path", "commit", "start", F.col("end").alias("finish"), "line", F.col("column").alias("col"), "value", "basis")
+    return found.select("doc_id", "path", "commit", "start", F.col("end").alias("finish"), "line", F.col("column").alias("col"), "value", "basis")
 
 
 LOCATED = "SELECT doc_id, path, commit, start, finish, CAST(line AS INT) AS line, CAST(col AS INT) AS col, value FROM "
@@ -63,7 +64,7 @@ BINDINGS = f"""(SELECT doc_id, path, commit, value, rule FROM (
 @query(f"WITH {o.VERSIONS} SELECT * FROM {BINDINGS}")
 def credential_bindings(spark: SparkSession, d: str) -> DataFrame:
     """Literal assignments to credential fields."""
-    found = de.candidates(_versions(spark, d), (de.bound,)).where(F.col("rule").startswith("privacy.credential"))
+    found = de.candidates(_versions(spark, d), (de.bound,), places=False).where(F.col("rule").startswith("privacy.credential"))
     return found.select("doc_id", "path", "commit", "value", "rule")
 
 
@@ -77,19 +78,19 @@ ALL_FOUND = f"""(SELECT path, commit, doc_id, rule, value FROM (
 @query(f"WITH {o.VERSIONS}, {o.FIRST} SELECT rule, count(*) AS findings, count(DISTINCT path) AS paths FROM {ALL_FOUND} GROUP BY rule")
 def findings_by_rule(spark: SparkSession, d: str) -> DataFrame:
     """The whole catalog over each version once: findings and paths per rule."""
-    return scan(_versions(spark, d)).groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
+    return scan(_versions(spark, d), places=False).groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
 
 
 @query(f"WITH {o.VERSIONS}, {o.FIRST} SELECT path, commit, rule, count(*) AS findings FROM {ALL_FOUND} GROUP BY ALL")
 def finding_counts(spark: SparkSession, d: str) -> DataFrame:
     """Findings per file version and rule."""
-    return re_.finding_counts(scan(_versions(spark, d)))
+    return re_.finding_counts(scan(_versions(spark, d), places=False))
 
 
 @query(f"""WITH {o.VERSIONS}, {o.FIRST} SELECT DISTINCT path, CASE WHEN rule LIKE 'privacy.credential%' THEN 'privacy-credentials' WHEN rule LIKE 'privacy.endpoint%' THEN 'privacy-endpoints' ELSE 'privacy-personal-data' END AS topic FROM {ALL_FOUND}""")
 def semantic_topics(spark: SparkSession, d: str) -> DataFrame:
     """Review topics that each file's findings call for."""
-    return scan(_versions(spark, d)).where("topic is not null").select("path", "topic").distinct()
+    return scan(_versions(spark, d), places=False).where("topic is not null").select("path", "topic").distinct()
 
 
 def _exceptions(found: DataFrame) -> DataFrame:
@@ -100,17 +101,16 @@ def _exceptions(found: DataFrame) -> DataFrame:
 SELECT a.path, a.rule, count(e.value) AS exempted, count(*) - count(e.value) AS kept FROM a LEFT JOIN e USING (rule, path, value) GROUP BY ALL""")
 def exact_exceptions(spark: SparkSession, d: str) -> DataFrame:
     """Suppression by exact exceptions: exempted candidates are counted, not lost."""
-    found = de.candidates(de.first_versions(_versions(spark, d)))
-    kept, gone = re_.split_exempt(found, _exceptions(found))
-    both = kept.select("path", "rule", F.lit(0).alias("x")).unionByName(gone.select("path", "rule", F.lit(1).alias("x")))
-    return both.groupBy("path", "rule").agg(F.sum("x").alias("exempted"), F.sum(1 - F.col("x")).alias("kept"))
+    found = written(de.introduced(de.candidates(_versions(spark, d), places=False).select("path", "oid", "rule", "start", "end", "value", *de.ORDER)))
+    x = F.col("exempt").cast("long")
+    return re_.with_exempt(found, _exceptions(found)).groupBy("path", "rule").agg(F.sum(x).alias("exempted"), F.sum(1 - x).alias("kept"))
 
 
 @query(f"""WITH {o.VERSIONS}, {o.FIRST}, a AS (SELECT * FROM {o.ips('f')}), w AS (SELECT min(value) AS ip FROM a)
 SELECT path, count(*) AS findings FROM a WHERE NOT (value IN (SELECT ip FROM w) AND path LIKE 'documents/e%.txt') GROUP BY path""")
 def allowed_addresses(spark: SparkSession, d: str) -> DataFrame:
     """IP findings less an address that is allowed in two paths only."""
-    found = de.candidates(de.first_versions(_versions(spark, d)), (de.network,))
+    found = written(de.introduced(de.candidates(_versions(spark, d), (de.network,), places=False).select("path", "oid", "rule", "start", "end", "value", *de.ORDER)))
     allow = found.agg(F.min("value").alias("ip")).withColumn("path_regex", F.lit(tx.glob_regex("documents/e*.txt")))
     return re_.without_allowed_ips(found, allow).groupBy("path").agg(F.count("*").alias("findings"))
 
@@ -129,7 +129,7 @@ def endpoint_hosts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH f AS (SELECT page_id AS doc_id, 'pages/' || page_id || '.html' AS path, 'c0' AS commit, html AS text FROM pages WHERE html IS NOT NULL) SELECT rule, count(*) AS findings FROM (SELECT rule FROM {ALL_FOUND} UNION ALL SELECT 'privacy.credential.binding' FROM {o.spans('f', ESCAPED)}) GROUP BY rule""")
 def page_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole catalog over the pages' HTML."""
-    return scan(pages_as_versions(table(spark, d, "pages"))).groupBy("rule").agg(F.count("*").alias("findings"))
+    return scan(pages_as_versions(table(spark, d, "pages")), places=False).groupBy("rule").agg(F.count("*").alias("findings"))
 
 
 @query(f"""WITH f AS (SELECT conv_id AS doc_id, 'conversations/' || conv_id || '.txt' AS path, 'c0' AS commit, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' write to bob' || conv_id || '@corp-mail.de' WHEN 1 THEN chr(10) || 'the server is 8.8.' || conv_id % 250 || '.4 now' ELSE '' END AS text FROM conversations)
@@ -139,7 +139,7 @@ def conversation_findings(spark: SparkSession, d: str) -> DataFrame:
     turn, conv = F.col("turn") % 3, F.col("conv_id").cast("string")
     more = F.when(turn == 0, F.concat(F.lit(" write to bob"), conv, F.lit("@corp-mail.de"))).when(turn == 1, F.concat(F.lit("\nthe server is 8.8."), (F.col("conv_id") % 250).cast("string"), F.lit(".4 now"))).otherwise("")
     turns = table(spark, d, "conversations").select(F.concat(F.lit("conversations/"), conv, F.lit(".txt")).alias("path"), "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
-    return de.candidates(turns).groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
+    return de.candidates(turns, places=False).groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("paths"))
 
 
 def _admitted(spark, d) -> DataFrame:
@@ -178,7 +178,7 @@ def review_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {o.VERSIONS}, {o.FIRST} SELECT doc_id, path, commit, oid FROM f")
 def introducing_versions(spark: SparkSession, d: str) -> DataFrame:
     """Each (path, object) at the commit that introduces it."""
-    return de.first_versions(_versions(spark, d)).select("doc_id", "path", "commit", "oid")
+    return de.first_versions(_versions(spark, d).select("doc_id", "path", "commit", "seq", "oid")).select("doc_id", "path", "commit", "oid")
 
 
 @query(f"WITH {o.VERSIONS} SELECT doc_id, path, commit FROM v WHERE seq = 0 OR (seq IN (2, 4, 6) AND (seq % 4 = 0) = (path IN ('documents/de.txt', 'documents/fr.txt')))")
@@ -205,7 +205,7 @@ def superseded_versions(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN incomplete > 0 THEN 'incomplete' WHEN findings > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status, CASE WHEN incomplete > 0 THEN 1 ELSE 0 END AS exit_code, findings, incomplete FROM n""")
 def run_status(spark: SparkSession, d: str) -> DataFrame:
     """The run's status from the scan's findings and the versions that aren't text."""
-    return re_.run_status(scan(_versions(spark, d)), _admitted(spark, d).where("reason is not null"))
+    return re_.run_status(scan(_versions(spark, d), places=False), _admitted(spark, d).where("reason is not null"))
 
 
 @query(f"""WITH {o.VERSIONS}, {o.FIRST}, a AS (SELECT rule, count(*) AS findings FROM {ALL_FOUND} GROUP BY 1), c AS (SELECT unnest(['privacy.personal.identifier', 'privacy.endpoint.ip-address', 'privacy.credential.binding', 'repository.hygiene']) AS rule)
@@ -214,13 +214,13 @@ def rule_sets(spark: SparkSession, d: str) -> DataFrame:
     """The rules of a run: those of the catalog (four here), those evaluated, those with findings, and which of them block."""
     names = spark.createDataFrame([("privacy.personal.identifier",), ("privacy.endpoint.ip-address",), ("privacy.credential.binding",)], "rule string")
     evaluated = spark.createDataFrame([("repository.hygiene",)], "rule string")
-    return re_.rule_sets(scan(_versions(spark, d)), evaluated, names)
+    return re_.rule_sets(scan(_versions(spark, d), places=False), evaluated, names)
 
 
 @query(f"""WITH {o.VERSIONS}, {o.FIRST} SELECT 'incomplete' AS status, CAST(4 AS BIGINT) AS governance""")
 def governance_fold(spark: SparkSession, d: str) -> DataFrame:
     """The run's status after governance findings, one of which could not be verified."""
-    return re_.governance_status(re_.run_status(scan(_versions(spark, d)), spark.range(0)), governance(spark, d))
+    return re_.governance_status(re_.run_status(scan(_versions(spark, d), places=False), spark.range(0)), governance(spark, d))
 
 
 REQUEST = "r AS (SELECT doc_id AS index, sha256(coalesce(text, '')) AS identity FROM documents)"
@@ -337,7 +337,7 @@ def run_ledger(spark: SparkSession, d: str) -> DataFrame:
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals over runs, one for each repository and commit: repositories, runs, the latest, and the scan's findings."""
     vs, on = _versions(spark, d), ["repository", "commit"]
-    found = scan(vs).groupBy(*on).agg(F.count("*").alias("findings"))
+    found = scan(vs, places=False).groupBy(*on).agg(F.count("*").alias("findings"))
     runs = vs.groupBy(*on).agg(F.max("doc_id").alias("finished_at")).join(found, on, "left").withColumn("id", F.concat_ws(" ", *on))
     return re_.report_totals(runs)
 

@@ -143,13 +143,47 @@ def test_readme_links_each_other(spark):
     assert [r.file for r in out.collect()] == ["README.zh-CN.md"]
 
 
+ATTRIBUTED = [
+    ("AUTHORS", "Cursor\n\nCursor Agent", [1, 3]),
+    ("src/a.md", "the cursor moves", []),
+    ("log.txt", "Co-authored-by: Cursor Agent <x@example.invalid>\nSigned-off-by: B", [1]),
+    ("log2.txt", "see Co-authored-by: Cursor", []),
+    ("package.json", '{"contributors": ["cursor"]}', [1]),
+    ("package.json", '{"author": "' + "x" * 500 + ' cursor"}', [1]),
+    ("package.json", '{"author": "' + "x" * 520 + ' cursor"}', []),
+    ("package.json", '{"author": "a", "note": "' + "x" * 600 + '", "maintainers": ["cursor"]}', [1]),
+    ("other.json", '{"author": "cursor"}', []),
+    ("docs/team.md", "# Team\n\n## Contributors\n\n- Cursor\n- B\n", [5]),
+    ("docs/team2.md", "## Contributors\n\n- A\n\n## Usage\n\nthe cursor\n", []),
+    ("docs/team3.md", "## Usage\n\n### credits\n text\n" + "y" * 980 + "\ncursor\n", [6]),
+    ("docs/team4.md", "### Credits\n" + "y" * 1030 + "\ncursor\n", []),
+    ("docs/team5.md", "## Contributors and more\n\n- Cursor\n", []),
+    ("docs/team6.md", "## Authors\n#hash no heading\n- cursor-bot\n", [3]),
+    ("docs/team7.md", "####### Authors\n- cursor\n", []),
+    ("docs/team8.md", "## Old\n\n## Authors\n\ncursorai, precursor, cursors", [5]),
+    ("src/code.py", "# Authors\n- cursor", []),
+]
+
+
 def test_tool_attribution(spark):
-    rows = [("AUTHORS", "Cursor Agent"), ("x.md", "move the cursor"), ("package.json", '{"author": "cursor-bot"}'), ("log.txt", "Co-authored-by: cursoragent <x>")]
-    tree = spark.createDataFrame(rows, "path string, text string")
-    assert sorted(r.file for r in ct.attribution(tree).collect()) == ["AUTHORS", "log.txt", "package.json"]
-    refs = spark.createDataFrame([("refs/heads/codex/x",), ("refs/heads/main",)], "ref string")
-    assert ct.branch_prefix(refs).count() == 1 and ct.branch_prefix(refs.where("ref like '%main'")).count() == 0
-    assert [r.file for r in ct.required_refs(refs, ["main", "dev"]).collect()] == ["dev"]
+    tree = spark.createDataFrame([(f"d{i}/{p}", t) for i, (p, t, _) in enumerate(ATTRIBUTED)] + [("x.md", None)], "path string, text string")
+    got = {}
+    for r in ct.attribution(tree).collect():
+        got.setdefault(r.file, []).append(r.line)
+    assert {f: sorted(x) for f, x in got.items()} == {f"d{i}/{p}": x for i, (p, _, x) in enumerate(ATTRIBUTED) if x}
+    assert [r.file for r in ct.attribution(tree, only_documents=False).collect() if r.file.endswith(".py")] == [f"d{len(ATTRIBUTED) - 1}/src/code.py"]
+
+
+def test_findings_of_repeated_versions_meet_once(spark):
+    """Both ways of a scan give the same findings, at the version that introduces them, also where rows repeat."""
+    rows = [(i, f"c{i % 3}", i % 3, f"{i % 2}.txt", f"o{i % 4}", f"mail bob{i % 4}@corp-mail.de") for i in range(40)]
+    rows += rows[:5] + [(None, "c0", 0, "1.txt", "o1", "mail bob1@corp-mail.de")]
+    v = spark.createDataFrame(rows, "doc_id long, commit string, seq int, path string, oid string, text string")
+    key = lambda r: (r.path, r.oid, r.rule, r.start, r.line, r.doc_id)
+    one, two = (sorted(map(str, map(key, scan(v, history=h).collect()))) for h in (False, True))
+    assert one == two and len(one) == 4
+    plan = scan(v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
 
 
 def test_boundary_manifest(spark):
