@@ -119,15 +119,16 @@ def map_texts(df: DataFrame, f: Callable[[list, list[bytes]], dict], schema: str
     return df.select(*cols).mapInArrow(run, schema)
 
 
-def with_texts(df: DataFrame, name: str, kind: DataType, f: Callable[[list[bytes]], list]) -> DataFrame:
-    """df's columns and one more, f of its texts (null as empty), without a join or a shuffle."""
-    at, arrow = df.columns.index("text"), to_arrow_type(kind)
+def with_texts(df: DataFrame, name: str, kind: DataType, f: Callable[..., list], extra: tuple[str, ...] = ()) -> DataFrame:
+    """df's columns and one more, f of its texts (null as empty) and of the columns named in extra, without a join or a shuffle."""
+    at, arrow, more = df.columns.index("text"), to_arrow_type(kind), [df.columns.index(c) for c in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, done = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], 0
             for _, some in steps(texts, texts):
-                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(some)).columns, pa.array(f(some), arrow)], [*batch.schema.names, name])
+                beside = [batch.column(i).slice(done, len(some)).to_pylist() for i in more]
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(some)).columns, pa.array(f(some, *beside), arrow)], [*batch.schema.names, name])
                 done += len(some)
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)]))

@@ -327,8 +327,14 @@ def test_raking_meets_the_marginals(spark, docs):
     tokens = {(a, b): float(10 * x + y + 1) for x, a in enumerate("pqr") for y, b in enumerate("st")}
     w, _ = rake(tokens, [{"p": 0.2, "q": 0.3, "r": 0.5}, {"s": 0.6, "t": 0.4}])
     assert abs(sum(v for k, v in w.items() if k[0] == "q") - 0.3) < 1e-6 and abs(sum(v for k, v in w.items() if k[1] == "s") - 0.6) < 1e-6
-    p = calibrate(tokens, w, 0.5)
-    assert abs(sum(p[k] * tokens[k] for k in tokens) - 0.5 * sum(tokens.values())) < 1e-3 and max(p.values()) <= 1
+    # p has 3 tokens, so that its fifth allows a sample of 15: the budget shrinks, and the marginals hold.
+    _, p, _ = calibrate(tokens, [{"p": 0.2, "q": 0.3, "r": 0.5}, {"s": 0.6, "t": 0.4}], 0.5)
+    taken = {k: p[k] * tokens[k] for k in tokens}
+    assert 14 < sum(taken.values()) < 15.3 and max(p.values()) <= 1
+    assert all(abs(sum(v for k, v in taken.items() if k[d] == name) / sum(taken.values()) - want) < 0.004 for d, name, want in ((0, "p", 0.2), (0, "r", 0.5), (1, "s", 0.6)))
+    # What no sample can give, as the cells for it don't exist, is given as far as it goes.
+    _, p, _ = calibrate({("a", "x"): 10.0, ("b", "y"): 10.0}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}], 0.5)
+    assert all(0 <= v <= 1 for v in p.values()) and sum(10 * v for v in p.values()) > 1
     r = random.Random(6)
     themes = [[f"{c}{k}" for k in range(40)] for c in "abc"]
     d = docs([(i, " ".join(r.choices(themes[i % 3], k=r.randint(1, 40))), r.choice(["en", "de", "de", None])) for i in range(1500)] + [(5000, None), (None, "x y")])
@@ -350,17 +356,45 @@ def test_raking_meets_the_marginals(spark, docs):
     for x in out:
         got[x.lang_cell] += (u[x.doc_id] < chance(x)) * x.n_tokens
     assert abs(got["en"] / sum(got.values()) - 0.5) < 0.12
-    # Topics follow the themes: almost all texts of a theme that are long enough have topics that no other theme has.
+    # Within a language topics follow the themes: almost all texts of a theme that are long enough have topics that no other theme has.
     of = collections.defaultdict(collections.Counter)
     for x in out:
         if x.n_tokens >= 8:
-            of[x.topic_cell][x.doc_id % 3] += 1
+            of[x.lang_cell, x.topic_cell][x.doc_id % 3] += 1
     assert sum(max(c.values()) for c in of.values()) >= 0.95 * sum(sum(c.values()) for c in of.values())
-    brute = [[sum(float(mix.topics.word[int(h) >> 52, k]) for h in words(["a1 b2 c3 a1".encode()])[3]) + mix.topics.share[k] for k in range(8)]]
-    assert mix.topics.of([b"a1 b2 c3 a1"]) == ([f"topic{int(np.argmax(brute[0]))}"], [4])
+    assert set(mix.topics.models) == {"other", "en", "de", "none"}
+    for lang, model in (("en", "en"), ("xx", "other"), (None, "other")):
+        offset, word = mix.topics.models[model]
+        brute = [25 * sum(float(word[int(h) >> 52, k]) for h in words(["a1 b2 c3 a1".encode()])[3]) + offset[k] for k in range(8)]
+        assert mix.topics.of([b"a1 b2 c3 a1"], [lang]) == ([f"topic{int(np.argmax(brute))}"], [4])
     assert mixing(fit(d.limit(0))).count() == 0
 
 
+def test_the_sample_meets_the_marginals(spark):
+    """On the given table the sampled tokens are within 0.02 of the targets, in all three dimensions, and topics aren't languages."""
+    from lodestone.llm.queries import TARGETS
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mix = fit(d, TARGETS)
+    got = [collections.Counter() for _ in range(3)]
+    by_topic = collections.defaultdict(collections.Counter)
+    for x in mixing(mix).collect():
+        for c, v in zip(got, (x.source_cell, x.lang_cell, x.topic_cell), strict=True):
+            c[v] += x.sampled * x.n_tokens
+        by_topic[x.topic_cell][x.lang_cell] += x.n_tokens
+    for c, d in zip(got, ("source", "lang", "topic"), strict=True):
+        s = sum(c.values())
+        assert all(abs(c[v] / s - want) <= 0.021 and abs(c[v] / s - share) < 1e-9 for v, (want, _, share) in mix.shares[d].items())
+    assert sum(got[0].values()) > 0.3 * sum(x[3] for x in mix.rows)
+    assert all(len([1 for n in c.values() if n > 0.01 * sum(c.values())]) >= 3 for c in by_topic.values())
+
+
+def test_rows_without_id_draw_for_themselves(docs):
+    d = docs([(None, f"w{k} text") for k in range(400)])
+    mix = fit(d, {"lang": {"en": 1.0}}, budget=0.5)
+    assert 140 < sample(d, mix).count() < 260
+
+
 def test_lm_base_against_brute_force(docs):
     r = random.Random(7)
     vocab = [f"v{k}" for k in range(400)]
