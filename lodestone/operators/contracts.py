@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.fixtures import schema_only
+from . import shapes as sh
 
 # File names, parts and suffixes of the contracts.
 FORBIDDEN_NAMES = ".DS_Store Thumbs.db Desktop.ini .coverage coverage.xml flutter_export_environment.sh generated_plugin_registrant.cc generated_plugin_registrant.h generated_plugins.cmake .flutter-plugins .flutter-plugins-dependencies local.properties".split()
@@ -21,7 +22,6 @@ FORBIDDEN_SUFFIXES = "~ .tmp .temp .bak .orig .rej .swp .swo .log .sqlite .sqlit
 MAX_BYTES = 5 * 1024 * 1024
 BINARY_DATA = ".arrow .avro .db .feather .orc .parquet .sqlite .sqlite3 .xls .xlsx".split()
 DATA_DUMPS = ".csv .tsv .sql .dump .jsonl .ndjson".split()
-COMMON_JSON = ["package.json", "package-lock.json", "tsconfig.json"]
 LOCAL_PREFIXES = ["docs/plans/", "docs/reports/", "cache/", "build/"]
 AGENT_PREFIXES = ["skills/", ".agents/skills/", ".codex/skills/"]
 REQUIRED_DOCUMENTS = "README.md README.zh-CN.md PRODUCT.md CONTRIBUTING.md CODE_OF_CONDUCT.md CHANGELOG.md LICENSE SECURITY.md docs/README.md docs/RUNBOOK.md docs/COMPATIBILITY.md docs/ENTITY-CONFIG-LAYOUT.md docs/adrs/README.md".split()
@@ -132,28 +132,37 @@ def data_files(tree: DataFrame, fixtures: list[str] = ()) -> DataFrame:
     return _rows(judged, "repository.data-file-admission", detail=F.col("_verdict"))
 
 
-def json_files(tree: DataFrame, admissions: DataFrame) -> DataFrame:
-    """JSON outside the admissions (path, kind), JSON that isn't strict, and JSON of another shape than its kind."""
-    some = tree.where((suffix(F.col("path")) == ".json") & (F.col("kind") == "blob"))
-    common = base_name(F.col("path")).isin(COMMON_JSON) & ~F.col("path").contains("/")
-    joined = some.join(admissions.select("path", F.col("kind").alias("admitted")), "path", "left").withColumn("admitted", F.coalesce("admitted", F.when(common, "config-object")))
+def _json_verdict(tree: DataFrame, admissions: DataFrame, paths: list[str], shapes: list[sh.Shape]) -> DataFrame:
+    """The tree's JSON with admitted (the kind, profile, or null), json, and rule: what is wrong with it, or null.
+
+    An admission of the very path decides by its kind; else a path that the profile admits must have one of its shapes.
+    """
+    some = tree.where((suffix(F.col("path")) == ".json") & (F.coalesce("kind", F.lit("blob")) == "blob"))
+    one = admissions.groupBy("path").agg(F.min("kind").alias("admitted"))
+    joined = some.join(one, "path", "left").withColumn("admitted", F.coalesce("admitted", F.when(sh.admitted(F.col("path"), paths), "profile")))
     parsed = joined.withColumn("json", F.try_parse_json("text"))
     shape = F.schema_of_variant("json")
     items = F.expr("try_variant_get(json, '$', 'array<string>')")
     pairs = F.expr("try_variant_get(json, '$', 'map<string,string>')")
     fits = (
-        F.when(F.col("admitted") == "config-object", shape.startswith("OBJECT"))
+        F.when(F.col("admitted") == "profile", sh.fits(F.col("json"), F.col("path"), shapes))
+        .when(F.col("admitted") == "config-object", shape.startswith("OBJECT"))
         .when(F.col("admitted") == "json", shape.startswith("OBJECT") | shape.startswith("ARRAY"))
         .when(F.col("admitted") == "string-array", shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(items) <= 1000) & F.forall(items, lambda x: F.trim(x) != ""))
         .when(F.col("admitted") == "string-map", shape.startswith("OBJECT") & (F.size(pairs) <= 1000) & ~shape.rlike(": (?!STRING)"))
     )
     verdict = F.when(F.col("admitted").isNull(), "repository.json-not-allowlisted").when(F.col("json").isNull(), "repository.json-invalid").when(~F.coalesce(fits, F.lit(False)), "repository.json-shape-invalid")
-    out = parsed.withColumn("rule", verdict).where(F.col("rule").isNotNull())
+    return parsed.withColumn("rule", verdict)
+
+
+def json_files(tree: DataFrame, admissions: DataFrame, paths: list[str] = sh.COMMON_PATHS, shapes: list[sh.Shape] = sh.COMMON) -> DataFrame:
+    """JSON outside the admissions (path, kind) and the profile's paths, JSON that isn't strict, and JSON of another shape than its kind or path."""
+    out = _json_verdict(tree, admissions, paths, shapes).where(F.col("rule").isNotNull())
     return out.select("rule", F.col("path").alias("file"), F.lit(1).alias("line"), F.coalesce("admitted", F.lit("")).alias("detail"))
 
 
-def historical_data(versions: DataFrame, head: DataFrame, admissions: DataFrame, fixtures: list[str] = ()) -> DataFrame:
-    """The data contracts over versions (path, oid, commit, kind, size, text) that the head (path, oid) no longer has: rule, file, commit, detail, severity.
+def historical_data(versions: DataFrame, head: DataFrame, admissions: DataFrame, fixtures: list[str] = (), paths: list[str] = sh.COMMON_PATHS, shapes: list[sh.Shape] = sh.COMMON) -> DataFrame:
+    """The data contracts, shapes too, over versions (path, oid, commit, kind, size, text) that the head (path, oid) no longer has: rule, file, commit, detail, severity.
 
     Each version is judged once, like a file of a tree, at the commit where it first stands. JSON outside the admissions that is valid
     and gone from the head is a warning, everything else an error.
@@ -161,16 +170,13 @@ def historical_data(versions: DataFrame, head: DataFrame, admissions: DataFrame,
     h = head.select("path", F.col("oid").alias("head_oid"))
     old = versions.join(h, "path", "left").where(~F.col("oid").eqNullSafe(F.col("head_oid")))
     once = old.groupBy("path", "oid").agg(F.min(F.struct("seq", "commit")).alias("first"), F.first("kind").alias("kind"), F.first("size").alias("size"), F.first("text").alias("text"), F.first("head_oid").isNull().alias("gone"))
-    s, commit = suffix(F.col("path")), F.col("first.commit").alias("commit")
+    commit = F.col("first.commit").alias("commit")
     dumps = once.withColumn("detail", data_verdict(fixtures)).where("detail is not null")
     dumps = dumps.select(F.lit("repository.data-file-admission").alias("rule"), F.col("path").alias("file"), commit, "detail", F.lit("error").alias("severity"))
-    valid = F.try_parse_json("text").isNotNull()
-    texts = once.where((s == ".json") & (F.col("kind") == "blob")).withColumn("valid", valid)
-    listed = texts.join(admissions.select("path").distinct().withColumn("listed", F.lit(True)), "path", "left")
-    common = base_name(F.col("path")).isin(COMMON_JSON) & ~F.col("path").contains("/")
-    loose = listed.where(F.col("listed").isNull() & ~common).select(F.lit("repository.json-not-allowlisted").alias("rule"), F.col("path").alias("file"), commit, F.lit("").alias("detail"), F.when(F.col("valid") & F.col("gone"), "warning").otherwise("error").alias("severity"))
-    broken = listed.where((F.col("listed").isNotNull() | common) & ~F.coalesce("valid", F.lit(False))).select(F.lit("repository.json-invalid").alias("rule"), F.col("path").alias("file"), commit, F.lit("").alias("detail"), F.lit("error").alias("severity"))
-    return dumps.unionByName(loose).unionByName(broken)
+    judged = _json_verdict(once, admissions, paths, shapes).where(F.col("rule").isNotNull())
+    mild = (F.col("rule") == "repository.json-not-allowlisted") & F.col("json").isNotNull() & F.col("gone")
+    texts = judged.select("rule", F.col("path").alias("file"), commit, F.lit("").alias("detail"), F.when(mild, "warning").otherwise("error").alias("severity"))
+    return dumps.unionByName(texts)
 
 
 def incomplete_text(tree: DataFrame, rule: str) -> DataFrame:

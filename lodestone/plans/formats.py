@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixtures as fx
 from ..functions import values as v
+from ..operators import contracts as ct
 from ..operators import detect as de
 from ..sources.versions import table
 from .registry import query
@@ -57,3 +58,27 @@ def key_material(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.expr(KEY_TEXT.format(h=DIGEST, b="base64")), F.lit("\n"), F.coalesce("text", F.lit("")))
     made = table(spark, d, "documents").select("doc_id", F.lit("keys.txt").alias("path"), text.alias("text"))
     return de.candidates(made, (de.keys,)).select("doc_id", "rule", "value", "basis")
+
+
+#: Documents' texts as members of JSON files at eight kinds of places.
+JSON_PATH = "CASE doc_id % 8 WHEN 0 THEN concat('p', doc_id, '/tsconfig.build.json') WHEN 1 THEN concat('p', doc_id, '/.mcp.json') WHEN 2 THEN concat('github/rulesets/r', doc_id, '.json') WHEN 3 THEN concat('workflow-templates/w', doc_id, '.properties.json') WHEN 4 THEN concat('conf/x', doc_id, '.json') WHEN 5 THEN concat('p', doc_id, '/codex-plugin/plugin.json') WHEN 6 THEN concat('q', doc_id, '/mcp.json') ELSE concat('p', doc_id, '/tsconfig.x.json') END"
+
+
+@query(f"""SELECT rule, file, CASE WHEN rule = 'repository.json-not-allowlisted' THEN '' ELSE 'profile' END AS detail FROM (SELECT {JSON_PATH} AS file, CASE doc_id % 8 WHEN 3 THEN CASE WHEN coalesce(length(text), 0) NOT BETWEEN 1 AND 160 OR doc_id % 3 = 0 THEN 'repository.json-shape-invalid' END
+  WHEN 4 THEN 'repository.json-not-allowlisted' WHEN 5 THEN 'repository.json-shape-invalid' WHEN 6 THEN 'repository.json-invalid' WHEN 7 THEN NULL ELSE CASE WHEN doc_id % 3 = 0 THEN 'repository.json-shape-invalid' END END AS rule FROM documents) WHERE rule IS NOT NULL""")
+def json_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """JSON at a profile's paths: other keys than the path's shape asks for, lists, too long strings, and texts that are no JSON."""
+    n, k = F.col("doc_id") % 3 == 0, F.col("doc_id") % 8
+    said = F.coalesce("text", F.lit(""))
+    named = lambda key: F.to_json(F.struct(said.alias(key)))
+    text = (
+        F.when(k == 0, F.when(n, named("other")).otherwise(named("compilerOptions")))
+        .when(k == 1, F.when(n, named("servers")).otherwise(named("mcpServers")))
+        .when(k == 2, F.when(n, named("name2")).otherwise(named("name")))
+        .when(k == 3, F.to_json(F.struct(said.alias("name"), F.lit("d").alias("description"), F.when(n, "x").alias("extra"))))
+        .when(k == 5, F.to_json(F.array(said)))
+        .when(k == 6, F.concat(F.lit('{"mcpServers": '), said))
+        .otherwise("{}")
+    )
+    tree = table(spark, d, "documents").select("doc_id", F.expr(JSON_PATH).alias("path"), F.lit("blob").alias("kind"), text.alias("text"))
+    return ct.json_files(tree, spark.createDataFrame([], "path string, kind string")).select("rule", "file", "detail")
