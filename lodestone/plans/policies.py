@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scopes as sc
+from ..operators import verdicts as ve
 from ..sources.versions import table
 from .registry import query
 
@@ -43,3 +44,41 @@ def path_scopes(spark: SparkSession, d: str) -> DataFrame:
     """A tree's paths with the policies' patterns that match them."""
     docs = table(spark, d, "documents")
     return sc.in_scopes(docs.select(F.expr(PLACE).alias("path")), docs.select(F.expr(PATTERN).alias("pattern")))
+
+
+#: Requirements of files and of words in them, from documents; the tree lacks some files, and can't read others.
+RULE, MARKER = "concat('rule', doc_id % 5)", "CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'absent-word|THE' WHEN 2 THEN 'absent-word' WHEN 3 THEN split_part(text, ' ', 2) WHEN 4 THEN upper(split_part(text, ' ', 3)) ELSE concat('x', doc_id, '|', split_part(text, ' ', 1)) END"
+MODE = "CASE WHEN doc_id % 11 = 0 THEN '120000' ELSE '100644' END"
+BODY = "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE text END"
+VERDICTS = rf"""w AS (SELECT DISTINCT {RULE} AS rule, {PLACE} AS file, {MARKER} AS marker FROM documents), f AS (SELECT {PLACE} AS file, {MODE} AS mode, {BODY} AS text FROM documents WHERE doc_id % 7 <> 0),
+j AS (SELECT w.*, CASE WHEN f.file IS NULL THEN 'broken' WHEN marker IS NULL THEN 'met' WHEN mode = '120000' OR text IS NULL THEN 'unreadable'
+  WHEN len(list_filter(string_split(marker, '|'), lambda x: x <> '' AND contains(regexp_replace(lower(text), '\s+', ' ', 'g'), regexp_replace(lower(x), '\s+', ' ', 'g')))) > 0 THEN 'met' ELSE 'broken' END AS state FROM w LEFT JOIN f ON f.file = w.file),
+s AS (SELECT rule, count(*) FILTER (state = 'met') AS met, count(*) FILTER (state = 'broken') AS broken, count(*) FILTER (state = 'unreadable') AS unreadable FROM j GROUP BY rule)"""
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    wanted = docs.select(F.expr(RULE).alias("rule"), F.expr(PLACE).alias("path"), F.expr(MARKER).alias("marker"), F.lit("text").alias("form"))
+    tree = docs.where("doc_id % 7 <> 0").select(F.expr(PLACE).alias("path"), F.expr(MODE).alias("mode"), F.expr(BODY).alias("text"))
+    return ve.verdicts(tree, wanted)
+
+
+@query(f"WITH {VERDICTS} SELECT rule, file, marker, state FROM j")
+def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Requirements as met, broken or unreadable."""
+    return _verdicts(spark, d).select("rule", "file", "marker", "state")
+
+
+@query(f"WITH {VERDICTS} SELECT rule, CASE WHEN broken > 0 THEN 'broken' WHEN unreadable > 0 THEN 'unreadable' ELSE 'met' END AS state, met, broken, unreadable FROM s")
+def rule_states(spark: SparkSession, d: str) -> DataFrame:
+    """The rules' states, with what could not be judged."""
+    return ve.rule_states(_verdicts(spark, d))
+
+
+@query(f"""WITH {VERDICTS}, r AS (SELECT count(*) FILTER (quality = 1) AS n FROM labels), t AS (SELECT CAST(sum(unreadable) AS BIGINT) AS u, count(*) FILTER (broken > 0) AS b FROM s), x AS (SELECT count(*) FILTER ({MODE} = '120000') AS e FROM documents)
+SELECT CASE WHEN u = 0 AND e = 0 THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN n > 0 OR b > 0 THEN 'action_required' ELSE 'no_action' END AS disposition, n AS open, b AS broken, u AS unread, e AS excluded FROM r, t, x""")
+def receipt_disposition(spark: SparkSession, d: str) -> DataFrame:
+    """A receipt's status and disposition: reviews from the labels, contracts and exclusions from the tree."""
+    reviews = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "confirmed").otherwise("false_positive").alias("verdict"))
+    coverage = table(spark, d, "documents").agg(F.count(F.when(F.expr(MODE) == "120000", 1)).alias("excluded"))
+    return ve.receipt_disposition(reviews, ve.rule_states(_verdicts(spark, d)), coverage, spark.range(0))
