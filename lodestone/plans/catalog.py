@@ -217,12 +217,6 @@ def rule_sets(spark: SparkSession, d: str) -> DataFrame:
     return re_.rule_sets(scan(_versions(spark, d), places=False), evaluated, names)
 
 
-@query(f"""WITH {o.VERSIONS}, {o.FIRST} SELECT 'incomplete' AS status, CAST(4 AS BIGINT) AS governance""")
-def governance_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The run's status after governance findings, one of which could not be verified."""
-    return re_.governance_status(re_.run_status(scan(_versions(spark, d), places=False), spark.range(0)), governance(spark, d))
-
-
 REQUEST = "r AS (SELECT doc_id AS index, sha256(coalesce(text, '')) AS identity FROM documents)"
 REVIEW = "w AS (SELECT CASE WHEN index % 31 = 4 THEN index + 10000000 ELSE index END AS index, CASE WHEN index % 29 = 3 THEN 'x' ELSE identity END AS identity, CASE index % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'false_positive' WHEN 2 THEN 'uncertain' ELSE CASE WHEN index % 23 = 2 THEN 'maybe' ELSE 'confirmed' END END AS verdict FROM r WHERE index % 37 <> 0)"
 
@@ -460,12 +454,6 @@ def server_signals(spark: SparkSession, d: str) -> DataFrame:
     return ct.server_signals(_tree(spark, d).withColumn("text", F.when(n % 10 == 0, text).otherwise(whole)))
 
 
-@query("SELECT 'repository.resource-scope' AS rule, 'none/**' AS file, 'b' AS detail UNION ALL SELECT 'repository.resource-scope', 'src/*.go', 'c'")
-def resource_scopes(spark: SparkSession, d: str) -> DataFrame:
-    """Declared resources that match no file."""
-    return _files(ct.resource_scopes(_tree(spark, d), {"a": ["src/*"], "b": ["none/**", "void/*"], "c": ["src/*.go"], "d": ["x/*", "docs/**"]}))
-
-
 @query(f"WITH {TREE_SQL} SELECT 'repository.dependency-commercial-signal' AS rule, 'src/m' || doc_id || '/package.json' AS file, CAST({NEWLINES} + 2 AS INT) AS line, 'proprietary' AS detail FROM t WHERE doc_id % 10 = 0 UNION ALL SELECT 'repository.dependency-commercial-signal', 'src/m' || doc_id || '/package.json', CAST({NEWLINES} + 3 AS INT), 'commercial license' FROM t WHERE doc_id % 20 = 0")
 def commercial_signals(spark: SparkSession, d: str) -> DataFrame:
     """Commercial terms in dependency manifests."""
@@ -487,39 +475,6 @@ def dependency_boundary(spark: SparkSession, d: str) -> DataFrame:
     return _files(ct.dependency_boundary(made.unionByName(page), ["docs/dependencies.md", "DEPENDENCY-USAGE.md"]))
 
 
-@query("SELECT 'repository.license-evidence' AS rule, * FROM (VALUES ('LICENSE', 'no evidence'), ('LICENSE-POLICY.md', 'no notice')) t(file, detail)")
-def license_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """License and notice evidence of a tree that has another license's text."""
-    own = spark.createDataFrame([("LICENSE", "All rights reserved"), ("NOTICE", "nothing here")], "path string, text string")
-    return _files(ct.license_evidence(_tree(spark, d).select("path", "text").unionByName(own)))
-
-
-@query("SELECT * FROM (VALUES ('repository.ci-gate-contract', '.github/workflows/', 'lint'), ('repository.ci-gate-contract', '.github/workflows/', 'none'), ('repository.ci-gate-contract', '.github/workflows/b.yml', 'mac')) t(rule, file, detail)")
-def ci_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Workflow gates: exactly once, and on their platform's runner."""
-    a = "name: A\non: push\njobs:\n  lint:\n    runs-on: ubuntu-latest\n  unit:\n    name: 'Unit tests'\n    runs-on: ubuntu-latest\n    steps:\n      - run: x\nenv:\n  lint: 1\n"
-    b = "jobs:\n  lint:\n    runs-on: ubuntu-latest\n  # note\n  mac:\n    runs-on: windows-latest\n"
-    flows = spark.createDataFrame([(".github/workflows/a.yml", a), (".github/workflows/b.yml", b), ("x/c.yml", b)], "path string, text string")
-    return _files(ct.ci_gates(_tree(spark, d).select("path", "text").unionByName(flows), ["lint", "Unit tests", "none"], {"macOS": "mac"}))
-
-
-@query("SELECT * FROM (VALUES ('repository.ci-required-marker', 'ci/gates.md', 'coverage|覆盖'), ('repository.ci-required-marker', 'ci/none.md', 'missing file')) t(rule, file, detail)")
-def marker_files(spark: SparkSession, d: str) -> DataFrame:
-    """Marker files that are missing or lack a marker."""
-    own = spark.createDataFrame([("ci/gates.md", "Unit   TESTS and lint")], "path string, text string")
-    wanted = {"ci/gates.md": ["unit tests", "coverage|覆盖", "lint|style"], "ci/none.md": ["x", "y"]}
-    return _files(ct.marker_files(_tree(spark, d).select("path", "text").unionByName(own), "repository.ci-required-marker", wanted))
-
-
-@query("SELECT * FROM (VALUES ('audit/a.md', 'empty evidence'), ('audit/b.md', 'not closed'), ('audit/b.md', 'audit field **Owner:**'), ('audit/c.txt', 'not markdown'), ('audit/d.md', 'no status'), ('audit/d.md', 'audit field **Owner:**')) t(file, detail)")
-def defect_records(spark: SparkSession, d: str) -> DataFrame:
-    """Defect records that aren't closed with evidence."""
-    rows = [("audit/a.md", "**Status:** Closed\n**Owner:** x\n**Closure evidence:** TBD\n"), ("audit/b.md", "**Status:** open\n"), ("audit/c.txt", "x"), ("audit/d.md", "nothing"), ("audit/e.md", "**Owner:** y\n**Status:** fixed \n**Closure evidence:** run 7\n")]
-    own = spark.createDataFrame(rows, "path string, text string")
-    out = ct.defect_records(_tree(spark, d).select("path", "text").unionByName(own), "audit", ["closed", "fixed"], ["**Owner:**"], ["**Closure evidence:**"])
-    return out.select("file", "detail")
-
-
 @query("SELECT 'repository.branch-promotion-flow' AS rule, CAST(doc_id AS VARCHAR) AS file, d AS detail FROM documents, (VALUES (1, 'base outside the flow'), (2, 'other base than declared'), (2, 'base outside the flow'), (3, 'managed branch outside its flow'), (4, 'not the declared predecessor'), (3, 'not the declared predecessor')) x(k, d) WHERE doc_id % 5 = k")
 def promotion_flow(spark: SparkSession, d: str) -> DataFrame:
     """Pull requests against a declared promotion flow."""
@@ -530,15 +485,6 @@ def promotion_flow(spark: SparkSession, d: str) -> DataFrame:
     return ct.promotion_flow(pulls, [("beta", "main")], ["dev"]).select("rule", "file", "detail")
 
 
-@query("SELECT * FROM (VALUES ('governance.maintainer-branches', 'src1', 'configuration_drift'), ('governance.pull-request-access', 'src1', 'configuration_drift'), ('governance.bypass-visibility', 'src2', 'unverified'), ('governance.verification-unavailable', 'src3', 'unverified')) t(rule, file, detail)")
-def governance(spark: SparkSession, d: str) -> DataFrame:
-    """Repository settings against the central policy."""
-    names = table(spark, d, "documents").select("source").distinct().where("source in ('src1', 'src2', 'src3', 'src4')")
-    policy = names.select(F.col("source").alias("repository"), F.lit("maintainers").alias("pull_access"), F.array(F.lit("main"), F.lit("dev")).alias("branches"))
-    settings = spark.createDataFrame([("src1", "all", ["main", "x"], True, True), ("src2", "maintainers", ["dev", "main"], False, True), ("src4", "maintainers", ["dev", "main"], True, True)], "repository string, pull_access string, branches array<string>, bypass_visible boolean, verified boolean")
-    return ct.governance(settings, policy).select("rule", "file", "detail")
-
-
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '[absolute-path]' WHEN 1 THEN 'a/[redacted-email]/b' WHEN 2 THEN 'logs/[redacted-ip]/x' WHEN 3 THEN 'k/[redacted-id].txt' WHEN 4 THEN 'cfg/[credential]/y' ELSE 'src/m' || doc_id || '.py' END AS file FROM documents")
 def redacted_paths(spark: SparkSession, d: str) -> DataFrame:
     """Locations without what is sensitive in them."""
@@ -548,12 +494,6 @@ def redacted_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.redact_path(path).alias("file"))
 
 
-@query("SELECT rule, category, topic FROM (VALUES " + ", ".join(f"('{r}', '{c}', {repr(v.TOPICS.get(c)) if v.TOPICS.get(c) else 'NULL'})" for r, c in sorted({**v.CATEGORIES, **{r: c for r, c, _, _ in v.PATTERN_RULES}}.items())) + ") t(rule, category, topic)")
-def rule_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog's rules outside the credential families."""
-    return de.rules_table(spark).where("category <> 'Credentials'")
-
-
 @query("""SELECT rule, count(*) AS findings FROM documents, (VALUES ('security.shell-execution', 0), ('security.disabled-verification', 0), ('workflow.mutable-action', 1)) r(rule, k) WHERE doc_id % 10 = k GROUP BY rule""")
 def pattern_rules(spark: SparkSession, d: str) -> DataFrame:
     """The opt-in rule groups on source files and workflows made from documents, behind whose texts a case stands."""
@@ -583,3 +523,6 @@ def unread_documents(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id") % 50
     t = _tree(spark, d).withColumns({"mode": F.when(n == 5, "120000").otherwise("100644"), "text": F.when(n == 15, F.lit(None)).otherwise(F.coalesce("text", F.lit("")))})
     return ct.incomplete_text(t.where(F.lower("path").endswith(".md")), "repository.documentation-markdown-read")
+
+
+from . import derived  # noqa: E402, F401 (registers its queries, which build on those above)
