@@ -217,7 +217,7 @@ def paths(text: Column, path: Column) -> Column:
 
 def resources(text: Column, path: Column) -> Column:
     p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    return _if(p.rlike("^" + tx.one_of(v.OPERATIONAL_ROOTS)), _as(tx.spans(text, v.RESOURCE_ID), "privacy.backend.resource-id", "Provider resource identifier in operational material"))
+    return _if(p.rlike("^" + tx.one_of(v.OPERATIONAL_ROOTS)) | p.rlike(tx.one_of(v.OPERATIONAL_SCRIPTS) + "\\z"), _as(tx.spans(text, v.RESOURCE_ID), "privacy.backend.resource-id", "Provider resource identifier in operational material"))
 
 
 def keys(text: Column, path: Column) -> Column:

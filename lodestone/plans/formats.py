@@ -82,3 +82,36 @@ def json_shapes(spark: SparkSession, d: str) -> DataFrame:
     )
     tree = table(spark, d, "documents").select("doc_id", F.expr(JSON_PATH).alias("path"), F.lit("blob").alias("kind"), text.alias("text"))
     return ct.json_files(tree, spark.createDataFrame([], "path string, kind string")).select("rule", "file", "detail")
+
+
+#: A document's digest as the value of fourteen kinds of findings; (rule, value) of each kind, and of the second finding that some have.
+SHAPES = [
+    ("concat('OPENAI_API_KEY = \"', {h}, '\"')", [("privacy.credential.provider.openai", "{h}")]),
+    ("concat('use ghp_', substr({h}, 1, 36), ' here')", [("privacy.credential.format.github", "concat('ghp_', substr({h}, 1, 36))")]),
+    ("concat('postgres://user:', {h}, '!@db.corp-internal.io/x')", [("privacy.credential.uri-userinfo", "concat({h}, '!')"), ("privacy.endpoint.private-host", "concat('postgres://user:', {h}, '!@db.corp-internal.io/x')")]),
+    ("concat('Authorization: Bearer ', {h})", [("privacy.credential.auth-header", "{h}")]),
+    ("concat('Set-Cookie: sid=', {h}, '; Path=/')", [("privacy.credential.auth-header", "{h}"), ("privacy.credential.binding", "concat('sid=', {h})")]),
+    ("concat('device_id = \"', {h}, '\"')", [("privacy.personal.record-field", "{h}")]),
+    ("concat('invoice_id = \"', {h}, '\"')", [("privacy.business.assignment", "{h}")]),
+    ("concat('bucket_name = \"', {h}, '\"')", [("privacy.backend.metadata", "{h}")]),
+    ("concat('host = \"db', doc_id, '.corp-internal.io\"')", [("privacy.endpoint.host-binding", "concat('db', doc_id, '.corp-internal.io')")]),
+    ("concat('see /home/u', doc_id, '/notes.txt now')", [("privacy.local.machine-path", "concat('/home/u', doc_id, '/notes.txt')")]),
+    ("concat('see /opt/app', doc_id, '/run.sh now')", [("privacy.local.deployment-path", "concat('/opt/app', doc_id, '/run.sh')")]),
+    ("concat('id ', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))", [("privacy.backend.resource-id", "concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))")]),
+    ("concat('go to deploy@srv', doc_id, '.corp-internal.io:22')", [("privacy.endpoint.host-binding", "concat('deploy@srv', doc_id, '.corp-internal.io:22')"), ("privacy.personal.identifier", "concat('deploy@srv', doc_id, '.corp-internal.io')")]),
+    ("concat('https://files.corp-internal.io/x?sig=', {h})", [("privacy.credential.auth-header", "{h}"), ("privacy.endpoint.private-host", "concat('https://files.corp-internal.io/x?sig=', {h})")]),
+]
+MADE = f"CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN {text}" for k, (text, _) in enumerate(SHAPES)) + " END"
+EXPECTED = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {value.replace('{h}', 'h')} AS value FROM d WHERE doc_id % {len(SHAPES)} = {k}" for k, (_, found) in enumerate(SHAPES) for rule, value in found)
+
+
+#: Without digits, which would make numbers of some digests.
+LETTERS = "translate({h}, '0123456789', 'abcdefabcd')"
+
+
+@query(f"WITH d AS (SELECT doc_id, {LETTERS.format(h="sha256(coalesce(text, ''))")} AS h FROM documents) {EXPECTED}")
+def detector_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole catalog over texts that have one shape each, with the digests of the documents' texts as values."""
+    path = F.when(F.col("doc_id") % 28 == 11, "deploy/x.tf").when(F.col("doc_id") % 14 == 11, "tools/vultr-ip-finder.ps1").otherwise("src/a.txt")
+    made = table(spark, d, "documents").select("doc_id", path.alias("path"), F.expr(MADE.replace("{h}", LETTERS.format(h=DIGEST))).alias("text"))
+    return de.candidates(made, places=False).select("doc_id", "rule", "value")
