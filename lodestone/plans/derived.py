@@ -144,3 +144,22 @@ def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
         seen.remember(chosen, at)
         out = found if out is None else out.unionByName(found)
     return out.select("run", "rule", "path", "findings")
+
+
+LINES = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))"
+NAMED = "CASE doc_id % 6 WHEN 0 THEN 'docs/team' || doc_id || '.md' WHEN 1 THEN 'docs/use' || doc_id || '.md' WHEN 2 THEN 'm' || doc_id || '/AUTHORS' WHEN 3 THEN 'log' || doc_id || '.txt' WHEN 4 THEN 'm' || doc_id || '/package.json' ELSE 'src/x' || doc_id || '.py' END"
+
+
+@query(f"SELECT 'contribution.cursor-attribution' AS rule, {NAMED} AS file, CAST(CASE doc_id % 6 WHEN 0 THEN 5 WHEN 3 THEN 1 ELSE {LINES} + 2 END AS INT) AS line FROM documents WHERE doc_id % 6 NOT IN (1, 5)")
+def attribution_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Tool identities under headings, in contributors' files, on trailers and behind contributor fields, around the documents' texts."""
+    k, text = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    made = (
+        F.when(k == 0, F.concat(F.lit("# Team\n\n## Contributors\n\n- Cursor\n"), text))
+        .when(k == 1, F.concat(text, F.lit("\n## Contributors\n\n## Usage\n\nthe cursor\n")))
+        .when(k == 2, F.concat(text, F.lit("\nCursor Agent")))
+        .when(k == 3, F.concat(F.lit("Co-authored-by: Cursor <x@example.invalid>\n"), text))
+        .when(k == 4, F.concat(text, F.lit('\n{"author": "cursor"}')))
+        .otherwise(F.concat(F.lit("# Authors\n- cursor\n"), text))
+    )
+    return ct.attribution(table(spark, d, "documents").select(F.expr(NAMED).alias("path"), made.alias("text"))).select("rule", "file", "line")
