@@ -11,10 +11,13 @@ returned. A document is kept if a uniform number that its id determines lies bel
 numbers, the one whose sample is nearest to the marginals is taken, so that a few large documents don't spoil it.
 
 Topics are learned within languages, as words of two languages would tell the languages apart and nothing else: for
-each language with enough documents in the sample, a mixture of word distributions (words by one of 4,096 hashes),
-fitted by expectation and maximisation to the counts of at most `sample` documents, chosen by a hash of the id; one of
-all languages serves the others. A text's topic is the component of the best mean likelihood of a word; small offsets
-even out the components' tokens, and the components are numbered by size.
+each language with enough documents, a mixture of word distributions (words by one of 4,096 hashes), fitted by
+expectation and maximisation to the counts of all its documents; one of all documents serves the other languages. The
+texts are read once, and their counts are written; each round of the fit is one aggregation of them, to as many rows as
+the models have words. Components begin with the distinct texts of smallest hash. Log-probabilities and shares are
+multiples of small powers of 2, so that all sums are exact and the models don't depend on how rows are dealt out. A
+text's topic is the component of the best mean likelihood of a word; small offsets even out the components' tokens, and
+the components are numbered by size.
 
 Edge cases: nulls in source or lang are the value `none`; a null or empty text has no tokens but is sampled with its
 cell; targets for values without tokens are given to the others; documents of one id share their fate, those without
@@ -27,11 +30,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import map_texts, materialize, unused, with_texts
+from .common import discard, materialize, unused, with_texts, written
 from .words import U, words
 
 OTHER, NONE = "other", "none"
@@ -47,7 +52,7 @@ def _bucket_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return doc, (h >> U(64 - BUCKETS)).astype(np.int64), np.bincount(doc, minlength=len(texts))
 
 
-#: Documents that a language needs in the sample for topics of its own; a mean word's likelihood counts as this many words; offsets of the components, at most.
+#: Documents that a language needs for topics of its own; a mean word's likelihood counts as this many words; offsets of the components, at most.
 ENOUGH, PER, OFFSET = 40, 100.0, 100.0
 
 
@@ -71,68 +76,221 @@ class Topics:
         return [f"topic{k}" for k in best.tolist()], n.tolist()
 
 
-def _even(like: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Offsets of the components for which the tokens of the texts they win are as even as OFFSET lets them be."""
-    k = like.shape[1]
-    offset, best, least = np.zeros(k), np.zeros(k), np.inf
-    for step in np.geomspace(OFFSET / 4, 0.01, 300):
-        share = np.bincount((like + offset).argmax(1), tokens, k) / max(tokens.sum(), 1)
-        off = np.abs(share - 1 / k).max()
-        if off < least:
-            best, least = offset.copy(), off
-        offset = np.clip(offset + step * np.clip(1 / k - share, -1 / k, 1 / k) * k, -OFFSET, OFFSET)
-    return best
-
-
-def _mixture(x: np.ndarray, topics: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and words of a mixture fitted to documents' counts."""
-    if not len(x):
-        return np.zeros(topics), np.full((1 << BUCKETS, topics), -np.log(1 << BUCKETS))
-    everything = (x.sum(0) + 0.5) / (x.sum() + 0.5 * x.shape[1])
-    begin = x[np.random.default_rng(seed).choice(len(x), topics, len(x) < topics)]
-    word = np.log(0.5 * everything[:, None] + 0.5 * (begin.T + 0.01) / (begin.sum(1) + 0.01 * x.shape[1]))
-    share = np.full(topics, -np.log(topics))
-    for _ in range(rounds):
-        like = x @ word + share
-        p = np.exp(like - like.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        share = np.log((p.sum(0) + 1) / (len(x) + topics))
-        mass = x.T @ p
-        word = np.log((mass + 200 * everything[:, None]) / (mass.sum(0) + 200))
-    n = x.sum(1)
-    like = PER * (x @ word) / np.maximum(n, 1)[:, None]
-    offset = _even(like, n)
-    # By size, so that the languages' topics of one number are about equally large.
-    order = np.argsort(-np.bincount((like + offset).argmax(1), n, topics), kind="stable")
-    return offset[order], word[:, order]
-
-
-def train_topics(df: DataFrame, topics: int = 8, sample: int = 2000, rounds: int = 20, seed: int = 3) -> Topics:
-    """Fits the mixtures to the word counts (at most 4,096 numbers each) of at most `sample` documents with an id."""
-    ids = df.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = df.select("doc_id", F.coalesce("lang", F.lit(NONE)).alias("lang"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-
-    def count(ids, texts, langs):
-        doc, bucket, _ = _bucket_counts(texts)
-        code, times = np.unique(doc << BUCKETS | bucket, return_counts=True)
-        cut = np.searchsorted(code >> BUCKETS, np.arange(len(texts) + 1))
-        part = lambda a: [a[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return {"doc_id": ids, "lang": langs, "bucket": part((code & ((1 << BUCKETS) - 1)).astype(np.int32)), "times": part(times.astype(np.int32))}
-
-    one = F.min(F.struct("lang", "bucket", "times")).alias("x")
-    counted = map_texts(chosen, count, "doc_id long, lang string, bucket array<int>, times array<int>", extra=("lang",))
-    rows = sorted((r for r in counted.groupBy("doc_id").agg(one).select("doc_id", "x.*").collect() if r["bucket"]), key=lambda r: r["doc_id"])
-    x = np.zeros((len(rows), 1 << BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["bucket"]] = r["times"]
-    langs = np.array([r["lang"] for r in rows], object)
-    models = {OTHER: _mixture(x, topics, rounds, seed)}
-    for lang in sorted(set(langs.tolist())):
-        if (langs == lang).sum() >= ENOUGH:
-            models[lang] = _mixture(x[langs == lang], topics, rounds, seed)
+#: Languages with topics of their own, at most (those with most documents); passes that even out the components, and sizes of their moves.
+LANGS, PASSES, STEPS = 64, 12, np.geomspace(OFFSET, 0.02, 16)
+#: A component that wins a smaller share of its model's tokens without offsets wins none with them: what fits no text best is no topic.
+FEWEST = 0.002
+#: Log-probabilities are multiples of 2^-16 and shares of a document multiples of 2^-20: sums of such numbers are exact.
+LOGS, SHARES = float(1 << 16), float(1 << 20)
+_PAIR = np.dtype([("bucket", "<u2"), ("times", "<u4")])
+COUNTED = StructType([StructField("h", LongType()), StructField("tokens", LongType()), StructField("x", BinaryType())])
+
+
+def _counts(texts: list[bytes]) -> list[dict]:
+    """Of each text a hash, its words, and its buckets with their numbers of words."""
+    doc, bucket, n = _bucket_counts(texts)
+    code, times = np.unique(doc << BUCKETS | bucket, return_counts=True)
+    pairs = np.empty(len(code), _PAIR)
+    pairs["bucket"], pairs["times"] = code & ((1 << BUCKETS) - 1), times
+    cut = np.searchsorted(code >> BUCKETS, np.arange(len(texts) + 1)).tolist()
+    return [{"h": xxhash.xxh64_intdigest(t) >> 1, "tokens": k, "x": pairs[i:j].tobytes()} for t, k, i, j in zip(texts, n.tolist(), cut[:-1], cut[1:], strict=True)]
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """doc_id, source, lang, draw (what determines its numbers), h, tokens and x (the words' counts) of each row."""
+    named = df.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), "text")
+    return with_texts(named, "found", COUNTED, _counts).select("doc_id", "source", "lang", draw().alias("draw"), "found.*")
+
+
+#: Documents that are laid out at once, one row of numbers each.
+BLOCK = 64
+
+
+def _likelihoods(langs: list[str], x: pa.Array, models: dict[str, np.ndarray]):
+    """For blocks of documents of one language: their places, their counts, the models that apply, and the documents' log-likelihoods under these, side by side."""
+    parts = x.cast(pa.large_binary())
+    data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    pairs, ends = data[ends[0] : ends[-1]].view(_PAIR), (ends - ends[0]) // _PAIR.itemsize
+    named = np.array([v if v in models else OTHER for v in langs], object)
+    dense = np.zeros((BLOCK, 1 << BUCKETS))
+    for lang in sorted(set(named.tolist())):
+        own = [lang, OTHER] if lang != OTHER else [OTHER]
+        both = np.concatenate([models[m] for m in own], 1)
+        here = np.flatnonzero(named == lang)
+        for k in range(0, len(here), BLOCK):
+            at = here[k : k + BLOCK]
+            dense[: len(at)] = 0
+            for row, i in enumerate(at.tolist()):
+                some = pairs[ends[i] : ends[i + 1]]
+                dense[row, some["bucket"]] = some["times"]
+            yield at, dense[: len(at)], own, dense[: len(at)] @ both
+
+
+def _sums(counted: DataFrame, models: dict[str, np.ndarray], shares: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+    """One round over all documents: of each model, by bucket and component, the words that fall to it, and behind the buckets the documents; in units of 1 / SHARES. Without shares all falls to the first component."""
+    names, width = sorted(models), next(iter(models.values())).shape[1]
+
+    def run(batches):
+        total = {m: np.zeros(((1 << BUCKETS) + 1, width)) for m in names}
+        for batch in batches:
+            for _, dense, own, like in _likelihoods(batch.column(0).to_pylist(), batch.column(1), models):
+                weights = []
+                for j, m in enumerate(own):
+                    p = np.zeros((len(dense), width))
+                    if shares is None:
+                        p[:, 0] = 1
+                    else:
+                        some = like[:, j * width : (j + 1) * width] + shares[m]
+                        p = np.exp(some - some.max(1, keepdims=True))
+                        p /= p.sum(1, keepdims=True)
+                    weights.append(np.rint(p * SHARES))
+                mass = dense.T @ np.concatenate(weights, 1)
+                for j, m in enumerate(own):
+                    total[m][:-1] += mass[:, j * width : (j + 1) * width]
+                    total[m][-1] += weights[j].sum(0)
+        for j, m in enumerate(names):
+            some = np.flatnonzero(total[m].any(1))
+            columns = [np.full(len(some), j, np.int32), some.astype(np.int32), *total[m][some].astype(np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["model", "place", *(f"s{k}" for k in range(width))])
+
+    some = counted.select("lang", "x").mapInArrow(run, "model int, place int" + "".join(f", s{k} long" for k in range(width)))
+    return _placed(some, names, (1 << BUCKETS) + 1, width)
+
+
+def _placed(rows: DataFrame, names: list[str], places: int, width: int) -> dict[str, np.ndarray]:
+    """The rows' sums by model and place; as many as the models have numbers, whatever the documents."""
+    got = rows.groupBy("model", "place").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(width))).toArrow()
+    out = np.zeros((len(names), places, width))
+    out[got.column("model").to_numpy(), got.column("place").to_numpy()] = np.stack([got.column(f"s{k}").to_numpy() for k in range(width)], 1)
+    return dict(zip(names, out, strict=True))
+
+
+def _begin(counted: DataFrame, langs: list[str], topics: int) -> dict[str, np.ndarray]:
+    """Of each model the counts of the distinct texts of smallest hash, repeated if they are fewer than the topics."""
+    keys = counted.select("lang", "h")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen: dict[str, list[int]] = {m: [] for m in langs}
+    for r in keys.where(F.col("lang").isin(langs)).distinct().withColumn("k", first).where(F.col("k") <= topics).orderBy("lang", "h").collect():
+        chosen[r["lang"]].append(r["h"])
+    chosen[OTHER] = [r["h"] for r in keys.select("h").distinct().orderBy("h").limit(topics).collect()]
+    texts = counted.where(F.col("h").isin(sorted({h for hs in chosen.values() for h in hs}))).groupBy("h").agg(F.min("x").alias("x")).collect()
+    dense = {}
+    for r in texts:
+        some = np.frombuffer(r["x"], _PAIR)
+        dense[r["h"]] = np.zeros(1 << BUCKETS)
+        dense[r["h"]][some["bucket"]] = some["times"]
+    return {m: np.stack([dense[hs[k % len(hs)]] for k in range(topics)]) for m, hs in chosen.items()}
+
+
+def _even(counted: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each model the offsets, within OFFSET, for which the tokens that its components win are most even, and these tokens.
+
+    They minimise a convex sum, the tokens' best values less the mean offset, whose slopes are what the components win
+    too much. A pass takes it and the tokens won for moves of STEPS sizes: of all components against the slopes, of one of
+    the three that are farthest from their part, and the last move again; the best is where the next pass begins.
+    """
+    names, k = sorted(words_), next(iter(words_.values())).shape[1]
+
+    def score(batches):
+        for batch in batches:
+            n, out = batch.column(2).to_numpy(), []
+            for at, _, own, like in _likelihoods(batch.column(0).to_pylist(), batch.column(1), words_):
+                for j, m in enumerate(own):
+                    mean = np.ascontiguousarray(PER * like[:, j * k : (j + 1) * k] / n[at][:, None])
+                    out += [(names.index(m), t, v.tobytes()) for t, v in zip(n[at].tolist(), mean, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["model", "tokens", "means"])
+
+    scored, path = written(counted.select("lang", "x", "tokens").mapInArrow(score, "model int, tokens long, means binary"))
+    scored = scored.coalesce(max(scored.sparkSession.sparkContext.defaultParallelism, scored.rdd.getNumPartitions() // 4))
+    tried, alive = {m: np.zeros((1, k)) for m in names}, {}
+    least: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
+    best: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
+    for _ in range(1 + PASSES):
+
+        def run(batches, tried=tried):
+            won = np.zeros((len(names), max(map(len, tried.values())), k + 1))
+            for batch in batches:
+                model, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
+                value = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, k)
+                for j in np.unique(model).tolist():
+                    here = np.flatnonzero(model == j)
+                    for place, offset in enumerate(tried[names[j]]):
+                        moved = value[here] + offset
+                        won[j, place, :k] += np.bincount(moved.argmax(1), n[here], k)
+                        won[j, place, k] += np.rint(16 * n[here] * moved.max(1)).sum()
+            model, place = np.nonzero(won.any(2))
+            columns = [model.astype(np.int32), place.astype(np.int32), *won[model, place].astype(np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["model", "place", *(f"s{j}" for j in range(k + 1))])
+
+        got = _placed(scored.mapInArrow(run, "model int, place int" + "".join(f", s{j} long" for j in range(k + 1))), names, max(map(len, tried.values())), k + 1)
+        for m in names:
+            if m not in alive:
+                won = got[m][0, :k]
+                alive[m] = won >= FEWEST * won.sum()
+                tried[m] = np.where(alive[m], 0, -np.inf)[None]
+                continue
+            here = alive[m]
+            before = least[m][1] if m in least else tried[m][0]
+            for offset, (*won, high) in zip(tried[m], got[m], strict=False):
+                won = np.array(won)
+                total = max(won.sum(), 1)
+                off, value = float(np.abs(won / total - 1 / here.sum())[here].max()), high / 16 / total - offset[here].mean()
+                if m not in best or off < best[m][0]:
+                    best[m] = (off, offset, won)
+                if m not in least or value < least[m][0]:
+                    least[m] = (value, offset, won)
+            _, offset, won = least[m]
+            short, last = np.zeros(k), np.zeros(k)
+            short[here] = np.clip(1 - here.sum() * won / max(won.sum(), 1), -1, 1)[here]
+            last[here] = offset[here] - before[here]
+            single = [np.where(np.arange(k) == j, np.sign(short), 0) for j in np.argsort(-np.abs(short), kind="stable")[:3]]
+            ways = (short / max(np.abs(short).max(), 1e-9), *single, last / max(np.abs(last).max(), 1e-9))
+            moves = np.clip(offset + np.concatenate([np.outer(STEPS, way) for way in ways]), -OFFSET, OFFSET)
+            tried[m] = np.where(here, moves, -np.inf)
+    discard(scored.sparkSession, path)
+    return {m: (o, won) for m, (_, o, won) in best.items()}
+
+
+def fit_topics(counted: DataFrame, topics: int = 8, rounds: int = 20) -> Topics:
+    """Fits the mixtures to counts(), written, of all documents with a word."""
+    spark = counted.sparkSession
+    counted = counted.where(F.col("tokens") > 0)
+    sizes = counted.groupBy("lang").count().where(F.col("count") >= ENOUGH).orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()
+    langs = sorted(r["lang"] for r in sizes if r["lang"] != OTHER)
+    if counted.isEmpty():
+        return Topics({OTHER: (np.zeros(topics), np.full((1 << BUCKETS, topics), -np.log(1 << BUCKETS)))})
+    counted = counted.coalesce(max(spark.sparkContext.defaultParallelism, counted.rdd.getNumPartitions() // 4))
+    rounded = lambda p: np.rint(np.log(p) * LOGS) / LOGS
+    begin = _begin(counted, langs, topics)
+    first = {m: x[:, 0] / SHARES for m, x in _sums(counted, {m: np.zeros((1 << BUCKETS, topics)) for m in begin}, None).items()}
+    size = {m: x[-1] for m, x in first.items()}
+    every = {m: (x[:-1] + 0.5) / (x[:-1].sum() + 0.5 * (1 << BUCKETS)) for m, x in first.items()}
+    word = {m: rounded(0.5 * every[m][:, None] + 0.5 * (b.T + 0.01) / (b.sum(1) + 0.01 * (1 << BUCKETS))) for m, b in begin.items()}
+    share = {m: np.full(topics, -np.log(topics)) for m in word}
+    for k in range(rounds):
+        for m, x in _sums(counted, word, share).items():
+            mass, held = x[:-1] / SHARES, x[-1] / SHARES
+            share[m] = np.log((held + 1) / (size[m] + topics))
+            word[m] = rounded((mass + 200 * every[m][:, None]) / (mass.sum(0) + 200))
+        if k % 5 == 4:
+            discard(spark)
+    models = {}
+    for m, (offset, won) in _even(counted, word).items():
+        # By size, so that the languages' topics of one number are about equally large.
+        order = np.argsort(-won, kind="stable")
+        models[m] = (offset[order], word[m][:, order])
     return Topics(models)
 
 
+def train_topics(df: DataFrame, topics: int = 8, rounds: int = 20) -> Topics:
+    """fit_topics() of df's texts."""
+    counted, path = written(counts(df))
+    out = fit_topics(counted, topics, rounds)
+    discard(df.sparkSession, path)
+    return out
+
+
 TOPICAL = StructType([StructField("topic", StringType()), StructField("tokens", LongType())])
 
 
@@ -141,10 +299,20 @@ def with_topic(df: DataFrame, topics: Topics, name: str) -> DataFrame:
     return with_texts(df, name, TOPICAL, lambda texts, langs: [{"topic": t, "tokens": n} for t, n in zip(*topics.of(texts, [x or NONE for x in langs]), strict=True)], extra=("lang",))
 
 
-def cells(df: DataFrame, topics: Topics) -> DataFrame:
-    """doc_id, source, lang, topic, tokens and draw (what determines its numbers) of each row."""
-    out = with_topic(df.select("doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"), "text"), topics, "found")
-    return out.select("doc_id", "source", "lang", F.col("found.topic").alias("topic"), F.col("found.tokens").alias("tokens"), draw().alias("draw"))
+def cells(counted: DataFrame, topics: Topics) -> DataFrame:
+    """doc_id, source, lang, topic, tokens and draw of counts()'s rows."""
+    words_ = {m: w for m, (_, w) in topics.models.items()}
+    k = next(iter(words_.values())).shape[1]
+    kept = counted.select("doc_id", "source", "lang", "tokens", "draw", "x")
+
+    def run(batches):
+        for batch in batches:
+            n, best = np.maximum(batch.column(3).to_numpy(), 1), np.zeros(batch.num_rows, np.int64)
+            for at, _, own, like in _likelihoods(batch.column(2).to_pylist(), batch.column(5), words_):
+                best[at] = (PER * like[:, :k] / n[at][:, None] + topics.models[own[0]][0]).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([f"topic{t}" for t in best.tolist()])], [*batch.schema.names[:5], "topic"])
+
+    return kept.mapInArrow(run, "doc_id long, source string, lang string, tokens long, draw string, topic string")
 
 
 def draw() -> Column:
@@ -264,9 +432,11 @@ def fit(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, budge
 
     A dimension without targets takes its `values` largest values; at most (values + 1)^3 cells can exist.
     """
-    # Two passes over the texts: the topics' sample, and the cells; all sums come from the latter's rows.
-    topics = train_topics(df)
-    celled = materialize(cells(df, topics))
+    # One pass over the texts, whose counts give the topics and the cells; all sums come from the cells' rows.
+    counted, path = written(counts(df))
+    topics = fit_topics(counted)
+    celled = materialize(cells(counted, topics))
+    discard(df.sparkSession, path)
     base = materialize(celled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     chosen: dict[str, dict[str, float]] = {}
     for d in DIMENSIONS:

@@ -14,7 +14,7 @@ from lodestone.llm.decontaminate import Filter, Index, canonical, decontaminate,
 from lodestone.llm.line_dedup import dedup_lines, edit_distance, line_verdicts
 from lodestone.llm.lm_score import lm_score
 from lodestone.llm.words import words
-from lodestone.llm.mixing import calibrate, fit, mixing, rake, sample, uniform
+from lodestone.llm.mixing import ENOUGH, OTHER, _bucket_counts, calibrate, fit, mixing, rake, sample, train_topics, uniform
 from lodestone.llm.ngram_join import first_of_groups, meet, ngram_join
 from lodestone.llm.pitman_yor import log_stirling, seat, seat_alike, sweep
 
@@ -389,6 +389,23 @@ def test_the_sample_meets_the_marginals(spark):
     assert all(len([1 for n in c.values() if n > 0.01 * sum(c.values())]) >= 3 for c in by_topic.values())
 
 
+def test_topics_learn_from_all_documents(docs):
+    """A language with just enough among thousands of documents has topics; words of each document count, however rows are dealt out."""
+    r = random.Random(8)
+    themes = ["river stone water fish", "market price stock trade", "engine wheel motor road"]
+    rows = [(i, " ".join(r.choices(themes[i % 3].split(), k=12)), "en") for i in range(2600)]
+    rows += [(10_000 + i, " ".join(r.choices(themes[i % 3].split(), k=12)), "de") for i in range(ENOUGH)] + [(None, "sole words of a row", "fr"), (7, None, "en")]
+    d = docs(rows)
+    one, many = (train_topics(x, topics=3) for x in (d.repartition(1), d.repartition(7)))
+    assert set(one.models) == {"en", "de", OTHER} == set(many.models)
+    for m in one.models:
+        assert all(np.array_equal(x, y) for x, y in zip(one.models[m], many.models[m], strict=True))
+    named = one.of([x[1].encode() for x in rows[:2600]], ["en"] * 2600)[0]
+    assert len(set(zip(named, [i % 3 for i in range(2600)], strict=True))) == 3  # a theme is a topic
+    absent, sole = one.models[OTHER][1][[h for h in range(4096) if h not in set(_bucket_counts([b"sole words of a row", *(t.encode() for t in themes)])[1].tolist())][0]], one.models[OTHER][1][_bucket_counts([b"sole"])[1][0]]
+    assert sole.max() > absent.max() + 0.5  # one row without an id is learnt from
+
+
 def test_rows_without_id_draw_for_themselves(docs):
     d = docs([(None, f"w{k} text") for k in range(400)])
     mix = fit(d, {"lang": {"en": 1.0}}, budget=0.5)
