@@ -17,6 +17,16 @@ from pyspark.sql.types import DataType, StructField, StructType
 STEP_BYTES = 1 << 20
 
 
+#: Bytes of rows that Spark hands a Python worker at once; else it is 10,000 rows, whatever the length of their texts.
+BATCH_BYTES = 4 << 20
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on cuts Arrow batches by bytes too, so that neither side of a worker holds many long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,8 +125,9 @@ def map_texts(df: DataFrame, f: Callable[[list, list[bytes]], dict], schema: str
                 got = f(some_ids, some, *(m[at : at + len(some)] for m in more))
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=field.type) for v, field in zip(got.values(), target, strict=True)], schema=target)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
-    return df.select(*cols).mapInArrow(run, schema)
+    return short_batches(df.select(*cols)).mapInArrow(run, schema)
 
 
 def with_texts(df: DataFrame, name: str, kind: DataType, f: Callable[..., list], extra: tuple[str, ...] = ()) -> DataFrame:
@@ -130,8 +141,9 @@ def with_texts(df: DataFrame, name: str, kind: DataType, f: Callable[..., list],
                 beside = [batch.column(i).slice(done, len(some)).to_pylist() for i in more]
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, len(some)).columns, pa.array(f(some, *beside), arrow)], [*batch.schema.names, name])
                 done += len(some)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)]))
+    return short_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)]))
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:

@@ -6,7 +6,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lodestone.llm.components import components
 from lodestone.llm import common
@@ -406,6 +408,15 @@ def test_topics_learn_from_all_documents(docs):
     assert sole.max() > absent.max() + 0.5  # one row without an id is learnt from
 
 
+def test_workers_get_few_long_texts_at_once(spark, docs):
+    """A batch that a worker gets, and a step's share of it, is bounded by bytes: 200 texts of 0.1 MB come in several."""
+    d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    seen = common.with_texts(d, "x", LongType(), lambda texts: [len(t) for t in texts])
+    assert seen.agg(F.sum("x")).first()[0] == 200 * 100_000
+    assert max(r["n"] for r in d.mapInArrow(sizes, "n long").collect()) <= 2 * common.BATCH_BYTES
+
+
 def test_rows_without_id_draw_for_themselves(docs):
     d = docs([(None, f"w{k} text") for k in range(400)])
     mix = fit(d, {"lang": {"en": 1.0}}, budget=0.5)
