@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.language_id import language_id, suffix_automaton, train_languages
 from lodestone.llm.license_scan import TEMPLATES, compile_template, license_scan
 from lodestone.llm.quality_rules import cover, learn_rules, quality_rules
+from lodestone.llm import secret_scan as secrets
 from lodestone.llm.secret_scan import CharCnn, secret_scan
 from lodestone.llm.secret_scan import train as train_secrets
 from lodestone.llm.toxicity import ToxicityModel, grammar, toxicity, train_toxicity
@@ -138,6 +139,21 @@ def test_network_sees_every_candidate(docs):
     assert sum(got[i].n_cnn for i, _ in rows if not i % 3) <= 10
 
 
+def test_network_learns_from_all_windows(docs, monkeypatch):
+    """Every distinct window is dealt to a shard once, with its label, and the model doesn't depend on how rows are dealt out."""
+    monkeypatch.setattr(secrets, "SHARD", 1000)
+    monkeypatch.setattr(secrets, "MADE", 100)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=14))
+    d = docs([(i, f"{word()} {word()} then {word()}" + (f' token = "{"".join(r.choices("0123456789ghijk", k=20))}"' if i % 5 == 0 else "")) for i in range(1500)])
+    found = secrets.labelled(d).collect()
+    assert len({x.x for x in found}) == len(found) == 4800 and sum(x.y for x in found) == 300
+    rows = secrets._packed(secrets.labelled(d), 5).collect()
+    assert sum(len(x.y) for x in rows) == 4800 and len(rows) == 5 and sum(sum(x.y) for x in rows) == 300
+    one, many = (train_secrets(d.repartition(k)) for k in (1, 5))
+    assert all(np.array_equal(one.p[k], many.p[k]) for k in one.p) and one.threshold == many.threshold
+
+
 def test_grammar_marks_clauses():
     m = ToxicityModel({"idiot": 1.0, "scumm*": 1.0})
     one = lambda t: m.evidence(t)[1]
