@@ -214,11 +214,12 @@ def _even(counted: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[
                 model, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
                 value = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, k)
                 for j in np.unique(model).tolist():
-                    here = np.flatnonzero(model == j)
+                    mine, weight, row = value[model == j], n[model == j], np.arange((model == j).sum())
                     for place, offset in enumerate(tried[names[j]]):
-                        moved = value[here] + offset
-                        won[j, place, :k] += np.bincount(moved.argmax(1), n[here], k)
-                        won[j, place, k] += np.rint(16 * n[here] * moved.max(1)).sum()
+                        moved = mine + offset
+                        top = moved.argmax(1)
+                        won[j, place, :k] += np.bincount(top, weight, k)
+                        won[j, place, k] += np.rint(16 * weight * moved[row, top]).sum()
             model, place = np.nonzero(won.any(2))
             columns = [model.astype(np.int32), place.astype(np.int32), *won[model, place].astype(np.int64).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["model", "place", *(f"s{j}" for j in range(k + 1))])
