@@ -13,8 +13,9 @@ numbers, the one whose sample is nearest to the marginals is taken, so that a fe
 Topics are learned within languages, as words of two languages would tell the languages apart and nothing else: for
 each language with enough documents, a mixture of word distributions (words by one of 4,096 hashes), fitted by
 expectation and maximisation to the counts of all its documents; one of all documents serves the other languages. The
-texts are read once, and their counts are written; each round of the fit is one aggregation of them, to as many rows as
-the models have words. Components begin with the distinct texts of smallest hash. Log-probabilities and shares are
+texts are read once, and their counts are written, then laid out in blocks of one language; each round of the fit is one
+aggregation of these, to as many rows as the models have words. It takes time for the words that documents have, not for
+all 4,096, and for the components that a document has a share of. Components begin with the distinct texts of smallest hash. Log-probabilities and shares are
 multiples of small powers of 2, so that all sums are exact and the models don't depend on how rows are dealt out. A
 text's topic is the component of the best mean likelihood of a word; small offsets even out the components' tokens, and
 the components are numbered by size.
@@ -27,6 +28,7 @@ and ignored otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import discard, materialize, unused, with_texts, written
+from .common import discard, materialize, short_batches, unused, with_texts, written
 from .words import U, words
 
 OTHER, NONE = "other", "none"
@@ -78,6 +80,8 @@ class Topics:
 
 #: Languages with topics of their own, at most (those with most documents); passes that even out the components, and sizes of their moves.
 LANGS, PASSES, STEPS = 64, 12, np.geomspace(OFFSET, 0.02, 16)
+#: Documents whose winners are found at once.
+STEP = 2048
 #: A component that wins a smaller share of its model's tokens without offsets wins none with them: what fits no text best is no topic.
 FEWEST = 0.002
 #: Log-probabilities are multiples of 2^-16 and shares of a document multiples of 2^-20: sums of such numbers are exact.
@@ -102,59 +106,125 @@ def counts(df: DataFrame) -> DataFrame:
     return with_texts(named, "found", COUNTED, _counts).select("doc_id", "source", "lang", draw().alias("draw"), "found.*")
 
 
-#: Documents that are laid out at once, one row of numbers each.
-BLOCK = 64
+#: Entries (a bucket and its number of words) that documents of one block have, about; words of an entry, at most: larger numbers are several entries.
+ENTRIES, MOST = 1 << 16, 255
 
 
-def _likelihoods(langs: list[str], x: pa.Array, models: dict[str, np.ndarray]):
-    """For blocks of documents of one language: their places, their counts, the models that apply, and the documents' log-likelihoods under these, side by side."""
+def _blocks(langs: list[str], x: pa.Array, models) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of documents of one language: their places, the model that is theirs, and their entries' buckets, words, and numbers."""
     parts = x.cast(pa.large_binary())
     data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
     ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
     pairs, ends = data[ends[0] : ends[-1]].view(_PAIR), (ends - ends[0]) // _PAIR.itemsize
+    buckets, numbers = np.ascontiguousarray(pairs["bucket"]), np.ascontiguousarray(pairs["times"])
     named = np.array([v if v in models else OTHER for v in langs], object)
-    dense = np.zeros((BLOCK, 1 << BUCKETS))
     for lang in sorted(set(named.tolist())):
-        own = [lang, OTHER] if lang != OTHER else [OTHER]
-        both = np.concatenate([models[m] for m in own], 1)
         here = np.flatnonzero(named == lang)
-        for k in range(0, len(here), BLOCK):
-            at = here[k : k + BLOCK]
-            dense[: len(at)] = 0
-            for row, i in enumerate(at.tolist()):
-                some = pairs[ends[i] : ends[i + 1]]
-                dense[row, some["bucket"]] = some["times"]
-            yield at, dense[: len(at)], own, dense[: len(at)] @ both
+        size = np.cumsum(ends[here + 1] - ends[here])
+        for at in np.split(here, np.flatnonzero(np.diff(size // ENTRIES)) + 1):
+            n = ends[at + 1] - ends[at]
+            entry = np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            bucket, times = buckets[entry], numbers[entry]
+            if len(times) and times.max() > MOST:
+                more = -(-times.astype(np.int64) // MOST)
+                n = np.diff(np.concatenate([[0], np.cumsum(more)])[np.concatenate([[0], np.cumsum(n)])])
+                last, rest = np.cumsum(more) - 1, times - (more - 1) * MOST
+                bucket, times = np.repeat(bucket, more), np.full(int(more.sum()), MOST)
+                times[last] = rest
+            yield at, lang, bucket, times.astype(np.uint8), n
+
+
+#: Entries whose words' numbers are held at once: they stay in a core's cache.
+HELD = 4096
+
+
+def _likelihoods(bucket: np.ndarray, times: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The log-likelihoods of a block's documents under a model or several, side by side."""
+    times, ends = times.astype(float), np.cumsum(n)
+    out, first, start = np.empty((len(n), word.shape[1])), 0, 0
+    held = np.empty((HELD + int(n.max()), word.shape[1]))
+    for last in [*(np.flatnonzero(np.diff(ends // HELD)) + 1).tolist(), len(n)]:
+        end, at = int(ends[last - 1]), 0
+        some, many = word.take(bucket[start:end], 0, held[: end - start], "clip"), times[start:end]
+        for row, k in zip(out[first:last], n[first:last].tolist(), strict=True):
+            np.dot(many[at : at + k], some[at : at + k], out=row)
+            at += k
+        first, start = last, end
+    return out
+
+
+def _masses(bucket: np.ndarray, times: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """By bucket and component the words of a block's documents, times their weights; a component takes time for the documents that have a share of it."""
+    times, starts = times.astype(float), np.cumsum(n) - n
+    out = np.zeros((weights.shape[1], 1 << BUCKETS))
+    for mass, w in zip(out, np.ascontiguousarray(weights.T), strict=True):
+        doc = np.flatnonzero(w)
+        if len(doc) > len(n) // 2:
+            mass += np.bincount(bucket, np.repeat(w, n) * times, len(mass))
+        elif len(doc):
+            many = n[doc]
+            entry = np.repeat(starts[doc] - (np.cumsum(many) - many), many)
+            entry += np.arange(len(entry))
+            mass += np.bincount(bucket.take(entry), np.repeat(w[doc], many) * times.take(entry), len(mass))
+    return out.T
+
+
+LAID = ("model", "tokens", "bucket", "times", "n")
+
+
+def _lay(counted: DataFrame, names: list[str]) -> DataFrame:
+    """counts()'s rows of texts with a word as _blocks, a row each, so that a round hands workers few rows and no entry is laid out twice."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(2).to_numpy()
+            for at, model, bucket, times, n in _blocks(batch.column(0).to_pylist(), batch.column(1), names):
+                row = (model, tokens[at].tobytes(), bucket.tobytes(), times.tobytes(), n.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], LAID)
 
+    return short_batches(counted.select("lang", "x", "tokens")).mapInArrow(run, "model string, tokens binary, bucket binary, times binary, n binary")
 
-def _sums(counted: DataFrame, models: dict[str, np.ndarray], shares: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
+
+def _laid(batches) -> Iterator[tuple[str, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Model, tokens and entries of each block."""
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield r[0], np.frombuffer(r[1], np.int64), (np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], np.uint8), np.frombuffer(r[4], "<u4").astype(np.int64))
+
+
+def _own(model: str) -> list[str]:
+    """The models that a model's documents count for: it and that of all documents."""
+    return [model, OTHER] if model != OTHER else [OTHER]
+
+
+def _sums(laid: DataFrame, models: dict[str, np.ndarray], shares: dict[str, np.ndarray] | None) -> dict[str, np.ndarray]:
     """One round over all documents: of each model, by bucket and component, the words that fall to it, and behind the buckets the documents; in units of 1 / SHARES. Without shares all falls to the first component."""
     names, width = sorted(models), next(iter(models.values())).shape[1]
+    logs = {m: np.rint(w * LOGS).astype(np.int32) for m, w in models.items()}  # as they are, in half the bytes
 
     def run(batches):
         total = {m: np.zeros(((1 << BUCKETS) + 1, width)) for m in names}
-        for batch in batches:
-            for _, dense, own, like in _likelihoods(batch.column(0).to_pylist(), batch.column(1), models):
-                weights = []
-                for j, m in enumerate(own):
-                    p = np.zeros((len(dense), width))
-                    if shares is None:
-                        p[:, 0] = 1
-                    else:
-                        some = like[:, j * width : (j + 1) * width] + shares[m]
-                        p = np.exp(some - some.max(1, keepdims=True))
-                        p /= p.sum(1, keepdims=True)
-                    weights.append(np.rint(p * SHARES))
-                mass = dense.T @ np.concatenate(weights, 1)
+        both = {m: np.concatenate([logs[x] for x in _own(m)], 1) / LOGS for m in names}
+        for model, tokens, entries in _laid(batches):
+            own, weights = _own(model), np.zeros((len(tokens), both[model].shape[1]))
+            if shares is None:
+                weights[:, ::width] = SHARES
+            else:
+                like = _likelihoods(*entries, both[model])
                 for j, m in enumerate(own):
-                    total[m][:-1] += mass[:, j * width : (j + 1) * width]
-                    total[m][-1] += weights[j].sum(0)
+                    some = like[:, j * width : (j + 1) * width] + shares[m]
+                    p = np.exp(some - some.max(1, keepdims=True))
+                    weights[:, j * width : (j + 1) * width] = np.rint(p / p.sum(1, keepdims=True) * SHARES)
+            mass = _masses(*entries, weights)
+            for j, m in enumerate(own):
+                total[m][:-1] += mass[:, j * width : (j + 1) * width]
+                total[m][-1] += weights[:, j * width : (j + 1) * width].sum(0)
         for j, m in enumerate(names):
             some = np.flatnonzero(total[m].any(1))
             columns = [np.full(len(some), j, np.int32), some.astype(np.int32), *total[m][some].astype(np.int64).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["model", "place", *(f"s{k}" for k in range(width))])
 
-    some = counted.select("lang", "x").mapInArrow(run, "model int, place int" + "".join(f", s{k} long" for k in range(width)))
+    some = laid.mapInArrow(run, "model int, place int" + "".join(f", s{k} long" for k in range(width)))
     return _placed(some, names, (1 << BUCKETS) + 1, width)
 
 
@@ -183,7 +253,7 @@ def _begin(counted: DataFrame, langs: list[str], topics: int) -> dict[str, np.nd
     return {m: np.stack([dense[hs[k % len(hs)]] for k in range(topics)]) for m, hs in chosen.items()}
 
 
-def _even(counted: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _even(laid: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Of each model the offsets, within OFFSET, for which the tokens that its components win are most even, and these tokens.
 
     They minimise a convex sum, the tokens' best values less the mean offset, whose slopes are what the components win
@@ -193,33 +263,36 @@ def _even(counted: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[
     names, k = sorted(words_), next(iter(words_.values())).shape[1]
 
     def score(batches):
-        for batch in batches:
-            n, out = batch.column(2).to_numpy(), []
-            for at, _, own, like in _likelihoods(batch.column(0).to_pylist(), batch.column(1), words_):
-                for j, m in enumerate(own):
-                    mean = np.ascontiguousarray(PER * like[:, j * k : (j + 1) * k] / n[at][:, None])
-                    out += [(names.index(m), t, v.tobytes()) for t, v in zip(n[at].tolist(), mean, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["model", "tokens", "means"])
+        for model, n, entries in _laid(batches):
+            for m in _own(model):
+                means = PER * _likelihoods(*entries, words_[m]) / n[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((names.index(m), pa.int32()), (n.tobytes(), pa.binary()), (means.tobytes(), pa.binary()))], ["model", "tokens", "means"])
 
-    scored, path = written(counted.select("lang", "x", "tokens").mapInArrow(score, "model int, tokens long, means binary"))
+    scored, path = written(laid.mapInArrow(score, "model int, tokens binary, means binary"))
     scored = scored.coalesce(max(scored.sparkSession.sparkContext.defaultParallelism, scored.rdd.getNumPartitions() // 4))
     tried, alive = {m: np.zeros((1, k)) for m in names}, {}
     least: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
     best: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
-    for _ in range(1 + PASSES):
+    for turn in range(1 + PASSES):
 
         def run(batches, tried=tried):
             won = np.zeros((len(names), max(map(len, tried.values())), k + 1))
             for batch in batches:
-                model, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
-                value = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, k)
-                for j in np.unique(model).tolist():
-                    mine, weight, row = value[model == j], n[model == j], np.arange((model == j).sum())
-                    for place, offset in enumerate(tried[names[j]]):
-                        moved = mine + offset
-                        top = moved.argmax(1)
-                        won[j, place, :k] += np.bincount(top, weight, k)
-                        won[j, place, k] += np.rint(16 * weight * moved[row, top]).sum()
+                model, tokens, means = (c.to_pylist() for c in batch.columns)
+                for j in sorted(set(model)):
+                    rows = [i for i, m in enumerate(model) if m == j]
+                    mine = np.ascontiguousarray(np.frombuffer(b"".join(means[i] for i in rows)).reshape(-1, k).T)
+                    weight = np.frombuffer(b"".join(tokens[i] for i in rows), np.int64).astype(float)
+                    for at in range(0, len(weight), STEP):
+                        some, n = mine[:, at : at + STEP], weight[at : at + STEP]
+                        for place, offset in enumerate(tried[names[j]]):
+                            moved = some + offset[:, None]
+                            best_ = moved.max(0)
+                            wins = moved == best_
+                            if wins.sum() > len(n):  # the first of equal ones
+                                wins = moved.argmax(0) == np.arange(k)[:, None]
+                            won[j, place, :k] += wins @ n
+                            won[j, place, k] += np.rint(16 * n * best_).sum()
             model, place = np.nonzero(won.any(2))
             columns = [model.astype(np.int32), place.astype(np.int32), *won[model, place].astype(np.int64).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["model", "place", *(f"s{j}" for j in range(k + 1))])
@@ -249,6 +322,8 @@ def _even(counted: DataFrame, words_: dict[str, np.ndarray]) -> dict[str, tuple[
             ways = (short / max(np.abs(short).max(), 1e-9), *single, last / max(np.abs(last).max(), 1e-9))
             moves = np.clip(offset + np.concatenate([np.outer(STEPS, way) for way in ways]), -OFFSET, OFFSET)
             tried[m] = np.where(here, moves, -np.inf)
+        if turn % 5 == 4:
+            discard(scored.sparkSession)
     discard(scored.sparkSession, path)
     return {m: (o, won) for m, (_, o, won) in best.items()}
 
@@ -261,26 +336,28 @@ def fit_topics(counted: DataFrame, topics: int = 8, rounds: int = 20) -> Topics:
     langs = sorted(r["lang"] for r in sizes if r["lang"] != OTHER)
     if counted.isEmpty():
         return Topics({OTHER: (np.zeros(topics), np.full((1 << BUCKETS, topics), -np.log(1 << BUCKETS)))})
-    counted = counted.coalesce(max(spark.sparkContext.defaultParallelism, counted.rdd.getNumPartitions() // 4))
+    laid, path = written(_lay(counted, langs))
+    laid = laid.coalesce(max(spark.sparkContext.defaultParallelism, laid.rdd.getNumPartitions() // 4))
     rounded = lambda p: np.rint(np.log(p) * LOGS) / LOGS
     begin = _begin(counted, langs, topics)
-    first = {m: x[:, 0] / SHARES for m, x in _sums(counted, {m: np.zeros((1 << BUCKETS, topics)) for m in begin}, None).items()}
+    first = {m: x[:, 0] / SHARES for m, x in _sums(laid, {m: np.zeros((1 << BUCKETS, topics)) for m in begin}, None).items()}
     size = {m: x[-1] for m, x in first.items()}
     every = {m: (x[:-1] + 0.5) / (x[:-1].sum() + 0.5 * (1 << BUCKETS)) for m, x in first.items()}
     word = {m: rounded(0.5 * every[m][:, None] + 0.5 * (b.T + 0.01) / (b.sum(1) + 0.01 * (1 << BUCKETS))) for m, b in begin.items()}
     share = {m: np.full(topics, -np.log(topics)) for m in word}
     for k in range(rounds):
-        for m, x in _sums(counted, word, share).items():
+        for m, x in _sums(laid, word, share).items():
             mass, held = x[:-1] / SHARES, x[-1] / SHARES
             share[m] = np.log((held + 1) / (size[m] + topics))
             word[m] = rounded((mass + 200 * every[m][:, None]) / (mass.sum(0) + 200))
         if k % 5 == 4:
             discard(spark)
     models = {}
-    for m, (offset, won) in _even(counted, word).items():
+    for m, (offset, won) in _even(laid, word).items():
         # By size, so that the languages' topics of one number are about equally large.
         order = np.argsort(-won, kind="stable")
         models[m] = (offset[order], word[m][:, order])
+    discard(spark, path)
     return Topics(models)
 
 
@@ -303,14 +380,13 @@ def with_topic(df: DataFrame, topics: Topics, name: str) -> DataFrame:
 def cells(counted: DataFrame, topics: Topics) -> DataFrame:
     """doc_id, source, lang, topic, tokens and draw of counts()'s rows."""
     words_ = {m: w for m, (_, w) in topics.models.items()}
-    k = next(iter(words_.values())).shape[1]
     kept = counted.select("doc_id", "source", "lang", "tokens", "draw", "x")
 
     def run(batches):
         for batch in batches:
             n, best = np.maximum(batch.column(3).to_numpy(), 1), np.zeros(batch.num_rows, np.int64)
-            for at, _, own, like in _likelihoods(batch.column(2).to_pylist(), batch.column(5), words_):
-                best[at] = (PER * like[:, :k] / n[at][:, None] + topics.models[own[0]][0]).argmax(1)
+            for at, m, *entries in _blocks(batch.column(2).to_pylist(), batch.column(5), words_):
+                best[at] = (PER * _likelihoods(*entries, words_[m]) / n[at][:, None] + topics.models[m][0]).argmax(1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([f"topic{t}" for t in best.tolist()])], [*batch.schema.names[:5], "topic"])
 
     return kept.mapInArrow(run, "doc_id long, source string, lang string, tokens long, draw string, topic string")

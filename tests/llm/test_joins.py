@@ -408,6 +408,29 @@ def test_topics_learn_from_all_documents(docs):
     assert sole.max() > absent.max() + 0.5  # one row without an id is learnt from
 
 
+def test_a_round_of_the_topics_reads_blocks(docs):
+    """Documents are laid out once, in few rows of one language, and a round's sums are those of the words that each document has, exactly."""
+    from lodestone.llm import mixing as m
+
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(60)], k=r.randint(1, 50))), r.choice(["en", "de", "xx"])) for i in range(600)] + [(900, "often " * 700 + "seldom", "en"), (901, None, "en")]
+    counted = m.written(m.counts(docs(rows)))[0].where("tokens > 0").coalesce(1)
+    laid = m._lay(counted, ["en", "de"])
+    assert laid.count() <= 6 and {x.model for x in laid.collect()} == {"en", "de", OTHER}
+    rng = np.random.default_rng(3)
+    models = {x: np.rint(np.log((rng.random((4096, 3)) + 0.1) / 4096) * m.LOGS) / m.LOGS for x in ("en", "de", OTHER)}
+    shares = {x: np.log(np.array([0.2, 0.3, 0.5])) for x in models}
+    got, want = m._sums(laid, models, shares), {x: np.zeros((4097, 3)) for x in models}
+    for _, text, lang in rows:
+        n = np.bincount(_bucket_counts([(text or "").encode()])[1], minlength=4096)
+        for x in {lang if lang in models else OTHER, OTHER} if n.any() else ():
+            like = n @ models[x] + shares[x]
+            p = np.exp(like - like.max())
+            p = np.rint(p / p.sum() * m.SHARES)
+            want[x] += np.concatenate([np.outer(n, p), p[None]])
+    assert all(np.array_equal(got[x], want[x]) for x in models)
+
+
 def test_workers_get_few_long_texts_at_once(spark, docs):
     """A batch that a worker gets, and a step's share of it, is bounded by bytes: 200 texts of 0.1 MB come in several."""
     d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
