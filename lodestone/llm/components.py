@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, materialize, small_side
+from .common import SMALL, discard, materialize, small_side, written
 
 #: Edges of one node that one task may take; a node with more is dealt over several.
 SPLIT = 1 << 14
@@ -33,7 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every id in edges (a long, b long); root is the smallest id of its component.
 
     Each round takes the least label among neighbours and then the label's own label, so that rounds grow with the
-    logarithm of a component's width; every round is written to the shared folder. Edges of a node, and nodes of a
+    logarithm of a component's width; every round is written to the shared folder, and what it replaces is removed. Edges of a node, and nodes of a
     label, beyond SPLIT are dealt over several tasks. An edge list without rows gives none; nulls are no nodes.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
@@ -41,15 +41,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     hubs = _hubs(both, "b")
     split = hubs.limit(1).count() > 0
     both = materialize(_salted(both, hubs, "b", "a")) if split else both
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
+    labels, labels_at = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
     for _ in range(max_rounds):
         seen = labels.withColumnRenamed("id", "b")
         near = (both.join(_repeated(seen, hubs, "b"), ["b", "slot"]) if split else both.join(seen, "b")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = materialize(labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        step, step_at = written(labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         # A label that has a smaller one itself: one row for each such label, whatever the number of its nodes.
         used = step.groupBy("root").agg(F.count("*").alias("rows"))
         moved = used.join(step.select(F.col("id").alias("root"), F.col("root").alias("up")), "root").where("up <> root")
-        moved = materialize(moved.select("root", "up", F.ceil(F.col("rows") / SPLIT).cast("long").alias("slots")))
+        moved, moved_at = written(moved.select("root", "up", F.ceil(F.col("rows") / SPLIT).cast("long").alias("slots")))
         n, most = moved.agg(F.count("*"), F.max("slots")).first()
         if not n:
             new = step
@@ -61,10 +61,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             held = _salted(step, moved.where("slots > 1").select("root", "slots"), "root", "id")
             up = moved.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).select("root", "slot", "up")
             new = held.join(up, ["root", "slot"], "left")
+        new_at, gone = step_at, [labels_at, moved_at]
         if n:
-            new = materialize(new.select("id", "was", F.coalesce("up", "root").alias("root")))
+            new, new_at = written(new.select("id", "was", F.coalesce("up", "root").alias("root")))
+            gone.append(step_at)
         changed = new.where(F.col("root") != F.col("was")).limit(1).count()
-        labels = new.select("id", "root")
+        labels, labels_at = new.select("id", "root"), new_at
+        discard(edges.sparkSession, *gone)  # with the round's broadcasts, which the driver holds
         if not changed:
             return labels
     raise RuntimeError("components did not settle")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize, small_side, unused
+from .common import bind, discard, materialize, small_side, unused
 
 EDITS, MIN_CHARS = 2, 40
 #: Texts of LEAST characters and more have near copies; those under SHORT within one edit.
@@ -175,6 +175,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def near_texts(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(h1, h2): texts that go because a text that stands earlier is within `edits`."""
     pairs = materialize(near_pairs(lines, edits))
+    discard(lines.sparkSession)
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     at = F.min(F.struct("doc_id", "pos")).alias("at")
     texts = materialize(lines.join(small_side(ids), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), at))
@@ -190,6 +191,7 @@ def kept_places(df: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
     """doc_id and the places (sorted) of its lines that take part and stay; documents without any such line are missing."""
     lines = lines_of(df, min_chars)
     near = materialize(near_texts(lines, edits))
+    discard(df.sparkSession)
     held = lines.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
     first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     stays = held.join(first, ["h1", "h2", "doc_id"], "left_semi").join(near, ["h1", "h2"], "left_anti")

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -431,6 +432,16 @@ def test_a_round_of_the_topics_reads_blocks(docs):
     assert all(np.array_equal(got[x], want[x]) for x in models)
 
 
+def test_rounds_of_components_leave_nothing_behind(spark):
+    """What a round replaces is removed from the shared folder: a path takes many rounds and leaves two tables, its edges and the last labels."""
+    n, shared = 300, f"{common.shared_dir(spark).removeprefix('file:')}/lodestone"
+    there = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    old = there()
+    out = components(spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {(r.id, r.root) for r in out.collect()} == {(i, 0) for i in range(n)}
+    assert len(there() - old) <= 3
+
+
 def test_workers_get_few_long_texts_at_once(spark, docs):
     """A batch that a worker gets, and a step's share of it, is bounded by bytes: 200 texts of 0.1 MB come in several."""
     d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
