@@ -221,6 +221,12 @@ def _word_hashes(text: str) -> np.ndarray:
     return words([text.encode()], ALNUM)[3]
 
 
+@lru_cache(maxsize=1)
+def _unit_hashes() -> np.ndarray:
+    """The hashes of UNITS; asked for in workers only, as the tables of hashing take 62 MB of the process that makes them."""
+    return np.unique(_word_hashes(" ".join(sorted(UNITS))))
+
+
 def _pair_hashes(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
@@ -268,7 +274,6 @@ class Filter:
     def __init__(self, rows: DataFrame):
         self.word, self.pair, self.window = (Bits(rows, k) for k in (WORD, PAIR, WIN))
         self.widths = [r["width"] for r in rows.where(F.col("kind") == WIN).select("width").distinct().orderBy("width").collect()]  # 8 at most
-        self.units = np.unique(_word_hashes(" ".join(sorted(UNITS))))
 
     def plausible(self, texts: list[bytes]) -> np.ndarray:
         """Whether each text has so many words in a row that are the benchmark's, and stand in its pairs, as a window needs.
@@ -288,8 +293,9 @@ class Filter:
         count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
         per = lambda c: c[end] - c[start]
         digits, wides = per(count(digit)), per(count(wide))
-        at = np.minimum(np.searchsorted(self.units, h), len(self.units) - 1)
-        free = (digits > 0) | (wides > 0) | (per(count((raw >= 65) & (raw < 91))) > 0) | (self.units[at] == h)
+        units = _unit_hashes()
+        at = np.minimum(np.searchsorted(units, h), len(units) - 1)
+        free = (digits > 0) | (wides > 0) | (per(count((raw >= 65) & (raw < 91))) > 0) | (units[at] == h)
         tokens = 1 + wides + np.where(digits > 0, end - start, 0)
         ok = free | self.word.has(h)
         begins = np.ones(len(h), bool)

@@ -442,6 +442,42 @@ def test_rounds_of_components_leave_nothing_behind(spark):
     assert len(there() - old) <= 3
 
 
+def test_rounds_of_components_are_few_jobs(spark):
+    """Labels of few ids are broadcast: a round shuffles once, so that the driver doesn't hold a thread for each of a dozen exchanges."""
+    n, sc = 300, spark.sparkContext
+    sc.setJobGroup("few jobs", "components of a path")
+    try:
+        out = components(spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert len(sc.statusTracker().getJobIdsForGroup("few jobs")) <= 60
+    finally:
+        for k in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(k, None)
+    assert {(r.id, r.root) for r in out.collect()} == {(i, 0) for i in range(n)}
+
+
+def test_components_of_many_ids_are_those_of_few(spark, monkeypatch):
+    """Self-links, nulls and repeated links, with labels broadcast and shuffled."""
+    import lodestone.llm.components as m
+
+    edges = [(1, None), (None, 2), (5, 5), (7, 5), (-3, 7), (9, 8), (9, 8), (8, 9), *((i, i + 1) for i in range(20, 60))]
+    want = {5: -3, 7: -3, -3: -3, 9: 8, 8: 8} | {i: 20 for i in range(20, 61)}
+    for small in (m.SMALL, 0):
+        monkeypatch.setattr(m, "SMALL", small)
+        rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len(want) and {r.id: r.root for r in rows} == want
+
+
+def test_the_driver_hashes_no_words_for_the_benchmarks_filter(spark):
+    """Tables of hashing (62 MB with what they take to make) belong to workers: the driver makes none."""
+    from lodestone.llm import words
+
+    words._powers.cache_clear()
+    items = spark.createDataFrame([(1, "It ran 20 miles in three hours, and then two more.")], "item long, text string")
+    chosen = Filter(item_rows(items))
+    assert words._powers.cache_info().currsize == 0
+    assert chosen.plausible([b"It ran 20 miles in three hours, and then two more.", b"none of it"]).tolist() == [True, False]
+
+
 def test_workers_get_few_long_texts_at_once(spark, docs):
     """A batch that a worker gets, and a step's share of it, is bounded by bytes: 200 texts of 0.1 MB come in several."""
     d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
