@@ -30,3 +30,17 @@ def test_addresses_of_many_customers(spark, same):
     customers = spark.createDataFrame([(k,) for k in (2, 18, 65_522, 65_538, 70_002, 900_002, 2**33 + 7)], "c_custkey long")
     rows = same("network_membership", customer=customers, orders=spark.range(1, 50).select(F.col("id").alias("o_orderkey")), part=spark.range(1, 5_000).select(F.col("id").alias("p_partkey")))
     assert sum(r.startswith("('2001:") for r in rows) == 7
+
+
+WORDS = ["weiß", "ﬁn", "ᾳx", "ŉa", "ẞ", "ὈΔΌΣ", "İz", "𐐨a", "ǆ"]
+
+
+def _texts(spark):
+    """Each word as the third of a text that has it in other places, too."""
+    return spark.createDataFrame([(6 * i + k, f"a b {w} {w}c") for i, w in enumerate(WORDS, 7) for k in range(6)], "doc_id long, text string")
+
+
+def test_upper_case_of_single_letters(spark, same):
+    """Words whose upper case has more letters are markers as SQL writes them."""
+    rows = same("contract_verdicts", documents=_texts(spark))
+    assert any("'WEIẞ', 'met'" in r for r in rows)
