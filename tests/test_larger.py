@@ -44,3 +44,8 @@ def test_upper_case_of_single_letters(spark, same):
     """Words whose upper case has more letters are markers as SQL writes them."""
     rows = same("contract_verdicts", documents=_texts(spark))
     assert any("'WEIẞ', 'met'" in r for r in rows)
+
+
+def test_states_of_rules_with_such_words(spark, same):
+    rows = same("rule_states", documents=_texts(spark))
+    assert sum(int(r.split(", ")[2]) for r in rows) > 10
